@@ -18,6 +18,12 @@ def model_path() -> str:
     return public_tokenizers.path(MODEL)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import toxicity
+
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -30,5 +36,5 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(_table(spark, sf_dir, "documents"), model_path()))
 
 
-QUERIES = {f.__name__: f for f in (op7_token_counts, op10_sentencepiece_codec)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op7_token_counts, op10_sentencepiece_codec)}
 ORACLES: dict[str, str] = {}
