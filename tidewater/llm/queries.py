@@ -24,6 +24,12 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ngram_join import ngram_join
+
+    return ngram_join(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -36,5 +42,5 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(_table(spark, sf_dir, "documents"), model_path()))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op7_token_counts, op10_sentencepiece_codec)}
+QUERIES = {f.__name__: f for f in (op2_toxicity, op3_ngram_jaccard_join, op7_token_counts, op10_sentencepiece_codec)}
 ORACLES: dict[str, str] = {}
