@@ -28,7 +28,7 @@ from .common import WordHash, drop_settled, mixed, settle, shingle_hashes, slice
 from .graph import components
 
 # Sets in a block of a family; a task holds two blocks.
-BLOCK = 128
+BLOCK = 96
 
 
 class Ratio:

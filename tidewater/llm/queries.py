@@ -18,6 +18,12 @@ def model_path() -> str:
     return public_tokenizers.path(MODEL)
 
 
+def op1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(_table(spark, sf_dir, "embeddings"), k=10, every=100)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .toxicity import toxicity
 
@@ -30,6 +36,12 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(_table(spark, sf_dir, "documents"), width=3, num=90, den=100)
 
 
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dups import near_duplicates
+
+    return near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .token_counts import token_counts
 
@@ -42,5 +54,14 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(_table(spark, sf_dir, "documents"), model_path()))
 
 
-QUERIES = {f.__name__: f for f in (op2_toxicity, op3_ngram_jaccard_join, op7_token_counts, op10_sentencepiece_codec)}
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_ngram_jaccard_join, op6_embedding_near_dedup, op7_token_counts, op10_sentencepiece_codec)}
+ORACLES: dict[str, str] = {
+    "op1_exact_topk": """
+        WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+                   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+              FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id),
+        r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+    """,
+}
