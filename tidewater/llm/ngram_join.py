@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHash, drop_settled, mixed, settle, shingle_hashes, slices
+from .common import WordHash, mixed, near_keys, settle, shingle_hashes, slices
 from .graph import components
 
 # Sets in a block of a family; a task holds two blocks.
@@ -211,7 +211,7 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
     family = settle(components(drawn))
     blocks = settle(family.join(family.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     # (4) each pair of blocks of a family meets once
-    held = texts.join(blocks, F.col("id") == F.col("node")).select("root", "blocks", "block", "id", "text")
+    held = near_keys(texts, "id", blocks.select("node")).join(blocks, F.col("id") == F.col("node")).select("root", "blocks", "block", "id", "text")
     one_way = held.select("root", "id", "text", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "text")
 
     def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
