@@ -70,18 +70,17 @@ def test_trie_equals_sets():
         assert sorted(trie.linked(s, ratio).tolist()) == want
 
 
-def test_linked_sets_share_a_key():
+@pytest.mark.parametrize("num", [90, 80])
+def test_linked_sets_share_a_key(num):
     deal = np.random.default_rng(4)
-    ratio = N.Ratio(90, 100)
-    for n in [*range(1, 60), 200, 1000, 5000]:
+    ratio = N.Ratio(num, 100)
+    for n in [*range(1, 60), 200, 250, 256, 257, 300, 320, 330, 1000, 5000]:
         base = deal.integers(0, 2**63, n).astype(np.uint64)
-        for gone in range(n // 10 + 1):
-            for more in range(0, n // 9 + 1, max(1, n // 30)):
+        for gone in range(0, n // (5 if num == 80 else 10) + 1, max(1, n // 50)):
+            for more in range(0, n // (4 if num == 80 else 9) + 1, max(1, n // 30)):
                 other = np.append(base[gone:], deal.integers(0, 2**63, more).astype(np.uint64))
-                if 100 * (n - gone) >= 90 * (n + more):
+                if 100 * (n - gone) >= num * (n + more):
                     assert set(ratio.keys(np.unique(base)).tolist()) & set(ratio.keys(np.unique(other)).tolist())
-                if n > 300:
-                    break
 
 
 def test_odd_rows(spark):

@@ -107,20 +107,32 @@ def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 MOST_BITS = 1 << 26
 
 
-def near_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
-    """The rows of df whose `column` may stand in `keys` (one column of distinct values): all that do, and a few more.
-
-    A bit map of bounded size is broadcast, so that most other rows go where they are read, before an
-    exact join moves what is left.  With very many keys the map fills up and the join just moves more rows.
-    """
+def _marked(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """df with __near: whether `column` may stand in `keys`, by a broadcast bit map of bounded size."""
     from pyspark.sql import functions as F
 
     bits = 1 << 16
     rows = keys.count()
     while bits < min(16 * rows, MOST_BITS):
         bits *= 2
-    name = keys.columns[0]
-    spots = keys.select(F.pmod(F.xxhash64(name), F.lit(bits)).alias("s"))
+    spots = keys.select(F.pmod(F.xxhash64(keys.columns[0]), F.lit(bits)).alias("s"))
     words = spots.select((F.col("s") / 64).cast("int").alias("__word"), F.expr("shiftleft(1L, cast(s % 64 as int))").alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
     spot = f"pmod(xxhash64(`{column}`), {bits}L)"
-    return df.withColumn("__word", F.expr(f"cast({spot} / 64 as int)")).join(F.broadcast(words), "__word").where(f"getbit(__bits, cast({spot} % 64 as int)) = 1").drop("__word", "__bits")
+    hit = df.withColumn("__word", F.expr(f"cast({spot} / 64 as int)")).join(F.broadcast(words), "__word", "left")
+    return hit.withColumn("__near", F.expr(f"coalesce(getbit(__bits, cast({spot} % 64 as int)) = 1, false)")).drop("__word", "__bits")
+
+
+def near_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose `column` may stand in `keys` (one column of distinct values): all that do, and a few more.
+
+    Most other rows go where they are read, before an exact join moves what is left.  With very many keys
+    the bit map fills up and the join just moves more rows.
+    """
+    return _marked(df, column, keys).where("__near").drop("__near")
+
+
+def without_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """The rows of df whose `column` does not stand in `keys`; only rows that may stand there are moved."""
+    marked = _marked(df, column, keys)
+    perhaps = marked.where("__near").join(keys, marked[column] == keys[keys.columns[0]], "left_anti")
+    return marked.where("NOT __near").union(perhaps).drop("__near")

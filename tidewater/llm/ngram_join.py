@@ -24,9 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHash, mixed, near_keys, settle, shingle_hashes, slices
+from .common import WordHash, mixed, near_keys, settle, shingle_hashes, slices, without_keys
 from .graph import components
 
+# Below a similarity of about 0.86, sets of up to PREFIX members are routed by single members.
+PREFIX = 256
 # Sets in a block of a family; a task holds two blocks.
 BLOCK = 96
 
@@ -63,6 +65,12 @@ class Ratio:
         tops = self.classes()
         c = int(np.searchsorted(tops, n))
         out = []
+        thin = self.den + self.num < 13 * (self.den - self.num)  # parts of fewer than about 6 members
+        if thin and n * self.num <= PREFIX * self.den:
+            # the first members in the order of hashes: linked sets have one in common (prefix filtering)
+            out.append(np.sort(mixed(members, 14))[: n - -(-self.num * n // self.den) + 1])
+            if n <= PREFIX:
+                return out[0]
         for k in (c, c + 1):
             # sets of class k, and those of class k - 1 whose partner may lie in class k
             if k > c and (tops[c] + 1) * self.num > n * self.den:
@@ -74,7 +82,10 @@ class Ratio:
             total = np.append(np.uint64(0), np.cumsum(mixed(members, 12)[order], dtype=np.uint64))
             with np.errstate(over="ignore"):
                 sums = total[np.append(edges[1:], n)] - total[edges]
-                out.append(mixed(sums ^ mixed(np.arange(parts, dtype=np.uint64), 13), k))
+                keys = mixed(sums ^ mixed(np.arange(parts, dtype=np.uint64), 13), k)
+            # thin parts are many, and about a third of them are equal in linked sets: those of fewer than two
+            # members, which would tie strangers together, are not needed (a miss has a chance under 1e-9)
+            out.append(keys[np.append(edges[1:], n) - edges > 1] if thin else keys)
         return np.concatenate(out)
 
 
@@ -235,3 +246,9 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
     found = components(links.union(copies.select("id", "rep")))
     out = table.select("id", "n").join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
     return out
+
+
+def keep_first(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The table with one document, that of the smallest id, of each component of ngram_join(); rows without an id stay."""
+    found = ngram_join(docs, width, num, den, id_col, text_col)
+    return without_keys(docs, id_col, settle(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MODEL = "piece_bpe_32k.model"
+# Target shares of tokens; the reference domain keeps its tokens and the others are thinned to fit.
+MIX_WEIGHTS = {"clean": 0.92, "low": 0.06, "toxic": 0.02}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,13 +56,20 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_table(spark, sf_dir, "documents"), model_path()).withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import domain_of, mix
+
+    labels = _table(spark, sf_dir, "labels").select("doc_id", domain_of().alias("domain"))
+    return mix(_table(spark, sf_dir, "documents"), labels, MIX_WEIGHTS, reference="clean")
+
+
 def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spm_codec import digests, encode_decode
 
     return digests(encode_decode(_table(spark, sf_dir, "documents"), model_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_ngram_jaccard_join, op4_line_dedup, op6_embedding_near_dedup, op7_token_counts, op10_sentencepiece_codec)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_ngram_jaccard_join, op4_line_dedup, op6_embedding_near_dedup, op7_token_counts, op8_mixing, op10_sentencepiece_codec)}
 ORACLES: dict[str, str] = {
     "op1_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings

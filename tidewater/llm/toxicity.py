@@ -96,6 +96,18 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     return learned["slot"].to_numpy(), learned["w"].to_numpy()
 
 
+class Scorer:
+    def __init__(self, slot: np.ndarray, value: np.ndarray):
+        self.dense = np.zeros((1 << BITS) + 1, dtype=np.float32)
+        self.dense[slot] = value
+        self.table = WordHash()
+
+    def __call__(self, text: str) -> float:
+        at = features(text, self.table)
+        at = np.unique(at[self.dense[at] != 0])
+        return 1 / (1 + math.exp(-max(-35.0, min(35.0, float(self.dense[at].sum()) + float(self.dense[-1])))))
+
+
 def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id and score (0 to 1; higher: likelier toxic) of every text; each feature of a text counts once.
 
@@ -105,22 +117,27 @@ def score(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], id_col: str =
     sent = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches):
-        slot, value = sent.value
-        dense = np.zeros((1 << BITS) + 1, dtype=np.float32)
-        dense[slot] = value
-        table = WordHash()
+        scorer = Scorer(*sent.value)
         for part, texts in slices(batches, "text"):
-            out = []
-            for t in texts:
-                at = features(t, table)
-                at = np.unique(at[dense[at] != 0])
-                out.append(1 / (1 + math.exp(-max(-35.0, min(35.0, float(dense[at].sum()) + float(dense[-1]))))))
+            out = [scorer(t) for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(out, pa.float64())], names=["id", "score"])
 
     picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return picked.mapInArrow(run, f"id {picked.schema['id'].dataType.simpleString()}, score double").withColumnRenamed("id", id_col)
 
 
+def reject(docs: DataFrame, weights: tuple[np.ndarray, np.ndarray], threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of the table whose score is under the threshold, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches):
+        scorer = Scorer(*sent.value)
+        for part, texts in slices(batches, text_col):
+            yield part.filter(pa.array([scorer(t) < threshold for t in texts]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def crc_rest(id_col: str, mod: int) -> Column:
     """crc32 of the id written as text, modulo `mod`."""
     return F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(mod))
