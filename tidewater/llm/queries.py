@@ -63,13 +63,21 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"), labels, MIX_WEIGHTS, reference="clean")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .attention_lm import lm_scores
+    from .toxicity import crc_rest
+
+    scored = lm_scores(_table(spark, sf_dir, "documents"), model_path(), learn=crc_rest("doc_id", 5) != 1)
+    return scored.withColumn("held_out", crc_rest("doc_id", 5) == 1)
+
+
 def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spm_codec import digests, encode_decode
 
     return digests(encode_decode(_table(spark, sf_dir, "documents"), model_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_ngram_jaccard_join, op4_line_dedup, op6_embedding_near_dedup, op7_token_counts, op8_mixing, op10_sentencepiece_codec)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_ngram_jaccard_join, op4_line_dedup, op6_embedding_near_dedup, op7_token_counts, op8_mixing, op9_lm_scoring, op10_sentencepiece_codec)}
 ORACLES: dict[str, str] = {
     "op1_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
