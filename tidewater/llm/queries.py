@@ -44,6 +44,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removed_by_document(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", F.size("removed").alias("n_removed"), "removed")
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan
+
+    found = scan(_table(spark, sf_dir, "documents"))
+    return found.groupBy("doc_id", "license").agg(F.count("*").alias("places"), F.min("first_word").alias("first_word"), F.max("containment").alias("containment"))
+
+
 def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embedding_dups import near_duplicates
 
@@ -77,7 +84,7 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(_table(spark, sf_dir, "documents"), model_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_ngram_jaccard_join, op4_line_dedup, op6_embedding_near_dedup, op7_token_counts, op8_mixing, op9_lm_scoring, op10_sentencepiece_codec)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_ngram_jaccard_join, op4_line_dedup, op5_license_scan, op6_embedding_near_dedup, op7_token_counts, op8_mixing, op9_lm_scoring, op10_sentencepiece_codec)}
 ORACLES: dict[str, str] = {
     "op1_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
