@@ -1,7 +1,683 @@
-"""Named queries over the driver's tables, with their SQL twins."""
+"""Named queries over the driver's tables, with their SQL twins.  The docstring names the inventory ids that a query covers.
+
+Roles: `events` are telemetry (agent = user_id, sensor = event_type, tick = row number by time), `embeddings` are
+sonar profiles of 64 range bins, `lineitem` is a point cloud (x = quantity, y = price / 1000, z = -100 * discount, ring =
+line number), `part` holds materials and `supplier` beacons.
+"""
 
 from __future__ import annotations
 
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.functions import fields, geometry, noise, profiles
+from tidewater.operators import attitude, comms, control, learning, lidar, matching, navigation, rewards, sampling, sonar
+from tidewater.sources import readers
+
 FLAGSHIP = "sonar_argmax_depth"
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def r6(c, name: str):
+    return F.round(c, 6).alias(name)
+
+
+def ticks(spark: SparkSession, sf: str) -> DataFrame:
+    """agent, sensor, tick, ts (microseconds), value, event_id."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("agent"), F.col("event_type").alias("sensor"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "value", "event_id")
+    return sampling.with_tick(e, "agent", ["ts", "event_id"])
+
+
+TICKS = "t AS (SELECT user_id AS agent, event_type AS sensor, epoch_us(ts) AS ts, value, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS tick FROM events)"
+
+
+def cloud(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * -100).alias("z"), "l_tax", "l_returnflag")
+
+
+CLOUD = "c AS (SELECT l_orderkey, l_linenumber, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * -100 AS z, l_tax, l_returnflag FROM lineitem)"
+
+
+def xyz():
+    return F.col("x"), F.col("y"), F.col("z")
+
+
+KEY = ["l_orderkey", "l_linenumber"]
+CLUSTERS = [(10.0, 10.0, -10.0, 2.0, 10.0), (30.0, 40.0, -5.0, 1.5, 20.0), (0.0, 0.0, 0.0, 9.0, 0.0)]
+NEAR = " + ".join(f"{s} * exp(-sqrt((x - {a}) * (x - {a}) + (y - {b}) * (y - {b}) + (z - {c}) * (z - {c})) / {f})" for a, b, c, s, f in CLUSTERS if f > 0)
+
+
+# --- sonar profiles -------------------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS bin, round(0.5 + (list_position(embedding, list_max(embedding)) - 1) * (99.5 / 63), 6) AS range_m FROM embeddings")
+def sonar_argmax_depth(spark, sf):
+    """AGG-6, PRJ-12: the strongest bin of each ping and its range."""
+    p = table(spark, sf, "embeddings").select("vec_id", profiles.strongest_bin(F.col("embedding")).alias("bin"))
+    return p.select("vec_id", "bin", r6(profiles.axis(0.5, 100.0, 64, F.col("bin")), "range_m"))
+
+
+LEVELS = """l AS (SELECT vec_id, unnest(embedding) AS v, generate_subscripts(embedding, 1) - 1 AS bin, list_min(embedding) AS lo, list_max(embedding) AS hi FROM embeddings),
+n AS (SELECT vec_id, CAST(bin AS INTEGER) AS bin, CASE WHEN hi > lo THEN (CAST(v AS DOUBLE) - lo) / (CAST(hi AS DOUBLE) - lo) ELSE 0.0 END AS level FROM l)"""
+
+
+@query(f"WITH {LEVELS} SELECT vec_id, bin, round(level, 6) AS level, CAST(floor(level * 255) AS INTEGER) AS grey FROM n")
+def sonar_normalise(spark, sf):
+    """PRJ-10, PRJ-11: profiles scaled to [0, 1] and to 8 bits."""
+    p = table(spark, sf, "embeddings").select("vec_id", profiles.normalised(F.col("embedding")).alias("p"))
+    return p.select("vec_id", F.posexplode("p").alias("bin", "v")).select("vec_id", "bin", r6(F.col("v"), "level"), F.floor(F.col("v") * 255).cast("int").alias("grey"))
+
+
+POINTS = f"""p AS (SELECT vec_id, bin, 0.5 + bin * (99.5 / 63) AS r, -pi() / 4 + bin * ((pi() / 4 + pi() / 4) / 63) AS th FROM n WHERE floor(level * 255) > 200)"""
+
+
+@query(f"WITH {LEVELS}, {POINTS} SELECT vec_id, bin, round(r * sin(th), 6) AS y, round(-r * cos(th), 6) AS z FROM p")
+def sonar_threshold_points(spark, sf):
+    """FLT-4, PRJ-13, PRJ-14: bright bins as local points."""
+    got = sonar.bright_bins(table(spark, sf, "embeddings"), "embedding", "vec_id", 200, 0.5, 100.0, 64)
+    return got.select("vec_id", "bin", r6(F.col("y"), "y"), r6(F.col("z"), "z"))
+
+
+@query(f"WITH {LEVELS}, {POINTS} SELECT vec_id, round(avg(r * sin(th)), 6) AS y, round(avg(-r * cos(th)), 6) AS z, count(*) AS n FROM p GROUP BY vec_id")
+def sonar_centroid(spark, sf):
+    """AGG-5: mean of the bright points of each ping."""
+    got = sonar.bright_bins(table(spark, sf, "embeddings"), "embedding", "vec_id", 200, 0.5, 100.0, 64)
+    return got.groupBy("vec_id").agg(r6(F.avg("y"), "y"), r6(F.avg("z"), "z"), F.count("*").alias("n"))
+
+
+@query(f"WITH {CLOUD}, b AS (SELECT l_returnflag AS ping, CAST(floor(sqrt(x*x + y*y + z*z) / 2.5) AS INTEGER) AS bin, l_tax FROM c), s AS (SELECT ping, bin, avg(l_tax) AS m, count(*) AS n FROM b WHERE bin BETWEEN 0 AND 59 GROUP BY ping, bin) SELECT p.ping, CAST(g.bin AS INTEGER) AS bin, round(coalesce(m, 0.0), 6) AS mean, coalesce(n, 0) AS n FROM (SELECT DISTINCT ping FROM b) p CROSS JOIN (SELECT range AS bin FROM range(60)) g LEFT JOIN s ON s.ping = p.ping AND s.bin = g.bin")
+def sonar_bin_average(spark, sf):
+    """AGG-8: mean intensity of each range bin, empty ones included."""
+    c = cloud(spark, sf).withColumnRenamed("l_returnflag", "ping")
+    x, y, z = xyz()
+    got = sonar.bin_average(c, ["ping"], F.floor(F.sqrt(x * x + y * y + z * z) / 2.5).cast("int"), "l_tax", 60)
+    return got.select("ping", "bin", r6(F.col("mean"), "mean"), "n")
+
+
+@query(f"WITH {CLOUD}, b AS (SELECT l_returnflag AS ping, CAST(least(floor(x), 49) AS INTEGER) AS r, l_linenumber > 3 AS star, l_tax FROM c) SELECT ping, CAST(CASE WHEN star THEN 25 - floor(r / 2) - 1 ELSE 25 + floor(r / 2) END AS INTEGER) AS idx, round(avg(l_tax), 6) AS mean, count(*) AS n FROM b GROUP BY 1, 2")
+def sonar_sidescan_fold(spark, sf):
+    """AGG-9: port and starboard folded to one axis."""
+    c = cloud(spark, sf).withColumn("r", F.least(F.floor("x"), F.lit(49)))
+    idx = sonar.folded_index(F.col("r"), F.col("l_linenumber") > 3, 50)
+    return c.groupBy(F.col("l_returnflag").alias("ping"), idx.alias("idx")).agg(r6(F.avg("l_tax"), "mean"), F.count("*").alias("n"))
+
+
+@query("""WITH b AS (SELECT l_returnflag AS ping, CAST(floor(l_quantity / 2) AS INTEGER) AS r_bin, CAST(floor(l_extendedprice / 5000) AS INTEGER) AS a_bin, l_tax * 10 AS v, l_discount >= 0.095 AS perfect FROM lineitem),
+g AS (SELECT ping, r_bin, a_bin, avg(v) AS mean, count(*) AS n, sum(CAST(perfect AS INTEGER)) AS p FROM b GROUP BY ALL),
+w AS (SELECT *, sum(p) OVER (PARTITION BY ping, r_bin) / sum(n) OVER (PARTITION BY ping, r_bin) AS share FROM g)
+SELECT ping, r_bin, a_bin, round(CASE WHEN share >= 0.08 THEN 1 - (1 - mean) * (1 - mean) ELSE mean END, 6) AS mean, n, round(share, 6) AS row_share FROM w""")
+def sonar_image_histogram(spark, sf):
+    """AGG-10, AGG-11, FN-19: range-azimuth image with streaks brightened."""
+    b = table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("ping"), F.floor(F.col("l_quantity") / 2).cast("int").alias("r_bin"), F.floor(F.col("l_extendedprice") / 5000).cast("int").alias("a_bin"), (F.col("l_tax") * 10).alias("v"), (F.col("l_discount") >= 0.095).alias("perfect"))
+    got = sonar.image(b, ["ping"], "v", "perfect", streaks=1)
+    return got.select("ping", "r_bin", "a_bin", r6(F.col("mean"), "mean"), "n", r6(F.col("row_share"), "row_share"))
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, l_quantity, CASE WHEN l_quantity - lag(l_quantity) OVER w > 6 THEN 1 ELSE 0 END AS far FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber)),
+b AS (SELECT *, sum(far) OVER (PARTITION BY l_orderkey ORDER BY l_quantity, l_linenumber) AS cut FROM a) SELECT l_orderkey, l_linenumber, l_quantity FROM b WHERE cut = 0""")
+def sonar_occlusion_prefix(spark, sf):
+    """WIN-6, SRT-1: what lies before the first gap in range."""
+    return sonar.unoccluded(table(spark, sf, "lineitem").select(*KEY, "l_quantity"), ["l_orderkey"], "l_quantity", "l_linenumber", 6.0)
+
+
+@query("""WITH a AS (SELECT l_orderkey, l_linenumber, CAST(floor(l_quantity / 10) AS INTEGER) AS idx FROM lineitem), b AS (SELECT *, lag(idx) OVER (PARTITION BY l_orderkey ORDER BY idx, l_linenumber) AS before FROM a)
+SELECT l_orderkey, l_linenumber, idx FROM b WHERE before IS NULL OR before <> idx""")
+def sonar_run_starts(spark, sf):
+    """WIN-7: the first row of each run of equal range indices."""
+    rows = table(spark, sf, "lineitem").select(*KEY, F.floor(F.col("l_quantity") / 10).cast("int").alias("idx"))
+    return sonar.run_starts(rows, ["l_orderkey"], ["idx", "l_linenumber"], "idx")
+
+
+@query("""WITH m AS (SELECT p_brand, avg(p_retailprice) * 3 AS density, 1480.0 + avg(p_size) AS speed FROM part WHERE p_brand < 'Brand#4' GROUP BY p_brand), j AS (SELECT p_partkey, p_size, coalesce(density * speed, 1e8) AS z FROM part LEFT JOIN m USING (p_brand))
+SELECT p_partkey, round(z, 3) AS impedance, round(((z - 1.48e6) / (z + 1.48e6)) * ((z - 1.48e6) / (z + 1.48e6)) * cos(p_size / 50.0), 6) AS strength FROM j""")
+def sonar_echo_strength(spark, sf):
+    """FN-11, JN-5, SRC-9, SNK-8: echo by material impedance, with a default for unknown materials."""
+    part = table(spark, sf, "part")
+    m = part.where("p_brand < 'Brand#4'").groupBy(F.col("p_brand").alias("material")).agg((F.avg("p_retailprice") * 3).alias("density"), (1480.0 + F.avg("p_size")).alias("sound_speed"))
+    got = sonar.with_impedance(part, m, "p_brand")
+    return got.select("p_partkey", F.round("impedance", 3).alias("impedance"), r6(geometry.echo_strength(F.col("impedance"), 1.48e6, F.cos(F.col("p_size") / 50.0)), "strength"))
+
+
+@query("SELECT vec_id, label FROM embeddings ORDER BY vec_id DESC LIMIT 100")
+def sonar_waterfall(spark, sf):
+    """WIN-5: the last 100 pings (a top-k)."""
+    return sampling.waterfall(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", 100)
+
+
+SPH = "s AS (SELECT *, sqrt(x*x + y*y + z*z) AS r, degrees(atan2(-y, x)) AS az, degrees(atan2(sqrt(x*x + y*y), z)) AS el FROM c)"
+
+
+@query(f"WITH {CLOUD}, {SPH} SELECT l_orderkey, l_linenumber, round(r, 6) AS r, round(az, 6) AS az, round(el, 6) AS el, round(r * sin(radians(el)) * cos(radians(az)), 6) AS back_x FROM s")
+def geo_spherical(spark, sf):
+    """FN-9, FN-10: spherical coordinates and back."""
+    s = cloud(spark, sf).withColumn("s", geometry.spherical(*xyz()))
+    back = geometry.cartesian(F.col("s.range"), F.col("s.azimuth"), F.col("s.elevation"))
+    return s.select(*KEY, r6(F.col("s.range"), "r"), r6(F.col("s.azimuth"), "az"), r6(F.col("s.elevation"), "el"), r6(back["x"], "back_x"))
+
+
+@query(f"WITH {CLOUD}, a AS (SELECT l_orderkey, l_linenumber, y - 50 AS y, x - 25 AS x, abs(y - 50) + 1e-10 AS h FROM c), b AS (SELECT *, CASE WHEN x < 0 THEN (x + h) / (h - x) ELSE (x - h) / (x + h) END AS q, CASE WHEN x < 0 THEN 3 * pi() / 4 ELSE pi() / 4 END AS o FROM a), d AS (SELECT *, (o + (0.1963::DOUBLE * q * q - 0.9817::DOUBLE) * q) * (180 / pi()) AS g FROM b) SELECT l_orderkey, l_linenumber, round(CASE WHEN y < 0 THEN -g ELSE g END, 6) AS angle FROM d")
+def geo_atan2_approx(spark, sf):
+    """FN-8: the cubic arctangent."""
+    return cloud(spark, sf).select(*KEY, r6(geometry.atan2_approx(F.col("y") - 50, F.col("x") - 25), "angle"))
+
+
+@query(f"WITH {CLOUD}, {SPH} SELECT l_orderkey, l_linenumber, round(r, 6) AS r FROM s WHERE r > 5 AND r < 40 AND az > -60 AND az < -20 AND el > 80 AND el < 120")
+def geo_frustum(spark, sf):
+    """FLT-8, FLT-9, FLT-10, JN-6: a range query over leaves, coarse cells first."""
+    got = sonar.in_frustum(cloud(spark, sf), (5.0, 40.0), (-60.0, -20.0), (80.0, 120.0), 8.0)
+    return got.select(*KEY, r6(F.col("range"), "r"))
+
+
+# --- sampling and alignment -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TICKS} SELECT agent, tick, sensor, value FROM t WHERE tick % 2 = 0")
+def sampling_rate_filter(spark, sf):
+    """FLT-5, STM-1: a 15 Hz sensor on a 30 Hz clock."""
+    return sampling.rate_filter(ticks(spark, sf), 15, 30).select("agent", "tick", "sensor", "value")
+
+
+SENSORS = ["click", "error", "purchase", "signup", "view"]
+
+
+@query("SELECT user_id AS agent, date_trunc('hour', ts)::VARCHAR AS hour, " + ", ".join(f"round(avg(value) FILTER (event_type = '{s}'), 6) AS {s}" for s in SENSORS) + " FROM events GROUP BY 1, 2")
+def align_tick_pivot(spark, sf):
+    """JN-3, FLT-6: one row for each agent and hour, sensors as columns."""
+    e = table(spark, sf, "events").select(F.col("user_id").alias("agent"), F.date_format(F.date_trunc("hour", F.col("ts").cast("timestamp")), "yyyy-MM-dd HH:mm:ss").alias("hour"), F.col("event_type").alias("sensor"), "value")
+    got = sampling.align(e, ["agent", "hour"], "sensor", "value", SENSORS)
+    return got.select("agent", "hour", *(r6(F.col(s), s) for s in SENSORS))
+
+
+@query("WITH p AS (SELECT user_id, ts, max(value) AS v FROM events WHERE event_type = 'purchase' GROUP BY 1, 2) SELECT c.event_id, c.user_id AS agent, p.v AS last_value FROM (SELECT * FROM events WHERE event_type = 'click') c ASOF LEFT JOIN p ON c.user_id = p.user_id AND c.ts >= p.ts")
+def align_asof_last(spark, sf):
+    """JN-4, STM-24: clicks with the last purchase value at or before them."""
+    e = table(spark, sf, "events").select("event_id", F.col("user_id").alias("agent"), "ts", "value", "event_type")
+    got = sampling.last_known(e.where("event_type = 'click'").select("event_id", "agent", "ts"), e.where("event_type = 'purchase'").select("agent", "ts", "value"), "agent", "ts", "value")
+    return got.select("event_id", "agent", "last_value")
+
+
+@query(f"WITH {TICKS}, b AS (SELECT *, lag(sensor) OVER (PARTITION BY agent ORDER BY tick) AS before FROM t) SELECT agent, tick, sensor FROM b WHERE before IS NULL OR before <> sensor")
+def suppress_repeats(spark, sf):
+    """STM-25: rows at which the sensor changes."""
+    return sampling.changes(ticks(spark, sf), "agent", ["tick"], "sensor").select("agent", "tick", "sensor")
+
+
+@query("SELECT event_id, value FROM events WHERE event_type = 'click' UNION ALL SELECT event_id, value FROM events WHERE value > 50")
+def union_all(spark, sf):
+    """SET-1, SET-3: two surveys one after the other."""
+    e = table(spark, sf, "events")
+    return e.where("event_type = 'click'").select("event_id", "value").unionByName(e.where("value > 50").select("event_id", "value"))
+
+
+@query("SELECT min(i) AS next_id FROM range(1, 100001) r(i) WHERE i NOT IN (SELECT s_suppkey FROM supplier)")
+def next_free_id(spark, sf):
+    """SET-2: the least id that no beacon uses."""
+    used = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
+    return spark.range(1, 100001).join(used, "id", "left_anti").agg(F.min("id").alias("next_id"))
+
+
+@query("SELECT c_custkey, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS start_order, first(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS end_order, count(*) AS steps FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def path_ends(spark, sf):
+    """SRT-2: first and last step of each run."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    at = F.struct("o_orderdate", "o_orderkey")
+    return o.groupBy("c_custkey").agg(F.min_by("o_orderkey", at).alias("start_order"), F.max_by("o_orderkey", at).alias("end_order"), F.count("*").alias("steps"))
+
+
+# --- survey files and matching --------------------------------------------------------------------------------------
+
+
+@query("SELECT p_partkey, CAST(p_size AS DOUBLE) AS x, p_type AS label FROM part WHERE p_partkey % 7 <> 0 AND p_partkey % 11 <> 0 AND p_partkey % 13 <> 0")
+def clean_map(spark, sf):
+    """PRJ-3, FLT-2, FLT-3, SRC-2: header rows, text in number columns and missing labels go."""
+    p = table(spark, sf, "part")
+    dirty = p.select("p_partkey", F.expr("CASE WHEN p_partkey % 7 = 0 THEN 'n/a' ELSE cast(p_size AS STRING) END").alias("x"), F.expr("CASE WHEN p_partkey % 11 = 0 THEN 'label' WHEN p_partkey % 13 = 0 THEN NULL ELSE p_type END").alias("label"))
+    return matching.cleaned(dirty, ["x"], "label")
+
+
+SIDES = "m AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), d AS (SELECT p.*, q.vec_id AS nid, q.x AS nx, q.y AS ny, q.z AS nz, sqrt((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) + (p.z-q.z)*(p.z-q.z)) AS dist FROM m p LEFT JOIN m q ON p.label = q.label AND q.vec_id % 2 = 1 AND q.label < 8 WHERE p.vec_id % 2 = 0), n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, nid) = 1)"
+
+
+def matched(spark, sf):
+    m = table(spark, sf, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")))
+    return matching.nearest_in_class(m.where("vec_id % 2 = 0"), m.where("vec_id % 2 = 1 AND label < 8"), "label", ["x", "y", "z"], "vec_id", "vec_id")
+
+
+@query(f"WITH {SIDES} SELECT vec_id, label, nid AS nearest_id, round(dist, 6) AS distance FROM n")
+def match_class_nn(spark, sf):
+    """JN-1, AGG-7: the nearest map row of a probe's class; classes that the map lacks give nulls."""
+    return matched(spark, sf).select("vec_id", "label", "nearest_id", r6(F.col("distance"), "distance"))
+
+
+@query(f"WITH {SIDES} SELECT vec_id, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz, round(dist, 6) AS distance FROM n WHERE vec_id = 42")
+def match_single_nn(spark, sf):
+    """JN-2: one probe."""
+    m = table(spark, sf, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")))
+    got = matching.nearest_in_class(m.where("vec_id = 42"), m.where("vec_id % 2 = 1 AND label < 8"), "label", ["x", "y", "z"], "vec_id", "vec_id")
+    return got.select("vec_id", *(r6(F.col(f"nearest_{c}"), f"n{c}") for c in "xyz"), r6(F.col("distance"), "distance"))
+
+
+@query(f"WITH {SIDES}, e AS (SELECT *, 2.0::DOUBLE AS r, vec_id / 500.0::DOUBLE AS th FROM n), g AS (SELECT *, ny - r * sin(th) AS cy, nz + r * cos(th) AS cz FROM e) SELECT vec_id, round(cy, 6) AS calc_y, round(cz, 6) AS calc_z, round(((y + r * sin(th)) - cy) - ((z - r * cos(th)) - cz), 6) AS residual FROM g WHERE dist < 0.1")
+def match_residual(spark, sf):
+    """PRJ-8, PRJ-9, FLT-1: re-projection from the match, residual, and the distance filter."""
+    m = matched(spark, sf).where("distance < 0.1").withColumn("r", F.lit(2.0)).withColumn("th", F.col("vec_id") / 500.0)
+    cy, cz = matching.reprojected(F.col("nearest_y"), F.col("nearest_z"), F.col("r"), F.col("th"))
+    return m.select("vec_id", r6(cy, "calc_y"), r6(cz, "calc_z"), r6(matching.residual(F.col("y"), F.col("z"), F.col("r"), F.col("th"), cy, cz), "residual"))
+
+
+@query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
+def label_counts(spark, sf):
+    """AGG-1, AGG-2: frequency of each class."""
+    return table(spark, sf, "embeddings").groupBy("label").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, event_type, dense_rank() OVER (ORDER BY event_type) - 1 AS code FROM events")
+def label_encode(spark, sf):
+    """ML-1: codes by sorted label."""
+    return learning.encoded_labels(table(spark, sf, "events").select("event_id", "event_type"), "event_type").select("event_id", "event_type", F.col("code").cast("long").alias("code"))
+
+
+@query("SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(vec_id || ':42'), vec_id) <= floor(count(*) OVER (PARTITION BY label) * 0.8::DOUBLE) AS train FROM embeddings")
+def stratified_split(spark, sf):
+    """SRT-6, SRT-4, SRT-5: 80 / 20 by label, in hash order."""
+    return learning.stratified(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id", "label", 0.8)
+
+
+@query("""WITH g AS (SELECT label AS t, CASE WHEN vec_id % 3 = 0 THEN (label + 1) % 10 ELSE label END AS g FROM embeddings), k AS (SELECT DISTINCT t AS label FROM g UNION SELECT g FROM g),
+s AS (SELECT label, (SELECT count(*) FROM g WHERE t = label AND g = label) AS hits, (SELECT count(*) FROM g WHERE t = label) AS support, (SELECT count(*) FROM g WHERE g = label) AS guessed FROM k)
+SELECT label, round(CASE WHEN guessed > 0 THEN hits / guessed ELSE 0 END, 6) AS precision, round(CASE WHEN support > 0 THEN hits / support ELSE 0 END, 6) AS recall, round(2.0 * hits / (support + guessed), 6) AS f1, support FROM s""")
+def confusion_report(spark, sf):
+    """AGG-18: precision, recall, F1 and support of each class."""
+    e = table(spark, sf, "embeddings").select("label", F.expr("CASE WHEN vec_id % 3 = 0 THEN (label + 1) % 10 ELSE label END").alias("guess"))
+    return learning.report(e, "label", "guess").select("label", r6(F.col("precision"), "precision"), r6(F.col("recall"), "recall"), r6(F.col("f1"), "f1"), "support")
+
+
+# --- fields ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber, round(CASE WHEN z > 0 THEN 0.0 ELSE 23.0 + (4.0 - 23.0) / (1 + exp(-(greatest(-z, 0.0) - 100.0) / 20.0)) + {NEAR} END, 6) AS value FROM c")
+def field_temperature(spark, sf):
+    """FN-1, AGG-15, FLT-18, FLT-19: temperature with a thermocline and clusters."""
+    return cloud(spark, sf).select(*KEY, r6(fields.temperature(*xyz(), CLUSTERS), "value"))
+
+
+@query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber, round(CASE WHEN z > 0 THEN 0.0 ELSE 33.0 + (34.5 - 33.0) / (1 + exp(-(greatest(-z, 0.0) - 100.0) / 20.0)) + {NEAR} END, 6) AS value FROM c")
+def field_salinity(spark, sf):
+    """FN-2: salinity with a halocline and clusters."""
+    return cloud(spark, sf).select(*KEY, r6(fields.salinity(*xyz(), CLUSTERS), "value"))
+
+
+BIO = "(0.5 + (1.0 - 0.5) * exp(-(greatest(-z, 1e-3) - 50.0) * (greatest(-z, 1e-3) - 50.0) / (2 * 30.0 * 30.0))) * (1 / (1 + exp((greatest(-z, 1e-3) - 200.0) / 20.0))) + 0.1 * (1 - 1 / (1 + exp((greatest(-z, 1e-3) - 200.0) / 20.0)))"
+
+
+@query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber, round(CASE WHEN z > 0 THEN 0.0 ELSE {BIO} + {NEAR} END, 6) AS value FROM c")
+def field_biomass(spark, sf):
+    """FN-3: biomass with a peak layer and a deep constant."""
+    return cloud(spark, sf).select(*KEY, r6(fields.biomass(*xyz(), CLUSTERS), "value"))
+
+
+@query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber, round(CASE WHEN z > 0 THEN 0.0 ELSE {BIO} END, 6) AS biomass, 35.0::DOUBLE AS salinity, round(CASE WHEN z > 0 THEN 0.0 ELSE 23.0 + (4.0 - 23.0) / (1 + exp(-(greatest(-z, 0.0) - 100.0) / 20.0)) END, 6) AS temperature FROM c")
+def field_bst(spark, sf):
+    """FN-4: the triple, with a fallback for a missing field."""
+    b = cloud(spark, sf).select(*KEY, fields.bst(fields.biomass(*xyz()), F.lit(None).cast("double"), fields.temperature(*xyz())).alias("b"))
+    return b.select(*KEY, r6(F.col("b.biomass"), "biomass"), F.col("b.salinity").alias("salinity"), r6(F.col("b.temperature"), "temperature"))
+
+
+@query(f"WITH {TICKS} SELECT agent, tick, round(2.5 * sin(2 * pi() / 240.0 * tick), 6) AS height FROM t")
+def field_tide(spark, sf):
+    """FN-5: tide height by tick."""
+    return ticks(spark, sf).select("agent", "tick", r6(fields.tide_height(F.col("tick"), 2.5, 240.0), "height"))
+
+
+@query(f"WITH {TICKS} SELECT agent, tick, round((tick % 50) / 50.0::DOUBLE * 24, 6) AS hour FROM t")
+def field_time_of_day(spark, sf):
+    """FN-6: hour of the simulated day."""
+    return ticks(spark, sf).select("agent", "tick", r6(fields.time_of_day(F.col("tick"), 50.0), "hour"))
+
+
+@query("WITH b AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d FROM lineitem) SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(a + i * ((b - a) / 19), 6) AS x, round(c + j * ((d - c) / 19), 6) AS y FROM b, range(20) p(i), range(20) q(j)")
+def grid_mesh(spark, sf):
+    """SRC-12, SRC-14, AGG-3: a grid over the bounds of the points."""
+    lo = table(spark, sf, "lineitem").agg(F.min("l_quantity"), F.max("l_quantity"), F.min("l_extendedprice"), F.max("l_extendedprice")).first()
+    return readers.mesh(spark, (lo[0], lo[1], 20), (lo[2], lo[3], 20)).select("i", "j", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
+
+
+@query("SELECT round(-10 + i * 3.0::DOUBLE, 6) AS x, round(-10 + j * 3.0::DOUBLE, 6) AS y, round(-20 + k * 3.0::DOUBLE, 6) AS z FROM range(7) a(i), range(7) b(j), range(7) c(k)")
+def grid_lattice(spark, sf):
+    """SRC-13: every third cell of a box."""
+    return readers.lattice(spark, [(-10.0, 8.0), (-10.0, 8.0), (-20.0, -2.0)], 1.0, 3).select(*(r6(F.col(c), c) for c in "xyz"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_suppkey % 256 + (l_partkey % 256) * 256 + (l_orderkey % 256) * 65536) / 16777215.0::DOUBLE * 1000, 6) AS depth FROM lineitem")
+def depth_decode(spark, sf):
+    """FN-7: metres from three bytes."""
+    return table(spark, sf, "lineitem").select(*KEY, r6(fields.decoded_depth(F.col("l_suppkey") % 256, F.col("l_partkey") % 256, F.col("l_orderkey") % 256), "depth"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_quantity - (SELECT avg(l_quantity) FROM lineitem)) / (SELECT stddev_pop(l_quantity) FROM lineitem), 6) AS scaled FROM lineitem")
+def feature_scale(spark, sf):
+    """FN-51, AGG-4: z-scores with the population deviation."""
+    return learning.scaled(table(spark, sf, "lineitem").select(*KEY, "l_quantity"), ["l_quantity"]).select(*KEY, r6(F.col("l_quantity_scaled"), "scaled"))
+
+
+CENTRES = [(0.02 * (k % 10) - 0.1, 0.04 * (k // 10) - 0.08) for k in range(50)]
+ALPHA = [((k * 7) % 11 - 5) / 10 for k in range(50)]
+
+
+@query("WITH z(a, b, w) AS (VALUES " + ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE, {w!r}::DOUBLE)" for (a, b), w in zip(CENTRES, ALPHA)) + ") SELECT vec_id, round(sum(w * 1.3 * exp(-0.5 * ((embedding[1]::DOUBLE - a) * (embedding[1]::DOUBLE - a) + (embedding[2]::DOUBLE - b) * (embedding[2]::DOUBLE - b)) / (0.2::DOUBLE * 0.2::DOUBLE))), 6) AS mean FROM embeddings, z GROUP BY vec_id")
+def gp_predict(spark, sf):
+    """FN-50, ML-6, ML-7: the mean of a sparse Gaussian process with given weights."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"))
+    return e.select("vec_id", r6(learning.gp_predict(e, ["a", "b"], CENTRES, ALPHA, 1.3, 0.2), "mean"))
+
+
+# --- kinematics and control -----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TICKS}, d AS (SELECT *, ts / 1e6 - lag(ts / 1e6) OVER w AS dt, value - lag(value) OVER w AS dv FROM t WINDOW w AS (PARTITION BY agent ORDER BY tick)) SELECT agent, tick, round(CASE WHEN dt > 0 THEN dv / dt ELSE 0.0 END, 6) AS acceleration FROM d")
+def nav_acceleration(spark, sf):
+    """WIN-1, WIN-4: first difference over the step in time."""
+    got = navigation.acceleration(ticks(spark, sf).withColumn("s", F.col("ts") / 1e6), "agent", ["tick"], "value", "s")
+    return got.select("agent", "tick", r6(F.col("acceleration"), "acceleration"))
+
+
+@query(f"WITH {TICKS}, v AS (SELECT agent, tick, sum(value * 0.1::DOUBLE) OVER (PARTITION BY agent ORDER BY tick) AS velocity FROM t) SELECT agent, tick, round(velocity, 4) AS velocity, round(sum(velocity * 0.1::DOUBLE) OVER (PARTITION BY agent ORDER BY tick), 4) AS position FROM v")
+def nav_dead_reckoning(spark, sf):
+    """WIN-2: velocity and position by two running sums."""
+    got = navigation.dead_reckoning(ticks(spark, sf), "agent", ["tick"], "value", 0.1)
+    return got.select("agent", "tick", F.round("velocity", 4).alias("velocity"), F.round("position", 4).alias("position"))
+
+
+@query(f"WITH {TICKS}, a AS (SELECT agent, tick, value AS x, value * 2 AS y FROM t), b AS (SELECT agent, tick + 1 AS tick, value AS x, value * 3 AS y FROM t) SELECT agent, tick, round(sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), 6) AS error FROM a JOIN b USING (agent, tick)")
+def nav_path_error(spark, sf):
+    """JN-14, PRJ-7: distance of two paths at equal steps."""
+    t = ticks(spark, sf)
+    a = t.select("agent", "tick", F.col("value").alias("x"), (F.col("value") * 2).alias("y"))
+    b = t.select("agent", (F.col("tick") + 1).cast("int").alias("tick"), F.col("value").alias("x"), (F.col("value") * 3).alias("y"))
+    return navigation.path_error(a, b, ["agent", "tick"], ["x", "y"]).select("agent", "tick", r6(F.col("error"), "error"))
+
+
+@query(f"""WITH RECURSIVE {TICKS}, u AS (SELECT agent, tick, value / 100 AS a, value AS z FROM t),
+k AS (SELECT agent, 0::BIGINT AS tick, 0.0::DOUBLE AS x, 0.0::DOUBLE AS v, 1.0::DOUBLE AS p, 0.0::DOUBLE AS c, 1.0::DOUBLE AS q FROM (SELECT DISTINCT agent FROM u)
+UNION ALL SELECT agent, tick, x1 + g * (z - x1), v1 + h * (z - x1), (1 - g) * p1, (1 - g) * c1, q1 - h * c1 FROM (SELECT *, p1 / (p1 + 5.0) AS g, c1 / (p1 + 5.0) AS h FROM
+(SELECT k.agent, u.tick, u.z, k.x + k.v * 0.5 + 0.5 * u.a * 0.25 AS x1, k.v + u.a * 0.5 AS v1, p + 2 * 0.5 * c + 0.25 * q + 0.25 * 0.0625 / 4 AS p1, c + 0.5 * q + 0.25 * 0.125 / 2 AS c1, q + 0.25 * 0.25 AS q1 FROM k JOIN u ON u.agent = k.agent AND u.tick = k.tick + 1)))
+SELECT agent, tick, round(x, 6) AS x, round(v, 6) AS v FROM k WHERE tick > 0""")
+def nav_ekf(spark, sf):
+    """STM-2: a Kalman filter over each run."""
+    t = ticks(spark, sf).select("agent", F.col("tick").cast("long").alias("tick"), (F.col("value") / 100).alias("a"), F.col("value").alias("z"))
+    return navigation.kalman(t, "agent", ["tick"], "a", "z", 0.5).select("agent", "tick", r6(F.col("x"), "x"), r6(F.col("v"), "v"))
+
+
+@query(f"""WITH RECURSIVE {TICKS}, k AS (SELECT agent, 0::BIGINT AS tick, 0.0::DOUBLE AS i, 0.0::DOUBLE AS d, 0.0::DOUBLE AS e, 0.0::DOUBLE AS s, 0.0::DOUBLE AS o FROM (SELECT DISTINCT agent FROM t)
+UNION ALL SELECT agent, tick, i1, d1, e1, s1, 2.0 * e1 + 0.1 * i1 - 0.5 * d1 FROM (SELECT k.agent, t.tick, k.i + 0.1 / 2 * ((50 - t.value) + k.e) AS i1, (2 * 0.05 - 0.1) / (2 * 0.05 + 0.1) * k.d + 2 / (2 * 0.05 + 0.1) * (t.value - k.s) AS d1, 50 - t.value AS e1, t.value AS s1 FROM k JOIN t ON t.agent = k.agent AND t.tick = k.tick + 1))
+SELECT agent, tick, round(o, 6) AS command FROM k WHERE tick > 0""")
+def control_pid(spark, sf):
+    """STM-7, WIN-9: a PID controller over each run."""
+    t = ticks(spark, sf).withColumn("tick", F.col("tick").cast("long"))
+    got = control.scanned(t, "agent", ["tick"], ["value"], lambda: control.Pid(2.0, 0.1, 0.5, 0.05), lambda s, v: (s.step(50.0, v, 0.1),), "command double", ["command"])
+    return got.select("agent", "tick", r6(F.col("command"), "command"))
+
+
+@query(f"""WITH RECURSIVE {TICKS}, k AS (SELECT agent, 0::BIGINT AS tick, 0.0::DOUBLE AS u FROM (SELECT DISTINCT agent FROM t) UNION ALL SELECT k.agent, t.tick, greatest(-40.0, least(40.0, k.u + 0.1::DOUBLE * (t.value - k.u) / 0.37::DOUBLE)) FROM k JOIN t ON t.agent = k.agent AND t.tick = k.tick + 1)
+SELECT agent, tick, round(u, 6) AS actual FROM k WHERE tick > 0""")
+def control_actuator_lag(spark, sf):
+    """STM-11: a first-order actuator with saturation."""
+    t = ticks(spark, sf).withColumn("tick", F.col("tick").cast("long"))
+    got = control.scanned(t, "agent", ["tick"], ["value"], lambda: control.Actuator(0.37, 40.0), lambda s, v: (s.step(v, 0.1),), "actual double", ["actual"])
+    return got.select("agent", "tick", r6(F.col("actual"), "actual"))
+
+
+@query(f"WITH {CLOUD}, e AS (SELECT l_orderkey, l_linenumber, x - 25 AS a, y - 50 AS b, z + 5 AS d FROM c) SELECT l_orderkey, l_linenumber, round(greatest(-20, least(20, d)), 6) AS up, round(greatest(-20, least(20, a + b)), 6) AS t5, round(greatest(-20, least(20, a - b)), 6) AS t6, round(greatest(-20, least(20, b)), 6) AS t7, round(greatest(-20, least(20, -b)), 6) AS t8 FROM e")
+def control_thrusters(spark, sf):
+    """FN-36, FN-41: thruster commands from a position error, clipped."""
+    x, y, z = xyz()
+    t = control.thrusters(x - 25, y - 50, z + 5)
+    return cloud(spark, sf).select(*KEY, r6(t[0], "up"), *(r6(t[k], f"t{k + 1}") for k in range(4, 8)))
+
+
+@query(f"WITH {CLOUD}, w AS (SELECT l_orderkey, l_linenumber, (x - 25 + pi()) AS a FROM c) SELECT l_orderkey, l_linenumber, round(a - floor(a / (2 * pi())) * (2 * pi()) - pi(), 6) AS angle FROM w")
+def angle_wrap(spark, sf):
+    """FN-35: angles in [-pi, pi)."""
+    return cloud(spark, sf).select(*KEY, r6(geometry.wrapped(F.col("x") - 25), "angle"))
+
+
+@query(f"WITH {CLOUD}, q AS (SELECT l_orderkey, l_linenumber, x/50 AS a, y/100 AS b, z/10 AS d, sqrt(x*x/2500 + y*y/10000 + z*z/100) AS w FROM c), h AS (SELECT *, CASE WHEN w * 0.1 < 1e-8 THEN 1.0 ELSE cos(w * 0.1 / 2) END AS qw, CASE WHEN w * 0.1 < 1e-8 THEN 0.0 ELSE sin(w * 0.1 / 2) / w END AS f FROM q) SELECT l_orderkey, l_linenumber, round(0.5 * qw - 0.5 * a * f - 0.5 * b * f - 0.5 * d * f, 6) AS w, round(0.5 * a * f + 0.5 * qw + 0.5 * d * f - 0.5 * b * f, 6) AS x FROM h")
+def quat_ops(spark, sf):
+    """FN-30, FN-31: a turn from angular rates, multiplied on."""
+    x, y, z = xyz()
+    dq = geometry.quaternion_of_rate(x / 50, y / 100, z / 10, 0.1)
+    got = geometry.quaternion_product([F.lit(0.5)] * 4, dq)
+    return cloud(spark, sf).select(*KEY, r6(got[0], "w"), r6(got[1], "x"))
+
+
+@query("WITH d(x, y) AS (VALUES " + ", ".join(f"({x}::DOUBLE, {y}::DOUBLE)" for x, y in zip(control.DRAG_X, control.DRAG_Y)) + "), s AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x2, lead(y) OVER (ORDER BY x) AS y2 FROM d) SELECT l_orderkey, l_linenumber, round(CASE WHEN v <= 0.0109 THEN 1.9661 WHEN v > 4.0031 THEN 0.5593 ELSE (SELECT min(y + (v - x) * ((y2 - y) / (x2 - x))) FROM s WHERE v > x AND v <= x2) END, 6) AS drag FROM (SELECT l_orderkey, l_linenumber, l_quantity / 12 AS v FROM lineitem)")
+def drag_interp(spark, sf):
+    """JN-13, AGG-21: piecewise-linear drag, held at the ends."""
+    return cloud(spark, sf).select(*KEY, r6(control.interpolated(F.col("x") / 12, control.DRAG_X, control.DRAG_Y), "drag"))
+
+
+# --- links ----------------------------------------------------------------------------------------------------------
+
+
+@query(f"WITH {TICKS} SELECT event_id, agent, tick + CAST(round(abs(value) * 10 * 30 / 1500.0) AS BIGINT) AS arrival FROM t")
+def comms_delay(spark, sf):
+    """FN-27, STM-13, JN-9: the tick at which a message arrives."""
+    t = ticks(spark, sf)
+    return t.select("event_id", "agent", (F.col("tick") + comms.delay_ticks(F.abs("value") * 10, 30)).alias("arrival"))
+
+
+@query("WITH m AS (SELECT event_id, user_id AS agent, epoch_us(ts) // 60000000 AS tick FROM events) SELECT event_id, agent, tick FROM m QUALIFY count(*) OVER (PARTITION BY tick) = 1")
+def comms_collision(spark, sf):
+    """FLT-21, JN-10: messages on ticks with one sender."""
+    m = table(spark, sf, "events").select("event_id", F.col("user_id").alias("agent"), F.expr("unix_micros(cast(ts AS timestamp)) div 60000000").alias("tick"))
+    return comms.heard(m, "tick")
+
+
+KINDS = {"click": "OWAY", "view": "OWAYU", "purchase": "MSG_RESPX", "signup": "MSG_RESPU", "error": "MSG_REQX"}
+KIND_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in KINDS.items()) + " END"
+
+
+@query(f"WITH m AS (SELECT event_id, {KIND_SQL} AS kind, value FROM events) SELECT event_id, kind, CASE WHEN kind IN ('OWAYU', 'MSG_RESPU', 'MSG_REQX', 'MSG_RESPX') THEN round(value / 100, 6) END AS azimuth, CASE WHEN kind IN ('MSG_RESPU', 'MSG_RESPX') THEN value END AS range, CASE WHEN kind IN ('MSG_REQX', 'MSG_RESPX') THEN -value END AS depth FROM m")
+def comms_fields(spark, sf):
+    """PRJ-17, STM-14: which fields a message type carries."""
+    kind = F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[F.col("event_type")]
+    m = table(spark, sf, "events").select("event_id", kind.alias("kind"), "value")
+    az, _, rng, dep = comms.exposed(F.col("kind"), F.round(F.col("value") / 100, 6), F.lit(0.0), F.col("value"), -F.col("value"))
+    return m.select("event_id", "kind", az, rng, dep)
+
+
+@query("WITH s AS (SELECT s_suppkey AS id, s_nationkey AS n, s_acctbal / 100 AS x, CAST(s_suppkey % 97 AS DOUBLE) AS y FROM supplier), p AS (SELECT a.id, b.id AS other, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM s a JOIN s b ON a.n = b.n AND a.id <> b.id) SELECT id, other, round(sqrt(dx*dx + dy*dy), 6) AS distance FROM p WHERE sqrt(dx*dx + dy*dy) <= 60 AND CASE WHEN sqrt(ax*ax + ay*ay) * sqrt(dx*dx + dy*dy) > 0 THEN (ax*dx + ay*dy) / (sqrt(ax*ax + ay*ay) * sqrt(dx*dx + dy*dy)) >= cos(radians(60.0)) ELSE false END")
+def comms_optical(spark, sf):
+    """FLT-14, FLT-13, FLT-15: pairs of modems of one region within range and within the beam."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("n"), (F.col("s_acctbal") / 100).alias("x"), (F.col("s_suppkey") % 97).cast("double").alias("y"))
+    b = s.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("x").alias("bx"), F.col("y").alias("by"))
+    p = s.join(b, (F.col("n") == F.col("m")) & (F.col("id") != F.col("other"))).withColumn("dx", F.col("bx") - F.col("x")).withColumn("dy", F.col("by") - F.col("y")).withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
+    seen = comms.within_cone(F.col("x"), F.col("y"), F.col("dx"), F.col("dy"), 60.0)
+    return p.where((F.col("d") <= 60) & seen).select("id", "other", r6(F.col("d"), "distance"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) > 50 THEN 'high' ELSE 'low' END AS band FROM events")
+def commands_json(spark, sf):
+    """FN-47, FN-48, SRC-7: settings out of JSON, written and read again."""
+    e = table(spark, sf, "events").select("event_id", F.from_json("props", "k int").alias("p"))
+    again = e.select("event_id", F.from_json(F.to_json("p"), "k int")["k"].alias("k"))
+    return again.select("event_id", "k", F.when(F.col("k") > 50, "high").otherwise("low").alias("band"))
+
+
+# --- rewards --------------------------------------------------------------------------------------------------------
+
+
+@query("SELECT event_id, CASE WHEN abs(value - 50) < 10 THEN 1 ELSE 0 END AS reward, abs(value - 50) < 10 AS terminal FROM events")
+def reward_location(spark, sf):
+    """STM-16: reward within a distance of the goal."""
+    reward, done = rewards.location(F.abs(F.col("value") - 50), 10.0)
+    return table(spark, sf, "events").select("event_id", reward.alias("reward"), done.alias("terminal"))
+
+
+@query("SELECT event_id, round(CASE WHEN event_type <> 'error' AND abs(value) < 80 THEN 100.0 * (80.0 - abs(value)) / 80.0 ELSE 0.0 END, 6) AS reward FROM events")
+def reward_follow(spark, sf):
+    """STM-17, FLT-15: a ramp that grows as the distance shrinks."""
+    return table(spark, sf, "events").select("event_id", r6(rewards.follow(F.abs("value"), 80.0, 100.0, F.col("event_type") != "error"), "reward"))
+
+
+@query("SELECT event_id, round(CASE WHEN abs(value) < 80 THEN 100.0 * abs(value) / 80.0 ELSE 100.0 END, 6) AS reward FROM events")
+def reward_avoid(spark, sf):
+    """STM-17: a ramp that falls as the distance shrinks."""
+    return table(spark, sf, "events").select("event_id", r6(rewards.avoid(F.abs("value"), 80.0, 100.0), "reward"))
+
+
+@query(f"""WITH RECURSIVE {TICKS}, k AS (SELECT agent, 0::BIGINT AS tick, 100.0::DOUBLE AS goal, 0 AS reward, false AS terminal FROM (SELECT DISTINCT agent FROM t)
+UNION ALL SELECT k.agent, t.tick, CASE WHEN t.value < k.goal THEN t.value - 5 ELSE k.goal END, CASE WHEN t.value < k.goal THEN 1 ELSE 0 END, t.value < 10 FROM k JOIN t ON t.agent = k.agent AND t.tick = k.tick + 1)
+SELECT agent, tick, reward, terminal FROM k WHERE tick > 0""")
+def reward_distance(spark, sf):
+    """STM-15: a threshold that moves on each time it is beaten."""
+    t = ticks(spark, sf).withColumn("tick", F.col("tick").cast("long"))
+    return control.scanned(t, "agent", ["tick"], ["value"], lambda: control.DistanceReward(10.0, 5.0, 100.0), lambda s, v: s.step(v), "reward int, terminal boolean", ["reward", "terminal"])
+
+
+@query(f"WITH {TICKS} SELECT agent, tick, round(value - coalesce(lag(value) OVER (PARTITION BY agent ORDER BY tick), value), 6) AS reward FROM t")
+def reward_cleanup(spark, sf):
+    """WIN-8: the change since the tick before."""
+    w = sampling.Window.partitionBy("agent").orderBy("tick")
+    return ticks(spark, sf).select("agent", "tick", r6(F.col("value") - F.coalesce(F.lag("value").over(w), F.col("value")), "reward"))
+
+
+@query(f"WITH {TICKS}, d AS (SELECT *, (value - lag(value) OVER (PARTITION BY agent ORDER BY tick)) / 0.5 AS a FROM t) SELECT agent, tick, CAST(sensor = 'error' OR abs(coalesce(a, 0)) > 60 AS INTEGER) AS abused FROM d")
+def reward_shock(spark, sf):
+    """STM-21, STM-20: accelerations over a limit."""
+    w = sampling.Window.partitionBy("agent").orderBy("tick")
+    t = ticks(spark, sf).withColumn("a", F.coalesce((F.col("value") - F.lag("value").over(w)) / 0.5, F.lit(0.0)))
+    return t.select("agent", "tick", rewards.shock(F.col("a"), 60.0, F.col("sensor") == "error").alias("abused"))
+
+
+@query(f"WITH {TICKS}, d AS (SELECT agent, min(tick) FILTER (value > 90) AS tick FROM t GROUP BY agent) SELECT agent, tick FROM d WHERE tick IS NOT NULL")
+def reward_once(spark, sf):
+    """STM-18: the tick of a one-time reward."""
+    return ticks(spark, sf).where("value > 90").groupBy("agent").agg(F.min("tick").alias("tick"))
+
+
+@query("SELECT user_id AS agent, bool_or(event_type = 'error') AS hit, max_by(value, (ts, event_id)) AS last_value FROM events GROUP BY 1")
+def event_latch(spark, sf):
+    """STM-19, STM-20: whether anything happened, and the last reading."""
+    e = table(spark, sf, "events")
+    return e.groupBy(F.col("user_id").alias("agent")).agg(F.bool_or(F.col("event_type") == "error").alias("hit"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
+
+
+# --- lidar and noise ------------------------------------------------------------------------------------------------
+
+KEYED = "l_orderkey || '-' || l_linenumber"
+
+
+def u_sql(key: str, seed: int) -> str:
+    return f"(('0x' || substr(md5({key} || ':{seed}'), 1, 8))::BIGINT / 4294967296.0)"
+
+
+@query(f"WITH {CLOUD}, i AS (SELECT *, exp(-0.02 * sqrt(x*x + y*y + z*z)) AS level FROM c) SELECT l_orderkey, l_linenumber, round(level, 6) AS intensity FROM i WHERE {u_sql(KEYED, 1)} >= 0.2 AND (level > 0.6 OR {u_sql(KEYED, 2)} < (1 - 0.3) / 0.6 * level + 0.3)")
+def lidar_dropoff(spark, sf):
+    """FLT-11, FLT-12, FN-12: returns that survive both drop-offs, with draws from the key."""
+    x, y, z = xyz()
+    key = F.concat_ws("-", *KEY)
+    c = cloud(spark, sf).withColumn("level", lidar.intensity(F.sqrt(x * x + y * y + z * z), 0.02))
+    return c.where(lidar.kept(F.col("level"), noise.uniform(key, 1), noise.uniform(key, 2), 0.2, 0.6, 0.3)).select(*KEY, r6(F.col("level"), "intensity"))
+
+
+@query("SELECT l_linenumber AS ring, count(*) AS n, count(DISTINCT l_returnflag) AS tags FROM lineitem GROUP BY 1")
+def lidar_counts(spark, sf):
+    """AGG-13, AGG-22: points and tags of each ring."""
+    return table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("ring")).agg(F.count("*").alias("n"), F.countDistinct("l_returnflag").alias("tags"))
+
+
+@query("SELECT CAST(i AS INTEGER) AS channel, round(10.0 - i * (40.0::DOUBLE / 31), 6) AS elevation, round((350.0::DOUBLE + i * 2.5::DOUBLE) % 120.0::DOUBLE - 60.0, 6) AS azimuth FROM range(32) r(i)")
+def lidar_geometry(spark, sf):
+    """FN-13, FN-14: laser fan and sweep."""
+    fan = spark.range(1).select(F.posexplode(lidar.elevation_fan(10.0, -30.0, 32)).alias("channel", "e"))
+    return fan.select("channel", r6(F.col("e"), "elevation"), r6(lidar.sweep_angle(F.lit(350.0), F.col("channel"), 2.5, 120.0), "azimuth"))
+
+
+@query("SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+def label_lookup(spark, sf):
+    """JN-12, JN-11: names by id through small tables."""
+    n, r = table(spark, sf, "nation"), table(spark, sf, "region")
+    s = table(spark, sf, "supplier").join(n, F.col("s_nationkey") == F.col("n_nationkey"), "left").join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    return s.select("s_suppkey", "n_name", "r_name")
+
+
+@query(f"WITH n AS (SELECT l_returnflag, sqrt(-2 * ln(1 - {u_sql(KEYED, 5)})) * cos(2 * pi() * {u_sql(KEYED, 6)}) AS g, -2.0 * ln(1 - {u_sql(KEYED, 9)}) AS e FROM lineitem) SELECT l_returnflag, round(avg(g), 6) AS mean, round(stddev_pop(g), 6) AS std, round(avg(e), 6) AS waiting FROM n GROUP BY 1")
+def noise_moments(spark, sf):
+    """FN-20, FN-22, WIN-3: moments of keyed normal and exponential noise."""
+    key = F.concat_ws("-", *KEY)
+    n = table(spark, sf, "lineitem").select("l_returnflag", noise.normal(key, 5).alias("g"), noise.exponential(key, 9, 2.0).alias("e"))
+    return n.groupBy("l_returnflag").agg(r6(F.avg("g"), "mean"), r6(F.stddev_pop("g"), "std"), r6(F.avg("e"), "waiting"))
+
+
+@query("SELECT l_orderkey, round(avg(CASE WHEN l_discount * -100 < -3 THEN 1.0 ELSE 0.0 END), 6) AS share FROM lineitem GROUP BY 1")
+def submerged_fraction(spark, sf):
+    """AGG-12: share of points under the surface."""
+    return cloud(spark, sf).groupBy("l_orderkey").agg(r6(F.avg(F.when(F.col("z") < -3, 1.0).otherwise(0.0)), "share"))
+
+
+@query("SELECT l_returnflag AS tag, round(sum((l_tax - l_discount) * (l_tax - l_discount)) / count(*), 6) AS mse, bool_and(abs(l_tax - l_discount) <= 1e-4 + 0.01 * abs(l_discount)) AS equal FROM lineitem GROUP BY 1")
+def image_error(spark, sf):
+    """AGG-20, FN-52: mean square error and approximate equality."""
+    d = F.col("l_tax") - F.col("l_discount")
+    return table(spark, sf, "lineitem").groupBy(F.col("l_returnflag").alias("tag")).agg(r6(F.sum(d * d) / F.count("*"), "mse"), F.bool_and(F.abs(d) <= 1e-4 + 0.01 * F.abs("l_discount")).alias("equal"))
+
+
+@query("WITH w AS (SELECT l_returnflag, l_tax + 0.01 AS w, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem) SELECT l_returnflag, round(sum(w * x * x) / (sum(w) + 1e-6), 4) AS xx, round(sum(w * x * y) / (sum(w) + 1e-6), 4) AS xy, round(sum(w * y * y) / (sum(w) + 1e-6), 4) AS yy FROM w GROUP BY 1")
+def outer_products(spark, sf):
+    """AGG-16, AGG-17, ML-8: weighted second moments with normalised weights."""
+    w = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_tax") + 0.01).alias("w"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
+    m = lambda a, b, n: F.round(F.sum(F.col("w") * F.col(a) * F.col(b)) / (F.sum("w") + 1e-6), 4).alias(n)
+    return w.groupBy("l_returnflag").agg(m("x", "x", "xx"), m("x", "y", "xy"), m("y", "y", "yy"))
+
+
+# --- models (no SQL twin; tested against plain Python) ----------------------------------------------------------------
+
+
+@query()
+def ml_classify(spark, sf):
+    """ML-2, ML-3: a class and its probability for each profile, learned from the training part of each label."""
+    e = table(spark, sf, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(64)))
+    split = learning.stratified(e, "vec_id", "label", 0.8)
+    model = learning.classifier(split.where("train"), [f"f{k}" for k in range(64)], "label")
+    return model.transform(split).select("vec_id", "label", "train", F.col("predicted_label").cast("int").alias("guess"))
+
+
+@query()
+def gp_sparse_fit(spark, sf):
+    """ML-4, ML-5, ML-6: a sparse Gaussian process fitted to depths, and its mean at each point."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"), F.col("embedding")[2].cast("double").alias("y"))
+    centres, weights = learning.gp_fit(e, ["a", "b"], "y", "vec_id", inducing=50, length=0.2)
+    return e.select("vec_id", r6(learning.gp_predict(e, ["a", "b"], centres.tolist(), weights.tolist(), 1.0, 0.2), "mean"))
+
+
+@query()
+def attitude_fusion(spark, sf):
+    """STM-4, STM-5, ML-8: the up vector of each agent from rates and accelerations."""
+    t = ticks(spark, sf).select("agent", "tick", *((F.sin(F.col("value") * k) / 10).alias(f"g{k}") for k in (1, 2, 3)), (F.cos("value") / 10).alias("a1"), F.lit(0.1).alias("a2"), F.lit(9.8).alias("a3"))
+    return attitude.fused(t, "agent", "tick", ["g1", "g2", "g3"], ["a1", "a2", "a3"], 0.1)
+
+
+@query()
+def nav_strapdown(spark, sf):
+    """STM-3: dead reckoning with rotation."""
+    t = ticks(spark, sf).select("agent", "tick", *((F.sin(F.col("value") * k) / 10).alias(f"g{k}") for k in (1, 2, 3)), (F.cos("value") / 10).alias("a1"), F.lit(0.1).alias("a2"), F.lit(9.8).alias("a3"))
+    return attitude.strapdown(t, "agent", "tick", ["g1", "g2", "g3"], ["a1", "a2", "a3"], 0.1)
+
+
