@@ -34,7 +34,7 @@ def salinity(x, y, z, clusters=(), surface=33.0, deep=34.5, halocline=100.0, thi
     return _layered(x, y, z, surface, deep, halocline, thickness, clusters)
 
 
-def biomass(x, y, z, clusters=(), surface=0.5, most=1.0, peak=50.0, width=30.0, floor=0.1, photic=200.0, sharpness=20.0) -> Column:
+def biomass(x, y, z, clusters=(), surface=1.2, most=1.0, peak=50.0, width=25.0, floor=0.1, photic=200.0, sharpness=20.0) -> Column:
     """A Gaussian layer at `peak`, handed over to a deep constant by a sigmoid at `photic`."""
     depth = F.greatest(-z, F.lit(1e-3))
     layer = surface + (most - surface) * F.exp(-(depth - peak) * (depth - peak) / (2 * width * width))

@@ -323,7 +323,7 @@ def field_salinity(spark, sf):
     return cloud(spark, sf).select(*KEY, r6(fields.salinity(*xyz(), CLUSTERS), "value"))
 
 
-BIO = "(0.5 + (1.0 - 0.5) * exp(-(greatest(-z, 1e-3) - 50.0) * (greatest(-z, 1e-3) - 50.0) / (2 * 30.0 * 30.0))) * (1 / (1 + exp((greatest(-z, 1e-3) - 200.0) / 20.0))) + 0.1 * (1 - 1 / (1 + exp((greatest(-z, 1e-3) - 200.0) / 20.0)))"
+BIO = "(1.2 + (1.0 - 1.2) * exp(-(greatest(-z, 1e-3) - 50.0) * (greatest(-z, 1e-3) - 50.0) / (2 * 25.0 * 25.0))) * (1 / (1 + exp((greatest(-z, 1e-3) - 200.0) / 20.0))) + 0.1 * (1 - 1 / (1 + exp((greatest(-z, 1e-3) - 200.0) / 20.0)))"
 
 
 @query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber, round(CASE WHEN z > 0 THEN 0.0 ELSE {BIO} + {NEAR} END, 6) AS value FROM c")
@@ -390,7 +390,7 @@ def gp_predict(spark, sf):
 # --- kinematics and control -----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {TICKS}, d AS (SELECT *, ts / 1e6 - lag(ts / 1e6) OVER w AS dt, value - lag(value) OVER w AS dv FROM t WINDOW w AS (PARTITION BY agent ORDER BY tick)) SELECT agent, tick, round(CASE WHEN dt > 0 THEN dv / dt ELSE 0.0 END, 6) AS acceleration FROM d")
+@query(f"WITH {TICKS}, d AS (SELECT *, ts / 1e6 - lag(ts / 1e6) OVER w AS dt, value - lag(value) OVER w AS dv FROM t WINDOW w AS (PARTITION BY agent ORDER BY tick)) SELECT agent, tick, round(CASE WHEN dt > 0 THEN dv / dt ELSE 0.0 END, 6) + 0.0 AS acceleration FROM d")
 def nav_acceleration(spark, sf):
     """WIN-1, WIN-4: first difference over the step in time."""
     got = navigation.acceleration(ticks(spark, sf).withColumn("s", F.col("ts") / 1e6), "agent", ["tick"], "value", "s")
