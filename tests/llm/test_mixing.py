@@ -43,10 +43,10 @@ def test_equals_dense_descent(tables):
     n, p = np.array([r.tokens for r in rows], float), np.array([r.p for r in rows])
     full = n @ p
     want = full[0] / 0.5 * np.array([0.5, 0.1, 0.4])
-    loss = lambda r: (((r * n) @ p - want) ** 2).sum() / n.sum() ** 2
+    loss = lambda r: (((r * n) @ p - want) ** 2 / full).sum() / n.sum()
     r = np.ones(len(n))
     for _ in range(20000):
-        r = np.clip(r - 0.5 * p @ ((r * n) @ p - want) / n.sum(), 0, 1.5)
+        r = np.clip(r - 0.2 * p @ (((r * n) @ p - want) / full), 0, 1.5)
     assert loss(np.array([x.rate for x in rows])) <= loss(r) + 1e-4
 
 

@@ -2,7 +2,8 @@
 
 A naive Bayes classifier over hashed words and word shapes, fitted on labelled rows, gives every document soft memberships
 in the domains.  Projected gradient descent then finds document rates within bounds for which the expected tokens of
-each domain match the targets: minimise the squared gaps of sum(rate * tokens * membership) to the targets.  A document's
+each domain match the targets: minimise the squared gaps of sum(rate * tokens * membership) to the targets, each over its
+domain's supply (in that measure a step of 1 is never too long, and nearly exact where memberships are clear).  A document's
 rate follows from its own row and the few gaps of every step, so a step is one small aggregate and no state moves.
 """
 
@@ -18,7 +19,7 @@ from .common import settle
 
 # Slots of the hashed features; the bound on labelled rows; a text counts like WORDS words at most.
 SLOTS, TRAIN_ROWS, WORDS, SMOOTH = 8192, 16_000, 60, 0.5
-STEPS, CLOSE = 60, 1e-5
+STEPS, CLOSE = 40, 1e-5
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyzäöüßéèêçáíóúñà", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÁÍÓÚÑÀ"
 
 
@@ -97,7 +98,7 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], reference
         start = F.greatest(F.least(F.lit(1.0), F.lit(float(high))), F.lit(float(low)))
         if not gaps:
             return start
-        # one projected step for each gap vector; scaled by tokens, a step of 1 is never too long
+        # one projected step for each gap vector
         def step(r: Column, g: Column) -> Column:
             for k in range(len(domains)):
                 r = r - F.get("p", F.lit(k)) * F.get(g, F.lit(k))
@@ -108,8 +109,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], reference
     gaps: list[list[float]] = []
     while total and len(gaps) < STEPS:
         sums = rows.select("tokens", "p", rate(gaps).alias("r")).agg(*(F.sum(F.col("r") * F.col("tokens") * F.get("p", F.lit(k))) for k in range(len(domains)))).first()
-        gap = [(s - t) / total for s, t in zip(sums, targets)]
-        if max(map(abs, gap)) < CLOSE or (gaps and math.dist(gap, gaps[-1]) < CLOSE / 10):
+        gap = [(s - t) / max(supply[f"s{k}"], 1e-9 * total) for k, (s, t) in enumerate(zip(sums, targets))]
+        if max(map(abs, gap)) < 10 * CLOSE or (gaps and math.dist(gap, gaps[-1]) < CLOSE):
             break
         gaps.append(gap)
     return rows.select(F.col("id").alias(id_col), "tokens", "p", "domain", rate(gaps).alias("rate"))
