@@ -141,3 +141,18 @@ def test_classifier(spark):
     df = spark.createDataFrame(rows, "label string, a double, b double")
     got = learning.classifier(df, ["a", "b"], "label", trees=10).transform(df).where("label = predicted_label").count()
     assert got > 160
+
+
+def test_frames_at_the_poles_and_sizes(spark):
+    from tidewater.functions import vehicle
+
+    for roll, pitch, yaw in [(0.3, math.pi / 2, 0.0), (-0.4, -math.pi / 2, 0.0), (2.9, 0.2, -3.0), (3.1, -1.5, 1.0)]:
+        m = vehicle.rotation_matrix(F.lit(roll), F.lit(pitch), F.lit(yaw))
+        back = vehicle.roll_pitch_yaw(vehicle.matrix_of_quaternion(vehicle.quaternion_of_matrix(m)))
+        again = vehicle.rotation_matrix(*back)
+        flat = [c for r in m for c in r] + [c for r in again for c in r]
+        got = one(spark, *flat)
+        assert got[:9] == pytest.approx(got[9:], abs=1e-4)
+    assert one(spark, *(vehicle.readable_size(F.lit(n)) for n in (0, 1, 1536, 5 * 1024**3))) == ("0B", "1.0 B", "1.5 KB", "5.0 GB")
+    assert one(spark, vehicle.version_key(F.lit("1.10")) > vehicle.version_key(F.lit("1.9.3")))[0]
+    assert one(spark, *vehicle.euler_rates(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(2.0), F.lit(3.0))) == (1.0, 2.0, 3.0)

@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions import fields, geometry, noise, profiles
-from tidewater.operators import attitude, comms, control, learning, lidar, matching, navigation, rewards, sampling, sonar
+from tidewater.functions import fields, geometry, noise, profiles, vehicle
+from tidewater.operators import attitude, comms, control, learning, lidar, matching, navigation, rewards, sampling, sonar, voxels
 from tidewater.sources import readers
 
 FLAGSHIP = "sonar_argmax_depth"
@@ -681,3 +681,61 @@ def nav_strapdown(spark, sf):
     return attitude.strapdown(t, "agent", "tick", ["g1", "g2", "g3"], ["a1", "a2", "a3"], 0.1)
 
 
+
+
+# --- frames, forces and voxels ----------------------------------------------------------------------------------------
+
+
+@query(f"WITH {CLOUD}, a AS (SELECT l_orderkey, l_linenumber, x / 20 - 1.2 AS r, z / 10 AS p, y / 60 - 0.8 AS w FROM c) SELECT l_orderkey, l_linenumber, round(r, 6) AS roll, round(p, 6) + 0.0 AS pitch, round(w, 6) AS yaw, round(cos(w) * cos(p) * 1 - sin(p) * 3 + sin(w) * cos(p) * 2, 6) AS mx FROM a")
+def frames_round_trip(spark, sf):
+    """FN-25, FN-29, FN-32, FN-34, PRJ-16: angles to matrix to quaternion to matrix to angles, and a field in the body frame."""
+    x, y, z = xyz()
+    m = vehicle.rotation_matrix(x / 20 - 1.2, z / 10, y / 60 - 0.8)
+    a = cloud(spark, sf).select(*KEY, F.array(*vehicle.quaternion_of_matrix(m)).alias("q"), vehicle.magnetometer(m, [1.0, 2.0, 3.0])[0].alias("mx"))
+    back = vehicle.roll_pitch_yaw(vehicle.matrix_of_quaternion([F.col("q")[k] for k in range(4)]))
+    return a.select(*KEY, *(r6(c, n) for c, n in zip(back, ("roll", "pitch", "yaw"))), r6(F.col("mx"), "mx"))
+
+
+@query(f"WITH {CLOUD}, v AS (SELECT l_orderkey, l_linenumber, x / 10 AS a, y / 50 AS b, z / 5 AS d, CAST(l_linenumber AS DOUBLE) / 7 AS u FROM c), s AS (SELECT *, sqrt(a*a + b*b + d*d) AS sp, a * 300 - 700 AS n FROM v), t AS (SELECT *, greatest(-100, least(103, n)) AS m FROM s) SELECT l_orderkey, l_linenumber, round(-0.5 * 1000 * 0.8::DOUBLE * 0.1::DOUBLE * sp * a * u, 5) AS drag, round(0.03::DOUBLE * 9.81::DOUBLE * 997 * u, 6) AS lift, round(CASE WHEN m > 0 THEN 0.01::DOUBLE * m * abs(m) ELSE 0.006::DOUBLE * m * abs(m) END, 6) AS thrust, round(CASE WHEN sp < 0.2 THEN 0.0 ELSE least(1.0, sp) END, 6) AS trust FROM t")
+def vehicle_forces(spark, sf):
+    """FN-39, FN-40, FN-42, FN-44: drag, buoyancy, thrust and trust in the speed."""
+    x, y, z = xyz()
+    c = cloud(spark, sf).select(*KEY, (x / 10).alias("a"), (y / 50).alias("b"), (z / 5).alias("d"), (F.col("l_linenumber").cast("double") / 7).alias("u"))
+    v, u = [F.col("a"), F.col("b"), F.col("d")], F.col("u")
+    return c.select(*KEY, F.round(vehicle.drag(v, 1000.0, 0.8, 0.1, u)[0], 5).alias("drag"), r6(vehicle.buoyancy(0.03, 9.81, 997.0, u), "lift"), r6(vehicle.propeller_thrust(F.col("a") * 300 - 700, -100.0, 103.0, 0.01, 0.006), "thrust"), r6(vehicle.speed_weight(v), "trust"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round((l_tax - l_discount) / (2 * sin(radians(22.5))), 6) AS x, round((l_tax + l_discount + l_tax * 2 + 0.1::DOUBLE - l_tax * 2 + l_discount - l_discount) / (4 * cos(radians(22.5))), 6) AS z FROM lineitem")
+def dvl_noise(spark, sf):
+    """FN-24: beam noise projected on the velocity."""
+    x, _, z = vehicle.beam_velocity_noise([F.col("l_tax"), F.lit(0.1), F.col("l_discount"), F.lit(0.0)], 22.5)
+    return table(spark, sf, "lineitem").select(*KEY, r6(x, "x"), r6(z, "z"))
+
+
+@query("SELECT vec_id, CAST(i AS INTEGER) AS bin, round((i / 64.0::DOUBLE) * (i / 64.0::DOUBLE) * (1 + 0.5 * exp(-(i - 32.0::DOUBLE) * (i - 32.0::DOUBLE) / (64.0 / 64))), 6) AS scale FROM embeddings, range(64) r(i) WHERE vec_id < 50")
+def sonar_noise_scale(spark, sf):
+    """FN-18: noise by range and lobe."""
+    cells = table(spark, sf, "embeddings").where("vec_id < 50").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bin"))
+    return cells.select("vec_id", "bin", r6(vehicle.range_lobe_scale(F.col("bin") / 64.0, F.col("bin") - 32.0, 64.0), "scale"))
+
+
+@query("WITH v AS (SELECT p_partkey, CAST(p_size % 4 AS VARCHAR) || '.' || CAST(p_partkey % 12 AS VARCHAR) AS version FROM part) SELECT p_partkey, version, (CAST(split_part(version, '.', 1) AS INTEGER), CAST(split_part(version, '.', 2) AS INTEGER)) >= (2, 3) AS enough FROM v")
+def version_check(spark, sf):
+    """FN-45: dotted versions compared by their numbers."""
+    v = table(spark, sf, "part").select("p_partkey", F.concat_ws(".", (F.col("p_size") % 4).cast("string"), (F.col("p_partkey") % 12).cast("string")).alias("version"))
+    return v.select("p_partkey", "version", (vehicle.version_key(F.col("version")) >= vehicle.version_key(F.lit("2.3"))).alias("enough"))
+
+
+@query("WITH v AS (SELECT DISTINCT l_orderkey, CAST(floor(l_quantity / 5) AS INTEGER) AS i, CAST(floor(l_extendedprice / 10000) AS INTEGER) AS j, CAST(floor(l_discount * 50) AS INTEGER) AS k FROM lineitem WHERE l_orderkey % 40 = 1), r AS (SELECT s_suppkey, s, CAST(floor((s_suppkey % 10 + 0.5 * s) / 1) AS INTEGER) AS i, CAST(floor((s_suppkey % 7 + 0.3::DOUBLE * s) / 1) AS INTEGER) AS j, CAST(floor(0.1::DOUBLE * s / 1) AS INTEGER) AS k FROM supplier, range(1, 21) q(s)), h AS (SELECT r.*, row_number() OVER (PARTITION BY s_suppkey ORDER BY s) AS n FROM r WHERE (i, j, k) IN (SELECT i, j, k FROM v)) SELECT s_suppkey, CAST(s AS INTEGER) AS step, i, j, k FROM h WHERE n = 1")
+def voxel_probe(spark, sf):
+    """JN-7, JN-6: the first occupied voxel along each ray."""
+    v = table(spark, sf, "lineitem").where("l_orderkey % 40 = 1").select(F.floor(F.col("l_quantity") / 5).cast("int").alias("i"), F.floor(F.col("l_extendedprice") / 10000).cast("int").alias("j"), F.floor(F.col("l_discount") * 50).cast("int").alias("k"))
+    rays = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 10).cast("double").alias("x"), (F.col("s_suppkey") % 7).cast("double").alias("y"), F.lit(0.0).alias("z"), F.lit(0.5).alias("dx"), F.lit(0.3).alias("dy"), F.lit(0.1).alias("dz"))
+    return voxels.first_hit(rays, v, "s_suppkey", 1.0, 1.0, 20)
+
+
+@query()
+def voxel_clusters(spark, sf):
+    """JN-8: greedy clusters of neighbouring voxels with like normals."""
+    v = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 50).alias("ping"), F.floor(F.col("l_quantity") / 2).cast("int").alias("i"), F.floor(F.col("l_extendedprice") / 5000).cast("int").alias("j"), F.col("l_linenumber").alias("k"), F.cos(F.col("l_tax") * 20).alias("nx"), F.sin(F.col("l_tax") * 20).alias("ny"), F.lit(0.0).alias("nz"))
+    return voxels.clusters(v, "ping", 2)
