@@ -48,8 +48,8 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "d
     if rows > TRAIN_ROWS:
         known = known.where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1_000_000)) < int(1_000_000 * TRAIN_ROWS / rows))
     # at most about TRAIN_ROWS short rows are broadcast; at most SLOTS x domains counts come back
-    sample = docs.select(F.col(id_col).alias("id"), _slots(text_col).alias("slots")).join(F.broadcast(known), "id")
-    counts = sample.select("domain", F.explode("slots").alias("slot")).groupBy("domain", "slot").count().collect()
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("domain", _slots("text").alias("slots"))
+    counts = sample.select("domain", F.explode_outer("slots").alias("slot")).where("slot IS NOT NULL").groupBy("domain", "slot").count().collect()
     table, sizes = np.full((len(domains), SLOTS), SMOOTH), np.ones(len(domains))
     for r in counts:
         table[domains.index(r["domain"]), r["slot"]] += r["count"]
