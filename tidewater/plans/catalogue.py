@@ -686,14 +686,14 @@ def nav_strapdown(spark, sf):
 # --- frames, forces and voxels ----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {CLOUD}, a AS (SELECT l_orderkey, l_linenumber, x / 20 - 1.2 AS r, z / 10 AS p, y / 60 - 0.8 AS w FROM c) SELECT l_orderkey, l_linenumber, round(r, 6) AS roll, round(p, 6) + 0.0 AS pitch, round(w, 6) AS yaw, round(cos(w) * cos(p) * 1 - sin(p) * 3 + sin(w) * cos(p) * 2, 6) AS mx FROM a")
+@query(f"WITH {CLOUD}, a AS (SELECT l_orderkey, l_linenumber, x / 20 - 1.2 AS r, z / 10 AS p, y / 60 - 0.8 AS w FROM c) SELECT l_orderkey, l_linenumber, round(r, 4) AS roll, round(p, 4) + 0.0 AS pitch, round(w, 4) AS yaw, round(cos(w) * cos(p) * 1 - sin(p) * 3 + sin(w) * cos(p) * 2, 6) AS mx FROM a")
 def frames_round_trip(spark, sf):
     """FN-25, FN-29, FN-32, FN-34, PRJ-16: angles to matrix to quaternion to matrix to angles, and a field in the body frame."""
     x, y, z = xyz()
     m = vehicle.rotation_matrix(x / 20 - 1.2, z / 10, y / 60 - 0.8)
     a = cloud(spark, sf).select(*KEY, F.array(*vehicle.quaternion_of_matrix(m)).alias("q"), vehicle.magnetometer(m, [1.0, 2.0, 3.0])[0].alias("mx"))
     back = vehicle.roll_pitch_yaw(vehicle.matrix_of_quaternion([F.col("q")[k] for k in range(4)]))
-    return a.select(*KEY, *(r6(c, n) for c, n in zip(back, ("roll", "pitch", "yaw"))), r6(F.col("mx"), "mx"))
+    return a.select(*KEY, *(F.round(c, 4).alias(n) for c, n in zip(back, ("roll", "pitch", "yaw"))), r6(F.col("mx"), "mx"))
 
 
 @query(f"WITH {CLOUD}, v AS (SELECT l_orderkey, l_linenumber, x / 10 AS a, y / 50 AS b, z / 5 AS d, CAST(l_linenumber AS DOUBLE) / 7 AS u FROM c), s AS (SELECT *, sqrt(a*a + b*b + d*d) AS sp, a * 300 - 700 AS n FROM v), t AS (SELECT *, greatest(-100, least(103, n)) AS m FROM s) SELECT l_orderkey, l_linenumber, round(-0.5 * 1000 * 0.8::DOUBLE * 0.1::DOUBLE * sp * a * u, 5) AS drag, round(0.03::DOUBLE * 9.81::DOUBLE * 997 * u, 6) AS lift, round(CASE WHEN m > 0 THEN 0.01::DOUBLE * m * abs(m) ELSE 0.006::DOUBLE * m * abs(m) END, 6) AS thrust, round(CASE WHEN sp < 0.2 THEN 0.0 ELSE least(1.0, sp) END, 6) AS trust FROM t")
