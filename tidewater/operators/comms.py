@@ -36,3 +36,19 @@ def within_cone(ax: Column, ay: Column, dx: Column, dy: Column, half_angle: floa
     """Whether (dx, dy) lies within half_angle degrees of the axis (ax, ay)."""
     size = F.sqrt(ax * ax + ay * ay) * F.sqrt(dx * dx + dy * dy)
     return F.when(size > 0, (ax * dx + ay * dy) / F.when(size > 0, size) >= F.cos(F.radians(F.lit(half_angle)))).otherwise(False)
+
+
+def answered(messages: DataFrame, by: str, at: str, kind: str, replies: dict[str, str]) -> DataFrame:
+    """Requests with the first reply of the right type after them on the same link, and how long it took.
+
+    A sender is busy until its reply arrives: a request sent before that is dropped.  One sort, no range join: a reply
+    closes the latest open request.
+    """
+    want = F.create_map(*(F.lit(x) for kv in replies.items() for x in kv))
+    w = Window.partitionBy(by).orderBy(at)
+    told = messages.withColumn("__asks", F.col(kind).isin(list(replies))).withColumn("__gives", F.col(kind).isin(list(replies.values()))).where("__asks OR __gives")
+    # a new stretch starts after each reply; its first request is the one that was accepted
+    stretch = F.coalesce(F.sum(F.col("__gives").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    told = told.withColumn("__n", stretch)
+    ask = told.groupBy(by, "__n").agg(F.min_by(F.struct(F.col(at).alias("at"), F.col(kind).alias("kind")), F.when(F.col("__asks"), F.col(at))).alias("ask"), F.max(F.when(F.col("__gives"), F.struct(F.col(at).alias("at"), F.col(kind).alias("kind")))).alias("reply"), F.bool_or("__asks").alias("any"))
+    return ask.where("any AND reply IS NOT NULL").where(want[F.col("ask.kind")] == F.col("reply.kind")).select(by, F.col("ask.at").alias("asked_at"), F.col("ask.kind").alias("request"), F.col("reply.at").alias("answered_at"))

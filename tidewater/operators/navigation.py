@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -68,3 +68,14 @@ def kalman(df: DataFrame, by: str, order: list[str], a: str, z: str, dt: float,
 
     head = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in order)
     return df.select(*cols).groupBy(by).applyInPandas(run, f"{by} {kind}, {head}, x double, v double")
+
+
+def corrected_pose(gap: Column, far: Column, dead: Column, other: Column, matched: Column, reach: float = 3.0, near: float = 50.0) -> Column:
+    """Which position corrects a filter: the other estimate where the two differ too much, the map match where the
+    echo is near, else the dead-reckoned one."""
+    return F.when(F.abs(gap) > reach, other).when((far < near) & matched.isNotNull(), matched).otherwise(dead)
+
+
+def depth_from_sonar(sonar_depth: Column, terrain: Column, reckoned: Column) -> Column:
+    """Depth by altitude over known terrain; without an echo the reckoned one stays."""
+    return F.when(sonar_depth.isNull() | F.isnan(sonar_depth), reckoned).otherwise(sonar_depth + terrain)

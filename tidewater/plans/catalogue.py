@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import fields, geometry, noise, profiles, vehicle
-from tidewater.operators import attitude, comms, control, learning, lidar, matching, navigation, rewards, sampling, sonar, voxels
+from tidewater.operators import attitude, comms, control, dynamics, learning, lidar, matching, navigation, rewards, sampling, sonar, voxels
 from tidewater.sources import readers
 
 FLAGSHIP = "sonar_argmax_depth"
@@ -686,11 +686,11 @@ def nav_strapdown(spark, sf):
 # --- frames, forces and voxels ----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {CLOUD}, a AS (SELECT l_orderkey, l_linenumber, x / 20 - 1.2 AS r, z / 10 AS p, y / 60 - 0.8 AS w FROM c) SELECT l_orderkey, l_linenumber, round(r, 4) AS roll, round(p, 4) + 0.0 AS pitch, round(w, 4) AS yaw, round(cos(w) * cos(p) * 1 - sin(p) * 3 + sin(w) * cos(p) * 2, 6) AS mx FROM a")
+@query(f"WITH {CLOUD}, a AS (SELECT l_orderkey, l_linenumber, x / 20 - 1.2 AS r, z / 10 AS p, y / 61.7::DOUBLE - 0.8 AS w FROM c) SELECT l_orderkey, l_linenumber, round(r, 4) AS roll, round(p, 4) + 0.0 AS pitch, round(w, 4) AS yaw, round(cos(w) * cos(p) * 1 - sin(p) * 3 + sin(w) * cos(p) * 2, 6) AS mx FROM a")
 def frames_round_trip(spark, sf):
     """FN-25, FN-29, FN-32, FN-34, PRJ-16: angles to matrix to quaternion to matrix to angles, and a field in the body frame."""
     x, y, z = xyz()
-    m = vehicle.rotation_matrix(x / 20 - 1.2, z / 10, y / 60 - 0.8)
+    m = vehicle.rotation_matrix(x / 20 - 1.2, z / 10, y / 61.7 - 0.8)
     a = cloud(spark, sf).select(*KEY, F.array(*vehicle.quaternion_of_matrix(m)).alias("q"), vehicle.magnetometer(m, [1.0, 2.0, 3.0])[0].alias("mx"))
     back = vehicle.roll_pitch_yaw(vehicle.matrix_of_quaternion([F.col("q")[k] for k in range(4)]))
     return a.select(*KEY, *(F.round(c, 4).alias(n) for c, n in zip(back, ("roll", "pitch", "yaw"))), r6(F.col("mx"), "mx"))
@@ -739,3 +739,37 @@ def voxel_clusters(spark, sf):
     """JN-8: greedy clusters of neighbouring voxels with like normals."""
     v = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 50).alias("ping"), F.floor(F.col("l_quantity") / 2).cast("int").alias("i"), F.floor(F.col("l_extendedprice") / 5000).cast("int").alias("j"), F.col("l_linenumber").alias("k"), F.cos(F.col("l_tax") * 20).alias("nx"), F.sin(F.col("l_tax") * 20).alias("ny"), F.lit(0.0).alias("nz"))
     return voxels.clusters(v, "ping", 2)
+
+
+@query(f"""WITH RECURSIVE {TICKS}, k AS (SELECT agent, 0::BIGINT AS tick, 0.0::DOUBLE AS x, 0.0::DOUBLE AS v, 0.0::DOUBLE AS a FROM (SELECT DISTINCT agent FROM t)
+UNION ALL SELECT k.agent, t.tick, k.x + 0.1::DOUBLE * k.v, greatest(-3.0::DOUBLE, least(3.0::DOUBLE, k.v + 0.1::DOUBLE * k.a)), k.a + 0.1::DOUBLE * (0.729::DOUBLE * (t.value - k.x) - 2.6::DOUBLE * 0.81::DOUBLE * k.v - 2.6::DOUBLE * 0.9::DOUBLE * k.a) FROM k JOIN t ON t.agent = k.agent AND t.tick = k.tick + 1)
+SELECT agent, tick, round(x, 5) AS x, round(v, 5) AS v FROM k WHERE tick > 0""")
+def control_reference_model(spark, sf):
+    """STM-9: a smooth third-order path to moving set points."""
+    t = ticks(spark, sf).withColumn("tick", F.col("tick").cast("long"))
+    got = control.scanned(t, "agent", ["tick"], ["value"], lambda: dynamics.ReferenceModel(0.9, 0.8, 3.0), lambda s, v: s.step(v, 0.1), "x double, v double, a double", ["x", "v", "a"])
+    return got.select("agent", "tick", F.round("x", 5).alias("x"), F.round("v", 5).alias("v"))
+
+
+@query("SELECT event_id, round(CASE WHEN abs(value - 50) > 30 THEN value * 2 WHEN value < 60 AND value > 40 THEN value * 3 ELSE value END, 6) AS pose, round(CASE WHEN event_type = 'error' THEN value ELSE value / 2 + 10 END, 6) AS depth FROM events")
+def nav_corrections(spark, sf):
+    """STM-22, STM-23, FLT-16: where a correction comes from, and depth by altitude."""
+    v = F.col("value")
+    pose = navigation.corrected_pose(v - 50, v, v, v * 2, F.when(v > 40, v * 3), 30.0, 60.0)
+    depth = navigation.depth_from_sonar(F.when(F.col("event_type") != "error", v / 2), F.lit(10.0), v)
+    return table(spark, sf, "events").select("event_id", r6(pose, "pose"), r6(depth, "depth"))
+
+
+@query()
+def comms_requests(spark, sf):
+    """STM-14: accepted requests and their replies."""
+    m = table(spark, sf, "events").select(F.col("user_id").alias("link"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("kind"))
+    return comms.answered(m, "link", "at", "kind", {"click": "view", "purchase": "signup"})
+
+
+@query()
+def vehicle_step(spark, sf):
+    """STM-12, FN-38: motion of a submerged vehicle under the forces of each tick."""
+    t = ticks(spark, sf).select("agent", "tick", F.col("value").alias("f0"), *(F.lit(0.0).alias(f"f{k}") for k in (1, 2)), F.lit(0.0).alias("f3"), F.lit(0.0).alias("f4"), (F.sin("value") / 5).alias("f5"))
+    make = lambda: dynamics.Vehicle([50, 80, 80, 5, 10, 10], [10, 20, 20, 3, 6, 6], [20, 60, 60, 1, 8, 8], 300.0, 300.0)
+    return dynamics.simulated(t, "agent", "tick", [f"f{k}" for k in range(6)], make, 0.05)
