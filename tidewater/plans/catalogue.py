@@ -686,7 +686,7 @@ def nav_strapdown(spark, sf):
 # --- frames, forces and voxels ----------------------------------------------------------------------------------------
 
 
-@query(f"WITH {CLOUD}, a AS (SELECT l_orderkey, l_linenumber, x / 20 - 1.2 AS r, z / 10 AS p, y / 61.7::DOUBLE - 0.8 AS w FROM c) SELECT l_orderkey, l_linenumber, round(r, 4) AS roll, round(p, 4) + 0.0 AS pitch, round(w, 4) AS yaw, round(cos(w) * cos(p) * 1 - sin(p) * 3 + sin(w) * cos(p) * 2, 6) AS mx FROM a")
+@query(f"WITH {CLOUD}, a AS (SELECT l_orderkey, l_linenumber, x / 20 - 1.2 AS r, z / 10 AS p, y / 61.7::DOUBLE - 0.8 AS w FROM c) SELECT l_orderkey, l_linenumber, round(r, 4) + 0.0 AS roll, round(p, 4) + 0.0 AS pitch, round(w, 4) + 0.0 AS yaw, round(cos(w) * cos(p) * 1 - sin(p) * 3 + sin(w) * cos(p) * 2, 6) AS mx FROM a")
 def frames_round_trip(spark, sf):
     """FN-25, FN-29, FN-32, FN-34, PRJ-16: angles to matrix to quaternion to matrix to angles, and a field in the body frame."""
     x, y, z = xyz()
