@@ -132,3 +132,20 @@ def without_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     marked = _marked(df, column, keys)
     perhaps = marked.where("__near").join(keys, marked[column] == keys[keys.columns[0]], "left_anti")
     return marked.where("NOT __near").union(perhaps).drop("__near")
+
+
+def with_least(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """rows with the least `value` of their key group as `name`.
+
+    The minimum is pre-aggregated where the rows are.  Groups of more than a 256th of all rows (so 256 at most, which
+    are broadcast) are dealt over 64 salts before the join, so no task gets a hot group whole.
+    """
+    from pyspark.sql import functions as F
+
+    least = settle(rows.groupBy(*keys).agg(F.min(value).alias(name), F.count("*").alias("__n")))
+    total = least.agg(F.sum("__n")).first()[0] or 0
+    hot = F.broadcast(least.where(F.col("__n") > max(1000, total // 256)).select(*keys, F.lit(True).alias("__hot")))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(value, F.lit(9)), F.lit(64))).otherwise(0).cast("int")
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))
+    spread = least.join(hot, keys, "left").select(*keys, name, F.explode_outer(salts).alias("__salt"))
+    return rows.join(hot, keys, "left").withColumn("__salt", salt).join(spread, [*keys, "__salt"]).drop("__hot", "__salt")

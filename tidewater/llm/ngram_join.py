@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WordHash, mixed, near_keys, settle, shingle_hashes, slices, without_keys
+from .common import WordHash, mixed, near_keys, settle, shingle_hashes, slices, with_least, without_keys
 from .graph import components
 
 # Below a similarity of about 0.86, sets of up to PREFIX members are routed by single members.
@@ -214,8 +214,7 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
     table = settle(texts.mapInArrow(sets, "id long, n long, m1 long, m2 long, keys array<long>"))
     sized = table.where("n > 0 AND id IS NOT NULL")
     # (1) one representative for each distinct set
-    classes = sized.groupBy("n", "m1", "m2").agg(F.min("id").alias("rep"))
-    copies = settle(sized.select("id", "n", "m1", "m2").join(classes, ["n", "m1", "m2"]).where("id <> rep").select("id", "rep").distinct())
+    copies = settle(with_least(sized.select("id", "n", "m1", "m2"), ["n", "m1", "m2"], "id", "rep").where("id <> rep").select("id", "rep").distinct())
     # (2, 3) the first set at each key draws the others into its family
     one_each = sized.join(copies.select("id").distinct(), "id", "left_anti").select("id", F.explode("keys").alias("key"))
     drawn = one_each.withColumn("lead", F.min("id").over(Window.partitionBy("key"))).where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
