@@ -5,6 +5,9 @@
    parts into which members are dealt by hash at least one is equal in both (the pigeonhole of PartEnum, Arasu et al.
    2006).  Lengths fall into classes; a set sends the parts of its own class and of the next one.  A part holds
    about ten members from anywhere in the text, so a passage that many documents share makes no hot key.
+   Below a similarity of about 0.86 parts would be too thin; there a set sends its first members in one global
+   order (prefix filtering), those that few documents hold first.  Counts from a sketch of fixed size over all texts
+   give the order, so that members of shared passages come last; any order keeps all links.
 3. Sets that share a key, directly or through others, form a family.  Every link lies within a family.
 4. Families are dealt in blocks.  One block's sets, in one global order, form a prefix tree; each set of the other
    block descends it with a running overlap that all sets below share, and leaves a subtree when the overlap
@@ -14,7 +17,7 @@
 
 from __future__ import annotations
 
-import math
+import zlib
 from functools import lru_cache
 
 import numpy as np
@@ -27,8 +30,8 @@ from pyspark.sql.window import Window
 from .common import WordHash, mixed, near_keys, settle, shingle_hashes, slices, with_least, without_keys
 from .graph import components
 
-# Below a similarity of about 0.86, sets of up to PREFIX members are routed by single members.
-PREFIX = 256
+# Counters of member_counts(): 32 MB whatever the input, moved in so many chunks.
+COUNTERS, CHUNKS = 1 << 24, 256
 # Sets in a block of a family; a task holds two blocks.
 BLOCK = 96
 
@@ -57,20 +60,27 @@ class Ratio:
         """One part more than members by which two linked sets of at most `upper` members can differ."""
         return 2 * upper * (self.den - self.num) // (self.den + self.num) + 1
 
-    def keys(self, members: np.ndarray) -> np.ndarray:
-        """Routing keys of one set: linked sets have one in common."""
+    @property
+    def thin(self) -> bool:
+        """Whether parts would hold fewer than about 6 members."""
+        return self.den + self.num < 13 * (self.den - self.num)
+
+    def keys(self, members: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
+        """Routing keys of one set: linked sets have one in common.  counts: see member_counts()."""
         n = len(members)
         if not n:
             return members
         tops = self.classes()
         c = int(np.searchsorted(tops, n))
+        if self.thin:
+            held = np.full(n, 255) if counts is None else counts[members % np.uint64(len(counts))]
+            first = np.lexsort((mixed(members, 14), held))[: n - -(-self.num * n // self.den) + 1]
+            # members that no other text holds tie nothing together
+            first = members[first[held[first] > 1]]
+            own = mixed(first, 20 + c)
+            # sets of class c, and those whose partner may lie in class c + 1
+            return np.concatenate([own, mixed(first, 21 + c)]) if (tops[c] + 1) * self.num <= n * self.den else own
         out = []
-        thin = self.den + self.num < 13 * (self.den - self.num)  # parts of fewer than about 6 members
-        if thin and n * self.num <= PREFIX * self.den:
-            # the first members in the order of hashes: linked sets have one in common (prefix filtering)
-            out.append(np.sort(mixed(members, 14))[: n - -(-self.num * n // self.den) + 1])
-            if n <= PREFIX:
-                return out[0]
         for k in (c, c + 1):
             # sets of class k, and those of class k - 1 whose partner may lie in class k
             if k > c and (tops[c] + 1) * self.num > n * self.den:
@@ -83,9 +93,7 @@ class Ratio:
             with np.errstate(over="ignore"):
                 sums = total[np.append(edges[1:], n)] - total[edges]
                 keys = mixed(sums ^ mixed(np.arange(parts, dtype=np.uint64), 13), k)
-            # thin parts are many, and about a third of them are equal in linked sets: those of fewer than two
-            # members, which would tie strangers together, are not needed (a miss has a chance under 1e-9)
-            out.append(keys[np.append(edges[1:], n) - edges > 1] if thin else keys)
+            out.append(keys)
         return np.concatenate(out)
 
 
@@ -94,6 +102,40 @@ def members_of(text: str, width: int, table: WordHash) -> np.ndarray:
     return np.unique(shingle_hashes(table.of(text.encode().lower().split()), width))
 
 
+def member_counts(texts: DataFrame, width: int) -> np.ndarray:
+    """How many rows hold members of each of COUNTERS slots (a member's hash modulo COUNTERS), over all of `texts`.
+
+    Each task counts up to 255 a slot; so the sums may fall short for frequent members, but 1 means one row at most.
+    """
+    size = COUNTERS // CHUNKS
+
+    def count(batches):
+        table, sums = WordHash(), np.zeros(COUNTERS, dtype=np.uint8)
+        for _, found in slices(batches, "text"):
+            members = [members_of(t, width, table) for t in found]
+            if members:
+                slots, n = np.unique(np.concatenate(members) % np.uint64(COUNTERS), return_counts=True)
+                slots = slots.astype(np.int64)
+                sums[slots] = np.minimum(sums[slots] + n, 255)
+        if sums.any():
+            packed = [zlib.compress(part.tobytes(), 1) for part in sums.reshape(CHUNKS, size)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "counts"])
+
+    def add(batches):
+        sums = {}
+        for batch in batches:
+            for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums.setdefault(chunk, np.zeros(size, dtype=np.uint32))
+                sums[chunk] += np.frombuffer(zlib.decompress(packed), dtype=np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(x, 65535).astype(np.uint16).tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+    kind = "chunk int, counts binary"
+    out = np.zeros((CHUNKS, size), dtype=np.uint16)
+    for row in texts.select("text").mapInArrow(count, kind).repartition("chunk").mapInArrow(add, kind).collect():
+        out[row["chunk"]] = np.frombuffer(row["counts"], dtype=np.uint16)
+    return out.reshape(-1)
+
+
 class Trie:
     """A prefix tree with compressed edges over sorted sets, kept in flat arrays level by level."""
 
@@ -197,6 +239,8 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
     gives an empty table.  Shingles are compared by 64-bit hashes.
     """
     ratio = Ratio(num, den)
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    counts = member_counts(texts, width) if ratio.thin else None
 
     def sets(batches):
         table = WordHash()
@@ -204,13 +248,12 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
             found = [members_of(t, width, table) for t in texts]
             with np.errstate(over="ignore"):
                 marks = [(int(mixed(s, 1).sum(dtype=np.uint64).astype(np.int64)), int(mixed(s, 2).sum(dtype=np.uint64).astype(np.int64))) for s in found]
-            keys = [ratio.keys(s).astype(np.int64) for s in found]
+            keys = [ratio.keys(s, counts).astype(np.int64) for s in found]
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
                 names=["id", "n", "m1", "m2", "keys"],
             )
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     table = settle(texts.mapInArrow(sets, "id long, n long, m1 long, m2 long, keys array<long>"))
     sized = table.where("n > 0 AND id IS NOT NULL")
     # (1) one representative for each distinct set
