@@ -84,3 +84,18 @@ def test_repeated_ids(spark):
 def test_empty_table(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert L.removed_by_document(none).collect() == [] and L.dedup_lines(none).collect() == []
+
+
+def test_copies_apart_in_a_hot_bucket(spark):
+    """Lines that all hold one passage: a pair's halves lie far from each other and from the first line of their key."""
+    deal = np.random.default_rng(3)
+    draw = lambda n: "".join(deal.choice(list("abcdefghijklmnopqrstuvwxyz     "), n))
+    passage, lines = draw(300), []
+    for k in range(120):
+        own = draw(100)
+        lines += [(k, passage + own), (400 + k, passage + own[:-36] + draw(36))]
+    lines += [(i, passage + draw(100)) for i in range(120, 400)]
+    df = spark.createDataFrame(sorted(lines), "doc_id long, text string")
+    gone = {r.doc_id for r in L.removed_by_document(df).collect() if r.removed}
+    want = brute(sorted(lines))
+    assert len(want) > 100 and gone == set(want)

@@ -4,20 +4,24 @@ Lines (lower-cased, trimmed) that are equal fold first.  Each distinct line gets
 character shingles: the BOTTOM next hashes after each of BANDS points make a key, so a pair of similarity J shares one with a
 chance of about J ** BOTTOM.  Long lines with blanks take the shingles that start at a word, all others take every
 shingle, and lines near the border between the two do both, so that close lines always share a kind.  Lines that share
-a key are compared with the first and the one before of that key only; candidates are verified by the exact Jaccard
-similarity of their sets of character 5-grams, and distributed union-find keeps the first line of each component.
+a key are compared with the first of that key; where this leaves a key's lines in several components, an exact prefix
+filter (Chaudhuri et al. 2006) brings together whatever else can be similar.  Candidates are verified by the exact
+Jaccard similarity of their sets of character 5-grams, and distributed union-find keeps the first line of each component.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import near_keys, settle, with_least, without_keys
+from .common import drop_settled, near_keys, settle, with_least, without_keys
 from .graph import components
 
 WIDTH, BANDS, BOTTOM, SIMILARITY = 5, 10, 4, 0.8
+# Counters that order 5-grams by how rare they are, and rows of a 5-gram that one block of comparisons holds.
+SLOTS, BLOCK = 1 << 16, 1024
 # Lines of SHORT characters or more, with at least one blank in SPARSE characters, take shingles at word starts;
 # those under LONG, or with fewer blanks than one in DENSE, take all.
 SHORT, LONG, SPARSE, DENSE = 90, 120, 14, 10
@@ -82,16 +86,47 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lines = lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), F.col("line")))
     exact = settle(with_least(lines.select("node", "h1", "h2"), ["h1", "h2"], "node", "keeper").where(F.col("node") != F.col("keeper")).select("node"))
     fresh = without_keys(lines.select("node", "line"), "node", exact)
-    keyed = fresh.select("node", F.explode_outer(_keys("line")).alias("key")).where("key IS NOT NULL")
-    w = Window.partitionBy("key").orderBy("node")
-    buckets = keyed.withColumn("lead", F.first("node").over(w)).withColumn("near", F.lag("node").over(w)).where("near IS NOT NULL")
-    drawn = buckets.select(F.col("node").alias("b"), F.explode(F.array_distinct(F.array("lead", "near"))).alias("a")).distinct()
-    pairs = settle(drawn)
-    linked = verified(pairs, lines.select("node", "line"))
-    groups = components(linked)
+    keyed = settle(fresh.select("node", F.explode_outer(_keys("line")).alias("key")).where("key IS NOT NULL"))
+    several = settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    shared = settle(with_least(near_keys(keyed, "key", several), ["key"], "node", "lead"))
+    drop_settled(keyed)
+    drawn = shared.where("node <> lead").select(F.col("node").alias("b"), F.col("lead").alias("a")).distinct()
+    linked = settle(verified(settle(drawn), lines.select("node", "line")))
+    more = verified(_others(shared, settle(components(linked)), lines), lines.select("node", "line"))
+    groups = components(linked.union(more))
     return exact.union(groups.where("node <> root").select("node")).select(*fields)
 
 
+def _others(shared: DataFrame, joined: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines of different components, among the lines of keys that hold several components.
+
+    With 5-grams in one order for all lines, rare ones first, the first one that two similar lines share has enough of
+    either line behind it; so pairs meet at the head of their lines, where a passage that many lines hold does not stand.
+    Every pair of similar lines comes; those of a 5-gram's largest component meet only the other ones.
+    """
+    at = shared.join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+    mixed = settle(at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("n > 2 AND lo <> hi").select("key"))
+    ends = settle(near_keys(at, "key", mixed).select("node", "root").distinct())
+    held = settle(near_keys(lines.select("node", "line"), "node", ends.select("node")).join(ends, "node"))
+    counts = held.select(F.explode(F.expr(_shingles("line"))).alias("gram")).groupBy(F.pmod("gram", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("n")).collect()  # SLOTS rows at most
+    rarity = bytearray(SLOTS)
+    for r in counts:
+        rarity[r["slot"]] = min(255, int(8 * math.log2(r["n"])))
+    ranked = F.array_sort(F.transform(F.expr(_shingles("line")), lambda g: F.struct(F.substr(F.lit(bytes(rarity)), F.pmod(g, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).alias("c"), g.alias("gram"))))
+    head = F.transform(F.array(ranked), lambda x: F.struct(F.size(x).alias("n"), F.slice(x, 1, F.size(x) - F.ceil(SIMILARITY * F.size(x) - 1e-9).cast("int") + 1).alias("head")))[0]
+    heads = held.select("node", "root", F.explode(F.array(head)).alias("h")).where("h.n > 0").select("node", "root", F.col("h.n").alias("n"), F.posexplode("h.head").alias("pos", "x"))
+    rows = settle(heads.select("node", "root", "n", "pos", F.col("x.gram").alias("gram")))
+    spots = rows.groupBy("gram", "root").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("k"), F.count("*").alias("roots"))
+    spots = settle(spots.where("roots > 1").select("gram", "main", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
+    met = settle(near_keys(rows, "gram", spots.select("gram")).join(spots, "gram"))
+    drop_settled(rows)
+    one = met.where("root <> main").select("gram", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
+    two = met.select("gram", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.expr("cast(pmod(xxhash64(node, 7), blocks) AS int)").alias("block"))
+    enough = F.expr(f"ra <> rb AND least(na - pa, nb - pb) * {1 + SIMILARITY} >= {SIMILARITY} * (na + nb) - 1e-9")
+    pairs = one.join(two, ["gram", "block"]).where(enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return settle(pairs.distinct())
+
+
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines whose shingle sets reach SIMILARITY."""
     ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
