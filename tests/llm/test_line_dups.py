@@ -1,4 +1,5 @@
 import itertools
+import random
 
 import numpy as np
 import pytest
@@ -99,3 +100,22 @@ def test_copies_apart_in_a_hot_bucket(spark):
     gone = {r.doc_id for r in L.removed_by_document(df).collect() if r.removed}
     want = brute(sorted(lines))
     assert len(want) > 100 and gone == set(want)
+
+
+def test_long_lines_share_keys(spark):
+    """Pairs of 200 to 400 characters with a similarity of 0.80 to 0.85."""
+    deal = random.Random(5)
+    words = ["".join(deal.choices("abcdefghijklmnopqrstuvwxyz", k=deal.randint(2, 8))) for _ in range(3000)]
+    grams = lambda t: {t[k : k + 5] for k in range(len(t) - 4)}
+    rows = []
+    while len(rows) < 1000:
+        a = " ".join(deal.choices(words, k=deal.randint(36, 66)))
+        b = list(a)
+        for k in deal.sample(range(len(a)), len(a) // 45):
+            b[k] = deal.choice("0123456789")
+        b = "".join(b)
+        x, y = grams(a), grams(b)
+        if 0.8 <= len(x & y) / len(x | y) < 0.85:
+            rows.append((a, b))
+    shared = spark.createDataFrame(rows, "a string, b string").select(L._keys("a").alias("a"), L._keys("b").alias("b")).where("arrays_overlap(a, b)").count()
+    assert shared >= 980

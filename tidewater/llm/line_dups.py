@@ -1,9 +1,8 @@
 """Fuzzy line deduplication by MinHash, with DataFrame operations only.
 
 Lines (lower-cased, trimmed) that are equal fold first.  Each distinct line gets bands of a one-permutation MinHash over
-character shingles: the BOTTOM next hashes after each of BANDS points make a key, so a pair of similarity J shares one with a
-chance of about J ** BOTTOM.  Long lines with blanks take the shingles that start at a word, all others take every
-shingle, and lines near the border between the two do both, so that close lines always share a kind.  Lines that share
+character 5-grams: the BOTTOM next hashes after each of BANDS points make a key, so a pair of similarity J shares one with a
+chance of about J ** BOTTOM.  The shingles are the 5-grams whose Jaccard similarity decides, all of them.  Lines that share
 a key are compared with the first of that key; where this leaves a key's lines in several components, an exact prefix
 filter (Chaudhuri et al. 2006) brings together whatever else can be similar.  Candidates are verified by the exact
 Jaccard similarity of their sets of character 5-grams, and distributed union-find keeps the first line of each component.
@@ -19,29 +18,20 @@ from pyspark.sql import functions as F
 from .common import drop_settled, near_keys, settle, with_least, without_keys
 from .graph import components
 
-WIDTH, BANDS, BOTTOM, SIMILARITY = 5, 10, 4, 0.8
+WIDTH, BANDS, BOTTOM, SIMILARITY = 5, 14, 4, 0.8
 # Counters that order 5-grams by how rare they are, and rows of a 5-gram that one block of comparisons holds.
 SLOTS, BLOCK = 1 << 16, 1024
-# Lines of SHORT characters or more, with at least one blank in SPARSE characters, take shingles at word starts;
-# those under LONG, or with fewer blanks than one in DENSE, take all.
-SHORT, LONG, SPARSE, DENSE = 90, 120, 14, 10
-
-
-def _bands(line: str, kind: int, pattern: str) -> str:
-    """For each of BANDS points in the circle of hashes, the BOTTOM next shingle hashes from there on, as one key."""
-    hashes = f"sort_array(array_distinct(transform(regexp_extract_all({line}, '{pattern}', 1), s -> xxhash64(s))))"
-    step = (1 << 64) // BANDS
-    starts = ", ".join(f"{-(1 << 63) + k * step + 1}L" for k in range(BANDS))
-    return f"transform(array({hashes}), h -> array_distinct(transform(array({starts}), c -> xxhash64({kind}, slice(concat(filter(h, x -> x >= c), h), 1, {BOTTOM})))))[0]"
 
 
 def _keys(line: str) -> Column:
-    blanks = f"(length({line}) - length(replace({line}, ' ', '')))"
-    at_words = _bands(line, 1, "(?s)(?:^|(?<= ))(?=(.{8}))")
-    everywhere = _bands(line, 2, f"(?s)(?=(.{{{WIDTH}}}))")
-    takes_words = f"length({line}) >= {SHORT} AND {blanks} * {SPARSE} >= length({line})"
-    takes_all = f"length({line}) >= {WIDTH} AND (length({line}) < {LONG} OR {blanks} * {DENSE} < length({line}))"
-    return F.expr(f"concat(CASE WHEN {takes_words} THEN {at_words} ELSE array() END, CASE WHEN {takes_all} THEN {everywhere} ELSE array() END)")
+    """For each of BANDS points in the circle of hashes, the BOTTOM next 5-gram hashes from there on, as one key."""
+    step = (1 << 64) // BANDS
+    starts = [-(1 << 63) + k * step + 1 for k in range(BANDS)]
+    points = ", ".join(f"{c}L" for c in starts)
+    # s: hashes and points in one order, so that the place of a point in s, less the points before it, is the place of the next hash
+    keys = ", ".join(f"xxhash64(slice(hh, cast(array_position(s, {c}L) AS int) - {k}, {BOTTOM}))" for k, c in enumerate(starts))
+    return F.expr(f"""CASE WHEN length({line}) >= {WIDTH} THEN
+        transform(array(array_sort({_shingles(line)})), h -> transform(array(concat(h, h)), hh -> transform(array(array_sort(concat(h, array({points})))), s -> array_distinct(array({keys})))[0])[0])[0] END""")
 
 
 def _shingles(line: str) -> str:
