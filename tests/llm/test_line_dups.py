@@ -13,7 +13,7 @@ def brute(docs):
     for i, t in docs:
         if i is not None and t is not None and (i, t) not in seen:
             seen.add((i, t))
-            lines += [((i, n), x.strip(" ").lower()) for n, x in enumerate(t.split("\n")) if x.strip(" ")]
+            lines += [((i, n), x.strip(L.BLANKS).lower()) for n, x in enumerate(t.split("\n")) if x.strip(L.BLANKS)]
     lines.sort()
     sets = [{x[k : k + 5] for k in range(len(x) - 4)} for _, x in lines]
     root = list(range(len(lines)))
@@ -102,7 +102,7 @@ def test_copies_apart_in_a_hot_bucket(spark):
     assert len(want) > 100 and gone == set(want)
 
 
-def test_long_lines_share_keys(spark):
+def test_long_lines_share_keys():
     """Pairs of 200 to 400 characters with a similarity of 0.80 to 0.85."""
     deal = random.Random(5)
     words = ["".join(deal.choices("abcdefghijklmnopqrstuvwxyz", k=deal.randint(2, 8))) for _ in range(3000)]
@@ -117,5 +117,34 @@ def test_long_lines_share_keys(spark):
         x, y = grams(a), grams(b)
         if 0.8 <= len(x & y) / len(x | y) < 0.85:
             rows.append((a, b))
-    shared = spark.createDataFrame(rows, "a string, b string").select(L._keys("a").alias("a"), L._keys("b").alias("b")).where("arrays_overlap(a, b)").count()
+    shared = sum(bool(set(x.tolist()) & set(y.tolist())) for x, y in zip(L.line_keys([a for a, _ in rows])[1], L.line_keys([b for _, b in rows])[1]))
     assert shared >= 980
+
+
+def test_short_lines_share_keys():
+    deal = random.Random(6)
+    grams = lambda t: {t[k : k + 5] for k in range(len(t) - 4)}
+    pairs = []
+    while len(pairs) < 1000:
+        a = "".join(deal.choices("abcdefghijklmnopqrstuvwxyz ", k=deal.randint(30, 90)))
+        k = deal.randrange(len(a))
+        b = a[:k] + "0" * deal.randint(0, 4) + a[k + deal.randint(0, 4) :]
+        if len(grams(b)) and 0.8 <= len(grams(a) & grams(b)) / len(grams(a) | grams(b)) < 1:
+            pairs.append((a, b))
+    shared = sum(bool(set(x.tolist()) & set(y.tolist())) for x, y in zip(L.line_keys([a for a, _ in pairs])[1], L.line_keys([b for _, b in pairs])[1]))
+    assert shared >= 980
+
+
+def test_recall_on_the_corpus(spark):
+    """All lines of a corpus against brute force by an inverted index: superfluous lines found, and none too many."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    got = {(r.doc_id, n) for r in L.removed_by_document(docs).collect() for n in r.removed}
+    want = {(i, n) for i, v in brute([(r.doc_id, r.text) for r in docs.collect()]).items() for n in v}
+    assert len(want) > 100 and len(got & want) >= 0.996 * len(want) and len(got - want) <= 0.002 * len(want)
+
+
+def test_prefix_filter_gives_the_same(spark, docs, monkeypatch):
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    one = sorted((str(r.doc_id), r.removed) for r in L.removed_by_document(df).collect())
+    monkeypatch.setattr(L, "LARGE", 0)
+    assert sorted((str(r.doc_id), r.removed) for r in L.removed_by_document(df).collect()) == one

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -13,16 +14,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Texts are handled in slices of about this many characters, so that memory stays bounded
 # whatever the size of an Arrow batch.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 600_000
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where that is unset (tests, one machine) a temporary folder stands in for it.
+    Only where that is unset and everything runs in one process (tests, one machine) a temporary folder stands in for it;
+    on a cluster a machine's own folder would lose rows, so there the setting is demanded.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         import tempfile
 
         path = "file://" + tempfile.mkdtemp(prefix="tidewater-")
@@ -31,21 +35,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Cuts the lineage: writes df as Parquet into the shared folder and reads it again."""
+    """Cuts the lineage: writes df as Parquet into the shared folder and reads it again.
+
+    The files stay until drop_settled() or drop_all_settled(), since results that are not written yet may read them.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidewater-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/tidewater-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_settled(df: DataFrame) -> None:
-    """Removes the files of a table that settle() wrote and no one needs any more."""
-    spark = df.sparkSession
-    jvm, base = spark._jvm, shared_dir(spark)
-    for name in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/tidewater-" in name:
-            path = jvm.org.apache.hadoop.fs.Path(f"{base.rstrip('/')}/{name.rpartition('/')[2]}")
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _delete(spark: SparkSession, names) -> None:
+    base = shared_dir(spark).rstrip("/")
+    for name in names:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def drop_settled(*tables: DataFrame) -> None:
+    """Removes the files of tables that settle() wrote and no one needs any more."""
+    for df in tables:
+        folders = {f.rpartition("/")[0].rpartition("/")[2] for f in df.inputFiles()}
+        _delete(df.sparkSession, (f for f in folders if f.startswith("tidewater-")))
+
+
+def drop_all_settled(spark: SparkSession) -> None:
+    """Removes all tables that settle() wrote in this application: for callers whose results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in found]
+    _delete(spark, (n for n in names if n.startswith(f"tidewater-{spark.sparkContext.applicationId}-")))
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
@@ -65,7 +84,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.Re
 class WordHash(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
-    BOUND = 400_000
+    BOUND = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
@@ -127,22 +146,30 @@ def near_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return _marked(df, column, keys).where("__near").drop("__near")
 
 
+def told_apart(df: DataFrame, column: str, keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """df in two: rows whose `column` may stand in `keys` (all that do, and a few more), and rows whose does not."""
+    marked = _marked(df, column, keys)
+    return marked.where("__near").drop("__near"), marked.where("NOT __near").drop("__near")
+
+
 def without_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     """The rows of df whose `column` does not stand in `keys`; only rows that may stand there are moved."""
-    marked = _marked(df, column, keys)
-    perhaps = marked.where("__near").join(keys, marked[column] == keys[keys.columns[0]], "left_anti")
-    return marked.where("NOT __near").union(perhaps).drop("__near")
+    perhaps, rest = told_apart(df, column, keys)
+    return rest.union(perhaps.join(keys, perhaps[column] == keys[keys.columns[0]], "left_anti"))
 
 
-def with_least(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    """rows with the least `value` of their key group as `name`.
+def with_least(rows: DataFrame, keys: list[str], value: str, name: str, several: bool = False) -> DataFrame:
+    """rows with the least `value` of their key group as `name`; with `several`, only rows of groups of two and more.
 
     The minimum is pre-aggregated where the rows are.  Groups of more than a 256th of all rows (so 256 at most, which
     are broadcast) are dealt over 64 salts before the join, so no task gets a hot group whole.
     """
     from pyspark.sql import functions as F
 
-    least = settle(rows.groupBy(*keys).agg(F.min(value).alias(name), F.count("*").alias("__n")))
+    least = rows.groupBy(*keys).agg(F.min(value).alias(name), F.count("*").alias("__n"))
+    least = settle(least.where("__n > 1") if several else least)
+    if several:
+        rows = near_keys(rows, keys[0], least.select(keys[0]).distinct() if len(keys) > 1 else least.select(keys[0]))
     total = least.agg(F.sum("__n")).first()[0] or 0
     hot = F.broadcast(least.where(F.col("__n") > max(1000, total // 256)).select(*keys, F.lit(True).alias("__hot")))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(value, F.lit(9)), F.lit(64))).otherwise(0).cast("int")

@@ -16,8 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .graph import components
-from .ngram_join import spanning
+from .graph import components, spanning
 
 PASSES, WINDOW, BITS, BLOCK, SEED = 24, 32, 63, 128, 20
 

@@ -37,3 +37,20 @@ def components(edges: DataFrame) -> DataFrame:
             break
         before = mark
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").cast(kind).alias("node"), F.col("v").alias("root")).distinct())
+
+
+def spanning(ids: list, pairs) -> list[tuple]:
+    """(id, smallest id of its tree) for every id that a pair touches and that is not its own root."""
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+    return [(x, find(x)) for x in list(root) if find(x) != x]

@@ -1,41 +1,132 @@
-"""Fuzzy line deduplication by MinHash, with DataFrame operations only.
+"""Fuzzy line deduplication by MinHash.
 
 Lines (lower-cased, trimmed) that are equal fold first.  Each distinct line gets bands of a one-permutation MinHash over
-character 5-grams: the BOTTOM next hashes after each of BANDS points make a key, so a pair of similarity J shares one with a
-chance of about J ** BOTTOM.  The shingles are the 5-grams whose Jaccard similarity decides, all of them.  Lines that share
-a key are compared with the first of that key; where this leaves a key's lines in several components, an exact prefix
-filter (Chaudhuri et al. 2006) brings together whatever else can be similar.  Candidates are verified by the exact
-Jaccard similarity of their sets of character 5-grams, and distributed union-find keeps the first line of each component.
+its character 5-grams: the BOTTOM next hashes after each of BANDS points make a key, so a pair of similarity J shares one with
+a chance of about 1 - (1 - J ** BOTTOM) ** BANDS.  Lines that share a key are compared with the first of that key; the lines
+of keys that this leaves in several components meet in blocks, and those of keys with very many lines by an exact prefix
+filter (Chaudhuri et al. 2006).  Candidates are verified by the exact Jaccard similarity of their sets of
+character 5-grams, and distributed union-find keeps the first line of each component.
+
+Shingles are hashed and compared in numpy on Arrow batches; everything else is DataFrame operations.  The README has the
+figures of the form without Python that this replaces.
 """
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, near_keys, settle, with_least, without_keys
-from .graph import components
+from .common import drop_settled, mixed, near_keys, settle, told_apart, with_least, without_keys
+from .graph import components, spanning
+
+WIDTH, BANDS, BOTTOM, SIMILARITY = 5, 18, 6, 0.8
+# Lines of up to SHORT 5-grams have keys of FEW hashes, for lack of longer runs in common; a line that may be close to one of
+# more than SHORT has keys of BOTTOM hashes (too), so close lines always have a kind in common.
+SHORT, FEW = 60, 3
+# Lines in a block of comparisons; keys of more lines than LARGE go through the prefix filter.
+BLOCK, LARGE = 128, 4096
+# Counters that order 5-grams by how rare they are; a fixed size, since any order keeps all pairs.
+SLOTS = 1 << 16
+# Characters that are handled at once.
+PIECE = 400_000
+# What is cut off either end of a line, and makes a line blank.
+BLANKS = " \t\r\x0b\x0c"
+_FACTORS = mixed(np.arange(WIDTH, dtype=np.uint64), 31) | np.uint64(1)
+_POINTS = np.arange(BANDS, dtype=np.uint64) * np.uint64((1 << 40) // BANDS)
+
+
+def gram_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all runs of WIDTH characters, line after line, and how many each line has."""
+    chars = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    sizes = np.fromiter(map(len, lines), dtype=np.int64, count=len(lines))
+    counts = np.maximum(sizes - WIDTH + 1, 0)
+    if not counts.sum():
+        return np.zeros(0, dtype=np.uint64), counts
+    with np.errstate(over="ignore"):
+        h = chars[: len(chars) - WIDTH + 1] * _FACTORS[0]
+        for k in range(1, WIDTH):
+            h += chars[k : len(chars) - WIDTH + 1 + k] * _FACTORS[k]
+    # runs that begin in the last characters of a line reach into the next one
+    starts = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(counts) - counts), counts)
+    return mixed(h[starts + np.arange(len(starts))]), counts
+
+
+def gram_sets(lines: list[str]) -> list[np.ndarray]:
+    """The sorted distinct 5-gram hashes of each line."""
+    h, counts = gram_hashes(lines)
+    return [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])] if lines else []
+
+
+def line_keys(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """How many distinct 5-grams each line has, and its keys."""
+    h, counts = gram_hashes(lines)
+    top = np.uint64(40)
+    ring = np.unique((np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << top) | (h >> np.uint64(24)))
+    n = np.bincount((ring >> top).astype(np.int64), minlength=len(lines))
+    start = np.cumsum(n) - n
+    out = np.zeros((len(lines), 2 * BANDS), dtype=np.uint64)
+    some = np.flatnonzero(n)
+    # the first hash after each point, going round
+    at = np.searchsorted(ring, (some.astype(np.uint64)[:, None] << top) | _POINTS) - start[some][:, None]
+    for kind, run in enumerate((BOTTOM, FEW)):
+        key = np.full(at.shape, run, dtype=np.uint64)
+        for j in range(run):
+            key = mixed(key ^ (ring[start[some][:, None] + (at + j) % n[some][:, None]] & np.uint64((1 << 40) - 1)), j)
+        out[some, kind * BANDS : (kind + 1) * BANDS] = key
+    long, short = n > int(SHORT * SIMILARITY), (n <= SHORT) & (n > 0)
+    return n, [np.unique(row[: BANDS if not s else None] if b else row[BANDS:] if s else row[:0]) for row, b, s in zip(out, long, short)]
 
-WIDTH, BANDS, BOTTOM, SIMILARITY = 5, 14, 4, 0.8
-# Counters that order 5-grams by how rare they are, and rows of a 5-gram that one block of comparisons holds.
-SLOTS, BLOCK = 1 << 16, 1024
 
+def _pieces(lines: list[str]):
+    """Begin and end of stretches of about PIECE characters."""
+    cut = np.cumsum([len(x) for x in lines]) // PIECE
+    edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), len(lines)]
+    yield from zip(edges, edges[1:])
 
-def _keys(line: str) -> Column:
-    """For each of BANDS points in the circle of hashes, the BOTTOM next 5-gram hashes from there on, as one key."""
-    step = (1 << 64) // BANDS
-    starts = [-(1 << 63) + k * step + 1 for k in range(BANDS)]
-    points = ", ".join(f"{c}L" for c in starts)
-    # s: hashes and points in one order, so that the place of a point in s, less the points before it, is the place of the next hash
-    keys = ", ".join(f"xxhash64(slice(hh, cast(array_position(s, {c}L) AS int) - {k}, {BOTTOM}))" for k, c in enumerate(starts))
-    return F.expr(f"""CASE WHEN length({line}) >= {WIDTH} THEN
-        transform(array(array_sort({_shingles(line)})), h -> transform(array(concat(h, h)), hh -> transform(array(array_sort(concat(h, array({points})))), s -> array_distinct(array({keys})))[0])[0])[0] END""")
 
+def close(a: np.ndarray, b: np.ndarray, both: np.ndarray) -> np.ndarray:
+    """Whether sets of sizes a and b with `both` common members reach SIMILARITY (8 to 10), in whole numbers."""
+    return (a > 0) & (b > 0) & (18 * both >= 8 * (a + b))
 
-def _shingles(line: str) -> str:
-    return f"array_distinct(transform(regexp_extract_all({line}, '(?s)(?=(.{{{WIDTH}}}))', 1), s -> xxhash64(s)))"
+
+def linked_lines(left: list[np.ndarray], right: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Places of the pairs (left, right) of 5-gram sets that reach SIMILARITY, by an array of marks for each set of `left`."""
+    if not left or not right:
+        return []
+    sizes = np.array([len(x) for x in right])
+    known, coded = np.unique(np.concatenate(right), return_inverse=True)
+    starts = np.cumsum(sizes) - sizes
+    some = np.flatnonzero(sizes)
+    out = []
+    for i, x in enumerate(left):
+        if not len(x) or not len(known):
+            continue
+        at = np.searchsorted(known, x)
+        at = at[known[np.minimum(at, len(known) - 1)] == x] if len(known) else at[:0]
+        mark = np.zeros(len(known), dtype=np.int64)
+        mark[at[at < len(known)]] = 1
+        both = np.add.reduceat(mark[coded], starts[some])
+        out += [(i, j) for j in some[close(len(x), sizes[some], both)].tolist()]
+    return out
+
+
+def with_keys(lines: DataFrame) -> DataFrame:
+    """node, n (distinct 5-grams) and keys of lines (node, line); lines of fewer than WIDTH characters are left out."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in _pieces(texts):
+                n, keys = line_keys(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64()))], names=["node", "n", "keys"])
+
+    node = lines.schema["node"].dataType.simpleString()
+    return lines.select("node", "line").where(f"length(line) >= {WIDTH}").mapInArrow(run, f"node {node}, n int, keys array<long>")
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -60,7 +151,7 @@ def _lines(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
         fields = [F.shiftright("node", bits).alias("id"), F.lit(0).cast("long").alias("copy"), F.col("node").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("line_no")]
     else:
         node, fields = F.struct("id", "copy", "line_no"), [F.col("node.id"), F.col("node.copy"), F.col("node.line_no")]
-    return cut.select(node.alias("node"), F.lower(F.trim("raw")).alias("line")).where("line <> ''"), fields
+    return cut.select(node.alias("node"), F.lower(F.expr(f"trim(BOTH '{BLANKS}' FROM raw)")).alias("line")).where("line <> ''"), fields
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -73,43 +164,107 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     rows = _rows(docs, id_col, text_col)
     lines, fields = _lines(rows)
-    lines = lines.withColumn("h1", F.xxhash64("line")).withColumn("h2", F.xxhash64(F.lit(1), F.col("line")))
-    exact = settle(with_least(lines.select("node", "h1", "h2"), ["h1", "h2"], "node", "keeper").where(F.col("node") != F.col("keeper")).select("node"))
-    fresh = without_keys(lines.select("node", "line"), "node", exact)
-    keyed = settle(fresh.select("node", F.explode_outer(_keys("line")).alias("key")).where("key IS NOT NULL"))
-    several = settle(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    shared = settle(with_least(near_keys(keyed, "key", several), ["key"], "node", "lead"))
+    hashed = lines.select("node", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    exact = settle(with_least(hashed, ["h1", "h2"], "node", "keeper", several=True).where(F.col("node") != F.col("keeper")).select("node"))
+    keyed = settle(with_keys(without_keys(lines, "node", exact)))
+    rows = keyed.select(F.struct("node", "n").alias("at"), F.explode("keys").alias("key"))
+    shared = settle(with_least(rows, ["key"], "at", "lead", several=True))
     drop_settled(keyed)
-    drawn = shared.where("node <> lead").select(F.col("node").alias("b"), F.col("lead").alias("a")).distinct()
-    linked = settle(verified(settle(drawn), lines.select("node", "line")))
-    more = verified(_others(shared, settle(components(linked)), lines), lines.select("node", "line"))
-    groups = components(linked.union(more))
+    drawn = shared.where("at <> lead").where(_sizes("at.n", "lead.n")).select(F.col("at.node").alias("b"), F.col("lead.node").alias("a")).distinct()
+    linked = settle(verified(settle(drawn), lines))
+    few, many = _open(shared, settle(components(linked)))
+    groups = components(linked.union(_in_blocks(few, lines)).union(verified(_by_prefix(many, lines), lines)))
     return exact.union(groups.where("node <> root").select("node")).select(*fields)
 
 
-def _others(shared: DataFrame, joined: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines of different components, among the lines of keys that hold several components.
+def _sizes(a: str, b: str) -> str:
+    """Whether sets of sizes a and b can reach SIMILARITY."""
+    return f"least({a}, {b}) >= {SIMILARITY} * greatest({a}, {b}) - 1e-9"
+
+
+def _open(shared: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """key, node, root, main (the root of most rows), other (rows of other roots) and most (rows of that root) of the keys
+    whose lines but the first are in several components (the first one has met all); keys of up to LARGE lines, and the rest.
+
+    Of keys that hold the same lines one is enough.
+    """
+    at = shared.select("key", F.col("at.node").alias("node"), (F.col("at") == F.col("lead")).alias("leads")).join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    per_root = at.groupBy("key", "root").agg(F.count("*").alias("k"), F.sum(F.when(F.col("leads"), 0).otherwise(1)).alias("met"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
+    per_key = per_root.groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("met") > 0, 1).otherwise(0)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("most"), F.sum("mark").alias("mark")).where("roots > 1")
+    one = settle(per_key.groupBy("n", "mark").agg(F.min(F.struct("key", "main", "most")).alias("g")).select(F.col("g.key").alias("key"), F.col("g.main").alias("main"), F.col("g.most").alias("most"), (F.col("n") - F.col("g.most")).alias("other")))
+    rows = settle(near_keys(at.select("key", "node", "root"), "key", one.select("key")).join(one, "key"))
+    large = F.col("most") + F.col("other") > LARGE
+    return rows.where(~large), rows.where(large)
+
+
+def _in_blocks(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """The linked pairs (a, b), as forests, of lines of different roots that share a key; rows: see _open().
+
+    Lines of the main root meet only the others, which are few where a key is hot.
+    """
+    rows = rows.withColumn("isMain", F.expr("root = main")).withColumn("bm", F.ceil(F.col("most") / BLOCK).cast("int")).withColumn("bo", F.ceil(F.col("other") / BLOCK).cast("int"))
+    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), if(isMain, bm, bo)) AS int)"))
+    # cells (i, j): block i of the others with block j of the others, or of the main root (numbered from bo on)
+    cells = F.expr("""CASE WHEN isMain THEN transform(sequence(0, bo - 1), i -> struct(i, bo + block AS j))
+        ELSE transform(sequence(0, bo + bm - 1), k -> struct(least(k, block) AS i, greatest(k, block) AS j)) END""")
+    placed = rows.select("key", "node", "root", F.expr("if(isMain, bo + block, block)").alias("block"), F.explode(cells).alias("cell"))
+    text = near_keys(lines, "node", settle(rows.select("node").distinct()))
+    met = placed.join(text, "node").select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "node", "root", "block", "line")
+    kind = met.schema["node"].dataType.simpleString()
+    named = met.select("key", "i", "j", F.to_json(F.struct("node")).alias("name"), "root", "block", "line") if kind.startswith("struct") else met.withColumnRenamed("node", "name")
+    code = "string" if kind.startswith("struct") else kind
+
+    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        roots, _ = pd.factorize(pdf.root.map(str))
+        names, block, sets = pdf.name.tolist(), pdf.block.to_numpy(), gram_sets(pdf.line.tolist())
+        left, right = np.flatnonzero(block == key[1].item()), np.flatnonzero(block == key[2].item())
+        pairs = [(left[x], right[y]) for x, y in linked_lines([sets[k] for k in left], [sets[k] for k in right])]
+        return pd.DataFrame(spanning(names, [(names[x], names[y]) for x, y in pairs if roots[x] != roots[y]]), columns=["a", "b"])
+
+    found = named.groupBy("key", "i", "j").applyInPandas(compare, f"a {code}, b {code}")
+    if kind.startswith("struct"):
+        found = found.select(*(F.from_json(c, f"node {kind}").getField("node").alias(c) for c in "ab"))
+    return settle(found)
+
+
+def _by_prefix(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Pairs (a, b) of lines of different components that can be similar; rows: see _open().
 
     With 5-grams in one order for all lines, rare ones first, the first one that two similar lines share has enough of
     either line behind it; so pairs meet at the head of their lines, where a passage that many lines hold does not stand.
     Every pair of similar lines comes; those of a 5-gram's largest component meet only the other ones.
     """
-    at = shared.join(joined, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    mixed = settle(at.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("n > 2 AND lo <> hi").select("key"))
-    ends = settle(near_keys(at, "key", mixed).select("node", "root").distinct())
-    held = settle(near_keys(lines.select("node", "line"), "node", ends.select("node")).join(ends, "node"))
-    counts = held.select(F.explode(F.expr(_shingles("line"))).alias("gram")).groupBy(F.pmod("gram", F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count("*").alias("n")).collect()  # SLOTS rows at most
-    rarity = bytearray(SLOTS)
-    for r in counts:
-        rarity[r["slot"]] = min(255, int(8 * math.log2(r["n"])))
-    ranked = F.array_sort(F.transform(F.expr(_shingles("line")), lambda g: F.struct(F.substr(F.lit(bytes(rarity)), F.pmod(g, F.lit(SLOTS)).cast("int") + 1, F.lit(1)).alias("c"), g.alias("gram"))))
-    head = F.transform(F.array(ranked), lambda x: F.struct(F.size(x).alias("n"), F.slice(x, 1, F.size(x) - F.ceil(SIMILARITY * F.size(x) - 1e-9).cast("int") + 1).alias("head")))[0]
-    heads = held.select("node", "root", F.explode(F.array(head)).alias("h")).where("h.n > 0").select("node", "root", F.col("h.n").alias("n"), F.posexplode("h.head").alias("pos", "x"))
-    rows = settle(heads.select("node", "root", "n", "pos", F.col("x.gram").alias("gram")))
+    ends = settle(rows.select("node", "root").distinct())
+    node, root = (ends.schema[c].dataType.simpleString() for c in ("node", "root"))
+    held = settle(near_keys(lines, "node", ends.select("node")).join(ends, "node").select("node", "root", "line"))
+
+    def grams(batches):
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in _pieces(texts):
+                slots = [x % np.uint64(SLOTS) for x in gram_sets(texts[a:b])]
+                slot, n = np.unique(np.concatenate(slots), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n, pa.int64())], names=["slot", "n"])
+
+    rarity = np.zeros(SLOTS, dtype=np.int64)
+    for r in held.select("line").mapInArrow(grams, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect():  # SLOTS rows at most
+        rarity[r["slot"]] = int(8 * math.log2(r["n"]))
+
+    def heads(batches):
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            for a, b in _pieces(texts):
+                sets = gram_sets(texts[a:b])
+                first = [x[np.lexsort((x, rarity[x % np.uint64(SLOTS)]))][: len(x) - (8 * len(x) + 9) // 10 + 1].view(np.int64) for x in sets]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array([len(x) for x in sets], pa.int32()), pa.array(first, pa.list_(pa.int64()))], names=["node", "root", "n", "head"])
+
+    found = settle(held.mapInArrow(heads, f"node {node}, root {root}, n int, head array<long>").where("n > 0"))
+    drop_settled(held)
+    rows = found.select("node", "root", "n", F.posexplode("head").alias("pos", "gram"))
     spots = rows.groupBy("gram", "root").agg(F.count("*").alias("k")).groupBy("gram").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.sum("k").alias("k"), F.count("*").alias("roots"))
-    spots = settle(spots.where("roots > 1").select("gram", "main", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
+    spots = settle(spots.where("roots > 1").select("gram", "main", F.ceil(F.col("k") / 1024).cast("int").alias("blocks")))
     met = settle(near_keys(rows, "gram", spots.select("gram")).join(spots, "gram"))
-    drop_settled(rows)
+    drop_settled(found)
     one = met.where("root <> main").select("gram", F.col("node").alias("a"), F.col("root").alias("ra"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"))
     two = met.select("gram", F.col("node").alias("b"), F.col("root").alias("rb"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.expr("cast(pmod(xxhash64(node, 7), blocks) AS int)").alias("block"))
     enough = F.expr(f"ra <> rb AND least(na - pa, nb - pb) * {1 + SIMILARITY} >= {SIMILARITY} * (na + nb) - 1e-9")
@@ -118,16 +273,22 @@ def _others(shared: DataFrame, joined: DataFrame, lines: DataFrame) -> DataFrame
 
 
 def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) of lines whose shingle sets reach SIMILARITY."""
+    """The pairs (a, b) of lines whose 5-gram sets reach SIMILARITY."""
     ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     near = near_keys(lines, "node", ends)
     a = pairs.join(near.select(F.col("node").alias("a"), F.col("line").alias("la")), "a")
-    both = a.join(near.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b").where("least(length(la), length(lb)) >= 1")
-    # nested lambdas hold the two sets, so that each is made once
-    share = f"""transform(array({_shingles("la")}), sa -> transform(array({_shingles("lb")}), sb ->
-        CASE WHEN least(size(sa), size(sb)) >= {SIMILARITY} * greatest(size(sa), size(sb)) AND size(sa) > 0
-        THEN size(array_intersect(sa, sb)) * {1 + SIMILARITY} - {SIMILARITY} * (size(sa) + size(sb)) ELSE -1 END)[0])[0]"""
-    return both.select("a", "b", F.expr(share).alias("over")).where("over >= -1e-9").select("a", "b")
+    both = a.join(near.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b").select("a", "b", "la", "lb")
+    node = both.schema["a"].dataType.simpleString()
+
+    def run(batches):
+        for batch in batches:
+            left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for a, b in _pieces([x + y for x, y in zip(left, right)]):
+                pairs = zip(gram_sets(left[a:b]), gram_sets(right[a:b]))
+                good = [bool(close(len(x), len(y), len(x) + len(y) - len(np.unique(np.concatenate([x, y]))))) for x, y in pairs]
+                yield batch.select([0, 1]).slice(a, b - a).filter(pa.array(good, pa.bool_()))
+
+    return both.mapInArrow(run, f"a {node}, b {node}")
 
 
 def removed_by_document(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,10 +307,15 @@ def removed_by_document(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table with superfluous lines cut out of its texts; texts of which nothing but blank lines is left go.
 
-    Rows without an id or text stay as they are.
+    Rows without an id or text stay as they are.  Only rows of documents that lose lines are moved.
     """
-    gone = duplicate_lines(docs, id_col, text_col).groupBy("id", "copy").agg(F.collect_list("line_no").alias("__gone")).select(F.col("id").alias("__id"), F.col("copy").alias("__copy"), "__gone")
-    marked = docs.join(gone, (F.col(id_col).cast("long") == F.col("__id")) & ((F.col("__copy") == 0) | (F.col("__copy") == F.xxhash64(text_col))), "left")
-    left = F.expr(f"array_join(filter(split(`{text_col}`, '\\n'), (x, i) -> NOT array_contains(__gone, i)), '\\n')")
-    cut = marked.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(left))
-    return cut.where(F.col("__gone").isNull() | (F.trim(F.regexp_replace(text_col, "\\s+", "")) != "")).select(*docs.columns)
+    gone = settle(duplicate_lines(docs, id_col, text_col).groupBy("id", "copy").agg(F.collect_list("line_no").alias("gone")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct("*").alias("row"))
+    touched, rest = told_apart(rows, "id", gone.select("id").distinct())
+    marked = touched.join(gone, (touched["id"] == gone["id"]) & ((gone["copy"] == 0) | (gone["copy"] == F.xxhash64("text"))), "left").select("text", "row", "gone")
+    # the numbers that stay, and the lines at them: nested lambdas name the split text once
+    left = "array_join(transform(array(split(text, '\\n')), x -> transform(array_except(sequence(0, size(x) - 1), gone), i -> x[i]))[0], '\\n')"
+    cut = marked.select("row", F.col("gone").isNull().alias("whole"), F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.expr(left)).alias("text"))
+    cut = cut.where(F.col("whole") | F.col("text").rlike("[^\\s]"))
+    kept = [F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return cut.select(*kept).union(rest.select("row.*"))

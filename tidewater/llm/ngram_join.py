@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import WordHash, mixed, near_keys, settle, shingle_hashes, slices, with_least, without_keys
-from .graph import components
+from .graph import components, spanning
 
 # Counters of member_counts(): 32 MB whatever the input, moved in so many chunks.
 COUNTERS, CHUNKS = 1 << 24, 256
@@ -212,23 +212,6 @@ class Trie:
         return self.order[np.concatenate(out)] if out else np.zeros(0, dtype=np.int64)
 
 
-def spanning(ids: list, pairs) -> list[tuple]:
-    """(id, smallest id of its tree) for every id that a pair touches and that is not its own root."""
-    root = {}
-
-    def find(x):
-        while root.setdefault(x, x) != x:
-            root[x] = root[root[x]]
-            x = root[x]
-        return x
-
-    for a, b in pairs:
-        a, b = find(a), find(b)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-    return [(x, find(x)) for x in list(root) if find(x) != x]
-
-
 def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_shingles and component_id (the smallest id reachable over links, itself included) of every document.
 
