@@ -99,10 +99,19 @@ class WordHash(dict):
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective scrambling of 64-bit numbers (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):
-        x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) % 2**64)
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return x ^ (x >> np.uint64(31))
+        y = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) % 2**64)
+        y ^= y >> np.uint64(30)
+        y *= np.uint64(0xBF58476D1CE4E5B9)
+        y ^= y >> np.uint64(27)
+        y *= np.uint64(0x94D049BB133111EB)
+        y ^= y >> np.uint64(31)
+        return y
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; np.unique() without counts goes through a hash table, which is far slower on numbers."""
+    x = np.sort(x)
+    return x[np.append(True, x[1:] != x[:-1])] if len(x) else x
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
@@ -166,10 +175,12 @@ def with_least(rows: DataFrame, keys: list[str], value: str, name: str, several:
     """
     from pyspark.sql import functions as F
 
+    if several:
+        # counted first: most keys stand alone, and only rows of the others are handled any further
+        more = settle(rows.groupBy(*keys).count().where("count > 1").select(*keys))
+        rows = near_keys(rows, keys[0], more if len(keys) == 1 else more.select(keys[0]).distinct())
     least = rows.groupBy(*keys).agg(F.min(value).alias(name), F.count("*").alias("__n"))
     least = settle(least.where("__n > 1") if several else least)
-    if several:
-        rows = near_keys(rows, keys[0], least.select(keys[0]).distinct() if len(keys) > 1 else least.select(keys[0]))
     total = least.agg(F.sum("__n")).first()[0] or 0
     hot = F.broadcast(least.where(F.col("__n") > max(1000, total // 256)).select(*keys, F.lit(True).alias("__hot")))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(value, F.lit(9)), F.lit(64))).otherwise(0).cast("int")

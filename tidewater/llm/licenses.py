@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mixed, shingle_hashes, slices
+from .common import WordHash, distinct, mixed, shingle_hashes, slices
 from .toxicity import _APART
 
 WIDTH, CONTAINMENT, MISS = 5, 0.8, 1e-6
@@ -45,7 +45,7 @@ class Scanner:
     def __init__(self, templates: dict[str, str]):
         self.table = WordHash()
         self.names = list(templates)
-        self.sets = [np.unique(shingles(templates[n], self.table)) for n in self.names]
+        self.sets = [distinct(shingles(templates[n], self.table)) for n in self.names]
         self.halves: dict[int, list[int]] = {}
         for k, s in enumerate(self.sets):
             if len(s):
@@ -94,7 +94,7 @@ class Scanner:
                 for d in range(int(np.searchsorted(ends, since, side="right")), int(np.searchsorted(ends, to - 1, side="right")) + 1):
                     lo, hi = max(since, int(ends[d]) - len(parts[d])), min(to, int(ends[d]))
                     inside = np.isin(h[lo:hi], self.sets[ks[j]])
-                    share = len(np.unique(h[lo:hi][inside])) / len(self.sets[ks[j]])
+                    share = len(distinct(h[lo:hi][inside])) / len(self.sets[ks[j]])
                     if share >= CONTAINMENT:
                         found.append((d, ks[j], lo + int(np.argmax(inside)) - (int(ends[d]) - len(parts[d])), share, half))
         found.sort()

@@ -21,7 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_settled, mixed, near_keys, settle, told_apart, with_least, without_keys
+from .buckets import in_cells, open_keys
+from .common import distinct, drop_settled, mixed, near_keys, settle, told_apart, with_least, without_keys
 from .graph import components, spanning
 
 WIDTH, BANDS, BOTTOM, SIMILARITY = 5, 18, 6, 0.8
@@ -33,7 +34,7 @@ BLOCK, LARGE = 128, 4096
 # Counters that order 5-grams by how rare they are; a fixed size, since any order keeps all pairs.
 SLOTS = 1 << 16
 # Characters that are handled at once.
-PIECE = 400_000
+PIECE = 100_000
 # What is cut off either end of a line, and makes a line blank.
 BLANKS = " \t\r\x0b\x0c"
 _FACTORS = mixed(np.arange(WIDTH, dtype=np.uint64), 31) | np.uint64(1)
@@ -59,17 +60,17 @@ def gram_hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
 def gram_sets(lines: list[str]) -> list[np.ndarray]:
     """The sorted distinct 5-gram hashes of each line."""
     h, counts = gram_hashes(lines)
-    return [np.unique(x) for x in np.split(h, np.cumsum(counts)[:-1])] if lines else []
+    return [distinct(x) for x in np.split(h, np.cumsum(counts)[:-1])] if lines else []
 
 
-def line_keys(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
-    """How many distinct 5-grams each line has, and its keys."""
+def line_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """How many distinct 5-grams each line has, how many distinct keys, and the keys of all lines in a row."""
     h, counts = gram_hashes(lines)
     top = np.uint64(40)
-    ring = np.unique((np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << top) | (h >> np.uint64(24)))
+    ring = distinct((np.repeat(np.arange(len(lines), dtype=np.uint64), counts) << top) | (h >> np.uint64(24)))
     n = np.bincount((ring >> top).astype(np.int64), minlength=len(lines))
     start = np.cumsum(n) - n
-    out = np.zeros((len(lines), 2 * BANDS), dtype=np.uint64)
+    out, used = np.zeros((len(lines), 2, BANDS), dtype=np.uint64), np.zeros((len(lines), 2, BANDS), dtype=bool)
     some = np.flatnonzero(n)
     # the first hash after each point, going round
     at = np.searchsorted(ring, (some.astype(np.uint64)[:, None] << top) | _POINTS) - start[some][:, None]
@@ -77,9 +78,13 @@ def line_keys(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
         key = np.full(at.shape, run, dtype=np.uint64)
         for j in range(run):
             key = mixed(key ^ (ring[start[some][:, None] + (at + j) % n[some][:, None]] & np.uint64((1 << 40) - 1)), j)
-        out[some, kind * BANDS : (kind + 1) * BANDS] = key
-    long, short = n > int(SHORT * SIMILARITY), (n <= SHORT) & (n > 0)
-    return n, [np.unique(row[: BANDS if not s else None] if b else row[BANDS:] if s else row[:0]) for row, b, s in zip(out, long, short)]
+        key.sort(1)
+        out[some, kind] = key
+        used[some, kind, 1:] = key[:, 1:] != key[:, :-1]
+        used[some, kind, 0] = True
+    used[:, 0] &= (n > int(SHORT * SIMILARITY))[:, None]
+    used[:, 1] &= (n <= SHORT)[:, None]
+    return n, used.sum((1, 2)), out[used]
 
 
 def _pieces(lines: list[str]):
@@ -122,8 +127,8 @@ def with_keys(lines: DataFrame) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in _pieces(texts):
-                n, keys = line_keys(texts[a:b])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.array([k.view(np.int64) for k in keys], pa.list_(pa.int64()))], names=["node", "n", "keys"])
+                n, sizes, keys = line_keys(texts[a:b])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int32()), pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.array(keys.view(np.int64)))], names=["node", "n", "keys"])
 
     node = lines.schema["node"].dataType.simpleString()
     return lines.select("node", "line").where(f"length(line) >= {WIDTH}").mapInArrow(run, f"node {node}, n int, keys array<long>")
@@ -172,7 +177,9 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     drop_settled(keyed)
     drawn = shared.where("at <> lead").where(_sizes("at.n", "lead.n")).select(F.col("at.node").alias("b"), F.col("lead.node").alias("a")).distinct()
     linked = settle(verified(settle(drawn), lines))
-    few, many = _open(shared, settle(components(linked)))
+    rows = open_keys(shared, settle(components(linked)))
+    large = F.col("most") + F.col("other") > LARGE
+    few, many = rows.where(~large), rows.where(large)
     groups = components(linked.union(_in_blocks(few, lines)).union(verified(_by_prefix(many, lines), lines)))
     return exact.union(groups.where("node <> root").select("node")).select(*fields)
 
@@ -182,34 +189,10 @@ def _sizes(a: str, b: str) -> str:
     return f"least({a}, {b}) >= {SIMILARITY} * greatest({a}, {b}) - 1e-9"
 
 
-def _open(shared: DataFrame, joined: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """key, node, root, main (the root of most rows), other (rows of other roots) and most (rows of that root) of the keys
-    whose lines but the first are in several components (the first one has met all); keys of up to LARGE lines, and the rest.
-
-    Of keys that hold the same lines one is enough.
-    """
-    at = shared.select("key", F.col("at.node").alias("node"), (F.col("at") == F.col("lead")).alias("leads")).join(joined, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    per_root = at.groupBy("key", "root").agg(F.count("*").alias("k"), F.sum(F.when(F.col("leads"), 0).otherwise(1)).alias("met"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("mark"))
-    per_key = per_root.groupBy("key").agg(F.sum("k").alias("n"), F.sum(F.when(F.col("met") > 0, 1).otherwise(0)).alias("roots"), F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("most"), F.sum("mark").alias("mark")).where("roots > 1")
-    one = settle(per_key.groupBy("n", "mark").agg(F.min(F.struct("key", "main", "most")).alias("g")).select(F.col("g.key").alias("key"), F.col("g.main").alias("main"), F.col("g.most").alias("most"), (F.col("n") - F.col("g.most")).alias("other")))
-    rows = settle(near_keys(at.select("key", "node", "root"), "key", one.select("key")).join(one, "key"))
-    large = F.col("most") + F.col("other") > LARGE
-    return rows.where(~large), rows.where(large)
-
-
 def _in_blocks(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """The linked pairs (a, b), as forests, of lines of different roots that share a key; rows: see _open().
-
-    Lines of the main root meet only the others, which are few where a key is hot.
-    """
-    rows = rows.withColumn("isMain", F.expr("root = main")).withColumn("bm", F.ceil(F.col("most") / BLOCK).cast("int")).withColumn("bo", F.ceil(F.col("other") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.expr("cast(pmod(xxhash64(node, 7), if(isMain, bm, bo)) AS int)"))
-    # cells (i, j): block i of the others with block j of the others, or of the main root (numbered from bo on)
-    cells = F.expr("""CASE WHEN isMain THEN transform(sequence(0, bo - 1), i -> struct(i, bo + block AS j))
-        ELSE transform(sequence(0, bo + bm - 1), k -> struct(least(k, block) AS i, greatest(k, block) AS j)) END""")
-    placed = rows.select("key", "node", "root", F.expr("if(isMain, bo + block, block)").alias("block"), F.explode(cells).alias("cell"))
+    """The linked pairs (a, b), as forests, of lines of different roots that share a key; rows: see open_keys()."""
     text = near_keys(lines, "node", settle(rows.select("node").distinct()))
-    met = placed.join(text, "node").select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "node", "root", "block", "line")
+    met = in_cells(rows, BLOCK).join(text, "node").select("key", "i", "j", "node", "root", "block", "line")
     kind = met.schema["node"].dataType.simpleString()
     named = met.select("key", "i", "j", F.to_json(F.struct("node")).alias("name"), "root", "block", "line") if kind.startswith("struct") else met.withColumnRenamed("node", "name")
     code = "string" if kind.startswith("struct") else kind
@@ -228,7 +211,7 @@ def _in_blocks(rows: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def _by_prefix(rows: DataFrame, lines: DataFrame) -> DataFrame:
-    """Pairs (a, b) of lines of different components that can be similar; rows: see _open().
+    """Pairs (a, b) of lines of different components that can be similar; rows: see open_keys().
 
     With 5-grams in one order for all lines, rare ones first, the first one that two similar lines share has enough of
     either line behind it; so pairs meet at the head of their lines, where a passage that many lines hold does not stand.
@@ -285,7 +268,7 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
             left, right = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             for a, b in _pieces([x + y for x, y in zip(left, right)]):
                 pairs = zip(gram_sets(left[a:b]), gram_sets(right[a:b]))
-                good = [bool(close(len(x), len(y), len(x) + len(y) - len(np.unique(np.concatenate([x, y]))))) for x, y in pairs]
+                good = [bool(close(len(x), len(y), len(x) + len(y) - len(distinct(np.concatenate([x, y]))))) for x, y in pairs]
                 yield batch.select([0, 1]).slice(a, b - a).filter(pa.array(good, pa.bool_()))
 
     return both.mapInArrow(run, f"a {node}, b {node}")

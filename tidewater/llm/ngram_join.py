@@ -1,38 +1,33 @@
 """Exact Jaccard self-join of word n-gram sets by prefix trees.
 
 1. Equal sets fold into one representative, so copies cost nothing later.
-2. Routing keys: for sets of up to U members, two that reach the threshold differ in at most k members, so of k + 1
-   parts into which members are dealt by hash at least one is equal in both (the pigeonhole of PartEnum, Arasu et al.
-   2006).  Lengths fall into classes; a set sends the parts of its own class and of the next one.  A part holds
-   about ten members from anywhere in the text, so a passage that many documents share makes no hot key.
-   Below a similarity of about 0.86 parts would be too thin; there a set sends its first members in one global
-   order (prefix filtering), those that few documents hold first.  Counts from a sketch of fixed size over all texts
-   give the order, so that members of shared passages come last; any order keeps all links.
-3. Sets that share a key, directly or through others, form a family.  Every link lies within a family.
-4. Families are dealt in blocks.  One block's sets, in one global order, form a prefix tree; each set of the other
-   block descends it with a running overlap that all sets below share, and leaves a subtree when the overlap
-   and what remains on either side cannot reach the threshold.  Links leave the block as a spanning forest.
+2. Prefix filter: in one order of all members, rare ones first, two sets that reach the threshold share one of their first
+   few members, so these are a set's keys.  A sketch of fixed size over all texts gives the order.  Any order keeps all
+   links; at every size frequent members, such as those of passages that many documents share, come last.
+3. The sets at a key are compared with the first one of it, that of the smallest id: in blocks, a prefix tree over a block's
+   sets in one global order is descended by the first set, with a running overlap that all sets below a node share, and left
+   where the overlap and what remains on either side cannot reach the threshold.
+4. Where this leaves the sets of a key in several components, those of different components meet in blocks, by
+   prefix trees likewise.  Only verified links join sets; nothing is compared because strangers chain.
 5. Distributed union-find over the links gives the components.
 """
 
 from __future__ import annotations
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import WordHash, mixed, near_keys, settle, shingle_hashes, slices, with_least, without_keys
+from .buckets import in_cells, open_keys
+from .common import WordHash, distinct, mixed, near_keys, settle, shingle_hashes, slices, with_least, without_keys
 from .graph import components, spanning
 
 # Counters of member_counts(): 32 MB whatever the input, moved in so many chunks.
 COUNTERS, CHUNKS = 1 << 24, 256
-# Sets in a block of a family; a task holds two blocks.
+# Sets in a block of a key; a task holds two blocks.
 BLOCK = 96
 
 
@@ -48,58 +43,20 @@ class Ratio:
         """The least intersection of two sets with `total` members together: den * i >= num * (total - i)."""
         return -(-self.num * total // (self.num + self.den))
 
-    @lru_cache(maxsize=None)
-    def classes(self) -> tuple[int, ...]:
-        """Upper lengths of the classes; a partner's length lies in the same or a neighbouring class."""
-        out = [1]
-        while out[-1] < 2**40:
-            out.append(max(out[-1] + 1, out[-1] * self.den // self.num))
-        return tuple(out)
-
-    def parts(self, upper: int) -> int:
-        """One part more than members by which two linked sets of at most `upper` members can differ."""
-        return 2 * upper * (self.den - self.num) // (self.den + self.num) + 1
-
-    @property
-    def thin(self) -> bool:
-        """Whether parts would hold fewer than about 6 members."""
-        return self.den + self.num < 13 * (self.den - self.num)
-
-    def keys(self, members: np.ndarray, counts: np.ndarray | None = None) -> np.ndarray:
-        """Routing keys of one set: linked sets have one in common.  counts: see member_counts()."""
+    def reach(self, a: str, b: str) -> str:
+        """SQL: whether sets of sizes a and b can reach the similarity."""
+        return f"{self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b})"
+
+    def keys(self, members: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """The first members of a set, rare ones first: linked sets have one in common.  counts: see member_counts()."""
         n = len(members)
-        if not n:
-            return members
-        tops = self.classes()
-        c = int(np.searchsorted(tops, n))
-        if self.thin:
-            held = np.full(n, 255) if counts is None else counts[members % np.uint64(len(counts))]
-            first = np.lexsort((mixed(members, 14), held))[: n - -(-self.num * n // self.den) + 1]
-            # members that no other text holds tie nothing together
-            first = members[first[held[first] > 1]]
-            own = mixed(first, 20 + c)
-            # sets of class c, and those whose partner may lie in class c + 1
-            return np.concatenate([own, mixed(first, 21 + c)]) if (tops[c] + 1) * self.num <= n * self.den else own
-        out = []
-        for k in (c, c + 1):
-            # sets of class k, and those of class k - 1 whose partner may lie in class k
-            if k > c and (tops[c] + 1) * self.num > n * self.den:
-                continue
-            parts = self.parts(tops[k])
-            which = (mixed(members, 11) % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(which, kind="stable")
-            edges = np.searchsorted(which[order], np.arange(parts))
-            total = np.append(np.uint64(0), np.cumsum(mixed(members, 12)[order], dtype=np.uint64))
-            with np.errstate(over="ignore"):
-                sums = total[np.append(edges[1:], n)] - total[edges]
-                keys = mixed(sums ^ mixed(np.arange(parts, dtype=np.uint64), 13), k)
-            out.append(keys)
-        return np.concatenate(out)
+        order = np.lexsort((mixed(members, 14), counts[members % np.uint64(len(counts))]))
+        return members[order[: n - -(-self.num * n // self.den) + 1]] if n else members
 
 
 def members_of(text: str, width: int, table: WordHash) -> np.ndarray:
     """The sorted distinct n-gram hashes of a text, lower-cased (A-Z) and cut at ASCII white space."""
-    return np.unique(shingle_hashes(table.of(text.encode().lower().split()), width))
+    return distinct(shingle_hashes(table.of(text.encode().lower().split()), width))
 
 
 def member_counts(texts: DataFrame, width: int) -> np.ndarray:
@@ -223,57 +180,82 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
     """
     ratio = Ratio(num, den)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    counts = member_counts(texts, width) if ratio.thin else None
+    sent = docs.sparkSession.sparkContext.broadcast(member_counts(texts, width))  # COUNTERS numbers of two bytes
 
     def sets(batches):
-        table = WordHash()
+        table, counts = WordHash(), sent.value
         for part, texts in slices(batches, "text"):
             found = [members_of(t, width, table) for t in texts]
-            with np.errstate(over="ignore"):
-                marks = [(int(mixed(s, 1).sum(dtype=np.uint64).astype(np.int64)), int(mixed(s, 2).sum(dtype=np.uint64).astype(np.int64))) for s in found]
-            keys = [ratio.keys(s, counts).astype(np.int64) for s in found]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([len(s) for s in found], pa.int64()), pa.array([m[0] for m in marks], pa.int64()), pa.array([m[1] for m in marks], pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["id", "n", "m1", "m2", "keys"],
-            )
+            marks = [[int(mixed(s, k).sum(dtype=np.uint64).astype(np.int64)) for s in found] for k in (1, 2)]
+            keys = [ratio.keys(s, counts).view(np.int64) for s in found]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array(m, pa.int64()) for m in marks), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "m1", "m2", "keys"])
 
     table = settle(texts.mapInArrow(sets, "id long, n long, m1 long, m2 long, keys array<long>"))
     sized = table.where("n > 0 AND id IS NOT NULL")
     # (1) one representative for each distinct set
-    copies = settle(with_least(sized.select("id", "n", "m1", "m2"), ["n", "m1", "m2"], "id", "rep").where("id <> rep").select("id", "rep").distinct())
-    # (2, 3) the first set at each key draws the others into its family
-    one_each = sized.join(copies.select("id").distinct(), "id", "left_anti").select("id", F.explode("keys").alias("key"))
-    drawn = one_each.withColumn("lead", F.min("id").over(Window.partitionBy("key"))).where("id <> lead").select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
-    family = settle(components(drawn))
-    blocks = settle(family.join(family.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")), "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    # (4) each pair of blocks of a family meets once
-    held = near_keys(texts, "id", blocks.select("node")).join(blocks, F.col("id") == F.col("node")).select("root", "blocks", "block", "id", "text")
-    one_way = held.select("root", "id", "text", "block", F.explode(F.expr("sequence(0, blocks - 1)")).alias("other")).select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "text")
-
-    def meet(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        words = WordHash()
-        pdf = pdf.sort_values("id")
-        found = [members_of(t, width, words) for t in pdf.text]
-        # an id that stands on several rows: only rows with a set count
-        live = [k for k, s in enumerate(found) if len(s)]
-        ids, block = pdf.id.tolist(), pdf.block.tolist()
-        index = [k for k in live if block[k] == key[2]]
-        probe = [k for k in live if block[k] == key[1]]
-        links = []
-        if index and probe:
-            trie = Trie([found[k] for k in index])
-            for k in probe:
-                links += [(ids[index[x]], ids[k]) for x in trie.linked(found[k], ratio).tolist() if ids[index[x]] != ids[k]]
-        return pd.DataFrame(spanning(ids, links), columns=["a", "b"])
-
-    links = one_way.groupBy("root", "i", "j").applyInPandas(meet, "a long, b long")
+    copies = settle(with_least(sized.select("id", "n", "m1", "m2"), ["m1", "m2", "n"], "id", "rep", several=True).where("id <> rep").select("id", "rep", F.xxhash64("id", "m1").alias("set")).distinct())
+    # (2) the sets at each key, and the first of them
+    distinct_sets = without_keys(sized.withColumn("set", F.xxhash64("id", "m1")), "set", copies.select(F.col("set").alias("gone")).distinct())
+    shared = settle(with_least(distinct_sets.select(F.struct(F.col("id").alias("node"), "n").alias("at"), F.explode("keys").alias("key")), ["key"], "at", "lead", several=True))
+    # (3) stars, dealt in blocks that hold their first set each
+    stars = settle(shared.where("at.node <> lead.node").where(ratio.reach("at.n", "lead.n")).select(F.col("lead.node").alias("key"), F.col("at.node").alias("node")).distinct())
+    blocks = settle(stars.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
+    dealt = stars.join(blocks, "key").select("key", F.expr("cast(pmod(xxhash64(node, 7), blocks) AS int)").alias("i"), F.lit(-1).alias("j"), "node", F.lit(None).cast("long").alias("root"), F.expr("cast(pmod(xxhash64(node, 7), blocks) AS int)").alias("block"))
+    firsts = blocks.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.lit(-1).alias("j"), F.col("key").alias("node"), F.lit(None).cast("long").alias("root"), F.lit(-1).alias("block"))
+    near = settle(_met(dealt.union(firsts), texts, ratio, width))
+    # (4) sets of different components at a key
+    more = settle(_met(in_cells(open_keys(shared, settle(components(near))), BLOCK), texts, ratio, width))
     # (5)
-    found = components(links.union(copies.select("id", "rep")))
+    found = components(near.union(more).union(copies.select("id", "rep")))
     out = table.select("id", "n").join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
     return out
 
 
+def _met(cells: DataFrame, texts: DataFrame, ratio: Ratio, width: int) -> DataFrame:
+    """Links (a, b), as forests, within the cells (key, i, j) of rows key, i, j, node, root, block.
+
+    In each cell the sets of block i form a prefix tree that those of block j descend; links of equal roots are left out.
+    """
+    cells = settle(cells)
+    held = near_keys(texts, "id", settle(cells.select("node").distinct())).join(cells, F.col("id") == F.col("node")).select("key", "i", "j", "block", "root", "id", "text")
+    laid = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+
+    def compare(rows: list[tuple], words: WordHash) -> list[tuple]:
+        found = [members_of(r["text"] or "", width, words) for r in rows]
+        # an id that stands on several rows: only rows with a set count
+        index = [k for k, r in enumerate(rows) if r["block"] == r["i"] and len(found[k])]
+        probe = [k for k, r in enumerate(rows) if r["block"] == r["j"] and len(found[k])]
+        if not index or not probe:
+            return []
+        trie, links = Trie([found[k] for k in index]), []
+        for k in probe:
+            a, root = rows[k]["id"], rows[k]["root"]
+            for x in trie.linked(found[k], ratio).tolist():
+                b = rows[index[x]]
+                if a != b["id"] and (root is None or root != b["root"]):
+                    links.append((a, b["id"]))
+        return spanning([], links)
+
+    def run(batches):
+        words, here, rows = WordHash(), None, []
+        for batch in batches:
+            links = []
+            for r in batch.to_pylist():
+                cell = (r["key"], r["i"], r["j"])
+                if cell != here:
+                    links += compare(rows, words) if rows else []
+                    here, rows = cell, []
+                rows.append(r)
+            if links:
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
+        links = compare(rows, words) if rows else []
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
+
+    return laid.mapInArrow(run, "a long, b long")
+
+
 def keep_first(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The table with one document, that of the smallest id, of each component of ngram_join(); rows without an id stay."""
     found = ngram_join(docs, width, num, den, id_col, text_col)
-    return without_keys(docs, id_col, settle(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct()))
+    gone = settle(found.where(F.col("component_id") != F.col(id_col)).select(F.col(id_col).alias("gone")).distinct())
+    return without_keys(docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id")), "id", gone).select("row.*")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHash, mixed, slices
+from .common import WordHash, distinct, mixed, slices
 
 BITS = 20
 # The bound on labelled rows to learn from.
@@ -73,7 +73,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     def hashed(batches):
         table = WordHash()
         for part, texts in slices(batches, "text"):
-            slots = [np.append(np.unique(features(t, table)), 1 << BITS).astype("<i4").tobytes() for t in texts]
+            slots = [np.append(distinct(features(t, table)), 1 << BITS).astype("<i4").tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(slots, pa.binary()), part.column(2)], names=["id", "slots", "y"])
 
     def train(batches):
@@ -104,7 +104,7 @@ class Scorer:
 
     def __call__(self, text: str) -> float:
         at = features(text, self.table)
-        at = np.unique(at[self.dense[at] != 0])
+        at = distinct(at[self.dense[at] != 0])
         return 1 / (1 + math.exp(-max(-35.0, min(35.0, float(self.dense[at].sum()) + float(self.dense[-1])))))
 
 
