@@ -29,10 +29,10 @@ def test_targets_are_met(tables):
     rows = M.mix(docs, labels, DOMAINS, "clean").collect()
     truth = {r.doc_id: r.rate for r in docs.collect()}
     assert np.mean([r.domain == truth[r.doc_id] for r in rows if r.doc_id >= 200]) >= 0.95
-    assert all(0 <= r.rate <= 1 and abs(sum(r.p) - 1) < 1e-9 for r in rows)
+    assert all(r.rate >= 0 and abs(sum(r.p) - 1) < 1e-9 for r in rows)
     got = np.sum([r.rate * r.tokens * np.array(r.p) for r in rows], axis=0)
     full = np.sum([r.tokens * np.array(r.p) for r in rows], axis=0)
-    assert np.allclose(got, [full[0] / 0.8 * w for w in DOMAINS.values()], rtol=0.01)
+    assert np.allclose(got, [full[0] / 0.8 * w for w in DOMAINS.values()], rtol=0.001)
 
 
 def test_equals_dense_descent(tables):
@@ -53,7 +53,7 @@ def test_equals_dense_descent(tables):
 def test_kept_domain_and_odd_rows(spark, tables):
     docs, labels = tables
     odd = spark.createDataFrame([(None, "sal tor", "x"), (7, None, "x"), (8, "", "x"), (9, "w " * 100_000, "x")], docs.schema)
-    rows = M.mix(docs.union(odd), labels, DOMAINS, "clean", keep="clean").collect()
+    rows = M.mix(docs.union(odd), labels, DOMAINS, "clean", high=1.0, keep="clean").collect()
     assert len(rows) == 304 and all(r.rate == 1 for r in rows if r.domain == "clean")
     assert {r.tokens for r in rows if r.doc_id in (7, 8)} >= {0}
 
@@ -67,3 +67,21 @@ def test_empty_tables(tables):
 def test_refuses_odd_weights(tables):
     with pytest.raises(ValueError):
         M.mix(*tables, {"clean": 0.0, "low": 1.0}, "clean")
+
+
+def test_targets_beyond_the_supply(tables):
+    """Rates over 1 reach a target of more than there is; the reached totals say so."""
+    docs, labels = tables
+    weights = {"clean": 0.5, "low": 0.1, "toxic": 0.4}
+    rows = M.mix(docs, labels, weights, "clean")
+    got = {r.domain: r.tokens for r in M.reached(rows, list(weights)).collect()}
+    assert all(got[d] / sum(got.values()) == pytest.approx(w, rel=0.001) for d, w in weights.items())
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_shares_on_the_corpus(spark, sf):
+    from tidewater.llm import queries
+
+    rows = queries.op8_mixing(spark, f"/root/testdata/{sf}")
+    got = {r.domain: r.tokens for r in M.reached(rows, list(queries.MIX_WEIGHTS)).collect()}
+    assert all(got[d] / sum(got.values()) == pytest.approx(w, rel=0.01) for d, w in queries.MIX_WEIGHTS.items())

@@ -1,10 +1,11 @@
 """Mixing documents to target domain weights, with DataFrame operations only.
 
 A naive Bayes classifier over hashed words and word shapes, fitted on labelled rows, gives every document soft memberships
-in the domains.  Projected gradient descent then finds document rates within bounds for which the expected tokens of
-each domain match the targets: minimise the squared gaps of sum(rate * tokens * membership) to the targets, each over its
-domain's supply (in that measure a step of 1 is never too long, and nearly exact where memberships are clear).  A document's
-rate follows from its own row and the few gaps of every step, so a step is one small aggregate and no state moves.
+in the domains.  Projected gradient descent then finds nonnegative document rates for which the expected tokens of
+each domain match the targets, in the least-squares sense.  A step's direction comes from the gaps of the domains, and its
+length from the curvature: the matrix of token-weighted products of memberships over the documents that are free to
+move.  A document's rate follows from its own row and the few numbers of every step, so a step is one small aggregate and
+no state moves; a handful of steps do.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import settle
 
-# Slots of the hashed features; the bound on labelled rows; a text counts like WORDS words at most.
+# Slots of the hashed features; the bound on labelled rows; the evidence of n words counts like n * WORDS / (n + WORDS).
 SLOTS, TRAIN_ROWS, WORDS, SMOOTH = 8192, 16_000, 60, 0.5
-STEPS, CLOSE = 40, 1e-5
+# Steps at most (more is an error); how near the targets are to be met, as shares of all tokens.
+STEPS, CLOSE = 40, 1e-6
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyzäöüßéèêçáíóúñà", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÁÍÓÚÑÀ"
 
 
@@ -32,8 +34,8 @@ def _slots(text: str) -> Column:
     """Slots of the words of a text and of their shapes (letters and digits replaced by a, A and 0)."""
     flat = F.translate(F.coalesce(F.col(text), F.lit("")), "\n\t\r", "   ")
     shape = F.translate(flat, _LOWER + _UPPER + "0123456789", "a" * len(_LOWER) + "A" * len(_UPPER) + "0" * 10)
-    words = F.filter(F.split(flat, " "), lambda w: w != "")
-    shapes = F.filter(F.split(shape, " "), lambda w: w != "")
+    words, shapes = (F.array_remove(F.split(x, " "), "") for x in (flat, shape))
+    # a shape has its own slots, since its hash starts from another seed
     return F.concat(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")), F.transform(shapes, lambda w: F.pmod(F.xxhash64(F.lit(1), w), F.lit(SLOTS)).cast("int")))
 
 
@@ -61,56 +63,77 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "d
 def memberships(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], domains: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, tokens (words) and p (posteriors in the order of `domains`) of every document."""
     prior, table = model
-    rows = docs.select(F.col(id_col).alias("id"), _slots(text_col).alias("slots")).withColumn("tokens", (F.size("slots") / 2).cast("long"))
-    weight = F.least(F.lit(1.0), F.lit(float(WORDS)) / F.greatest(F.col("tokens"), F.lit(1)))
-
-    def likelihood(k: int) -> Column:
-        return F.aggregate("slots", F.lit(0.0), lambda sofar, slot: sofar + F.get(F.lit(table[k]), slot)) * weight + float(prior[k])
-
-    sums = [likelihood(k) for k in range(len(domains))]
-    logs = rows.select("id", "tokens", F.array(*sums).alias("logs"))
+    names = [f"l{k}" for k in range(len(domains))]
+    zero = F.struct(*(F.lit(0.0).alias(n) for n in names))
+    # one pass over the slots sums the log likelihoods of all domains
+    sums = F.aggregate("slots", zero, lambda sofar, slot: F.struct(*((sofar[n] + F.get(F.lit(table[k]), slot)).alias(n) for k, n in enumerate(names))))
+    rows = docs.select(F.col(id_col).alias("id"), _slots(text_col).alias("slots")).select("id", (F.size("slots") / 2).cast("long").alias("tokens"), sums.alias("s"))
+    weight = F.lit(float(WORDS)) / (F.col("tokens") + F.lit(float(WORDS)))
+    logs = rows.select("id", "tokens", F.array(*(F.col("s")[n] * weight + float(prior[k]) for k, n in enumerate(names))).alias("logs"))
     powers = logs.withColumn("e", F.expr("transform(logs, x -> exp(x - array_max(logs)))"))
     return powers.select("id", "tokens", F.expr("transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))").alias("p"))
 
 
-def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], reference: str, low: float = 0.0, high: float = 1.0, keep: str | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], reference: str, low: float = 0.0, high: float | None = None, keep: str | None = None, id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> DataFrame:
     """id, tokens, p, domain (the likeliest) and rate of every document.
 
     weights: target shares of the domains' expected tokens; they are scaled so that the supply of domain `reference`, at
-    rate 1, just meets its target.  Rates lie within [low, high]; documents whose likeliest domain is `keep` have
-    a rate of 1 or more.  Targets out of reach are met as nearly as the bounds allow.  Ties of the likeliest
+    rate 1, just meets its target.  Rates are at least `low` and, where it is given, at most `high`: a rate over 1 asks
+    for a document more than once.  Documents whose likeliest domain is `keep` have a rate of 1 or more.
+    Targets that the bounds or a domain without any supply put out of reach are met as nearly as they
+    allow; targets in reach that STEPS steps do not meet are an error.  Ties of the likeliest
     domain go to the name that sorts first.  Null and empty texts have no tokens and the prior as memberships; rows with repeated or
     null ids each have their own rate; other columns are left out.  An empty table gives an empty table.
     """
     domains = sorted(weights)
-    if any(w < 0 for w in weights.values()) or weights.get(reference, 0) <= 0 or not 0 <= low <= high:
+    if any(w < 0 for w in weights.values()) or weights.get(reference, 0) <= 0 or low < 0 or (high is not None and high < low):
         raise ValueError("weights must not be negative, the reference needs one over 0, and 0 <= low <= high")
     rows = settle(memberships(docs, fit(docs, labels, domains, id_col, text_col, domain_col), domains, id_col, text_col))
     likeliest = F.get(F.array(*map(F.lit, domains)), F.array_position("p", F.array_max("p")).cast("int") - 1)
     rows = rows.withColumn("domain", likeliest)
-    floor = F.when(F.col("domain") == keep, F.lit(max(low, min(1.0, high)))).otherwise(F.lit(low)) if keep else F.lit(low)
-    supply = rows.agg(F.sum("tokens").alias("n"), *(F.sum(F.col("tokens") * F.get("p", F.lit(k))).alias(f"s{k}") for k in range(len(domains)))).first()
-    total = float(supply["n"] or 0)
-    scale = (supply[f"s{domains.index(reference)}"] or 0.0) / weights[reference]
-    targets = [weights[d] * scale for d in domains]
-
-    def rate(gaps: list[list[float]]) -> Column:
-        start = F.greatest(F.least(F.lit(1.0), F.lit(float(high))), F.lit(float(low)))
-        if not gaps:
-            return start
-        # one projected step for each gap vector
+    most = math.inf if high is None else float(high)
+    floor = F.when(F.col("domain") == keep, F.lit(max(low, min(1.0, most)))).otherwise(F.lit(float(low))) if keep else F.lit(float(low))
+    p = [F.get("p", F.lit(k)) for k in range(len(domains))]
+    supply = rows.agg(F.sum("tokens"), *(F.sum(F.col("tokens") * x) for x in p)).first()
+    total, supply = float(supply[0] or 0), np.array([x or 0.0 for x in supply[1:]], dtype=float)
+    targets = np.array([weights[d] for d in domains]) * supply[domains.index(reference)] / weights[reference]
+
+    def rate(steps: list[np.ndarray]) -> Column:
         def step(r: Column, g: Column) -> Column:
-            for k in range(len(domains)):
-                r = r - F.get("p", F.lit(k)) * F.get(g, F.lit(k))
-            return F.least(F.lit(float(high)), F.greatest(floor, r))
+            for k, x in enumerate(p):
+                r = r - x * F.get(g, F.lit(k))
+            r = F.greatest(floor, r)
+            return r if high is None else F.least(F.lit(most), r)
+
+        start = F.lit(max(float(low), min(1.0, most)))
+        return F.aggregate(F.array(*(F.lit(g) for g in steps)), start, step) if steps else start
+
+    pairs = [(a, b) for a in range(len(domains)) for b in range(a, len(domains))]
+    steps: list[np.ndarray] = []
+    best, share = math.inf, 1.0
+    while total:
+        r = rows.select("tokens", "p", "domain", rate(steps).alias("r")).withColumn("free", F.when((F.col("r") > floor) & (F.lit(high is None) | (F.col("r") < most)), F.col("tokens")).otherwise(0))
+        got = r.agg(*(F.sum(F.col("r") * F.col("tokens") * x) for x in p), *(F.sum(F.col("free") * p[a] * p[b]) for a, b in pairs)).first()
+        gap = np.array(got[: len(p)], dtype=float) - targets
+        loss = float(np.abs(gap).max()) / total
+        if loss < CLOSE:
+            break
+        curve = np.zeros((len(p), len(p)))
+        for (a, b), x in zip(pairs, got[len(p) :]):
+            curve[a, b] = curve[b, a] = x
+        # documents at a bound may have to leave it: a little of the whole supply keeps every direction open
+        g = np.linalg.lstsq(curve + 1e-3 * np.diag(supply) + 1e-12 * total * np.eye(len(p)), gap, rcond=None)[0]
+        share = max(0.1, share / 2) if loss > 0.9 * best else min(1.0, 2 * share)
+        if len(steps) == STEPS or (loss > 0.999999 * best and len(steps) > 20):
+            if high is None and keep is None and low == 0 and (supply[targets > 0] > 0).all():
+                raise RuntimeError(f"the targets were not met after {len(steps)} steps: gaps {gap.tolist()} of {total} tokens")
+            break
+        best = min(best, loss)
+        steps.append(share * g)
+    return rows.select(F.col("id").alias(id_col), "tokens", "p", "domain", rate(steps).alias("rate"))
 
-        return F.aggregate(F.array(*(F.lit(np.array(g)) for g in gaps)), start, step)
 
-    gaps: list[list[float]] = []
-    while total and len(gaps) < STEPS:
-        sums = rows.select("tokens", "p", rate(gaps).alias("r")).agg(*(F.sum(F.col("r") * F.col("tokens") * F.get("p", F.lit(k))) for k in range(len(domains)))).first()
-        gap = [(s - t) / max(supply[f"s{k}"], 1e-9 * total) for k, (s, t) in enumerate(zip(sums, targets))]
-        if max(map(abs, gap)) < 10 * CLOSE or (gaps and math.dist(gap, gaps[-1]) < CLOSE):
-            break
-        gaps.append(gap)
-    return rows.select(F.col("id").alias(id_col), "tokens", "p", "domain", rate(gaps).alias("rate"))
+def reached(mixed: DataFrame, domains: list[str]) -> DataFrame:
+    """domain and tokens: the expected tokens of each domain under the rates of mix()."""
+    sums = mixed.select(F.posexplode("p").alias("k", "x"), "rate", "tokens").groupBy("k").agg(F.sum(F.col("rate") * F.col("tokens") * F.col("x")).alias("tokens"))
+    return sums.select(F.get(F.array(*map(F.lit, sorted(domains))), F.col("k")).alias("domain"), "tokens")
