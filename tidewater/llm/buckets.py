@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,3 +38,26 @@ def in_cells(rows: DataFrame, block: int) -> DataFrame:
     cells = F.expr("""CASE WHEN isMain THEN transform(sequence(0, bo - 1), i -> struct(i, block AS j))
         ELSE transform(sequence(0, bo + bm - 1), k -> struct(least(k, block) AS i, greatest(k, block) AS j)) END""")
     return dealt.select("key", "node", "root", "block", F.explode(cells).alias("cell")).select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "node", "root", "block")
+
+
+def cell_links(rows: DataFrame, compare: Callable[[list[dict]], list[tuple]], node: str) -> DataFrame:
+    """a, b: what compare() gives for the rows of each cell (key, i, j); a task holds one cell at a time."""
+
+    def packed(links: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], kind), pa.array([x for _, x in links], kind)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        here, held = None, []
+        for batch in batches:
+            links = []
+            for r in batch.to_pylist():
+                cell = (r["key"], r["i"], r["j"])
+                if cell != here:
+                    links += compare(held) if held else []
+                    here, held = cell, []
+                held.append(r)
+            yield packed(links)
+        yield packed(compare(held) if held else [])
+
+    kind = {"bigint": pa.int64(), "string": pa.string()}[node]
+    return rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, f"a {node}, b {node}")

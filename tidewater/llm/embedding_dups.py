@@ -38,7 +38,7 @@ def _close(ids: list, units: np.ndarray, threshold: float) -> list[tuple]:
     for off in range(1, min(WINDOW, len(ids) - 1) + 1):
         near = np.flatnonzero(np.einsum("ij,ij->i", units[off:], units[:-off]) >= threshold)
         pairs += [(ids[k], ids[k + off]) for k in near.tolist()]
-    return spanning(ids, pairs)
+    return spanning(pairs)
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

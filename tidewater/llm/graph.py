@@ -39,7 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").cast(kind).alias("node"), F.col("v").alias("root")).distinct())
 
 
-def spanning(ids: list, pairs) -> list[tuple]:
+def spanning(pairs) -> list[tuple]:
     """(id, smallest id of its tree) for every id that a pair touches and that is not its own root."""
     root = {}
 

@@ -16,12 +16,11 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import in_cells, open_keys
+from .buckets import cell_links, in_cells, open_keys
 from .common import distinct, drop_settled, mixed, near_keys, settle, told_apart, with_least, without_keys
 from .graph import components, spanning
 
@@ -197,14 +196,13 @@ def _in_blocks(rows: DataFrame, lines: DataFrame) -> DataFrame:
     named = met.select("key", "i", "j", F.to_json(F.struct("node")).alias("name"), "root", "block", "line") if kind.startswith("struct") else met.withColumnRenamed("node", "name")
     code = "string" if kind.startswith("struct") else kind
 
-    def compare(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        roots, _ = pd.factorize(pdf.root.map(str))
-        names, block, sets = pdf.name.tolist(), pdf.block.to_numpy(), gram_sets(pdf.line.tolist())
-        left, right = np.flatnonzero(block == key[1].item()), np.flatnonzero(block == key[2].item())
-        pairs = [(left[x], right[y]) for x, y in linked_lines([sets[k] for k in left], [sets[k] for k in right])]
-        return pd.DataFrame(spanning(names, [(names[x], names[y]) for x, y in pairs if roots[x] != roots[y]]), columns=["a", "b"])
+    def compare(rows: list[dict]) -> list[tuple]:
+        sets = gram_sets([r["line"] for r in rows])
+        left, right = ([k for k, r in enumerate(rows) if r["block"] == r[side]] for side in "ij")
+        pairs = [(rows[left[x]], rows[right[y]]) for x, y in linked_lines([sets[k] for k in left], [sets[k] for k in right])]
+        return spanning((x["name"], y["name"]) for x, y in pairs if x["root"] != y["root"])
 
-    found = named.groupBy("key", "i", "j").applyInPandas(compare, f"a {code}, b {code}")
+    found = cell_links(named, compare, code)
     if kind.startswith("struct"):
         found = found.select(*(F.from_json(c, f"node {kind}").getField("node").alias(c) for c in "ab"))
     return settle(found)

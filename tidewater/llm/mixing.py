@@ -20,8 +20,8 @@ from .common import settle
 
 # Slots of the hashed features; the bound on labelled rows; the evidence of n words counts like n * WORDS / (n + WORDS).
 SLOTS, TRAIN_ROWS, WORDS, SMOOTH = 8192, 16_000, 60, 0.5
-# Steps at most (more is an error); how near the targets are to be met, as shares of all tokens.
-STEPS, CLOSE = 40, 1e-6
+# Steps at most (more is an error); how near each target is to be met, as a share of it (of a thousandth of all tokens, if it is smaller).
+STEPS, CLOSE = 40, 3e-4
 _LOWER, _UPPER = "abcdefghijklmnopqrstuvwxyzäöüßéèêçáíóúñà", "ABCDEFGHIJKLMNOPQRSTUVWXYZÄÖÜÉÈÊÇÁÍÓÚÑÀ"
 
 
@@ -30,13 +30,18 @@ def domain_of(quality: str = "quality", toxic: str = "toxic") -> Column:
     return F.when(F.col(toxic) > 0, "toxic").when(F.col(quality) == 0, "low").when(F.col(quality) > 0, "clean")
 
 
-def _slots(text: str) -> Column:
-    """Slots of the words of a text and of their shapes (letters and digits replaced by a, A and 0)."""
+def _words(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """keep, word and slot: a row for each word of a text and one for its shape (letters and digits replaced by a, A and 0).
+
+    word is 1 for a word and 0 for a shape, so that it sums to the tokens of a text; a text without words gives rows with slot null.
+    """
     flat = F.translate(F.coalesce(F.col(text), F.lit("")), "\n\t\r", "   ")
-    shape = F.translate(flat, _LOWER + _UPPER + "0123456789", "a" * len(_LOWER) + "A" * len(_UPPER) + "0" * 10)
-    words, shapes = (F.array_remove(F.split(x, " "), "") for x in (flat, shape))
+    shape = F.translate("flat", _LOWER + _UPPER + "0123456789", "a" * len(_LOWER) + "A" * len(_UPPER) + "0" * 10)
+    both = docs.select(*keep, flat.alias("flat")).select(*keep, F.explode(F.array(F.struct(F.lit(1).alias("word"), F.col("flat").alias("x")), F.struct(F.lit(0).alias("word"), shape.alias("x")))).alias("t"))
+    each = both.select(*keep, F.col("t.word").alias("word"), F.explode(F.split("t.x", " ")).alias("w"))
     # a shape has its own slots, since its hash starts from another seed
-    return F.concat(F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")), F.transform(shapes, lambda w: F.pmod(F.xxhash64(F.lit(1), w), F.lit(SLOTS)).cast("int")))
+    slot = F.when(F.col("w") == "", None).otherwise(F.pmod(F.xxhash64(F.col("word"), F.col("w")), F.lit(SLOTS)).cast("int"))
+    return each.select(*keep, F.when(F.col("w") == "", 0).otherwise(F.col("word")).alias("word"), slot.alias("slot"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain") -> tuple[np.ndarray, np.ndarray]:
@@ -50,8 +55,8 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "d
     if rows > TRAIN_ROWS:
         known = known.where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1_000_000)) < int(1_000_000 * TRAIN_ROWS / rows))
     # at most about TRAIN_ROWS short rows are broadcast; at most SLOTS x domains counts come back
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("domain", _slots("text").alias("slots"))
-    counts = sample.select("domain", F.explode_outer("slots").alias("slot")).where("slot IS NOT NULL").groupBy("domain", "slot").count().collect()
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id")
+    counts = _words(sample, ["domain"], "text").where("slot IS NOT NULL").groupBy("domain", "slot").count().collect()
     table, sizes = np.full((len(domains), SLOTS), SMOOTH), np.ones(len(domains))
     for r in counts:
         table[domains.index(r["domain"]), r["slot"]] += r["count"]
@@ -63,13 +68,12 @@ def fit(docs: DataFrame, labels: DataFrame, domains: list[str], id_col: str = "d
 def memberships(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], domains: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, tokens (words) and p (posteriors in the order of `domains`) of every document."""
     prior, table = model
-    names = [f"l{k}" for k in range(len(domains))]
-    zero = F.struct(*(F.lit(0.0).alias(n) for n in names))
-    # one pass over the slots sums the log likelihoods of all domains
-    sums = F.aggregate("slots", zero, lambda sofar, slot: F.struct(*((sofar[n] + F.get(F.lit(table[k]), slot)).alias(n) for k, n in enumerate(names))))
-    rows = docs.select(F.col(id_col).alias("id"), _slots(text_col).alias("slots")).select("id", (F.size("slots") / 2).cast("long").alias("tokens"), sums.alias("s"))
+    # the rows of a text are together where it is read, so they are summed there
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sums = [F.sum(F.coalesce(F.get(F.lit(table[k]), F.col("slot")), F.lit(0.0))).alias(f"l{k}") for k in range(len(domains))]
+    rows = _words(rows, ["row", "id"], "text").groupBy("row", "id").agg(F.sum("word").alias("tokens"), *sums)
     weight = F.lit(float(WORDS)) / (F.col("tokens") + F.lit(float(WORDS)))
-    logs = rows.select("id", "tokens", F.array(*(F.col("s")[n] * weight + float(prior[k]) for k, n in enumerate(names))).alias("logs"))
+    logs = rows.select("id", "tokens", F.array(*(F.col(f"l{k}") * weight + float(prior[k]) for k in range(len(domains)))).alias("logs"))
     powers = logs.withColumn("e", F.expr("transform(logs, x -> exp(x - array_max(logs)))"))
     return powers.select("id", "tokens", F.expr("transform(e, x -> x / aggregate(e, 0D, (a, y) -> a + y))").alias("p"))
 
@@ -109,27 +113,31 @@ def mix(docs: DataFrame, labels: DataFrame, weights: dict[str, float], reference
         return F.aggregate(F.array(*(F.lit(g) for g in steps)), start, step) if steps else start
 
     pairs = [(a, b) for a in range(len(domains)) for b in range(a, len(domains))]
+    supplied = np.maximum(supply, 1e-9 * total)
     steps: list[np.ndarray] = []
-    best, share = math.inf, 1.0
-    while total:
+    bold, past, least = True, None, math.inf  # bold: the last step's length came from the curvature
+    for _ in range(STEPS if total else 0):
         r = rows.select("tokens", "p", "domain", rate(steps).alias("r")).withColumn("free", F.when((F.col("r") > floor) & (F.lit(high is None) | (F.col("r") < most)), F.col("tokens")).otherwise(0))
         got = r.agg(*(F.sum(F.col("r") * F.col("tokens") * x) for x in p), *(F.sum(F.col("free") * p[a] * p[b]) for a, b in pairs)).first()
         gap = np.array(got[: len(p)], dtype=float) - targets
-        loss = float(np.abs(gap).max()) / total
-        if loss < CLOSE:
+        loss = float((gap * gap / supplied).sum()) / total
+        if (np.abs(gap) < CLOSE * np.maximum(targets, total / 1000)).all():
             break
+        if bold and loss > 0.999 * least:
+            # too bold: a plain gradient step, whose length in the measure of the supplies is never too long, in its stead
+            steps[-1], bold = past / supplied, False
+            continue
+        if not bold and loss > 0.999 * least:
+            break  # as near as the bounds and the documents allow
         curve = np.zeros((len(p), len(p)))
         for (a, b), x in zip(pairs, got[len(p) :]):
             curve[a, b] = curve[b, a] = x
         # documents at a bound may have to leave it: a little of the whole supply keeps every direction open
-        g = np.linalg.lstsq(curve + 1e-3 * np.diag(supply) + 1e-12 * total * np.eye(len(p)), gap, rcond=None)[0]
-        share = max(0.1, share / 2) if loss > 0.9 * best else min(1.0, 2 * share)
-        if len(steps) == STEPS or (loss > 0.999999 * best and len(steps) > 20):
-            if high is None and keep is None and low == 0 and (supply[targets > 0] > 0).all():
-                raise RuntimeError(f"the targets were not met after {len(steps)} steps: gaps {gap.tolist()} of {total} tokens")
-            break
-        best = min(best, loss)
-        steps.append(share * g)
+        steps.append(np.linalg.lstsq(curve + 1e-3 * np.diag(supplied), gap, rcond=None)[0])
+        bold, past, least = True, gap, loss
+    else:
+        if total:
+            raise RuntimeError(f"the rates still move after {STEPS} steps: gaps {gap.tolist()} of {total} tokens")
     return rows.select(F.col("id").alias(id_col), "tokens", "p", "domain", rate(steps).alias("rate"))
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import in_cells, open_keys
+from .buckets import cell_links, in_cells, open_keys
 from .common import WordHash, distinct, mixed, near_keys, settle, shingle_hashes, slices, with_least, without_keys
 from .graph import components, spanning
 
@@ -218,9 +218,9 @@ def _met(cells: DataFrame, texts: DataFrame, ratio: Ratio, width: int) -> DataFr
     """
     cells = settle(cells)
     held = near_keys(texts, "id", settle(cells.select("node").distinct())).join(cells, F.col("id") == F.col("node")).select("key", "i", "j", "block", "root", "id", "text")
-    laid = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    words = WordHash()
 
-    def compare(rows: list[tuple], words: WordHash) -> list[tuple]:
+    def compare(rows: list[dict]) -> list[tuple]:
         found = [members_of(r["text"] or "", width, words) for r in rows]
         # an id that stands on several rows: only rows with a set count
         index = [k for k, r in enumerate(rows) if r["block"] == r["i"] and len(found[k])]
@@ -234,24 +234,9 @@ def _met(cells: DataFrame, texts: DataFrame, ratio: Ratio, width: int) -> DataFr
                 b = rows[index[x]]
                 if a != b["id"] and (root is None or root != b["root"]):
                     links.append((a, b["id"]))
-        return spanning([], links)
+        return spanning(links)
 
-    def run(batches):
-        words, here, rows = WordHash(), None, []
-        for batch in batches:
-            links = []
-            for r in batch.to_pylist():
-                cell = (r["key"], r["i"], r["j"])
-                if cell != here:
-                    links += compare(rows, words) if rows else []
-                    here, rows = cell, []
-                rows.append(r)
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
-        links = compare(rows, words) if rows else []
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([x for _, x in links], pa.int64())], names=["a", "b"])
-
-    return laid.mapInArrow(run, "a long, b long")
+    return cell_links(held, compare, "bigint")
 
 
 def keep_first(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
