@@ -98,9 +98,25 @@ def test_kalman_equals_the_matrix_form():
         assert (k.x, k.v) == pytest.approx(tuple(x[:, 0]))
 
 
+def test_pid(spark):
+    rows = [(1, k, v) for k, v in enumerate((1.0, 1e9, 3.0, 2.0))] + [(2, 0, 1.0)]
+    got = sorted(map(tuple, control.pid(spark.createDataFrame(rows, "run int, tick int, v double"), "run", ["tick"], "v", 2.0, 0.1, (1.0, 10.0, 1.0), 0.1).collect()))
+    slope = [2 / 0.3 * 1.0]
+    slope += [slope[0] / 3 + 2 / 0.3 * (3.0 - 1e9)]
+    slope += [slope[1] / 3 + 2 / 0.3 * (2.0 - 3.0)]
+    area = [0.05, 0.05 + 0.05 * (2 - 1e9 - 1)]
+    area += [area[1] + 0.05 * (-1 + 0)]
+    want = [1 + 10 * area[0] - slope[0], 0.0, -1 + 10 * area[1] - slope[1], 10 * area[2] - slope[2]]
+    assert [c for *_, c in got] == pytest.approx([*want, want[0]])
+
+
+def test_smooth_path():
+    path = control.smooth_path(0.5, 1.0, 2.0, 0.01)
+    seen = np.array([path.step(5.0) for _ in range(6000)])
+    assert seen[-1] == pytest.approx([5, 0, 0], abs=1e-3) and 0.5 < seen[:, 1].max() <= 2
+
+
 def test_controllers():
-    pid = control.Pid(1, 0, 0, 0.1)
-    assert pid.step(2.0, 1.0, 0.1) == 1.0 and pid.step(1e9, 0.0, 0.1) == 0.0
     task = control.DistanceReward(1.0, 2.0)
     assert [task.step(d) for d in (10.0, 7.9, 7.0, 5.8, 0.5)] == [(0, False), (1, False), (0, False), (1, False), (1, True)]
     assert control.DistanceReward(9.0, 1.0, 5.0, True).step(10.0) == (1, True)
@@ -158,36 +174,6 @@ def test_frames_at_the_poles_and_sizes(spark):
     assert one(spark, *vehicle.euler_rates(F.lit(0.0), F.lit(0.0), F.lit(1.0), F.lit(2.0), F.lit(3.0))) == (1.0, 2.0, 3.0)
 
 
-def test_vehicle_at_rest_and_at_speed():
-    from tidewater.operators import dynamics as D
-
-    body = D.Vehicle([50, 80, 80, 5, 10, 10], [10, 20, 20, 3, 6, 6], [20, 60, 60, 1, 8, 8], 300.0, 300.0)
-    body.step([0] * 6, 0.1)
-    assert np.allclose(body.eta, 0) and np.allclose(body.nu, 0)
-    for _ in range(4000):
-        body.step([30, 0, 0, 0, 0, 0], 0.02)
-    assert body.nu[0] == pytest.approx(1.0, abs=1e-3)  # 10 v + 20 v^2 = 30
-    nu = np.array([1.0, 0.5, -0.2, 0.1, 0.3, -0.4])
-    assert nu @ D.coriolis(np.diag([50, 80, 80, 5, 10, 10]), nu) @ nu == pytest.approx(0)
-    sinks = D.restoring(310.0, 300.0, 0.0, 0.0, np.zeros(3), np.zeros(3))
-    assert sinks[2] == pytest.approx(-10) and D.lift_drag(1.0, 0.2, 0.1, 0.0, 2.0) == pytest.approx((-0.5 * 1026 * 4 * 0.2 * 0.1, 0))
-
-
-def test_autopilots_reach_their_goals():
-    from tidewater.operators import dynamics as D
-
-    pilot, x, v = D.PolePlacementPid(10.0, 2.0, 0.0, 1.0, 1.0, D.ReferenceModel(0.5, 1.0, 2.0)), 0.0, 0.0
-    for _ in range(6000):
-        u = pilot.step(x, v, 5.0, 0.01)
-        x, v = x + 0.01 * v, v + 0.01 * (u - 2.0 * v) / 10.0
-    assert x == pytest.approx(5.0, abs=0.05)
-    pilot, heading, turn = D.HeadingSlidingMode(1.0, 0.5, 0.5, 0.05, 0.1, 0.1, D.ReferenceModel(0.3, 1.0, 0.5)), 0.0, 0.0
-    for _ in range(20000):
-        rudder = pilot.step(heading, turn, 1.0, 0.01)
-        heading, turn = heading + 0.01 * turn, turn + 0.01 * (0.5 * rudder - turn)
-    assert heading == pytest.approx(1.0, abs=0.05)
-
-
 def test_requests_and_replies(spark):
     rows = [(1, 1, "REQ"), (1, 2, "REQ"), (1, 3, "RESP"), (1, 4, "RESP"), (1, 5, "REQU"), (1, 6, "RESP"), (2, 1, "REQ"), (2, 2, "noise")]
     got = comms.answered(spark.createDataFrame(rows, "link int, at int, kind string"), "link", "at", "kind", {"REQ": "RESP", "REQU": "RESPU"}).collect()

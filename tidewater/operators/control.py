@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.geometry import clipped
@@ -26,23 +27,54 @@ def thrusters(ex: Column, ey: Column, ez: Column, most: float = 20.0) -> list[Co
     return [clipped(c, -most, most) for c in (ez, ez, ez, ez, ex + ey, ex - ey, ey, -ey)]
 
 
-class Pid:
-    """Trapezoid integral; derivative on the measurement, filtered with time constant tau."""
+# Fixed value: a gap to the set point beyond this is taken for a sensor fault.
+FAULT = 9_999_999.0
 
-    def __init__(self, p: float, i: float, d: float, tau: float):
-        self.p, self.i, self.d, self.tau = p, i, d, tau
-        self.total = self.slope = self.error = self.state = 0.0
 
-    def step(self, want: float, now: float, dt: float) -> float:
-        error = want - now
-        if dt == 0 or abs(error) > 9999999:
-            self.error, self.state = error, now
-            return 0.0
-        self.total += dt / 2 * (error + self.error)
-        if dt > 0:
-            self.slope = (2 * self.tau - dt) / (2 * self.tau + dt) * self.slope + 2 / (2 * self.tau + dt) * (now - self.state)
-        self.error, self.state = error, now
-        return self.p * error + self.i * self.total - self.d * self.slope
+class Linear:
+    """The recurrence state = A state + B inputs (over inputs that are not `held`), its components kept within bounds."""
+
+    def __init__(self, a: np.ndarray, b: np.ndarray, bounds: np.ndarray | None = None):
+        self.a, self.b, self.bounds = np.atleast_2d(a).astype(float), np.atleast_2d(b).astype(float), bounds
+        self.state = np.zeros(len(self.a))
+
+    def step(self, *inputs: float, held: bool = False) -> tuple[float, ...]:
+        if not held:
+            self.state = self.a @ self.state + self.b @ np.array(inputs, dtype=float)
+            if self.bounds is not None:
+                self.state = np.clip(self.state, -self.bounds, self.bounds)
+        return tuple(self.state.tolist())
+
+
+def smooth_path(frequency: float, damping: float, most_speed: float, dt: float) -> Linear:
+    """Position, speed and acceleration on the way to a set point, by Euler steps of a third-order low-pass filter: one real
+    pole at the frequency and a pair of the damping ratio, in companion form."""
+    pair = frequency * np.roots([1.0, 2 * damping, 1.0])
+    _, c2, c1, c0 = np.real(np.poly([-frequency, *pair]))
+    companion = np.array([[0, 1, 0], [0, 0, 1], [-c0, -c1, -c2]])
+    return Linear(np.eye(3) + dt * companion, dt * c0 * np.array([[0], [0], [1]]), np.array([np.inf, most_speed, np.inf]))
+
+
+def pid(df: DataFrame, by: str, order: list[str], value: str, want: float, dt: float, gains: tuple[float, float, float], tau: float, fault: float = FAULT) -> DataFrame:
+    """by, order and command of a PID controller over every run: gains of the gap, its trapezoid integral and the slope of the
+    measurement, which a low-pass filter of time constant tau smooths (by the bilinear transform).
+
+    Gap, integral and differences are window sums; only the filter is a recurrence.  A measurement further than `fault` from
+    the set point gives no command and moves neither integral nor slope.  Before a run everything is 0.
+    """
+    run = Window.partitionBy(by).orderBy(*order)
+    gap = F.lit(float(want)) - F.col(value)
+    seen = df.select(by, *order, gap.alias("gap"), (F.col(value) - F.coalesce(F.lag(value).over(run), F.lit(0.0))).alias("rise"), (F.coalesce(F.lag(gap).over(run), F.lit(0.0)) + gap).alias("ends"))
+    seen = seen.withColumn("held", F.abs("gap") > fault)
+    area = F.sum(F.when(F.col("held"), 0.0).otherwise(F.col("ends") * (dt / 2))).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    p, i, d = gains
+    pole, gain = (2 * tau - dt) / (2 * tau + dt), 2 / (2 * tau + dt)
+
+    def command(smooth: Linear, gap: float, area: float, rise: float, held: bool) -> tuple[float]:
+        (slope,) = smooth.step(rise, held=held)
+        return (0.0 if held else p * gap + i * area - d * slope,)
+
+    return scanned(seen.withColumn("area", area), by, order, ["gap", "area", "rise", "held"], lambda: Linear(pole, gain), command, "command double", ["command"])
 
 
 class Actuator:

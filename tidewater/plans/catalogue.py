@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import fields, geometry, noise, profiles, vehicle
-from tidewater.operators import attitude, comms, control, dynamics, learning, lidar, matching, navigation, rewards, sampling, sonar, voxels
+from tidewater.operators import attitude, comms, control, learning, lidar, matching, navigation, rewards, sampling, sonar, voxels
 from tidewater.sources import readers
 
 FLAGSHIP = "sonar_argmax_depth"
@@ -430,7 +430,7 @@ SELECT agent, tick, round(o, 6) AS command FROM k WHERE tick > 0""")
 def control_pid(spark, sf):
     """STM-7, WIN-9: a PID controller over each run."""
     t = ticks(spark, sf).withColumn("tick", F.col("tick").cast("long"))
-    got = control.scanned(t, "agent", ["tick"], ["value"], lambda: control.Pid(2.0, 0.1, 0.5, 0.05), lambda s, v: (s.step(50.0, v, 0.1),), "command double", ["command"])
+    got = control.pid(t, "agent", ["tick"], "value", 50.0, 0.1, (2.0, 0.1, 0.5), 0.05)
     return got.select("agent", "tick", r6(F.col("command"), "command"))
 
 
@@ -747,7 +747,7 @@ SELECT agent, tick, round(x, 5) AS x, round(v, 5) AS v FROM k WHERE tick > 0""")
 def control_reference_model(spark, sf):
     """STM-9: a smooth third-order path to moving set points."""
     t = ticks(spark, sf).withColumn("tick", F.col("tick").cast("long"))
-    got = control.scanned(t, "agent", ["tick"], ["value"], lambda: dynamics.ReferenceModel(0.9, 0.8, 3.0), lambda s, v: s.step(v, 0.1), "x double, v double, a double", ["x", "v", "a"])
+    got = control.scanned(t, "agent", ["tick"], ["value"], lambda: control.smooth_path(0.9, 0.8, 3.0, 0.1), lambda s, v: s.step(v), "x double, v double, a double", ["x", "v", "a"])
     return got.select("agent", "tick", F.round("x", 5).alias("x"), F.round("v", 5).alias("v"))
 
 
@@ -765,11 +765,3 @@ def comms_requests(spark, sf):
     """STM-14: accepted requests and their replies."""
     m = table(spark, sf, "events").select(F.col("user_id").alias("link"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("kind"))
     return comms.answered(m, "link", "at", "kind", {"click": "view", "purchase": "signup"})
-
-
-@query()
-def vehicle_step(spark, sf):
-    """STM-12, FN-38: motion of a submerged vehicle under the forces of each tick."""
-    t = ticks(spark, sf).select("agent", "tick", F.col("value").alias("f0"), *(F.lit(0.0).alias(f"f{k}") for k in (1, 2)), F.lit(0.0).alias("f3"), F.lit(0.0).alias("f4"), (F.sin("value") / 5).alias("f5"))
-    make = lambda: dynamics.Vehicle([50, 80, 80, 5, 10, 10], [10, 20, 20, 3, 6, 6], [20, 60, 60, 1, 8, 8], 300.0, 300.0)
-    return dynamics.simulated(t, "agent", "tick", [f"f{k}" for k in range(6)], make, 0.05)
