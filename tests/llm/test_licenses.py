@@ -10,7 +10,7 @@ def brute(text, templates):
     h = L.shingles(text or "", table)
     for name, t in templates.items():
         s = set(np.unique(L.shingles(t, table)).tolist())
-        half = 1 << max(0, len(s) - 1).bit_length()
+        half = 1 << (len(s) + len(s) // 4 - 1).bit_length()
         for i in range(0, max(1, len(h)), half):
             if s and len(s & set(h[i : i + 2 * half].tolist())) >= L.CONTAINMENT * len(s):
                 out.add(name)
@@ -47,3 +47,25 @@ def test_none(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert L.scan(df).collect() == []
     assert L.scan(spark.createDataFrame([(1, "released under the mit license")], "doc_id long, text string"), {}).collect() == []
+
+
+def test_what_stands_before_does_not_matter():
+    """The same matches for a text alone and after others of any length."""
+    deal = np.random.default_rng(3)
+    scanner = L.Scanner(L.TEMPLATES)
+    for name in ("Apache-2.0-header", "GPL-header", "ISC-text", "BSD-conditions"):
+        words = L.TEMPLATES[name].split()
+        at = int(deal.integers(1, len(words)))
+        text = " ".join([*["lead"] * int(deal.integers(0, 200)), *words[:at], *(f"more{k}" for k in range(10)), *words[at:]])
+        alone = scanner.scan([text])
+        for n in range(1, 140, 7):
+            assert [(k, a, c) for d, k, a, c in scanner.scan(["x " * n, text]) if d == 1] == [(k, a, c) for _, k, a, c in alone]
+
+
+def test_insertions_at_every_offset():
+    """A notice with a fifth of words inserted at one place, which costs four shingles, is found wherever it stands."""
+    scanner = L.Scanner(L.TEMPLATES)
+    for name in ("ISC-text", "GPL-header"):
+        words = L.TEMPLATES[name].split()
+        edited = [*words[:9], *(f"more{k}" for k in range(len(words) // 5)), *words[9:]]
+        assert all(name in {scanner.names[k] for _, k, *_ in scanner.scan([" ".join(["lead"] * n + edited)])} for n in range(130))

@@ -1,9 +1,10 @@
 """License scans: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
-Templates of about the same length share a window: twice the next power of two of their shingles, and every half a
-window a new one starts, so an occurrence always lies whole in one.  The number of bands of each window size follows from
-the least Jaccard similarity that a match can have with such a window, so that a match collides with a
-chance of at least 1 - MISS.  Templates are few and fixed; they travel with the code, and no rows move.
+Templates of about the same length share a window of 2 * half shingles, where half is the next power of two over their
+length and a quarter more; from a text's first shingle on, every half shingles a new one starts.  So an occurrence with up to
+a quarter of words inserted always lies whole in one, whatever stands before the text.  The number of bands of each
+window size follows from the least Jaccard similarity that a match can have with such a window, so that a match collides
+with a chance of at least 1 - MISS.  Templates are few and fixed; they travel with the code, and no rows move.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ class Scanner:
         self.halves: dict[int, list[int]] = {}
         for k, s in enumerate(self.sets):
             if len(s):
-                self.halves.setdefault(1 << max(0, len(s) - 1).bit_length(), []).append(k)
+                self.halves.setdefault(1 << (len(s) + len(s) // 4 - 1).bit_length(), []).append(k)
         self.bands = {half: max(self._bands(len(self.sets[k]), half) for k in ks) for half, ks in self.halves.items()}
         self.factors = mixed(np.arange(max(self.bands.values(), default=0), dtype=np.uint64), 21) | np.uint64(1)
         with np.errstate(over="ignore"):
@@ -70,15 +71,17 @@ class Scanner:
             return []
         found = []
         for half, ks in self.halves.items():
-            rows = -(-len(h) // half) + 1
+            # blocks of half a window, from each text's first shingle on; a window is a block and the next one of its text
+            sizes = np.array([len(p) for p in parts])
+            rows = -(-sizes // half)
+            text = np.repeat(np.arange(len(parts)), rows)
+            start = (ends - sizes)[text] + (np.arange(len(text)) - np.repeat(np.cumsum(rows) - rows, rows)) * half
+            alone = np.append(text[1:] != text[:-1], True)
             hits = []
             for b in range(self.bands[half]):
                 with np.errstate(over="ignore"):
-                    m = h * self.factors[b]
-                block = np.full(rows * half, np.uint64(2**64 - 1))
-                block[: len(m)] = m
-                block = block.reshape(rows, half).min(1)
-                window = np.minimum(block[:-1], block[1:])
+                    block = np.minimum.reduceat(h * self.factors[b], start)
+                window = np.where(alone, block, np.minimum(block, np.append(block[1:], block[-1:])))
                 least = self.minima[half][b]
                 order = np.argsort(least)
                 at = np.minimum(np.searchsorted(least[order], window), len(ks) - 1)
@@ -89,14 +92,12 @@ class Scanner:
             if not hits:
                 continue
             for i, j in np.unique(np.concatenate(hits), axis=0).tolist():
-                since, to = i * half, min((i + 2) * half, len(h))
-                # a window may reach into the next texts: each text answers for its own part
-                for d in range(int(np.searchsorted(ends, since, side="right")), int(np.searchsorted(ends, to - 1, side="right")) + 1):
-                    lo, hi = max(since, int(ends[d]) - len(parts[d])), min(to, int(ends[d]))
-                    inside = np.isin(h[lo:hi], self.sets[ks[j]])
-                    share = len(distinct(h[lo:hi][inside])) / len(self.sets[ks[j]])
-                    if share >= CONTAINMENT:
-                        found.append((d, ks[j], lo + int(np.argmax(inside)) - (int(ends[d]) - len(parts[d])), share, half))
+                d = int(text[i])
+                lo, hi = int(start[i]), min(int(start[i]) + 2 * half, int(ends[d]))
+                inside = np.isin(h[lo:hi], self.sets[ks[j]])
+                share = len(distinct(h[lo:hi][inside])) / len(self.sets[ks[j]])
+                if share >= CONTAINMENT:
+                    found.append((d, ks[j], lo + int(np.argmax(inside)) - (int(ends[d]) - len(parts[d])), share, half))
         found.sort()
         out: list[list] = []
         for d, k, at, share, half in found:
