@@ -14,6 +14,7 @@ figures of the form without Python that this replaces.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -142,12 +143,11 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.withColumn("copy", F.lit(0).cast("long"))
 
 
-def _lines(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
-    """node and line of every line that is not blank, and how to read id, copy and line_no from a node.
+def _lines(rows: DataFrame) -> tuple[Callable[[DataFrame], DataFrame], list[Column]]:
+    """What gives node and line of every line that is not blank of such rows, and how to read id, copy and line_no from a node.
 
     A node is one number where ids and line counts leave room for it, else a struct; either sorts by id first.
     """
-    cut = rows.select("id", "copy", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw"))  # outer: or the split is made twice, for a filter too
     most = rows.agg(F.min("id"), F.max("id"), F.max(F.length("text") - F.length(F.replace("text", F.lit("\n")))), F.max(F.abs("copy"))).first()
     bits = int(most[2] or 0).bit_length()
     if most[0] is not None and most[0] >= 0 and most[1] < 1 << (62 - bits) and not most[3]:
@@ -155,7 +155,12 @@ def _lines(rows: DataFrame) -> tuple[DataFrame, list[Column]]:
         fields = [F.shiftright("node", bits).alias("id"), F.lit(0).cast("long").alias("copy"), F.col("node").bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("line_no")]
     else:
         node, fields = F.struct("id", "copy", "line_no"), [F.col("node.id"), F.col("node.copy"), F.col("node.line_no")]
-    return cut.select(node.alias("node"), F.lower(F.expr(f"trim(BOTH '{BLANKS}' FROM raw)")).alias("line")).where("line <> ''"), fields
+
+    def cut(some: DataFrame) -> DataFrame:
+        each = some.select("id", "copy", F.posexplode_outer(F.split("text", "\n")).alias("line_no", "raw"))  # outer: or the split is made twice, for a filter too
+        return each.select(node.alias("node"), F.lower(F.expr(f"trim(BOTH '{BLANKS}' FROM raw)")).alias("line")).where("line <> ''")
+
+    return cut, fields
 
 
 def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -167,18 +172,27 @@ def duplicate_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no part.  Rows that repeat an id and the text are one; copy is 0 unless ids repeat, then the hash of the text.
     """
     rows = _rows(docs, id_col, text_col)
-    lines, fields = _lines(rows)
-    hashed = lines.select("node", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    cut, fields = _lines(rows)
+    lines = cut(rows)
+    hashed = settle(lines.select("node", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2")))
     exact = settle(with_least(hashed, ["h1", "h2"], "node", "keeper", several=True).where(F.col("node") != F.col("keeper")).select("node"))
+    drop_settled(hashed)
+
+    def lines_of(nodes: DataFrame) -> DataFrame:
+        """The lines of the documents that nodes (a column node) stand in; only their texts are split."""
+        return cut(near_keys(rows, "id", settle(nodes.select(fields[0]).distinct())))
+
     keyed = settle(with_keys(without_keys(lines, "node", exact)))
-    rows = keyed.select(F.struct("node", "n").alias("at"), F.explode("keys").alias("key"))
-    shared = settle(with_least(rows, ["key"], "at", "lead", several=True))
+    placed = keyed.select(F.struct("node", "n").alias("at"), F.explode("keys").alias("key"))
+    shared = settle(with_least(placed, ["key"], "at", "lead", several=True))
     drop_settled(keyed)
     drawn = shared.where("at <> lead").where(_sizes("at.n", "lead.n")).select(F.col("at.node").alias("b"), F.col("lead.node").alias("a")).distinct()
-    linked = settle(verified(settle(drawn), lines))
-    rows = open_keys(shared, settle(components(linked)))
+    drawn = settle(drawn)
+    linked = settle(verified(drawn, lines_of(drawn.select(F.explode(F.array("a", "b")).alias("node")))))
+    opened = open_keys(shared, settle(components(linked)))
     large = F.col("most") + F.col("other") > LARGE
-    few, many = rows.where(~large), rows.where(large)
+    few, many = opened.where(~large), opened.where(large)
+    lines = lines_of(opened)
     groups = components(linked.union(_in_blocks(few, lines)).union(verified(_by_prefix(many, lines), lines)))
     return exact.union(groups.where("node <> root").select("node")).select(*fields)
 
