@@ -1,3 +1,4 @@
+import math
 import zlib
 
 import numpy as np
@@ -48,3 +49,24 @@ def test_nothing_to_learn_from(tables):
     docs, labels = tables
     assert {r.score for r in T.toxicity(docs, labels.where("false")).collect()} == {0.5}
     assert T.toxicity(docs.where("false"), labels).collect() == []
+
+
+def test_ftrl_equals_a_plain_loop():
+    """Sums, squares and weights of every coordinate, one at a time, as McMahan et al. (2013) write them."""
+    deal = np.random.default_rng(9)
+    model, z, n = T.Ftrl(l1=0.3, slots=40), [0.0] * 41, [0.0] * 41
+
+    def weight(i):
+        l1 = 0.0 if i == 40 else 0.3
+        return 0.0 if abs(z[i]) <= l1 else (math.copysign(l1, z[i]) - z[i]) / ((T.BETA + math.sqrt(n[i])) / T.ALPHA + T.L2)
+
+    for _ in range(300):
+        at, y = np.append(np.unique(deal.integers(0, 40, int(deal.integers(1, 12)))), 40), int(deal.integers(0, 2))
+        w = {i: weight(i) for i in at.tolist()}
+        g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (T.POSITIVE if y else 1.0)
+        for i in at.tolist():
+            z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / T.ALPHA * w[i]
+            n[i] += g * g
+        model.learn(at, y)
+    assert model.z == pytest.approx(z) and model.n == pytest.approx(n)
+    assert model.weights(np.arange(41)) == pytest.approx([weight(i) for i in range(41)])
