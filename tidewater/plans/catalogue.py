@@ -179,7 +179,7 @@ def geo_atan2_approx(spark, sf):
 
 @query(f"WITH {CLOUD}, {SPH} SELECT l_orderkey, l_linenumber, round(r, 6) AS r FROM s WHERE r > 5 AND r < 40 AND az > -60 AND az < -20 AND el > 80 AND el < 120")
 def geo_frustum(spark, sf):
-    """FLT-8, FLT-9, FLT-10, JN-6: a range query over leaves, coarse cells first."""
+    """FLT-8, JN-6: a range query over leaves, coarse cells first."""
     got = sonar.in_frustum(cloud(spark, sf), (5.0, 40.0), (-60.0, -20.0), (80.0, 120.0), 8.0)
     return got.select(*KEY, r6(F.col("range"), "r"))
 
@@ -225,11 +225,13 @@ def union_all(spark, sf):
     return e.where("event_type = 'click'").select("event_id", "value").unionByName(e.where("value > 50").select("event_id", "value"))
 
 
-@query("SELECT min(i) AS next_id FROM range(1, 100001) r(i) WHERE i NOT IN (SELECT s_suppkey FROM supplier)")
+@query("SELECT min(c) AS next_id FROM (SELECT 1::BIGINT AS c UNION ALL SELECT s_suppkey + 1 FROM supplier WHERE s_suppkey >= 1) WHERE c NOT IN (SELECT s_suppkey FROM supplier)")
 def next_free_id(spark, sf):
     """SET-2: the least id that no beacon uses."""
     used = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"))
-    return spark.range(1, 100001).join(used, "id", "left_anti").agg(F.min("id").alias("next_id"))
+    # it is 1 or follows a used one
+    after = spark.range(1, 2).union(used.where("id >= 1").select(F.col("id") + 1))
+    return after.join(used, "id", "left_anti").agg(F.min("id").alias("next_id"))
 
 
 @query("SELECT c_custkey, first(o_orderkey ORDER BY o_orderdate, o_orderkey) AS start_order, first(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS end_order, count(*) AS steps FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
@@ -468,7 +470,7 @@ def quat_ops(spark, sf):
 
 @query("WITH d(x, y) AS (VALUES " + ", ".join(f"({x}::DOUBLE, {y}::DOUBLE)" for x, y in zip(control.DRAG_X, control.DRAG_Y)) + "), s AS (SELECT x, y, lead(x) OVER (ORDER BY x) AS x2, lead(y) OVER (ORDER BY x) AS y2 FROM d) SELECT l_orderkey, l_linenumber, round(CASE WHEN v <= 0.0109 THEN 1.9661 WHEN v > 4.0031 THEN 0.5593 ELSE (SELECT min(y + (v - x) * ((y2 - y) / (x2 - x))) FROM s WHERE v > x AND v <= x2) END, 6) AS drag FROM (SELECT l_orderkey, l_linenumber, l_quantity / 12 AS v FROM lineitem)")
 def drag_interp(spark, sf):
-    """JN-13, AGG-21: piecewise-linear drag, held at the ends."""
+    """JN-13: piecewise-linear drag, held at the ends."""
     return cloud(spark, sf).select(*KEY, r6(control.interpolated(F.col("x") / 12, control.DRAG_X, control.DRAG_Y), "drag"))
 
 
@@ -504,7 +506,7 @@ def comms_fields(spark, sf):
 
 @query("WITH s AS (SELECT s_suppkey AS id, s_nationkey AS n, s_acctbal / 100 AS x, CAST(s_suppkey % 97 AS DOUBLE) AS y FROM supplier), p AS (SELECT a.id, b.id AS other, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM s a JOIN s b ON a.n = b.n AND a.id <> b.id) SELECT id, other, round(sqrt(dx*dx + dy*dy), 6) AS distance FROM p WHERE sqrt(dx*dx + dy*dy) <= 60 AND CASE WHEN sqrt(ax*ax + ay*ay) * sqrt(dx*dx + dy*dy) > 0 THEN (ax*dx + ay*dy) / (sqrt(ax*ax + ay*ay) * sqrt(dx*dx + dy*dy)) >= cos(radians(60.0)) ELSE false END")
 def comms_optical(spark, sf):
-    """FLT-14, FLT-13, FLT-15: pairs of modems of one region within range and within the beam."""
+    """FLT-14, FLT-15: pairs of modems of one region within range and within the beam."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("n"), (F.col("s_acctbal") / 100).alias("x"), (F.col("s_suppkey") % 97).cast("double").alias("y"))
     b = s.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("x").alias("bx"), F.col("y").alias("by"))
     p = s.join(b, (F.col("n") == F.col("m")) & (F.col("id") != F.col("other"))).withColumn("dx", F.col("bx") - F.col("x")).withColumn("dy", F.col("by") - F.col("y")).withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
@@ -574,7 +576,7 @@ def reward_once(spark, sf):
 
 @query("SELECT user_id AS agent, bool_or(event_type = 'error') AS hit, max_by(value, (ts, event_id)) AS last_value FROM events GROUP BY 1")
 def event_latch(spark, sf):
-    """STM-19, STM-20: whether anything happened, and the last reading."""
+    """STM-20: whether anything happened, and the last reading."""
     e = table(spark, sf, "events")
     return e.groupBy(F.col("user_id").alias("agent")).agg(F.bool_or(F.col("event_type") == "error").alias("hit"), F.max_by("value", F.struct("ts", "event_id")).alias("last_value"))
 
@@ -620,7 +622,7 @@ def label_lookup(spark, sf):
 
 @query(f"WITH n AS (SELECT l_returnflag, sqrt(-2 * ln(1 - {u_sql(KEYED, 5)})) * cos(2 * pi() * {u_sql(KEYED, 6)}) AS g, -2.0 * ln(1 - {u_sql(KEYED, 9)}) AS e FROM lineitem) SELECT l_returnflag, round(avg(g), 6) AS mean, round(stddev_pop(g), 6) AS std, round(avg(e), 6) AS waiting FROM n GROUP BY 1")
 def noise_moments(spark, sf):
-    """FN-20, FN-22, WIN-3: moments of keyed normal and exponential noise."""
+    """FN-20, FN-22: moments of keyed normal and exponential noise."""
     key = F.concat_ws("-", *KEY)
     n = table(spark, sf, "lineitem").select("l_returnflag", noise.normal(key, 5).alias("g"), noise.exponential(key, 9, 2.0).alias("e"))
     return n.groupBy("l_returnflag").agg(r6(F.avg("g"), "mean"), r6(F.stddev_pop("g"), "std"), r6(F.avg("e"), "waiting"))
@@ -661,7 +663,7 @@ def ml_classify(spark, sf):
 
 @query()
 def gp_sparse_fit(spark, sf):
-    """ML-4, ML-5, ML-6: a sparse Gaussian process fitted to depths, and its mean at each point."""
+    """ML-5, ML-6: a sparse Gaussian process fitted to depths, and its mean at each point."""
     e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"), F.col("embedding")[2].cast("double").alias("y"))
     centres, weights = learning.gp_fit(e, ["a", "b"], "y", "vec_id", inducing=50, length=0.2)
     return e.select("vec_id", r6(learning.gp_predict(e, ["a", "b"], centres.tolist(), weights.tolist(), 1.0, 0.2), "mean"))
@@ -669,7 +671,7 @@ def gp_sparse_fit(spark, sf):
 
 @query()
 def attitude_fusion(spark, sf):
-    """STM-4, STM-5, ML-8: the up vector of each agent from rates and accelerations."""
+    """STM-4, ML-8: the up vector of each agent from rates and accelerations."""
     t = ticks(spark, sf).select("agent", "tick", *((F.sin(F.col("value") * k) / 10).alias(f"g{k}") for k in (1, 2, 3)), (F.cos("value") / 10).alias("a1"), F.lit(0.1).alias("a2"), F.lit(9.8).alias("a3"))
     return attitude.fused(t, "agent", "tick", ["g1", "g2", "g3"], ["a1", "a2", "a3"], 0.1)
 
@@ -712,10 +714,10 @@ def dvl_noise(spark, sf):
     return table(spark, sf, "lineitem").select(*KEY, r6(x, "x"), r6(z, "z"))
 
 
-@query("SELECT vec_id, CAST(i AS INTEGER) AS bin, round((i / 64.0::DOUBLE) * (i / 64.0::DOUBLE) * (1 + 0.5 * exp(-(i - 32.0::DOUBLE) * (i - 32.0::DOUBLE) / (64.0 / 64))), 6) AS scale FROM embeddings, range(64) r(i) WHERE vec_id < 50")
+@query("SELECT vec_id, CAST(i AS INTEGER) AS bin, round((i / 64.0::DOUBLE) * (i / 64.0::DOUBLE) * (1 + 0.5 * exp(-(i - 32.0::DOUBLE) * (i - 32.0::DOUBLE) / (64.0 / 64))), 6) AS scale FROM embeddings, range(64) r(i)")
 def sonar_noise_scale(spark, sf):
     """FN-18: noise by range and lobe."""
-    cells = table(spark, sf, "embeddings").where("vec_id < 50").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bin"))
+    cells = table(spark, sf, "embeddings").select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("bin"))
     return cells.select("vec_id", "bin", r6(vehicle.range_lobe_scale(F.col("bin") / 64.0, F.col("bin") - 32.0, 64.0), "scale"))
 
 
@@ -726,10 +728,10 @@ def version_check(spark, sf):
     return v.select("p_partkey", "version", (vehicle.version_key(F.col("version")) >= vehicle.version_key(F.lit("2.3"))).alias("enough"))
 
 
-@query("WITH v AS (SELECT DISTINCT l_orderkey, CAST(floor(l_quantity / 5) AS INTEGER) AS i, CAST(floor(l_extendedprice / 10000) AS INTEGER) AS j, CAST(floor(l_discount * 50) AS INTEGER) AS k FROM lineitem WHERE l_orderkey % 40 = 1), r AS (SELECT s_suppkey, s, CAST(floor((s_suppkey % 10 + 0.5 * s) / 1) AS INTEGER) AS i, CAST(floor((s_suppkey % 7 + 0.3::DOUBLE * s) / 1) AS INTEGER) AS j, CAST(floor(0.1::DOUBLE * s / 1) AS INTEGER) AS k FROM supplier, range(1, 21) q(s)), h AS (SELECT r.*, row_number() OVER (PARTITION BY s_suppkey ORDER BY s) AS n FROM r WHERE (i, j, k) IN (SELECT i, j, k FROM v)) SELECT s_suppkey, CAST(s AS INTEGER) AS step, i, j, k FROM h WHERE n = 1")
+@query("WITH v AS (SELECT DISTINCT l_orderkey, CAST(floor(l_quantity / 5) AS INTEGER) AS i, CAST(floor(l_extendedprice / 10000) AS INTEGER) AS j, CAST(floor(l_discount * 50) AS INTEGER) AS k FROM lineitem), r AS (SELECT s_suppkey, s, CAST(floor((s_suppkey % 10 + 0.5 * s) / 1) AS INTEGER) AS i, CAST(floor((s_suppkey % 7 + 0.3::DOUBLE * s) / 1) AS INTEGER) AS j, CAST(floor(0.1::DOUBLE * s / 1) AS INTEGER) AS k FROM supplier, range(1, 21) q(s)), h AS (SELECT r.*, row_number() OVER (PARTITION BY s_suppkey ORDER BY s) AS n FROM r WHERE (i, j, k) IN (SELECT i, j, k FROM v)) SELECT s_suppkey, CAST(s AS INTEGER) AS step, i, j, k FROM h WHERE n = 1")
 def voxel_probe(spark, sf):
     """JN-7, JN-6: the first occupied voxel along each ray."""
-    v = table(spark, sf, "lineitem").where("l_orderkey % 40 = 1").select(F.floor(F.col("l_quantity") / 5).cast("int").alias("i"), F.floor(F.col("l_extendedprice") / 10000).cast("int").alias("j"), F.floor(F.col("l_discount") * 50).cast("int").alias("k"))
+    v = table(spark, sf, "lineitem").select(F.floor(F.col("l_quantity") / 5).cast("int").alias("i"), F.floor(F.col("l_extendedprice") / 10000).cast("int").alias("j"), F.floor(F.col("l_discount") * 50).cast("int").alias("k"))
     rays = table(spark, sf, "supplier").select("s_suppkey", (F.col("s_suppkey") % 10).cast("double").alias("x"), (F.col("s_suppkey") % 7).cast("double").alias("y"), F.lit(0.0).alias("z"), F.lit(0.5).alias("dx"), F.lit(0.3).alias("dy"), F.lit(0.1).alias("dz"))
     return voxels.first_hit(rays, v, "s_suppkey", 1.0, 1.0, 20)
 
