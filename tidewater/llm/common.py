@@ -167,8 +167,9 @@ def without_keys(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
     return rest.union(perhaps.join(keys, perhaps[column] == keys[keys.columns[0]], "left_anti"))
 
 
-def with_least(rows: DataFrame, keys: list[str], value: str, name: str, several: bool = False) -> DataFrame:
-    """rows with the least `value` of their key group as `name`; with `several`, only rows of groups of two and more.
+def with_least(rows: DataFrame, keys: list[str], value: str, name: str, several: bool = False, size: str | None = None) -> DataFrame:
+    """rows with the least `value` of their key group as `name`; with `several`, only rows of groups of two and more;
+    with `size`, the number of rows of the group in a column of that name.
 
     The minimum is pre-aggregated where the rows are.  Groups of more than a 256th of all rows (so 256 at most, which
     are broadcast) are dealt over 64 salts before the join, so no task gets a hot group whole.
@@ -185,5 +186,5 @@ def with_least(rows: DataFrame, keys: list[str], value: str, name: str, several:
     hot = F.broadcast(least.where(F.col("__n") > max(1000, total // 256)).select(*keys, F.lit(True).alias("__hot")))
     salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(value, F.lit(9)), F.lit(64))).otherwise(0).cast("int")
     salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))
-    spread = least.join(hot, keys, "left").select(*keys, name, F.explode_outer(salts).alias("__salt"))
+    spread = least.join(hot, keys, "left").select(*keys, name, *([F.col("__n").alias(size)] if size else []), F.explode_outer(salts).alias("__salt"))
     return rows.join(hot, keys, "left").withColumn("__salt", salt).join(spread, [*keys, "__salt"]).drop("__hot", "__salt")
