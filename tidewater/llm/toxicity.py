@@ -19,9 +19,9 @@ from .common import WordHash, distinct, mixed, slices
 BITS = 20
 # The bound on labelled rows to learn from.
 TRAIN_ROWS = 16_000
-# Rates of the learner; a positive row counts POSITIVE times.  The L1 penalty is for LEAST_ROWS rows or more and
-# shrinks in proportion for fewer; a feature must stand in MIN_ROWS rows, or 2 where there are fewer than LEAST_ROWS.
-EPOCHS, ALPHA, BETA, L1, L2, POSITIVE, MIN_ROWS, LEAST_ROWS = 6, 2.0, 1.0, 8.0, 1.0, 2.0, 8, 8_000
+# Rates of the learner; a positive row counts POSITIVE times, and a feature must stand in MIN_ROWS rows.
+# EPOCHS and L1 are for TRAIN_ROWS rows; fewer rows are read more often and shrink less, by one smooth rule.
+EPOCHS, ALPHA, BETA, L1, L2, POSITIVE, MIN_ROWS = 6, 2.0, 1.0, 8.0, 1.0, 2.0, 2
 
 # White space and ASCII punctuation separate words.
 _APART = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
@@ -67,7 +67,6 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
     if rows > TRAIN_ROWS:
         known = known.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(1_000_000 * TRAIN_ROWS / rows))
     # at most about TRAIN_ROWS pairs of numbers: this is what is broadcast
-    # at most about TRAIN_ROWS pairs of numbers: this is what is broadcast
     sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), "id").select("id", "text", "y")
 
     def hashed(batches):
@@ -82,10 +81,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
         shared = np.zeros((1 << BITS) + 1, dtype=np.int64)
         for at, _ in seen:
             shared[at] += 1
-        often = shared >= (MIN_ROWS if len(seen) >= LEAST_ROWS else 2)
+        often = shared >= MIN_ROWS
         seen = [(at[often[at]], y) for at, y in seen]
-        model, deal = Ftrl(L1 * min(1.0, max(0.05, len(seen) / LEAST_ROWS))), np.random.default_rng(0)
-        for _ in range(max(EPOCHS, min(40, EPOCHS * LEAST_ROWS // max(1, len(seen))))):  # short samples are read more often
+        share = len(seen) / TRAIN_ROWS
+        model, deal = Ftrl(L1 * math.sqrt(share)), np.random.default_rng(0)
+        for _ in range(math.ceil(EPOCHS / math.sqrt(share)) if seen else 0):
             for k in deal.permutation(len(seen)).tolist():
                 model.learn(*seen[k])
         w = model.weights(np.arange(len(model.z)))
