@@ -85,3 +85,48 @@ def echo_strength(impedance: Column, water: float, cosine: Column) -> Column:
     """R^2 cos, with R the reflection coefficient at the boundary."""
     share = (impedance - water) / (impedance + water)
     return share * share * cosine
+
+
+def unpacked_pose(matrix: Column) -> tuple[list[Column], list[list[Column]]]:
+    """Position, and the three axes of the body, of a 4 x 4 pose given as an array of rows."""
+    at = [F.element_at(F.element_at(matrix, k), 4) for k in (1, 2, 3)]
+    return at, [[F.element_at(F.element_at(matrix, k), c) for k in (1, 2, 3)] for c in (1, 2, 3)]
+
+
+def polar_to_world(position: list[Column], angles: list[Column], distance: Column, theta: Column) -> list[Column]:
+    """A beam's end in the world: position + R (r cos theta, r sin theta, 0)."""
+    return [p + d for p, d in zip(position, rotated(*angles, distance * F.cos(theta), distance * F.sin(theta), F.lit(0.0)))]
+
+
+def faces(normal: list[Column], to_sensor: list[Column]) -> Column:
+    """Whether a surface looks towards the sensor."""
+    return sum((a * b for a, b in zip(normal[1:], to_sensor[1:])), normal[0] * to_sensor[0]) > 0
+
+
+def segment_meets_box(start: list[Column], end: list[Column], low: list[float], high: list[float]) -> Column:
+    """Whether the segment touches an axis-aligned box: on every axis it spends a share of its way inside, and the shares overlap."""
+    enter, leave, outside = [F.lit(0.0)], [F.lit(1.0)], F.lit(False)
+    for a, b, lo, hi in zip(start, end, low, high):
+        way = F.when(b != a, b - a)
+        one, two = (lo - a) / way, (hi - a) / way
+        # least() and greatest() pass over the nulls of an axis along which nothing moves
+        enter.append(F.least(one, two))
+        leave.append(F.greatest(one, two))
+        outside = outside | ((b == a) & ((a < lo) | (a > hi)))
+    return ~outside & (F.greatest(*enter) <= F.least(*leave))
+
+
+def ring_angles(count: Column) -> Column:
+    """Directions in degrees of a range finder's beams, a full turn without its end."""
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: i * 360.0 / count)
+
+
+def strip_loads(sway: Column, yaw_rate: Column, length: float, draft: float, density: float, coefficient: float, strips: int = 21) -> tuple[Column, Column]:
+    """Side force and turning moment of cross-flow drag, summed over strips along the hull."""
+    step = length / (strips - 1)
+    places = F.array(*[F.lit(-length / 2 + step * k) for k in range(strips)])
+    flow = F.transform(places, lambda x: F.struct(x.alias("x"), (sway + x * yaw_rate).alias("u")))
+    scale = -0.5 * density * draft * coefficient * step
+    force = F.aggregate(flow, F.lit(0.0), lambda s, p: s + F.abs(p["u"]) * p["u"])
+    moment = F.aggregate(flow, F.lit(0.0), lambda s, p: s + p["x"] * F.abs(p["u"]) * p["u"])
+    return scale * force, scale * moment

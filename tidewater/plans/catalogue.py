@@ -767,3 +767,141 @@ def comms_requests(spark, sf):
     """STM-14: accepted requests and their replies."""
     m = table(spark, sf, "events").select(F.col("user_id").alias("link"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("kind"))
     return comms.answered(m, "link", "at", "kind", {"click": "view", "purchase": "signup"})
+
+
+# --- poses, beams and links -----------------------------------------------------------------------------------------
+
+
+@query("SELECT vec_id, round(CAST(embedding[4] AS DOUBLE), 6) AS px, round(CAST(embedding[8] AS DOUBLE), 6) AS py, round(CAST(embedding[12] AS DOUBLE), 6) AS pz, round(CAST(embedding[1] AS DOUBLE), 6) AS fx, round(CAST(embedding[5] AS DOUBLE), 6) AS fy, round(CAST(embedding[9] AS DOUBLE), 6) AS fz FROM embeddings")
+def pose_unpack(spark, sf):
+    """PRJ-5: position and forward axis of a 4 x 4 pose."""
+    rows = F.array(*[F.transform(F.slice("embedding", 4 * k + 1, 4), lambda v: v.cast("double")) for k in range(4)])
+    at, axes = geometry.unpacked_pose(rows)
+    return table(spark, sf, "embeddings").select("vec_id", *[r6(c, f"p{n}") for c, n in zip(at, "xyz")], *[r6(c, f"f{n}") for c, n in zip(axes[0], "xyz")])
+
+
+@query(f"""WITH {CLOUD}, a AS (SELECT *, l_tax * 3 AS ro, z / 20 AS pi, y / 40 AS ya, x / 5 AS r, l_linenumber / 7.0::DOUBLE AS th FROM c), b AS (SELECT *, r * cos(th) AS u, r * sin(th) AS v FROM a)
+SELECT l_orderkey, l_linenumber, round(x + cos(ya) * cos(pi) * u + (cos(ya) * sin(pi) * sin(ro) - sin(ya) * cos(ro)) * v, 5) AS wx, round(y + sin(ya) * cos(pi) * u + (cos(ya) * cos(ro) + sin(ro) * sin(pi) * sin(ya)) * v, 5) AS wy, round(z - sin(pi) * u + cos(pi) * sin(ro) * v, 5) AS wz FROM b""")
+def sonar_world_points(spark, sf):
+    """PRJ-15: beams by range and angle in the world frame, under a full rotation."""
+    x, y, z = xyz()
+    got = geometry.polar_to_world([x, y, z], [F.col("l_tax") * 3, z / 20, y / 40], x / 5, F.col("l_linenumber") / 7.0)
+    return cloud(spark, sf).select(*KEY, *[F.round(c, 5).alias(f"w{n}") for c, n in zip(got, "xyz")])
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_quantity, 6) AS accel, round(l_tax, 6) AS gyro, CASE WHEN l_returnflag = 'R' THEN round(l_discount, 6) END AS accel_bias, CASE WHEN l_returnflag = 'R' THEN round(l_discount / 2, 6) END AS gyro_bias FROM lineitem")
+def imu_unpack(spark, sf):
+    """PRJ-18: readings of two or four parts; the biases are null where a reading leaves them out."""
+    short = F.array("l_quantity", "l_tax")
+    sent = table(spark, sf, "lineitem").select(*KEY, F.when(F.col("l_returnflag") == "R", F.concat(short, F.array(F.col("l_discount"), F.col("l_discount") / 2))).otherwise(short).alias("m"))
+    return sent.select(*KEY, *[r6(F.get("m", F.lit(k)), n) for k, n in enumerate(["accel", "gyro", "accel_bias", "gyro_bias"])])
+
+
+@query("SELECT p_partkey, CAST(i AS INTEGER) AS beam, round(i * 360.0::DOUBLE / p_size, 6) AS angle FROM part, LATERAL (SELECT unnest(range(p_size)) AS i)")
+def rangefinder_angles(spark, sf):
+    """PRJ-19: the direction of each beam of range finders of different sizes."""
+    p = table(spark, sf, "part").where("p_size > 0")
+    return p.select("p_partkey", F.posexplode(geometry.ring_angles(F.col("p_size"))).alias("beam", "angle")).select("p_partkey", "beam", r6(F.col("angle"), "angle"))
+
+
+@query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber, CAST(x AS FLOAT) AS x, CAST(y AS FLOAT) AS y, -z AS depth, round(y - (-(z / 2.5::DOUBLE)), 6) AS delta FROM c")
+def predictor_columns(spark, sf):
+    """PRJ-1, PRJ-2, PRJ-4, PRJ-6: chosen columns in single precision, depth as minus z, and a dead-reckoning difference."""
+    x, y, z = xyz()
+    return cloud(spark, sf).select(*KEY, x.cast("float").alias("x"), y.cast("float").alias("y"), (-z).alias("depth"), r6(y - (-(z / 2.5)), "delta"))
+
+
+@query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber, CASE WHEN -z + l_tax * 10 < 5 THEN x END AS gps_x, CASE WHEN -z + l_tax * 10 < 5 THEN y END AS gps_y FROM c")
+def gps_fix(spark, sf):
+    """FLT-7: positions near enough to the surface, with noise on the depth; null elsewhere."""
+    x, y, z = xyz()
+    heard = -z + F.col("l_tax") * 10 < 5
+    return cloud(spark, sf).select(*KEY, F.when(heard, x).alias("gps_x"), F.when(heard, y).alias("gps_y"))
+
+
+@query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber FROM c WHERE cos(l_tax * 50) * (25 - x) + sin(l_tax * 50) * (50 - y) + 0.1::DOUBLE * (-5 - z) > 0")
+def sonar_facing(spark, sf):
+    """FLT-10: surfaces that look towards the sensor."""
+    x, y, z = xyz()
+    tilt = F.col("l_tax") * 50
+    return cloud(spark, sf).where(geometry.faces([F.cos(tilt), F.sin(tilt), F.lit(0.1)], [25 - x, 50 - y, -5 - z])).select(*KEY)
+
+
+BEACONS = "b AS (SELECT s_suppkey AS id, CAST(s_suppkey % 53 AS DOUBLE) AS x, s_acctbal / 100 AS y, -CAST(s_suppkey % 13 AS DOUBLE) - 0.5 AS z FROM supplier)"
+# Walls between beacons: opposite corners of boxes.
+WALLS = [((10.0, -20.0, -20.0), (12.0, 60.0, 0.0)), ((30.0, 10.0, -6.0), (40.0, 50.0, -2.0))]
+
+
+def _wall_sql(k: int) -> str:
+    """The slab test of WALLS[k] for the segment from a to b."""
+    low, high = WALLS[k]
+    axes = list(zip("xyz", low, high))
+    enter = ", ".join(f"CASE WHEN b.{n} <> a.{n} THEN least(({lo}::DOUBLE - a.{n}) / (b.{n} - a.{n}), ({hi}::DOUBLE - a.{n}) / (b.{n} - a.{n})) END" for n, lo, hi in axes)
+    leave = ", ".join(f"CASE WHEN b.{n} <> a.{n} THEN greatest(({lo}::DOUBLE - a.{n}) / (b.{n} - a.{n}), ({hi}::DOUBLE - a.{n}) / (b.{n} - a.{n})) END" for n, lo, hi in axes)
+    outside = " OR ".join(f"(b.{n} = a.{n} AND (a.{n} < {lo} OR a.{n} > {hi}))" for n, lo, hi in axes)
+    return f"(NOT ({outside}) AND greatest(0.0, {enter}) <= least(1.0, {leave}))"
+
+
+@query(f"WITH {BEACONS}, j AS (SELECT a.id AS sender, b.id AS receiver, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d, {u_sql('a.id', 31)} AS u, ({_wall_sql(0)} OR {_wall_sql(1)}) AS hidden FROM a JOIN b ON b.id = a.id + 1) SELECT sender, receiver, round(d, 6) AS distance, d < 60 + 10 * u AND NOT hidden AS heard FROM j".replace("FROM a JOIN", "FROM b AS a JOIN"))
+def comms_acoustic(spark, sf):
+    """FLT-13: messages to the next beacon that arrive, by range with noise and a free line of sight."""
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_suppkey") % 53).cast("double").alias("x"), (F.col("s_acctbal") / 100).alias("y"), (-(F.col("s_suppkey") % 13).cast("double") - 0.5).alias("z"))
+    near, far = s.select(*[F.col(c).alias(f"a{c}") for c in s.columns]), s.select(*[F.col(c).alias(f"b{c}") for c in s.columns])
+    pairs = near.join(far, F.col("bid") == F.col("aid") + 1)
+    a, b = ([F.col(f"{side}{n}") for n in "xyz"] for side in "ab")
+    distance = F.sqrt(sum(((p - q) * (p - q) for p, q in zip(a[1:], b[1:])), (a[0] - b[0]) * (a[0] - b[0])))
+    hidden = geometry.segment_meets_box(a, b, *WALLS[0]) | geometry.segment_meets_box(a, b, *WALLS[1])
+    return pairs.select(F.col("aid").alias("sender"), F.col("bid").alias("receiver"), r6(distance, "distance"), ((distance < 60 + 10 * noise.uniform(F.col("aid"), 31)) & ~hidden).alias("heard"))
+
+
+@query("WITH c AS (SELECT p_partkey, CASE WHEN p_size % 3 <> 0 THEN p_size * 2 END AS bins, CASE WHEN p_size % 3 <> 1 THEN p_size / 64.0::DOUBLE END AS res FROM part) SELECT p_partkey, bins IS NOT NULL AND res IS NOT NULL AS both, CASE WHEN res IS NULL THEN bins WHEN bins IS NULL THEN CAST(trunc(99.5 / res) AS INTEGER) END AS bins, CASE WHEN bins IS NULL THEN res WHEN res IS NULL THEN 99.5 / bins END AS res FROM c")
+def sonar_bin_config(spark, sf):
+    """FLT-20, FN-15: bins by resolution or resolution by bins over 0.5 to 100 m; settings that give both are marked."""
+    c = table(spark, sf, "part").select("p_partkey", F.when(F.col("p_size") % 3 != 0, F.col("p_size") * 2).alias("bins"), F.when(F.col("p_size") % 3 != 1, F.col("p_size") / 64.0).alias("res"))
+    bins, res = F.col("bins"), F.col("res")
+    return c.select("p_partkey", (bins.isNotNull() & res.isNotNull()).alias("both"), F.when(res.isNull(), bins).when(bins.isNull(), (99.5 / res).cast("int")).alias("bins"), F.when(bins.isNull(), res).when(res.isNull(), 99.5 / bins).alias("res"))
+
+
+@query("""WITH s AS (SELECT l_orderkey, l_linenumber, list_transform(range(21), lambda k: {'x': -1.0::DOUBLE + 0.1::DOUBLE * k, 'u': l_tax * 10 - 0.4::DOUBLE + (-1.0::DOUBLE + 0.1::DOUBLE * k) * (l_discount - 0.05::DOUBLE)}) AS f FROM lineitem)
+SELECT l_orderkey, l_linenumber, round(-30.0 * list_sum(list_transform(f, lambda p: abs(p.u) * p.u)), 5) + 0.0 AS force, round(-30.0 * list_sum(list_transform(f, lambda p: p.x * abs(p.u) * p.u)), 5) + 0.0 AS moment FROM s""")
+def strip_drag(spark, sf):
+    """AGG-21: cross-flow drag summed over 21 strips of the hull."""
+    force, moment = geometry.strip_loads(F.col("l_tax") * 10 - 0.4, F.col("l_discount") - 0.05, 2.0, 0.6, 1000.0, 1.0)
+    return table(spark, sf, "lineitem").select(*KEY, (F.round(force, 5) + 0.0).alias("force"), (F.round(moment, 5) + 0.0).alias("moment"))
+
+
+@query("SELECT user_id AS agent, max_by(event_type, (ts, event_id)) AS task, max_by(value, (ts, event_id)) AS reward FROM events WHERE contains(event_type, 'i') GROUP BY user_id")
+def reward_selection(spark, sf):
+    """STM-19: the reward of each agent's last sensor whose name contains a given part."""
+    e = table(spark, sf, "events").where(F.col("event_type").contains("i"))
+    order = F.struct("ts", "event_id")
+    return e.groupBy(F.col("user_id").alias("agent")).agg(F.max_by("event_type", order).alias("task"), F.max_by("value", order).alias("reward"))
+
+
+@query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber, round(atan2(y - 50, x - 25.5), 6) AS azimuth, round(atan2(z + 5, sqrt((x - 25.5) * (x - 25.5) + (y - 50) * (y - 50))), 6) AS elevation, round(sqrt((x - 25.5) * (x - 25.5) + (y - 50) * (y - 50) + (z + 5) * (z + 5)), 6) AS range, -y AS ned_y, -z AS ned_z, round(x / 100, 7) AS client_x, round(-y / 100, 7) AS client_y FROM c")
+def beacon_bearings(spark, sf):
+    """FN-26, FN-28, FN-37: bearing of a beacon, and the same point in two other frames."""
+    x, y, z = xyz()
+    ned, client = vehicle.nwu_to_ned([x, y, z]), geometry.to_client_frame(x, y, z)
+    seen = cloud(spark, sf).withColumn("b", geometry.bearing(x - 25.5, y - 50, z + 5))
+    return seen.select(*KEY, *[r6(F.col(f"b.{n}"), n) for n in ("azimuth", "elevation", "range")], ned[1].alias("ned_y"), ned[2].alias("ned_z"), F.round(client[0], 7).alias("client_x"), F.round(client[1], 7).alias("client_y"))
+
+
+@query(f"""WITH {CLOUD}, n AS (SELECT *, cos(l_tax * 20) AS nx, sin(l_tax * 20) AS ny, (x * cos(l_tax * 20) + y * sin(l_tax * 20)) AS dot FROM c)
+SELECT l_orderkey, l_linenumber, round(2 * dot * nx - x, 5) AS rx, round(2 * dot * ny - y, 5) AS ry, round((x + y + 7.5) / 2, 6) AS range, round(((y + 2 - 1.5) / (y + 2 + 1.5)) * ((y + 2 - 1.5) / (y + 2 + 1.5)) * ((x + 2 - 1.5) / (x + 2 + 1.5)) * ((x + 2 - 1.5) / (x + 2 + 1.5)) * 0.5, 6) AS gain FROM n""")
+def sonar_multipath(spark, sf):
+    """FN-16, FN-17: specular directions, and range and gain of echoes by way of a second surface."""
+    x, y, _ = xyz()
+    tilt = F.col("l_tax") * 20
+    rx, ry = geometry.reflected([x, y], [F.cos(tilt), F.sin(tilt)])
+    distance, gain = vehicle.multipath(x, y, F.lit(7.5), y + 2, x + 2, 1.5, F.lit(0.5))
+    return cloud(spark, sf).select(*KEY, F.round(rx, 5).alias("rx"), F.round(ry, 5).alias("ry"), r6(distance, "range"), r6(gain, "gain"))
+
+
+@query(f"SELECT s_suppkey, round(s_acctbal / 100 + (2 * {u_sql('s_suppkey', 41)} - 1) * 5, 6) AS x, round((2 * {u_sql('s_suppkey', 42)} - 1) * 2, 6) AS y, round(-10 + (2 * {u_sql('s_suppkey', 43)} - 1) * 0.5, 6) AS z FROM supplier")
+def start_positions(spark, sf):
+    """FN-23: starts moved at random within a span on each axis, drawn from the key."""
+    def moved(at, span, seed):
+        return at + (2 * noise.uniform(F.col("s_suppkey"), seed) - 1) * span
+
+    return table(spark, sf, "supplier").select("s_suppkey", r6(moved(F.col("s_acctbal") / 100, 5.0, 41), "x"), r6(moved(F.lit(0.0), 2.0, 42), "y"), r6(moved(F.lit(-10.0), 0.5, 43), "z"))
