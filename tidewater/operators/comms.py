@@ -38,6 +38,24 @@ def within_cone(ax: Column, ay: Column, dx: Column, dy: Column, half_angle: floa
     return F.when(size > 0, (ax * dx + ay * dy) / F.when(size > 0, size) >= F.cos(F.radians(F.lit(half_angle)))).otherwise(False)
 
 
+def in_reach(senders: DataFrame, others: DataFrame, by: str, other_by: str, axes: list[tuple[str, str]], reach: float) -> DataFrame:
+    """Pairs of the same `by` within `reach` of each other, with `distance`; axes: a sender's column and the other's for each axis.
+
+    An equi join on cells of that size: a sender looks into its own cell and the ones around it.
+    """
+    cells = [F.floor(F.col(a) / reach) for a, _ in axes]
+    around = senders
+    for k, c in enumerate(cells):
+        around = around.withColumn(f"__c{k}", F.explode(F.sequence(c - 1, c + 1)))
+    there = others.select("*", *(F.floor(F.col(b) / reach).alias(f"__o{k}") for k, (_, b) in enumerate(axes)))
+    on = F.col(by) == F.col(other_by)
+    for k in range(len(axes)):
+        on = on & (F.col(f"__c{k}") == F.col(f"__o{k}"))
+    gap = F.sqrt(sum(((F.col(b) - F.col(a)) * (F.col(b) - F.col(a)) for a, b in axes[1:]), (F.col(axes[0][1]) - F.col(axes[0][0])) * (F.col(axes[0][1]) - F.col(axes[0][0]))))
+    drop = [f"__{side}{k}" for side in "co" for k in range(len(axes))]
+    return around.join(there, on).withColumn("distance", gap).where(F.col("distance") <= reach).drop(*drop)
+
+
 def answered(messages: DataFrame, by: str, at: str, kind: str, replies: dict[str, str]) -> DataFrame:
     """Requests with the first reply of the right type after them on the same link, and how long it took.
 

@@ -53,15 +53,15 @@ def run_starts(points: DataFrame, keys: list[str], order: list[str], index: str)
     return points.withColumn("__before", before).where(F.col("__before").isNull() | (F.col("__before") != F.col(index))).drop("__before")
 
 
-def in_frustum(leaves: DataFrame, r: tuple[float, float], azimuth: tuple[float, float], elevation: tuple[float, float], cell: float, axes=("x", "y", "z")) -> DataFrame:
+def in_frustum(leaves: DataFrame, r: tuple[float, float], azimuth: tuple[float, float], elevation: tuple[float, float], axes=("x", "y", "z")) -> DataFrame:
     """Leaves strictly inside a sensor's view at the origin.
 
-    A test on the leaf's coarse cell comes first; with a table that is partitioned or sorted by cell it prunes files.
+    Plain bounds on the coordinates come first; they reach the scan, so a table sorted by a coordinate or a cell prunes row groups.
     """
     from tidewater.functions.geometry import spherical
 
     x, y, z = (F.col(a) for a in axes)
-    near = [F.floor(c / cell).between(int(-r[1] // cell) - 1, int(r[1] // cell) + 1) for c in (x, y, z)]
+    near = [c.between(-r[1], r[1]) for c in (x, y, z)]
     seen = leaves.where(near[0] & near[1] & near[2]).withColumn("__s", spherical(x, y, z))
     s = lambda c, lim: (F.col(f"__s.{c}") > lim[0]) & (F.col(f"__s.{c}") < lim[1])
     return seen.where(s("range", r) & s("azimuth", azimuth) & s("elevation", elevation)).select(*leaves.columns, "__s.*")

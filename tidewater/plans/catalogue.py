@@ -179,8 +179,8 @@ def geo_atan2_approx(spark, sf):
 
 @query(f"WITH {CLOUD}, {SPH} SELECT l_orderkey, l_linenumber, round(r, 6) AS r FROM s WHERE r > 5 AND r < 40 AND az > -60 AND az < -20 AND el > 80 AND el < 120")
 def geo_frustum(spark, sf):
-    """FLT-8, JN-6: a range query over leaves, coarse cells first."""
-    got = sonar.in_frustum(cloud(spark, sf), (5.0, 40.0), (-60.0, -20.0), (80.0, 120.0), 8.0)
+    """FLT-8, JN-6: a range query over leaves, bounds first."""
+    got = sonar.in_frustum(cloud(spark, sf), (5.0, 40.0), (-60.0, -20.0), (80.0, 120.0))
     return got.select(*KEY, r6(F.col("range"), "r"))
 
 
@@ -509,9 +509,9 @@ def comms_optical(spark, sf):
     """FLT-14, FLT-15: pairs of modems of one region within range and within the beam."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("n"), (F.col("s_acctbal") / 100).alias("x"), (F.col("s_suppkey") % 97).cast("double").alias("y"))
     b = s.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    p = s.join(b, (F.col("n") == F.col("m")) & (F.col("id") != F.col("other"))).withColumn("dx", F.col("bx") - F.col("x")).withColumn("dy", F.col("by") - F.col("y")).withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy")))
-    seen = comms.within_cone(F.col("x"), F.col("y"), F.col("dx"), F.col("dy"), 60.0)
-    return p.where((F.col("d") <= 60) & seen).select("id", "other", r6(F.col("d"), "distance"))
+    p = comms.in_reach(s, b, "n", "m", [("x", "bx"), ("y", "by")], 60.0).where("id <> other")
+    seen = comms.within_cone(F.col("x"), F.col("y"), F.col("bx") - F.col("x"), F.col("by") - F.col("y"), 60.0)
+    return p.where(seen).select("id", "other", r6(F.col("distance"), "distance"))
 
 
 @query("SELECT event_id, CAST(json_extract(props, '$.k') AS INTEGER) AS k, CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) > 50 THEN 'high' ELSE 'low' END AS band FROM events")
