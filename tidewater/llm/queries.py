@@ -84,12 +84,31 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(_table(spark, sf_dir, "documents"), model_path()))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_ngram_jaccard_join, op4_line_dedup, op5_license_scan, op6_embedding_near_dedup, op7_token_counts, op8_mixing, op9_lm_scoring, op10_sentencepiece_codec)}
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .manifest import manifest
+    from .toxicity import crc_rest
+
+    return manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered=crc_rest("doc_id", 3) == 0).drop("lang")
+
+
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_ngram_jaccard_join, op4_line_dedup, op5_license_scan, op6_embedding_near_dedup, op7_token_counts, op8_mixing, op9_lm_scoring, op10_sentencepiece_codec, op13_merkle_manifest)}
 _REACH = """
         edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reach AS (SELECT a AS x, b AS y FROM edges UNION SELECT r.x, e.b FROM reach r JOIN edges e ON r.y = e.a),
         least AS (SELECT x, min(y) AS y FROM reach GROUP BY x)"""
 
+
+def _crc(text: str) -> str:
+    """crc32 of ASCII text, bit by bit."""
+    return f"xor(4294967295, list_reduce(list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda c, b: list_reduce(range(8), lambda x, i: xor(x >> 1, (x & 1) * 3988292384), xor(c, b)), CAST(4294967295 AS BIGINT)))"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(f"coalesce(CAST(strlen(CAST({c} AS VARCHAR)) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
 ORACLES: dict[str, str] = {
     "op1_exact_topk": """
         WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -117,4 +136,21 @@ ORACLES: dict[str, str] = {
         SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(y, vec_id)) AS component_id, least(vec_id, coalesce(y, vec_id)) = vec_id AS kept
         FROM embeddings LEFT JOIN least ON x = vec_id LEFT JOIN n ON a = vec_id
     """,
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE d AS (SELECT doc_id, coalesce('=' || lang, '') AS grp, {_leaf('text')} AS leaf, CASE WHEN {_crc('CAST(doc_id AS VARCHAR)')} % 3 = 0 THEN {_leaf(_LOWER)} END AS other FROM documents),
+        p AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY grp) AS n FROM d),
+        t AS (SELECT 0 AS lev, grp, n, pos AS node, leaf AS hash FROM p
+              UNION ALL SELECT lev + 1, grp, (n + 7) // 8, node // 8, sha256(string_agg(hash, '' ORDER BY node)) FROM t WHERE n > 1 GROUP BY lev, grp, n, node // 8),
+        s AS (SELECT grp, hash AS subroot, lev AS height, row_number() OVER (ORDER BY grp) - 1 AS k, count(*) OVER () AS n FROM t WHERE n = 1),
+        u AS (SELECT 0 AS lev, n, k AS node, subroot AS hash FROM s
+              UNION ALL SELECT lev + 1, (n + 7) // 8, node // 8, sha256(string_agg(hash, '' ORDER BY node)) FROM u WHERE n > 1 GROUP BY lev, n, node // 8),
+        w AS (SELECT grp, lev, CAST(NULL AS BIGINT) AS high, node, n, hash FROM t UNION ALL SELECT s.grp, height + u.lev, u.lev, node, u.n, hash FROM s, u WHERE u.n > 1),
+        f AS (SELECT doc_id, pos AS id, p.grp, 0 AS lev, pos AS node, leaf, other, coalesce(other, leaf) AS h, '' AS sib FROM p
+              UNION ALL
+              SELECT f.doc_id, f.id, f.grp, f.lev + 1, any_value(f.at) // 8, f.leaf, f.other, sha256(string_agg(CASE WHEN w.node = f.at THEN f.h ELSE w.hash END, '' ORDER BY w.node)), f.sib || coalesce(string_agg(w.hash, '' ORDER BY w.node) FILTER (w.node <> f.at), '')
+              FROM (SELECT f.*, CASE WHEN f.lev = height THEN k ELSE f.node END AS at, f.lev >= height AS up FROM f JOIN s ON s.grp = f.grp) f
+              JOIN w ON w.grp = f.grp AND w.lev = f.lev AND w.n > 1 AND w.node // 8 = f.at // 8 AND (w.high IS NOT NULL) = f.up GROUP BY f.doc_id, f.id, f.grp, f.lev, f.leaf, f.other, f.h, f.sib)
+        SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, h AS folded_root, h = root AS verified
+        FROM f JOIN s ON s.grp = f.grp, (SELECT hash AS root, lev AS top FROM u WHERE n = 1) WHERE f.lev = height + top
+    """,
 }

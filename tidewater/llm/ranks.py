@@ -1,0 +1,30 @@
+"""Places of rows in a sorted order, without a window over a whole group."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .common import settle
+
+
+def places(df: DataFrame, group: str, order: list[Column | str]) -> DataFrame:
+    """df with `place`, the row's place (long, from 0) in its group by `order`, nulls first, and the group's `size`.
+
+    Rows are range-partitioned by group, order and their place in the input, so a group of any size is dealt over
+    many tasks, and so are equal rows; a place is the number of the group's rows in the partitions before, by a window over
+    one row for each partition and group, plus the place within the partition.  Null groups are one group; full ties
+    come in the order of the input.  The result reads a settled table, so the order is fixed once.
+    """
+    keys = [F.col(group), *(F.col(c) if isinstance(c, str) else c for c in order), F.col("__tie")]
+    spread = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    spread = settle(spread.drop("__tie").withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    parts = spread.groupBy(F.col(group).alias("__group"), part.alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    own = Window.partitionBy("__group")
+    before = F.sum("__n").over(own.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = parts.select("__group", "__part", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift"), F.sum("__n").over(own).alias("size"))
+    # settled, so that its size is known when the join is planned
+    met = spread.join(settle(starts), (part == F.col("__part")) & F.col(group).eqNullSafe(F.col("__group")))
+    return met.select(*df.columns, (F.col("__at") + F.col("__shift")).alias("place"), "size")
