@@ -84,6 +84,15 @@ def op10_sentencepiece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(_table(spark, sf_dir, "documents"), model_path()))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers as tok
+
+    from .packing import pack
+
+    got = pack(_table(spark, sf_dir, "documents"), (tok.path("byte_bpe_50k.json"), tok.path("byte_bpe_50k.tiktoken"), tok.PATTERN), size=1024)
+    return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .manifest import manifest
     from .toxicity import crc_rest
@@ -91,7 +100,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered=crc_rest("doc_id", 3) == 0).drop("lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_ngram_jaccard_join, op4_line_dedup, op5_license_scan, op6_embedding_near_dedup, op7_token_counts, op8_mixing, op9_lm_scoring, op10_sentencepiece_codec, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_ngram_jaccard_join, op4_line_dedup, op5_license_scan, op6_embedding_near_dedup, op7_token_counts, op8_mixing, op9_lm_scoring, op10_sentencepiece_codec, op11_packing, op13_merkle_manifest)}
 _REACH = """
         edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reach AS (SELECT a AS x, b AS y FROM edges UNION SELECT r.x, e.b FROM reach r JOIN edges e ON r.y = e.a),
