@@ -93,6 +93,12 @@ def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .prefix_trie import prefix_trie
+
+    return prefix_trie(_table(spark, sf_dir, "conversations"), every=100, heads=6)
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .manifest import manifest
     from .toxicity import crc_rest
@@ -100,7 +106,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(_table(spark, sf_dir, "documents"), ["doc_id", "source", "lang", "n_chars", "text"], tampered=crc_rest("doc_id", 3) == 0).drop("lang")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_ngram_jaccard_join, op4_line_dedup, op5_license_scan, op6_embedding_near_dedup, op7_token_counts, op8_mixing, op9_lm_scoring, op10_sentencepiece_codec, op11_packing, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_exact_topk, op2_toxicity, op3_ngram_jaccard_join, op4_line_dedup, op5_license_scan, op6_embedding_near_dedup, op7_token_counts, op8_mixing, op9_lm_scoring, op10_sentencepiece_codec, op11_packing, op12_prefix_trie, op13_merkle_manifest)}
 _REACH = """
         edges AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
         reach AS (SELECT a AS x, b AS y FROM edges UNION SELECT r.x, e.b FROM reach r JOIN edges e ON r.y = e.a),
@@ -162,4 +168,17 @@ ORACLES: dict[str, str] = {
         SELECT doc_id, leaf, subroot, root, sha256(sib) AS proof_sha256, h AS folded_root, h = root AS verified
         FROM f JOIN s ON s.grp = f.grp, (SELECT hash AS root, lev AS top FROM u WHERE n = 1) WHERE f.lev = height + top
     """,
+    "op12_prefix_trie": f"""
+        WITH own AS (SELECT conv_id AS c, list(struct_pack(r := coalesce(role, ''), t := coalesce(text, '')) ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || length(coalesce(text, '')) || ':' || coalesce(text, ''))) AS said FROM conversations WHERE conv_id IS NOT NULL GROUP BY 1),
+        lead AS (SELECT c, said, {_crc('CAST(c AS VARCHAR)')} % 6 AS h FROM own),
+        built AS (SELECT l.c, list_concat(coalesce(b.said[1:h], []), l.said[h + 1:]) AS s FROM lead l LEFT JOIN own b ON b.c = l.c - l.c % 100),
+        steps AS (SELECT c, len(s) AS n, unnest(range(0, len(s) + 1)) AS depth, s FROM built),
+        node AS (SELECT depth, s[1:depth] AS path, min(c) AS conv_id, count(*) AS n_convs, coalesce(list(c ORDER BY c) FILTER (n = depth), []) AS ends FROM steps GROUP BY 1, 2),
+        named AS (SELECT n.*, p.conv_id AS parent_conv_id, CASE WHEN n.depth > 0 THEN (n.n_convs - 1) * length(n.path[n.depth].t) ELSE 0 END AS saved FROM node n LEFT JOIN node p ON p.depth = n.depth - 1 AND p.path = n.path[1:p.depth]),
+        kids AS (SELECT parent_conv_id AS conv_id, depth - 1 AS depth, count(*) AS n FROM named WHERE depth > 0 GROUP BY 1, 2),
+        below AS (SELECT a.conv_id, a.depth, sum(b.saved) AS saved, count(*) FILTER (k.n IS NULL) AS leaves
+                  FROM named a JOIN named b ON b.depth >= a.depth AND b.path[1:a.depth] = a.path LEFT JOIN kids k ON k.conv_id = b.conv_id AND k.depth = b.depth GROUP BY 1, 2)
+        SELECT n.conv_id, n.depth, parent_conv_id, n_convs, coalesce(k.n, 0) AS n_children, leaves AS n_leaves, CAST(b.saved AS BIGINT) AS saved_tokens, sha256(array_to_string(ends, ',')) AS ends_sha256
+        FROM named n JOIN below b ON b.conv_id = n.conv_id AND b.depth = n.depth LEFT JOIN kids k ON k.conv_id = n.conv_id AND k.depth = n.depth
+    """,
 }
