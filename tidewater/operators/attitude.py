@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tidewater.operators.runs import Recurrence
+
 
 def turn(omega: np.ndarray, dt: float) -> np.ndarray:
     """Rotation matrix of an angular rate held over dt."""
@@ -66,3 +70,61 @@ def strapdown(df: DataFrame, by: str, order: str, gyro: list[str], accel: list[s
         return pdf[[by, order]].assign(x=at[:, 0], y=at[:, 1], z=at[:, 2])
 
     return df.select(by, order, *gyro, *accel).groupBy(by).applyInPandas(run, f"{by} {kind[by]}, {order} {kind[order]}, x double, y double, z double")
+
+
+def bias_fusion(accels: int, dt: float, gain: float = 1.5, bias_gain: float = 0.05, gravity: float = 9.81, dvl: bool = False) -> Recurrence:
+    """Attitude quaternion (body to world) and gyro bias from rates, `accels` accelerometers and, with `dvl`, a velocity.
+
+    Each step turns by the rate less the bias.  Every accelerometer then asks for the smallest turn that brings the
+    predicted up vector onto what it measures, weighted by exp(-5 |size / gravity - 1|); a velocity vouches for the
+    prediction with the weight of its speed (none under 0.2, 1 at most).  The weighted turn corrects the attitude by `gain`,
+    and the bias against it by `bias_gain`, so that a constant bias is learned.  Gravity leaves the heading to the gyros.
+    Inputs: three rates, three components for each accelerometer, and with `dvl` three of the velocity.  Null or zero
+    vectors count for nothing; null rates as 0.
+    """
+
+    def step(state, *values):
+        w, x, y, z, bx, by, bz = state
+        gx, gy, gz = (a - b for a, b in zip((v or 0.0 for v in values[:3]), (bx, by, bz)))
+        rate = math.sqrt(gx * gx + gy * gy + gz * gz)
+        c, s = math.cos(rate * dt / 2), (math.sin(rate * dt / 2) / rate if rate > 1e-12 else dt / 2)
+        w, x, y, z = normal(product((w, x, y, z), (c, gx * s, gy * s, gz * s)))
+        up = (2 * (x * z - w * y), 2 * (y * z + w * x), w * w - x * x - y * y + z * z)
+        ex = ey = ez = total = 0.0
+        for k in range(accels):
+            a = values[3 + 3 * k : 6 + 3 * k]
+            size = 0.0 if None in a else math.sqrt(a[0] * a[0] + a[1] * a[1] + a[2] * a[2])
+            if size > 1e-6:
+                weight = math.exp(-5 * abs(size / gravity - 1))
+                total += weight
+                m = (a[0] / size, a[1] / size, a[2] / size)
+                half = math.sqrt(max(2 * (1 + m[0] * up[0] + m[1] * up[1] + m[2] * up[2]), 0.0))
+                if half > 1e-6:
+                    ex += weight * (m[1] * up[2] - m[2] * up[1]) / half
+                    ey += weight * (m[2] * up[0] - m[0] * up[2]) / half
+                    ez += weight * (m[0] * up[1] - m[1] * up[0]) / half
+        if dvl and None not in values[-3:]:
+            speed = math.sqrt(sum(v * v for v in values[-3:]))
+            total += 0.0 if speed < 0.2 else min(1.0, speed)
+        total += 1e-6
+        ex, ey, ez = ex / total, ey / total, ez / total
+        bx, by, bz = bx - bias_gain * ex * dt, by - bias_gain * ey * dt, bz - bias_gain * ez * dt
+        out = (*normal(product((w, x, y, z), normal((1.0, gain * ex, gain * ey, gain * ez)))), bx, by, bz)
+        return out, out
+
+    columns = "qw double, qx double, qy double, qz double, bx double, by double, bz double"
+    return Recurrence((1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0), step, columns, columns)
+
+
+def product(p, q):
+    return (
+        p[0] * q[0] - p[1] * q[1] - p[2] * q[2] - p[3] * q[3],
+        p[0] * q[1] + p[1] * q[0] + p[2] * q[3] - p[3] * q[2],
+        p[0] * q[2] - p[1] * q[3] + p[2] * q[0] + p[3] * q[1],
+        p[0] * q[3] + p[1] * q[2] - p[2] * q[1] + p[3] * q[0],
+    )
+
+
+def normal(q):
+    size = math.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
+    return (q[0] / size, q[1] / size, q[2] / size, q[3] / size)

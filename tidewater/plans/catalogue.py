@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import fields, geometry, noise, profiles, vehicle
-from tidewater.operators import attitude, comms, control, learning, lidar, matching, navigation, rewards, sampling, sonar, voxels
+from tidewater.operators import attitude, comms, control, guidance, learning, lidar, matching, navigation, rewards, runs, sampling, sonar, voxels
 from tidewater.sources import readers
 
 FLAGSHIP = "sonar_argmax_depth"
@@ -905,3 +905,66 @@ def start_positions(spark, sf):
         return at + (2 * noise.uniform(F.col("s_suppkey"), seed) - 1) * span
 
     return table(spark, sf, "supplier").select("s_suppkey", r6(moved(F.col("s_acctbal") / 100, 5.0, 41), "x"), r6(moved(F.lit(0.0), 2.0, 42), "y"), r6(moved(F.lit(-10.0), 0.5, 43), "z"))
+
+
+# --- recurrences shared by batch and stream -----------------------------------------------------------------------------
+
+_TURNS = "g AS (SELECT agent, tick, sin(value) / 10 AS g1, sin(value * 2) / 10 AS g2, sin(value * 3) / 10 AS g3, cos(value) AS a1, 0.1::DOUBLE AS a2, 9.8::DOUBLE AS a3, 0.2::DOUBLE AS c1, sin(value) AS c2, 9.7::DOUBLE AS c3, CASE WHEN tick % 3 = 0 THEN value / 100 END AS v1, 0.1::DOUBLE AS v2, 0.05::DOUBLE AS v3 FROM t)"
+
+
+def _toward(a: str) -> str:
+    """Weight and smallest turn that bring the up vector onto one accelerometer's."""
+    x, y, z = f"{a}1", f"{a}2", f"{a}3"
+    return f"""(SELECT *, exp(-5 * abs({a}n / 9.81::DOUBLE - 1)) AS {a}w, sqrt(greatest(2 * (1 + {x} / {a}n * u1 + {y} / {a}n * u2 + {z} / {a}n * u3), 0)) AS {a}h FROM (SELECT *, sqrt({x} * {x} + {y} * {y} + {z} * {z}) AS {a}n FROM %s))"""
+
+
+_UP = """(SELECT *, 2 * (x * z - w * y) AS u1, 2 * (y * z + w * x) AS u2, w * w - x * x - y * y + z * z AS u3 FROM
+(SELECT agent, tick, p0 / n AS w, p1 / n AS x, p2 / n AS y, p3 / n AS z, b1, b2, b3, a1, a2, a3, c1, c2, c3, v1, v2, v3 FROM (SELECT *, sqrt(p0 * p0 + p1 * p1 + p2 * p2 + p3 * p3) AS n FROM
+(SELECT *, w * c - x * r1 * s - y * r2 * s - z * r3 * s AS p0, w * r1 * s + x * c + y * r3 * s - z * r2 * s AS p1, w * r2 * s - x * r3 * s + y * c + z * r1 * s AS p2, w * r3 * s + x * r2 * s - y * r1 * s + z * c AS p3 FROM
+(SELECT *, cos(rate * 0.1 / 2) AS c, CASE WHEN rate > 1e-12 THEN sin(rate * 0.1 / 2) / rate ELSE 0.1 / 2 END AS s FROM (SELECT *, sqrt(r1 * r1 + r2 * r2 + r3 * r3) AS rate FROM
+(SELECT g.*, k.w, k.x, k.y, k.z, k.b1, k.b2, k.b3, g1 - b1 AS r1, g2 - b2 AS r2, g3 - b3 AS r3 FROM k JOIN g ON g.agent = k.agent AND g.tick = k.tick + 1)))))))"""
+_ERR = ", ".join(f"(aw * (a{i} / an * u{j} - a{j} / an * u{i}) / ah + cw * (c{i} / cn * u{j} - c{j} / cn * u{i}) / ch) / total AS e{k}" for k, (i, j) in enumerate(((2, 3), (3, 1), (1, 2)), 1))
+
+
+@query(f"""WITH RECURSIVE {TICKS}, {_TURNS}, k AS (SELECT agent, 0::BIGINT AS tick, 1.0::DOUBLE AS w, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z, 0.0::DOUBLE AS b1, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3 FROM (SELECT DISTINCT agent FROM t)
+UNION ALL SELECT agent, tick, q0 / n, q1 / n, q2 / n, q3 / n, b1 - 0.05 * e1 * 0.1, b2 - 0.05 * e2 * 0.1, b3 - 0.05 * e3 * 0.1 FROM (SELECT *, sqrt(q0 * q0 + q1 * q1 + q2 * q2 + q3 * q3) AS n FROM
+(SELECT *, w * d0 - x * d1 - y * d2 - z * d3 AS q0, w * d1 + x * d0 + y * d3 - z * d2 AS q1, w * d2 - x * d3 + y * d0 + z * d1 AS q2, w * d3 + x * d2 - y * d1 + z * d0 AS q3 FROM
+(SELECT *, 1 / m AS d0, 1.5 * e1 / m AS d1, 1.5 * e2 / m AS d2, 1.5 * e3 / m AS d3 FROM (SELECT *, sqrt(1 + 2.25 * (e1 * e1 + e2 * e2 + e3 * e3)) AS m FROM
+(SELECT *, {_ERR} FROM (SELECT *, aw + cw + coalesce(CASE WHEN sqrt(v1 * v1 + v2 * v2 + v3 * v3) >= 0.2 THEN least(1.0, sqrt(v1 * v1 + v2 * v2 + v3 * v3)) ELSE 0.0 END, 0.0) + 1e-6 AS total FROM {_toward("c") % (_toward("a") % _UP)})))))))
+SELECT agent, tick, round(w, 6) + 0.0 AS qw, round(x, 6) + 0.0 AS qx, round(y, 6) + 0.0 AS qy, round(z, 6) + 0.0 AS qz, round(b1, 6) + 0.0 AS bias1, round(b2, 6) + 0.0 AS bias2, round(b3, 6) + 0.0 AS bias3 FROM k WHERE tick > 0""")
+def attitude_bias_fusion(spark, sf):
+    """STM-5: attitude and gyro bias of each agent from rates, two accelerometers and, at times, a velocity."""
+    v = F.col("value")
+    t = ticks(spark, sf).select("agent", F.col("tick").cast("long").alias("tick"), *((F.sin(v * k) / 10).alias(f"g{k}") for k in (1, 2, 3)), F.cos(v).alias("a1"), F.lit(0.1).alias("a2"), F.lit(9.8).alias("a3"), F.lit(0.2).alias("c1"), F.sin(v).alias("c2"), F.lit(9.7).alias("c3"), F.when(F.col("tick") % 3 == 0, v / 100).alias("v1"), F.lit(0.1).alias("v2"), F.lit(0.05).alias("v3"))
+    got = runs.walk(t, "agent", ["tick"], t.columns[2:], attitude.bias_fusion(2, 0.1, dvl=True))
+    return got.select("agent", "tick", *((F.round(c, 6) + 0.0).alias(n) for c, n in zip(("qw", "qx", "qy", "qz", "bx", "by", "bz"), ("qw", "qx", "qy", "qz", "bias1", "bias2", "bias3"))))
+
+
+WAY = [(20.0, 10.0, 10.0), (60.0, 30.0, 10.0), (90.0, 45.0, 10.0), (10.0, 5.0, 10.0)]
+
+
+@query(f"""WITH RECURSIVE {TICKS}, p AS (SELECT agent, tick, value AS x, value / 2 AS y, 10.0::DOUBLE AS z FROM t), w(i, a, b, c) AS (VALUES {", ".join(f"({i}, {a!r}::DOUBLE, {b!r}::DOUBLE, {c!r}::DOUBLE)" for i, (a, b, c) in enumerate(WAY))}),
+k AS (SELECT agent, 0::BIGINT AS tick, 0 AS i, false AS given, 0.0::DOUBLE AS d FROM (SELECT DISTINCT agent FROM t)
+UNION ALL SELECT agent, tick, CAST(CASE WHEN d < 3 THEN i + 1 ELSE i END AS INTEGER), d >= 3, d FROM (SELECT p.agent, p.tick, k.i, sqrt((a - x) * (a - x) + (b - y) * (b - y) + (c - z) * (c - z)) AS d FROM k JOIN p ON p.agent = k.agent AND p.tick = k.tick + 1 LEFT JOIN w ON w.i = k.i))
+SELECT agent, tick, i AS waypoint, round(d, 6) AS distance FROM k WHERE tick > 0 AND given""")
+def guide_waypoints(spark, sf):
+    """STM-6, FLT-17: the waypoint each agent heads for; steps on which one is reached are not given out."""
+    t = ticks(spark, sf).select("agent", F.col("tick").cast("long").alias("tick"), F.col("value").alias("x"), (F.col("value") / 2).alias("y"), F.lit(10.0).alias("z"))
+    return runs.walk(t, "agent", ["tick"], ["x", "y", "z"], guidance.follower(WAY, 3.0)).select("agent", "tick", "waypoint", r6(F.col("distance"), "distance"))
+
+
+@query(f"""WITH {TICKS}, m AS (SELECT agent, tick, tick + 1 + event_id % 7 AS due, value FROM t WHERE sensor = 'purchase'), n AS (SELECT *, lead(tick) OVER (PARTITION BY agent ORDER BY tick) AS later FROM m),
+d AS (SELECT agent, due, value FROM n WHERE later IS NULL OR later > due)
+SELECT agent, due AS tick, value AS heard FROM d UNION ALL SELECT agent, due + 1, NULL FROM d WHERE NOT EXISTS (SELECT 1 FROM d AS e WHERE e.agent = d.agent AND e.due = d.due + 1)""")
+def comms_delivery(spark, sf):
+    """STM-13: messages heard after their delay, and buffers cleared on the next tick; a later message takes a waiting one's place."""
+    t = ticks(spark, sf).where("sensor = 'purchase'").select("agent", F.col("tick").cast("long").alias("tick"), (1 + F.col("event_id") % 7).alias("wait"), F.col("value").alias("heard"))
+    return guidance.delivered(t, "agent", "tick", F.col("wait"), "heard")
+
+
+@query(f"""WITH {TICKS}, r AS (SELECT *, coalesce(sum((sensor = 'view')::INTEGER) OVER (PARTITION BY agent ORDER BY tick ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS turn FROM t)
+SELECT agent, max(tick) FILTER (sensor = 'view') AS tick, bool_or(sensor = 'error') AS hit, count(*) FILTER (sensor = 'error') AS n, arg_max(value, tick) FILTER (sensor = 'error') AS last FROM r GROUP BY agent, turn HAVING bool_or(sensor = 'view')""")
+def latch_read(spark, sf):
+    """STM-20: errors since the last view of each agent; a view clears them."""
+    t = ticks(spark, sf).select("agent", F.col("tick").cast("long").alias("tick"), "sensor", "value")
+    return guidance.latched(t, "agent", ["tick"], F.col("sensor") == "view", F.col("sensor") == "error", F.col("value"))
