@@ -3,7 +3,7 @@ import json
 from pyspark.sql import functions as F
 
 from tidewater.operators import matching, navigation
-from tidewater.sources import readers, sinks
+from tidewater.sources import octree, readers, sinks
 from tidewater.streaming import stateful
 
 
@@ -37,7 +37,7 @@ def test_scenarios(spark, tmp_path):
 def test_octree_and_materials(spark, tmp_path):
     tree = {"p": [0, 0, 0], "l": [{"p": [1, 1, 1], "n": [0, 0, 1], "m": "sand"}, {"p": [-1, -1, -1], "l": [{"p": [-1.5, -1, -1], "m": "steel"}]}]}
     (tmp_path / "t.json").write_text(json.dumps(tree))
-    leaves = sorted((r.x, r.size, r.material) for r in readers.octree_leaves(spark, str(tmp_path / "t.json"), 8.0, 5).collect())
+    leaves = sorted((r.x, r.size, r.material) for r in octree.leaves_of(spark, str(tmp_path / "t.json"), 8.0, 5).collect())
     assert leaves == [(-1.5, 2.0, "steel"), (1.0, 4.0, "sand")]
     (tmp_path / "m.csv").write_text("Material,density,speed\nsand,2000,1700\n")
     known = readers.materials(spark, str(tmp_path / "m.csv"))

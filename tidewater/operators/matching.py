@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators import spatial
+
 
 def cleaned(df: DataFrame, numbers: list[str], label: str) -> DataFrame:
     """Numbers coerced, header rows inside the data and incomplete rows dropped (NaN counts as missing)."""
@@ -21,13 +23,17 @@ def distance(a: list[Column], b: list[Column]) -> Column:
 def nearest_in_class(probes: DataFrame, places: DataFrame, label: str, axes: list[str], probe_id: str, place_id: str) -> DataFrame:
     """For each probe the nearest place of its class, ties to the smallest place id; null where the class is unknown.
 
-    One equi join on the class and a map-side minimum: at most one row for each probe and task is shuffled.
+    Goes down a tree of boxes for each class (operators.spatial); places at one spot count as the smallest of them.
     """
-    there = places.select(F.col(label).alias("__label"), F.col(place_id).alias("nearest_id"), *(F.col(a).alias(f"nearest_{a}") for a in axes))
-    gap = distance([F.col(a) for a in axes], [F.col(f"nearest_{a}") for a in axes])
-    met = probes.join(there, F.col(label) == F.col("__label"), "left").withColumn("distance", gap)
-    best = F.min(F.struct("distance", "nearest_id", *(f"nearest_{a}" for a in axes))).alias("best")
-    return met.groupBy(probe_id, label, *axes).agg(best).select(probe_id, label, *axes, "best.*")
+    spots = places.groupBy(label, *axes).agg(F.min(place_id).alias(place_id))
+    return spatial.nearest(probes, spatial.packed(spots, label, axes), [probe_id], label, place_id)
+
+
+def nearest_to(at: list[float], places: DataFrame, axes: list[str], place_id: str) -> DataFrame:
+    """distance, nearest_id and coordinates of the place nearest to one point: one scan, one row from each task."""
+    gap = distance([F.lit(float(v)) for v in at], [F.col(a) for a in axes])
+    best = F.min(F.struct(gap.alias("distance"), F.col(place_id).alias("nearest_id"), *(F.col(a).alias(f"nearest_{a}") for a in axes))).alias("best")
+    return places.agg(best).where("best IS NOT NULL").select("best.*")
 
 
 def reprojected(y: Column, z: Column, r: Column, theta: Column) -> tuple[Column, Column]:

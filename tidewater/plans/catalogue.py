@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import fields, geometry, noise, profiles, vehicle
-from tidewater.operators import attitude, comms, control, guidance, learning, lidar, matching, navigation, rewards, runs, sampling, sonar, voxels
-from tidewater.sources import readers
+from tidewater.operators import attitude, comms, control, guidance, learning, lidar, matching, navigation, rewards, runs, sampling, sonar, spatial, voxels
+from tidewater.sources import octree, readers
+from tidewater.storage import fresh_path
 
 FLAGSHIP = "sonar_argmax_depth"
 QUERIES: dict = {}
@@ -253,34 +254,44 @@ def clean_map(spark, sf):
     return matching.cleaned(dirty, ["x"], "label")
 
 
-SIDES = "m AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings), d AS (SELECT p.*, q.vec_id AS nid, q.x AS nx, q.y AS ny, q.z AS nz, sqrt((p.x-q.x)*(p.x-q.x) + (p.y-q.y)*(p.y-q.y) + (p.z-q.z)*(p.z-q.z)) AS dist FROM m p LEFT JOIN m q ON p.label = q.label AND q.vec_id % 2 = 1 AND q.label < 8 WHERE p.vec_id % 2 = 0), n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY dist, nid) = 1)"
+# probes: customers, with a class from 0 to 8; map: the cloud, with the line number, 1 to 7, as class
+MAP = "m AS (SELECT l_orderkey * 8 + l_linenumber AS place, l_linenumber AS label, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * -100 AS z FROM lineitem)"
+PROBES = "p AS (SELECT c_custkey, CAST(c_nationkey % 9 AS INTEGER) AS label, CAST(c_custkey % 50 AS DOUBLE) AS x, abs(c_acctbal) / 100 AS y, -0.1::DOUBLE * (c_custkey % 101) AS z FROM customer)"
+SIDES = f"{MAP}, {PROBES}, d AS (SELECT p.*, m.place AS nid, m.x AS nx, m.y AS ny, m.z AS nz, sqrt((p.x - m.x) * (p.x - m.x) + (p.y - m.y) * (p.y - m.y) + (p.z - m.z) * (p.z - m.z)) AS dist FROM p LEFT JOIN m ON p.label = m.label), n AS (SELECT * FROM d QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY dist, nid) = 1)"
+
+
+def survey(spark, sf):
+    return cloud(spark, sf).select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("place"), F.col("l_linenumber").alias("label"), "x", "y", "z")
+
+
+def probes(spark, sf):
+    c = table(spark, sf, "customer")
+    return c.select("c_custkey", (F.col("c_nationkey") % 9).cast("int").alias("label"), (F.col("c_custkey") % 50).cast("double").alias("x"), (F.abs("c_acctbal") / 100).alias("y"), (-0.1 * (F.col("c_custkey") % 101)).alias("z"))
 
 
 def matched(spark, sf):
-    m = table(spark, sf, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")))
-    return matching.nearest_in_class(m.where("vec_id % 2 = 0"), m.where("vec_id % 2 = 1 AND label < 8"), "label", ["x", "y", "z"], "vec_id", "vec_id")
+    return matching.nearest_in_class(probes(spark, sf), survey(spark, sf), "label", ["x", "y", "z"], "c_custkey", "place")
 
 
-@query(f"WITH {SIDES} SELECT vec_id, label, nid AS nearest_id, round(dist, 6) AS distance FROM n")
+@query(f"WITH {SIDES} SELECT c_custkey, label, nid AS nearest_id, round(dist, 6) AS distance FROM n")
 def match_class_nn(spark, sf):
-    """JN-1, AGG-7: the nearest map row of a probe's class; classes that the map lacks give nulls."""
-    return matched(spark, sf).select("vec_id", "label", "nearest_id", r6(F.col("distance"), "distance"))
+    """JN-1, AGG-7: the nearest point of the map in a probe's class; classes that the map lacks give nulls."""
+    return matched(spark, sf).select("c_custkey", "label", "nearest_id", r6(F.col("distance"), "distance"))
 
 
-@query(f"WITH {SIDES} SELECT vec_id, round(nx, 6) AS nx, round(ny, 6) AS ny, round(nz, 6) AS nz, round(dist, 6) AS distance FROM n WHERE vec_id = 42")
+@query(f"WITH {MAP}, d AS (SELECT *, sqrt((25.0 - x) * (25.0 - x) + (40.0 - y) * (40.0 - y) + (-5.0 - z) * (-5.0 - z)) AS dist FROM m) SELECT place AS nearest_id, round(x, 6) AS nx, round(y, 6) AS ny, round(z, 6) AS nz, round(dist, 6) AS distance FROM d ORDER BY dist, place LIMIT 1")
 def match_single_nn(spark, sf):
-    """JN-2: one probe."""
-    m = table(spark, sf, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(c) for k, c in enumerate("xyz")))
-    got = matching.nearest_in_class(m.where("vec_id = 42"), m.where("vec_id % 2 = 1 AND label < 8"), "label", ["x", "y", "z"], "vec_id", "vec_id")
-    return got.select("vec_id", *(r6(F.col(f"nearest_{c}"), f"n{c}") for c in "xyz"), r6(F.col("distance"), "distance"))
+    """JN-2: the point of the map nearest to one place."""
+    got = matching.nearest_to([25.0, 40.0, -5.0], survey(spark, sf), ["x", "y", "z"], "place")
+    return got.select("nearest_id", *(r6(F.col(f"nearest_{c}"), f"n{c}") for c in "xyz"), r6(F.col("distance"), "distance"))
 
 
-@query(f"WITH {SIDES}, e AS (SELECT *, 2.0::DOUBLE AS r, vec_id / 500.0::DOUBLE AS th FROM n), g AS (SELECT *, ny - r * sin(th) AS cy, nz + r * cos(th) AS cz FROM e) SELECT vec_id, round(cy, 6) AS calc_y, round(cz, 6) AS calc_z, round(((y + r * sin(th)) - cy) - ((z - r * cos(th)) - cz), 6) AS residual FROM g WHERE dist < 0.1")
+@query(f"WITH {SIDES}, e AS (SELECT *, 2.0::DOUBLE AS r, c_custkey / 500.0::DOUBLE AS th FROM n), g AS (SELECT *, ny - r * sin(th) AS cy, nz + r * cos(th) AS cz FROM e) SELECT c_custkey, round(cy, 6) AS calc_y, round(cz, 6) AS calc_z, round(((y + r * sin(th)) - cy) - ((z - r * cos(th)) - cz), 6) AS residual FROM g WHERE dist < 1.5")
 def match_residual(spark, sf):
     """PRJ-8, PRJ-9, FLT-1: re-projection from the match, residual, and the distance filter."""
-    m = matched(spark, sf).where("distance < 0.1").withColumn("r", F.lit(2.0)).withColumn("th", F.col("vec_id") / 500.0)
+    m = matched(spark, sf).where("distance < 1.5").withColumn("r", F.lit(2.0)).withColumn("th", F.col("c_custkey") / 500.0)
     cy, cz = matching.reprojected(F.col("nearest_y"), F.col("nearest_z"), F.col("r"), F.col("th"))
-    return m.select("vec_id", r6(cy, "calc_y"), r6(cz, "calc_z"), r6(matching.residual(F.col("y"), F.col("z"), F.col("r"), F.col("th"), cy, cz), "residual"))
+    return m.select("c_custkey", r6(cy, "calc_y"), r6(cz, "calc_z"), r6(matching.residual(F.col("y"), F.col("z"), F.col("r"), F.col("th"), cy, cz), "residual"))
 
 
 @query("SELECT label, count(*) AS n FROM embeddings GROUP BY label")
@@ -968,3 +979,66 @@ def latch_read(spark, sf):
     """STM-20: errors since the last view of each agent; a view clears them."""
     t = ticks(spark, sf).select("agent", F.col("tick").cast("long").alias("tick"), "sensor", "value")
     return guidance.latched(t, "agent", ["tick"], F.col("sensor") == "view", F.col("sensor") == "error", F.col("value"))
+
+
+# --- octrees and views of moving sensors --------------------------------------------------------------------------------
+
+DEPTH = 6
+CORNER, SIDE = [0.0, 0.0, -64.0], 128.0
+LEAVES = f"v AS (SELECT CAST(floor(x / 2) AS BIGINT) AS i, CAST(floor(y / 2) AS BIGINT) AS j, CAST(floor((z + 64) / 2) AS BIGINT) AS k FROM c), o AS (SELECT " + " + ".join(f"((({a} >> {b}) & 1) << {3 * b + d})" for d, a in enumerate("ijk") for b in range(DEPTH)) + " AS code FROM v WHERE i BETWEEN 0 AND 63 AND j BETWEEN 0 AND 63 AND k BETWEEN 0 AND 63)"
+
+
+def coded(spark, sf):
+    return cloud(spark, sf).withColumn("code", octree.cell_code(list(xyz()), CORNER, SIDE, DEPTH)).where("code IS NOT NULL")
+
+
+@query(f"WITH {CLOUD}, {LEAVES} SELECT code, code >> 12 AS cell, count(*) AS n FROM o GROUP BY 1")
+def octree_round_trip(spark, sf):
+    """SNK-7, SRC-10: leaves stored by coarse cell, and read again."""
+    path = fresh_path(spark)
+    octree.store(coded(spark, sf).groupBy("code").agg(F.count("*").alias("n")), path, "code", DEPTH, 2)
+    return octree.load(spark, path)
+
+
+@query(f"WITH {CLOUD}, {LEAVES}, n AS (SELECT DISTINCT l, code >> (3 * l) AS node FROM o, range(0, 5) q(l)) SELECT node >> (12 - 3 * l) AS cell, count(*) AS nodes, count(*) FILTER (l = 0) AS leaves FROM n GROUP BY 1")
+def octree_counts(spark, sf):
+    """AGG-14: nodes and leaves of the tree below each coarse cell."""
+    return octree.node_counts(coded(spark, sf), "code", DEPTH, 2)
+
+
+@query("SELECT l_orderkey, CAST(l_quantity AS DOUBLE) AS x, CAST(l_linenumber AS DOUBLE) AS y, 4.0::DOUBLE AS size, l_returnflag AS material FROM lineitem WHERE l_linenumber < 4 UNION ALL SELECT l_orderkey, CAST(l_quantity AS DOUBLE), CAST(l_linenumber AS DOUBLE), 2.0::DOUBLE, l_returnflag FROM lineitem WHERE l_linenumber >= 4")
+def octree_parse(spark, sf):
+    """SRC-10: trees in JSON, one for each order, its first lines under the root and the others a level deeper."""
+    node = F.struct(F.array(F.col("l_quantity").cast("double"), F.col("l_linenumber").cast("double"), F.lit(0.0)).alias("p"), F.col("l_returnflag").alias("m"))
+    o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.when(F.col("l_linenumber") < 4, node)).alias("near"), F.collect_list(F.when(F.col("l_linenumber") >= 4, node)).alias("far"))
+    inner = F.when(F.size("far") > 0, F.concat(F.lit('{"p":[1,1,1],"l":'), F.to_json("far"), F.lit("}")))
+    text = F.concat(F.lit('{"p":[0,0,0],"l":['), F.array_join(F.filter(F.array(F.when(F.size("near") > 0, F.regexp_replace(F.to_json("near"), r"^\[|\]$", "")), inner), F.isnotnull), ","), F.lit("]}"))
+    got = octree.opened(o.select("l_orderkey", text.alias("tree")), "tree", 8.0).where("leaf")
+    return got.select("l_orderkey", "x", "y", "size", "material")
+
+
+SHIPS = "h AS (SELECT c_custkey, CAST(c_custkey % 50 AS DOUBLE) AS sx, abs(c_acctbal) / 100 AS sy, -0.1::DOUBLE * (c_custkey % 101) AS sz, 0.1::DOUBLE * (c_custkey % 5) AS p, 0.7::DOUBLE * c_custkey AS w, 2.0::DOUBLE + c_custkey % 3 AS far FROM customer)"
+# the rotation is Rz(w) Ry(p); points go through its transpose
+SIGHT = f"""{CLOUD}, {SHIPS}, d AS (SELECT c_custkey, l_orderkey, l_linenumber, w, p, far, x - sx AS dx, y - sy AS dy, z - sz AS dz FROM h JOIN c ON x BETWEEN sx - 5 AND sx + 5 AND y BETWEEN sy - 5 AND sy + 5),
+e AS (SELECT *, cos(w) * cos(p) * dx + sin(w) * cos(p) * dy - sin(p) * dz AS ex, -sin(w) * dx + cos(w) * dy AS ey, cos(w) * sin(p) * dx + sin(w) * sin(p) * dy + cos(p) * dz AS ez FROM d),
+g AS (SELECT *, sqrt(ex * ex + ey * ey + ez * ez) AS r, degrees(atan2(-ey, ex)) AS az, degrees(atan2(sqrt(ex * ex + ey * ey), ez)) AS el, degrees(atan2(sqrt(ey * ey + ez * ez), ex)) AS off FROM e)"""
+
+
+def seen(spark, sf, view, width):
+    s = probes(spark, sf).select("c_custkey", F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), (0.1 * (F.col("c_custkey") % 5)).alias("p"), (0.7 * F.col("c_custkey")).alias("w"), F.lit(0.5).alias("close"), (2.0 + F.col("c_custkey") % 3).alias("far"))
+    tree = spatial.packed(cloud(spark, sf).select(F.lit("sea").alias("world"), *KEY, *xyz()), "world", ["x", "y", "z"])
+    ahead = [F.lit(1.0), F.lit(0.0), F.lit(0.0)]
+    return spatial.in_view(s, tree, F.lit("sea"), ["sx", "sy", "sz"], vehicle.rotation_matrix(F.lit(0.0), F.col("p"), F.col("w")), ("close", "far"), view, F.lit(width), ahead)
+
+
+@query(f"WITH {SIGHT} SELECT c_custkey, l_orderkey, l_linenumber, round(r, 6) AS r, round(az, 6) AS az FROM g WHERE r > 0.5 AND r < far AND az > -30 AND az < 30 AND el > 60 AND el < 120")
+def sonar_view(spark, sf):
+    """JN-6, FLT-8: what each of many sensors, with positions and attitudes of their own, has in its frustum."""
+    view = lambda s, off: (s["azimuth"] > -30) & (s["azimuth"] < 30) & (s["elevation"] > 60) & (s["elevation"] < 120)
+    return seen(spark, sf, view, 60.0).select("c_custkey", *KEY, r6(F.col("__s.range"), "r"), r6(F.col("__s.azimuth"), "az"))
+
+
+@query(f"WITH {SIGHT} SELECT c_custkey, l_orderkey, l_linenumber, round(r, 6) AS r, round(off, 6) AS off FROM g WHERE r > 0.5 AND r < far AND off < 20")
+def sonar_cone(spark, sf):
+    """JN-6, FLT-9: what each of many sensors has within its opening angle."""
+    return seen(spark, sf, lambda s, off: off < 20, 20.0).select("c_custkey", *KEY, r6(F.col("__s.range"), "r"), r6(F.col("__off"), "off"))

@@ -1,4 +1,4 @@
-"""Readers for survey files, scenarios, materials and octrees, and generated grids."""
+"""Readers for survey files, scenarios and materials, and generated grids."""
 
 from __future__ import annotations
 
@@ -52,22 +52,6 @@ def materials(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, enforceSchema=True).withColumn("impedance", F.col("density") * F.col("sound_speed"))
 
 
-def octree_leaves(spark: SparkSession, path: str, size: float, depth: int = 16) -> DataFrame:
-    """Leaves of octree files (keys p: centre, l: children, n: normal, m: material) as x, y, z, size, normal and material.
-
-    Levels are opened one after another as VARIANT values, down to `depth`; no level is collected.
-    """
-    level = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("node"), F.lit(float(size)).alias("size"))
-    out = None
-    for _ in range(depth):
-        opened = level.withColumn("children", F.try_variant_get("node", "$.l", "array<variant>"))
-        leaf = opened.where("children IS NULL OR size(children) = 0").select(F.try_variant_get("node", "$.p", "array<double>").alias("p"), "size", F.try_variant_get("node", "$.n", "array<double>").alias("normal"), F.try_variant_get("node", "$.m", "string").alias("material"))
-        leaf = leaf.select(*(F.get("p", F.lit(k)).alias(c) for k, c in enumerate("xyz")), "size", "normal", "material")
-        out = leaf if out is None else out.union(leaf)
-        level = opened.where("size(children) > 0").select(F.explode("children").alias("node"), (F.col("size") / 2).alias("size"))
-    return out
-
-
 def linspace(low: float, high: float, n: int, index: Column) -> Column:
     return F.lit(low) if n == 1 else low + index * ((high - low) / (n - 1))
 
