@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewater.llm.manifest import manifest
-from tidewater.llm.ranks import places
 from tidewater.llm.toxicity import crc_rest
 
 COLUMNS = ["doc_id", "source", "lang", "n_chars", "text"]
@@ -88,12 +87,3 @@ def test_many_equal_rows_in_one_group(spark):
 
 def test_empty_table(spark):
     assert run(spark.createDataFrame([], SCHEMA)) == []
-
-
-def test_places(spark):
-    rows = [(i % 3 or None, i // 9) for i in range(300)]
-    got = places(spark.createDataFrame(rows, "g int, v int").repartition(5), "g", ["v"]).collect()
-    for g in (None, 1, 2):
-        mine = sorted((r.place, r.v) for r in got if r.g == g)
-        assert [p for p, _ in mine] == list(range(100)) and [v for _, v in mine] == sorted(v for _, v in mine)
-    assert {r["size"] for r in got} == {100}

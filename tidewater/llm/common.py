@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,35 +10,20 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewater.storage import fresh_path, shared_dir
+
 # Texts are handled in slices of about this many characters, so that memory stays bounded
 # whatever the size of an Arrow batch.
 SLICE_CHARS = 600_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where that is unset and everything runs in one process (tests, one machine) a temporary folder stands in for it;
-    on a cluster a machine's own folder would lose rows, so there the setting is demanded.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        import tempfile
-
-        path = "file://" + tempfile.mkdtemp(prefix="tidewater-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
 def settle(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it again.
 
     The files stay until drop_settled() or drop_all_settled(), since results that are not written yet may read them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/tidewater-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    path = fresh_path(spark)
     (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

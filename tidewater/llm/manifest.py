@@ -13,8 +13,9 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.operators.ordering import places
+
 from .common import settle
-from .ranks import places
 
 FAN = 8
 HEX = 64
@@ -93,10 +94,10 @@ def manifest(df: DataFrame, columns: list[str], key: str = "doc_id", group: str
     # the null group is '', which sorts first
     leaves = settle(hashed.withColumn("grp", F.coalesce(F.concat(F.lit("="), "of"), F.lit(""))))
     bare = F.lit(None).cast("string").alias("preimage")
-    tree = levels(places(leaves, "grp", ["key", "leaf"]).select("key", "of", "leaf", "other", "grp", F.col("size").alias("n"), F.col("place").alias("node"), F.col("leaf").alias("hash"), bare))
+    tree = levels(places(leaves, "grp", ["key", "leaf"]).select("key", "of", "leaf", "other", "grp", F.col("__size").alias("n"), F.col("__place").alias("node"), F.col("leaf").alias("hash"), bare))
     subroots = functools.reduce(DataFrame.union, (t.where("n = 1").select("grp", "hash") for t in tree))
     ends = places(subroots.withColumn("all", F.lit(0)), "all", ["grp"])
-    top = levels(ends.select(F.col("all").alias("grp"), F.col("size").alias("n"), F.col("place").alias("node"), "hash", F.col("grp").alias("tree"), F.col("hash").alias("subroot"), bare))
+    top = levels(ends.select(F.col("all").alias("grp"), F.col("__size").alias("n"), F.col("__place").alias("node"), "hash", F.col("grp").alias("tree"), F.col("hash").alias("subroot"), bare))
     root = top[-1].where("n = 1").select("grp", F.col("hash").alias("root"), F.array().cast(PATH).alias("path"))
     tops = settle(with_paths(top, root).select(F.col("tree").alias("grp"), "subroot", "root", "path"))
     proof = F.sha2(F.array_join(F.transform("path", siblings), ""), 256)

@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.operators.ordering import places
+
 from .common import drop_settled, settle
-from .ranks import places
 
 # A conversation's turns are handled in blocks of this many, and so is what belongs to them.
 BLOCK = 4096
@@ -45,7 +46,7 @@ def ordered(conversations: DataFrame) -> DataFrame:
     """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     said = conversations.where("conv_id IS NOT NULL").select(F.col("conv_id").alias("conv"), "turn", role.alias("role"), digest(role, text).alias("key"), F.length(text).cast("long").alias("chars"))
-    return places(said, "conv", ["turn", "role", "key"]).select("conv", "place", "size", "key", "chars")
+    return places(said, "conv", ["turn", "role", "key"]).select("conv", F.col("__place").alias("place"), F.col("__size").alias("size"), "key", "chars")
 
 
 def rebuilt(turns: DataFrame, every: int = 100, heads: int = 6) -> tuple[DataFrame, DataFrame]:
