@@ -7,12 +7,12 @@ line number), `part` holds materials and `supplier` beacons.
 
 from __future__ import annotations
 
-
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.functions import fields, geometry, noise, profiles, vehicle
-from tidewater.operators import attitude, comms, control, guidance, learning, lidar, matching, navigation, rewards, runs, sampling, sonar, spatial, voxels
+from tidewater.functions import custom, fields, geometry, noise, profiles, vehicle
+from tidewater.operators import attitude, boosting, comms, control, gaussian, guidance, learning, lidar, matching, navigation, ordering, rewards, runs, sampling, sonar, spatial, voxels
 from tidewater.sources import octree, readers
 from tidewater.storage import fresh_path
 
@@ -665,19 +665,49 @@ def outer_products(spark, sf):
 
 @query()
 def ml_classify(spark, sf):
-    """ML-2, ML-3: a class and its probability for each profile, learned from the training part of each label."""
+    """ML-2, ML-3: boosted trees for each class, learned from the training part of each label: the class and its share."""
     e = table(spark, sf, "embeddings").select("vec_id", "label", *(F.col("embedding")[k].cast("double").alias(f"f{k}") for k in range(64)))
     split = learning.stratified(e, "vec_id", "label", 0.8)
-    model = learning.classifier(split.where("train"), [f"f{k}" for k in range(64)], "label")
-    return model.transform(split).select("vec_id", "label", "train", F.col("predicted_label").cast("int").alias("guess"))
+    model = boosting.boosted(split.where("train"), [f"f{k}" for k in range(64)], "label", rounds=5, depth=3, step=0.4)
+    share = F.array_max(vector_to_array("probability"))
+    return model.transform(split).select("vec_id", "label", "train", F.col("predicted_label").cast("int").alias("guess"), r6(share, "share"))
+
+
+def depths(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"), F.col("embedding")[2].cast("double").alias("y"))
 
 
 @query()
 def gp_sparse_fit(spark, sf):
-    """ML-5, ML-6: a sparse Gaussian process fitted to depths, and its mean at each point."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding")[0].cast("double").alias("a"), F.col("embedding")[1].cast("double").alias("b"), F.col("embedding")[2].cast("double").alias("y"))
-    centres, weights = learning.gp_fit(e, ["a", "b"], "y", "vec_id", inducing=50, length=0.2)
-    return e.select("vec_id", r6(learning.gp_predict(e, ["a", "b"], centres.tolist(), weights.tolist(), 1.0, 0.2), "mean"))
+    """ML-5, ML-6: a sparse Gaussian process with a fitted kernel over all depths, and its mean at each point."""
+    d = depths(spark, sf)
+    model, _ = gaussian.fit_sparse(d, ["a", "b"], "y", "vec_id", inducing=50)
+    return d.select("vec_id", r6(model.mean(d), "mean"))
+
+
+@query()
+def gp_epoch_loss(spark, sf):
+    """AGG-19: the mean loss of each epoch of that fit."""
+    _, losses = gaussian.fit_sparse(depths(spark, sf), ["a", "b"], "y", "vec_id", inducing=50)
+    return spark.createDataFrame([(k + 1, v) for k, v in enumerate(losses)], "epoch int, loss double")
+
+
+@query()
+def gp_exact_fit(spark, sf):
+    """ML-4, ML-7: an exact Gaussian process on a sample of at most 256 depths, and its mean at each point."""
+    d = depths(spark, sf)
+    return d.select("vec_id", r6(gaussian.fit_exact(d, ["a", "b"], "y", "vec_id", sample=256, starts=5).mean(d), "mean"))
+
+
+@query("WITH z(a, b, w) AS (VALUES " + ", ".join(f"({a!r}::DOUBLE, {b!r}::DOUBLE, {w!r}::DOUBLE)" for (a, b), w in zip(CENTRES, ALPHA)) + ") SELECT vec_id, round(2.5 + 3.0 * sum(w * 1.3 * exp(-0.5 * ((embedding[1]::DOUBLE - a) * (embedding[1]::DOUBLE - a) + (embedding[2]::DOUBLE - b) * (embedding[2]::DOUBLE - b)) / (0.2::DOUBLE * 0.2::DOUBLE))), 6) AS mean FROM embeddings, z GROUP BY vec_id")
+def model_round_trip(spark, sf):
+    """SNK-6, SRC-11: a process saved as a table, loaded again, and its mean at each point."""
+    import numpy as np
+
+    path = fresh_path(spark)
+    gaussian.save(spark, gaussian.Model(["a", "b"], np.array(CENTRES), np.array(ALPHA), gaussian.Kernel(1.3, 0.2, 0.1), 2.5, 3.0), path)
+    d = depths(spark, sf)
+    return d.select("vec_id", r6(gaussian.load(spark, path).mean(d), "mean"))
 
 
 @query()
@@ -1042,3 +1072,58 @@ def sonar_view(spark, sf):
 def sonar_cone(spark, sf):
     """JN-6, FLT-9: what each of many sensors has within its opening angle."""
     return seen(spark, sf, lambda s, off: off < 20, 20.0).select("c_custkey", *KEY, r6(F.col("__s.range"), "r"), r6(F.col("__off"), "off"))
+
+
+# --- what users bring, and walks of noise ------------------------------------------------------------------------------
+
+_OWN = "CASE WHEN z + 5 > 0 OR x <= 25 THEN 0.0 ELSE ln(x - 25) * y / 10 END"
+
+
+@query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber, round({_OWN}, 6) AS value FROM c")
+def field_custom(spark, sf):
+    """UDF-1: a user's field as a Column function; what it cannot answer, and what lies above the surface, is 0."""
+    x, y, z = xyz()
+    mine = custom.field(lambda x, y, z: F.ln(x - 25) * y / 10)
+    return cloud(spark, sf).select(*KEY, r6(mine(x, y, z + 5), "value"))
+
+
+@query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber, round({_OWN}, 6) AS value FROM c")
+def field_custom_batch(spark, sf):
+    """UDF-1: the same field as a numpy function over batches."""
+    import numpy as np
+
+    x, y, z = xyz()
+    mine = custom.batch_field(lambda x, y, z: np.log(x - 25) * y / 10)
+    return cloud(spark, sf).select(*KEY, r6(mine(x, y, z + 5), "value"))
+
+
+@query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber, round(CASE WHEN z + 5 > 0 THEN 0.0 ELSE -y / 61.7::DOUBLE END, 6) + 0.0 AS dx, round(CASE WHEN z + 5 > 0 THEN 0.0 ELSE x / 50 END, 6) AS dy, round(CASE WHEN z + 5 > 0 THEN 0.0 ELSE sin(z + 5) END, 6) + 0.0 AS dz FROM c")
+def current_custom(spark, sf):
+    """UDF-2: a user's current as a Column function."""
+    x, y, z = xyz()
+    got = custom.current(lambda x, y, z: (-y / 61.7, x / 50, F.sin(z)))(x, y, z + 5)
+    return cloud(spark, sf).select(*KEY, got.alias("d")).select(*KEY, *((F.round(f"d.d{a}", 6) + 0.0).alias(f"d{a}") for a in "xyz"))
+
+
+_DRAWS = [f"sqrt(-2 * ln(1 - {u_sql('event_id', 11 + 2 * k)})) * cos(2 * pi() * {u_sql('event_id', 12 + 2 * k)})" for k in range(2)]
+
+
+@query(f"SELECT event_id, round(greatest(-1.0, least(1.0, {_DRAWS[0]})), 6) + 0.0 AS a0, round(greatest(-1.0, least(1.0, {_DRAWS[1]})), 6) + 0.0 AS a1, round(10 * {u_sql('event_id', 21)}, 6) AS own, CAST(3 + floor({u_sql('event_id', 31)} * 5) AS INTEGER) AS step FROM events")
+def action_samples(spark, sf):
+    """UDF-4: commands drawn for each row: normal ones with bounds, a user's own draw, and whole numbers."""
+    key = F.col("event_id")
+    normal = custom.action(key, 2, 11, low=F.lit(-1.0), high=F.lit(1.0))
+    own = custom.action(key, 1, 21, sample=lambda k, seed: 10 * noise.uniform(k, seed))
+    e = table(spark, sf, "events").select("event_id", normal.alias("a"), own.alias("o"), custom.discrete_action(key, 1, 31, 3, 8).alias("s"))
+    return e.select("event_id", *((F.round(F.col("a")[k], 6) + 0.0).alias(f"a{k}") for k in range(2)), r6(F.col("o")[0], "own"), F.col("s")[0].alias("step"))
+
+
+_STEP = f"sqrt(-2 * ln(1 - {u_sql('event_id', 3)})) * cos(2 * pi() * {u_sql('event_id', 4)})"
+
+
+@query(f"WITH {TICKS}, b AS (SELECT agent, tick, sum(0.01::DOUBLE * {_STEP}) OVER (PARTITION BY agent ORDER BY tick) AS bias FROM t) SELECT agent, tick, round(bias, 6) + 0.0 AS bias, round(sum(bias) OVER (PARTITION BY agent ORDER BY tick), 5) + 0.0 AS drift FROM b")
+def nav_bias_walk(spark, sf):
+    """WIN-3, WIN-2: a bias that takes a random step each tick, and its sum, in two levels so that runs may be of any length."""
+    t = ticks(spark, sf).withColumn("tick", F.col("tick").cast("long"))
+    got = ordering.running_sums(t, "agent", ["tick"], {"bias": 0.01 * noise.normal(F.col("event_id"), 3)}, {"bias": "drift"})
+    return got.select("agent", "tick", (F.round("bias", 6) + 0.0).alias("bias"), (F.round("drift", 5) + 0.0).alias("drift"))
