@@ -32,3 +32,20 @@ def correlated(key: Column, seed: int, factor: list[list[float]]) -> list[Column
     """L N(0, I) for a lower-triangular factor L of the covariance."""
     draws = [normal(key, seed + 2 * k) for k in range(len(factor))]
     return [sum((row[k] * draws[k] for k in range(1, len(row))), row[0] * draws[0]) for row in factor]
+
+
+def factor_of(spread: float | list[float] | list[list[float]], size: int) -> list[list[float]]:
+    """The lower-triangular factor for correlated(), from one deviation, one for each axis, or a covariance matrix."""
+    import numpy as np
+
+    given = np.asarray(spread, dtype=float)
+    return (np.linalg.cholesky(given) if given.ndim == 2 else np.diag(np.broadcast_to(given, size))).tolist()
+
+
+def exclusive(config: Column, pairs: list[tuple[str, str]]) -> Column:
+    """The first pair of keys, as "a, b", of which a settings map holds both; null where none is set twice."""
+    out = F.lit(None).cast("string")
+    for a, b in reversed(pairs):
+        both = F.map_contains_key(config, a) & F.map_contains_key(config, b)
+        out = F.when(both, F.lit(f"{a}, {b}")).otherwise(out)
+    return out

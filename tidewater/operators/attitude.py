@@ -5,10 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from tidewater.operators.runs import Recurrence
+from tidewater.operators.runs import Recurrence, walk
 
 
 def turn(omega: np.ndarray, dt: float) -> np.ndarray:
@@ -36,40 +36,49 @@ def fused(df: DataFrame, by: str, order: str, gyro: list[str], accel: list[str],
 
     Parallel gravity references leave the heading open, so only the tilt is given back.
     """
-    kind = {c: df.schema[c].dataType.simpleString() for c in (by, order)}
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, r, out = pdf.sort_values(order), np.eye(3), []
-        for row in pdf[[*gyro, *accel]].to_numpy(float):
-            r = r @ turn(row[:3], dt)
-            size = np.linalg.norm(row[3:])
-            if size > 1e-9:
-                seen = r @ (row[3:] / size)
-                axis = np.cross(seen, [0, 0, 1.0])
-                r = turn(gain * axis, 1.0) @ r
-            r = nearest_rotation(r)
-            out.append(r[2])
-        up = np.array(out)
-        return pdf[[by, order]].assign(ux=up[:, 0], uy=up[:, 1], uz=up[:, 2])
+    def on(held: tuple, *row: float):
+        r = np.eye(3) if held[0] is None else held[0]
+        row = np.array(row, dtype=float)
+        r = r @ turn(row[:3], dt)
+        size = np.linalg.norm(row[3:])
+        if size > 1e-9:
+            r = turn(gain * np.cross(r @ (row[3:] / size), [0, 0, 1.0]), 1.0) @ r
+        r = nearest_rotation(r)
+        return (r,), tuple(r[2].tolist())
 
-    return df.select(by, order, *gyro, *accel).groupBy(by).applyInPandas(run, f"{by} {kind[by]}, {order} {kind[order]}, ux double, uy double, uz double")
+    return walk(df, by, [order], [*gyro, *accel], Recurrence((None,), on, "", "ux double, uy double, uz double"))
 
 
 def strapdown(df: DataFrame, by: str, order: str, gyro: list[str], accel: list[str], dt: float, gravity: float = 9.81) -> DataFrame:
     """Dead reckoning with rotation: attitude, then acceleration in the world frame without gravity, integrated twice."""
-    kind = {c: df.schema[c].dataType.simpleString() for c in (by, order)}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, r, v, p, out = pdf.sort_values(order), np.eye(3), np.zeros(3), np.zeros(3), []
-        for row in pdf[[*gyro, *accel]].to_numpy(float):
-            r = nearest_rotation(r @ turn(row[:3], dt))
-            v = v + (r @ row[3:] - np.array([0, 0, gravity])) * dt
-            p = p + v * dt
-            out.append(p)
-        at = np.array(out)
-        return pdf[[by, order]].assign(x=at[:, 0], y=at[:, 1], z=at[:, 2])
-
-    return df.select(by, order, *gyro, *accel).groupBy(by).applyInPandas(run, f"{by} {kind[by]}, {order} {kind[order]}, x double, y double, z double")
+
+    def on(held: tuple, *row: float):
+        r, v, p = held if held[0] is not None else (np.eye(3), np.zeros(3), np.zeros(3))
+        row = np.array(row, dtype=float)
+        r = nearest_rotation(r @ turn(row[:3], dt))
+        v = v + (r @ row[3:] - np.array([0, 0, gravity])) * dt
+        p = p + v * dt
+        return (r, v, p), tuple(p.tolist())
+
+    return walk(df, by, [order], [*gyro, *accel], Recurrence((None, None, None), on, "", "x double, y double, z double"))
+
+
+def aligned(df: DataFrame, by: str, body: list[str], world: list[str], weight: Column) -> DataFrame:
+    """by and the rotation `m` (nine numbers, row by row) that best takes each group's body vectors to its world vectors.
+
+    The weighted outer products are summed where the rows are, so a group of any size is nine numbers; one small
+    decomposition a group follows (wahba).  Groups whose vectors all lie on one line leave a turn open.
+    """
+    cells = [F.sum(weight * F.col(w) * F.col(b)).alias(f"p{k}") for k, (w, b) in enumerate((w, b) for w in world for b in body)]
+    sums = df.groupBy(by).agg(*cells)
+
+    def solve(batches):
+        for pdf in batches:
+            m = [nearest_rotation(np.array(r, dtype=float).reshape(3, 3)).ravel().tolist() for r in pdf[[f"p{k}" for k in range(9)]].itertuples(index=False, name=None)]
+            yield pdf[[by]].assign(m=m)
+
+    return sums.mapInPandas(solve, f"{by} {df.schema[by].dataType.simpleString()}, m array<double>")
 
 
 def bias_fusion(accels: int, dt: float, gain: float = 1.5, bias_gain: float = 0.05, gravity: float = 9.81, dvl: bool = False) -> Recurrence:

@@ -38,6 +38,35 @@ def within_cone(ax: Column, ay: Column, dx: Column, dy: Column, half_angle: floa
     return F.when(size > 0, (ax * dx + ay * dy) / F.when(size > 0, size) >= F.cos(F.radians(F.lit(half_angle)))).otherwise(False)
 
 
+def between_beams(start: list[Column], end: list[Column], ahead: list[Column], other_ahead: list[Column], half_angle: float, walls: list[tuple[list[float], list[float]]]) -> Column:
+    """Whether two modems face each other, each within half_angle degrees (at most 90) of its own axis, with no wall (low and
+    high corner of a box) on the straight line between them.  Modems at one spot, and axes of length 0, do not."""
+    from tidewater.functions.geometry import segment_meets_box
+
+    def within(axis: list[Column], way: list[Column]) -> Column:
+        dot, a, w = (p[0] * q[0] + p[1] * q[1] + p[2] * q[2] for p, q in ((axis, way), (axis, axis), (way, way)))
+        return (a > 0) & (w > 0) & (dot > F.cos(F.radians(F.lit(half_angle))) * F.sqrt(a) * F.sqrt(w))
+
+    way = [b - a for a, b in zip(start, end)]
+    seen = within(ahead, way) & within(other_ahead, [-c for c in way])
+    for low, high in walls:
+        seen = seen & ~segment_meets_box(start, end, low, high)
+    return seen
+
+
+def sent_to(messages: DataFrame, sensors: DataFrame, net: str, sender: str, to: str, sensor: str, everyone: int = -1) -> DataFrame:
+    """One row for each message and receiver: the sensor of the message's net that it names, or, for `everyone`, every other
+    sensor of the net.  Messages to unknown names and to their own sender reach no one.
+
+    Two equi joins; the second is as large as what it gives out, and starts from messages to everyone only.
+    """
+    there = sensors.select(F.col(net).alias("__net"), F.col(sensor).alias("receiver")).distinct()
+    same, other = F.col(net) == F.col("__net"), F.col(sender) != F.col("receiver")
+    named = messages.where(F.col(to) != everyone).join(there, same & (F.col(to) == F.col("receiver")) & other)
+    fanned = messages.where(F.col(to) == everyone).join(there, same & other)
+    return named.union(fanned).drop("__net")
+
+
 def in_reach(senders: DataFrame, others: DataFrame, by: str, other_by: str, axes: list[tuple[str, str]], reach: float) -> DataFrame:
     """Pairs of the same `by` within `reach` of each other, with `distance`; axes: a sender's column and the other's for each axis.
 
@@ -56,17 +85,18 @@ def in_reach(senders: DataFrame, others: DataFrame, by: str, other_by: str, axes
     return around.join(there, on).withColumn("distance", gap).where(F.col("distance") <= reach).drop(*drop)
 
 
-def answered(messages: DataFrame, by: str, at: str, kind: str, replies: dict[str, str]) -> DataFrame:
+def answered(messages: DataFrame, by: str, at: str, kind: str, replies: dict[str, str], tie: str | None = None) -> DataFrame:
     """Requests with the first reply of the right type after them on the same link, and how long it took.
 
     A sender is busy until its reply arrives: a request sent before that is dropped.  One sort, no range join: a reply
-    closes the latest open request.
+    closes the latest open request.  Messages at one time come in the order of `tie`.
     """
     want = F.create_map(*(F.lit(x) for kv in replies.items() for x in kv))
-    w = Window.partitionBy(by).orderBy(at)
+    order = [at, tie] if tie else [at]
+    w = Window.partitionBy(by).orderBy(*order)
     told = messages.withColumn("__asks", F.col(kind).isin(list(replies))).withColumn("__gives", F.col(kind).isin(list(replies.values()))).where("__asks OR __gives")
     # a new stretch starts after each reply; its first request is the one that was accepted
     stretch = F.coalesce(F.sum(F.col("__gives").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     told = told.withColumn("__n", stretch)
-    ask = told.groupBy(by, "__n").agg(F.min_by(F.struct(F.col(at).alias("at"), F.col(kind).alias("kind")), F.when(F.col("__asks"), F.col(at))).alias("ask"), F.max(F.when(F.col("__gives"), F.struct(F.col(at).alias("at"), F.col(kind).alias("kind")))).alias("reply"), F.bool_or("__asks").alias("any"))
+    ask = told.groupBy(by, "__n").agg(F.min_by(F.struct(F.col(at).alias("at"), F.col(kind).alias("kind")), F.when(F.col("__asks"), F.struct(*order))).alias("ask"), F.max(F.when(F.col("__gives"), F.struct(F.col(at).alias("at"), F.col(kind).alias("kind")))).alias("reply"), F.bool_or("__asks").alias("any"))
     return ask.where("any AND reply IS NOT NULL").where(want[F.col("ask.kind")] == F.col("reply.kind")).select(by, F.col("ask.at").alias("asked_at"), F.col("ask.kind").alias("request"), F.col("reply.at").alias("answered_at"))

@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions.geometry import clipped
+from tidewater.operators.runs import Recurrence, walk
 
 # Two-dimensional cross-flow drag coefficient against beam over twice the draught (digitised Hoerner curve).
 DRAG_X = [0.0109, 0.1766, 0.3530, 0.4519, 0.4728, 0.4929, 0.4933, 0.5585, 0.6464, 0.8336, 0.9880, 1.3081, 1.6392, 1.8600, 2.3129, 2.6000, 3.0088, 3.4508, 3.7379, 4.0031]
@@ -49,8 +49,7 @@ class Linear:
 def smooth_path(frequency: float, damping: float, most_speed: float, dt: float) -> Linear:
     """Position, speed and acceleration on the way to a set point, by Euler steps of a third-order low-pass filter: one real
     pole at the frequency and a pair of the damping ratio, in companion form."""
-    pair = frequency * np.roots([1.0, 2 * damping, 1.0])
-    _, c2, c1, c0 = np.real(np.poly([-frequency, *pair]))
+    _, c2, c1, c0 = np.polymul([1.0, frequency], [1.0, 2 * damping * frequency, frequency * frequency])
     companion = np.array([[0, 1, 0], [0, 0, 1], [-c0, -c1, -c2]])
     return Linear(np.eye(3) + dt * companion, dt * c0 * np.array([[0], [0], [1]]), np.array([np.inf, most_speed, np.inf]))
 
@@ -70,11 +69,12 @@ def pid(df: DataFrame, by: str, order: list[str], value: str, want: float, dt: f
     p, i, d = gains
     pole, gain = (2 * tau - dt) / (2 * tau + dt), 2 / (2 * tau + dt)
 
-    def command(smooth: Linear, gap: float, area: float, rise: float, held: bool) -> tuple[float]:
-        (slope,) = smooth.step(rise, held=held)
-        return (0.0 if held else p * gap + i * area - d * slope,)
+    def command(smooth: list[float], gap: float, area: float, rise: float, held: bool) -> tuple[float]:
+        if not held:
+            smooth[0] = pole * smooth[0] + gain * rise
+        return (0.0 if held else p * gap + i * area - d * smooth[0],)
 
-    return scanned(seen.withColumn("area", area), by, order, ["gap", "area", "rise", "held"], lambda: Linear(pole, gain), command, "command double", ["command"])
+    return scanned(seen.withColumn("area", area), by, order, ["gap", "area", "rise", "held"], lambda: [0.0], command, "command double", ["command"])
 
 
 class Actuator:
@@ -106,12 +106,34 @@ class DistanceReward:
 
 
 def scanned(df: DataFrame, by: str, order: list[str], inputs: list[str], make, step, schema: str, names: list[str]) -> DataFrame:
-    """Runs a stateful step over every ordered group: state = make(); outputs = step(state, *inputs)."""
-    head = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in [by, *order])
+    """Runs a stateful step over every ordered run: state = make(); outputs = step(state, *inputs).  See runs.walk."""
+
+    def on(held: tuple, *values):
+        state = held[0] or make()
+        return (state,), step(state, *values)
+
+    return walk(df, by, order, inputs, Recurrence((None,), on, "", schema)).select(by, *order, *names)
+
+
+def pid_direct(df: DataFrame, by: str, order: list[str], value: str, slope: str, want: float, dt: float, gains: tuple[float, float, float], turn: float | None = None, fault: float = FAULT) -> DataFrame:
+    """by, order and command of a PID controller that is given the measurement's slope, so that all of it is window sums.
+
+    With `turn` (360 or 2 pi) the measurement is an angle: a gap of half a turn or more goes the other way round, once.
+    A gap beyond `fault` is taken over as the gap before, so its trapezoid counts whole.  Before a run the gap is 0.
+    """
+    run = Window.partitionBy(by).orderBy(*order)
+    gap = F.lit(float(want)) - F.col(value)
+    if turn:
+        gap = F.when(gap >= turn / 2, gap - turn).when(gap <= -turn / 2, gap + turn).otherwise(gap)
+    seen = df.select(by, *order, gap.alias("__gap"), F.col(slope).alias("__slope"))
+    before = F.when(F.abs("__gap") > fault, F.col("__gap")).otherwise(F.coalesce(F.lag("__gap").over(run), F.lit(0.0)))
+    area = F.sum(dt / 2 * (F.col("__gap") + F.col("__before"))).over(run.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    p, i, d = gains
+    return seen.withColumn("__before", before).withColumn("__area", area).select(by, *order, (p * F.col("__gap") + i * F.col("__area") - d * F.col("__slope")).alias("command"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, state = pdf.sort_values(order), make()
-        rows = [step(state, *r) for r in pdf[inputs].itertuples(index=False, name=None)]
-        return pdf[[by, *order]].assign(**{n: [r[k] for r in rows] for k, n in enumerate(names)})
 
-    return df.select(*dict.fromkeys([by, *order, *inputs])).groupBy(by).applyInPandas(run, f"{head}, {schema}")
+def allocated(surge: Column, yaw: Column, arm: float, ahead: float, astern: float) -> tuple[Column, Column]:
+    """Turns of two propellers, `arm` to the left and right of the axis, whose thrusts add up to a surge force and whose
+    difference makes a yaw moment; thrust is k n |n| with a k for each direction."""
+    thrusts = ((surge + yaw / arm) / 2, (surge - yaw / arm) / 2)
+    return tuple(F.signum(t) * F.sqrt(F.abs(t) / F.when(t > 0, ahead).otherwise(astern)) for t in thrusts)

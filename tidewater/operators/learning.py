@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidewater.functions.noise import uniform
+from tidewater.operators.ordering import places
 
 
 def encoded_labels(df: DataFrame, label: str) -> DataFrame:
@@ -18,11 +19,20 @@ def encoded_labels(df: DataFrame, label: str) -> DataFrame:
     return df.join(ranks, label, "left")
 
 
+def shuffle_key(key: str, seed: int) -> Column:
+    return F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
+
+
 def stratified(df: DataFrame, key: str, label: str, share: float, seed: int = 42) -> DataFrame:
-    """Adds `train`: the share of rows with the smallest hashes within each label."""
-    w = Window.partitionBy(label)
-    place = F.row_number().over(w.orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key))
-    return df.withColumn("train", place <= F.floor(F.count("*").over(w) * share))
+    """Adds `train`: the share of rows with the smallest hashes within each label.  No task sorts a whole label."""
+    placed = places(df.withColumn("__hash", shuffle_key(key, seed)), label, ["__hash", key])
+    return placed.select(*df.columns, (F.col("__place") < F.floor(F.col("__size") * share)).alias("train"))
+
+
+def batched(df: DataFrame, key: str, size: int, seed: int = 42) -> DataFrame:
+    """Adds `batch` (from 0): rows shuffled by hash and cut into batches of `size`, the last one shorter."""
+    placed = places(df.withColumns({"__hash": shuffle_key(key, seed), "__all": F.lit(0)}), "__all", ["__hash", key])
+    return placed.select(*df.columns, F.floor(F.col("__place") / size).alias("batch"))
 
 
 def report(df: DataFrame, truth: str, guess: str) -> DataFrame:

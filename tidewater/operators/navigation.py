@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidewater.operators.runs import Recurrence, walk
+
 
 def acceleration(df: DataFrame, by: str, order: list[str], value: str, time: str) -> DataFrame:
     """First difference over the step in time; 0 on the first row and where time stands still."""
@@ -54,20 +55,15 @@ class Kalman:
 
 
 def kalman(df: DataFrame, by: str, order: list[str], a: str, z: str, dt: float, r: float = 5.0) -> DataFrame:
-    """Filtered x and v of every row, run by run; parallel over runs."""
-    kind = df.schema[by].dataType.simpleString()
-    cols = [by, *order, a, z]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf, k, out = pdf.sort_values(order), Kalman(r), []
-        for acc, seen in zip(pdf[a].tolist(), pdf[z].tolist()):
-            k.predict(acc, dt)
-            k.update(seen)
-            out.append((k.x, k.v))
-        return pdf[[by, *order]].assign(x=[o[0] for o in out], v=[o[1] for o in out])
-
-    head = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in order)
-    return df.select(*cols).groupBy(by).applyInPandas(run, f"{by} {kind}, {head}, x double, v double")
+    """Filtered x and v of every row, run by run; parallel over runs, with one state a task (runs.walk)."""
+
+    def on(held: tuple, acc: float, seen: float | None):
+        k = held[0] or Kalman(r)
+        k.predict(acc, dt)
+        k.update(seen)
+        return (k,), (k.x, k.v)
+
+    return walk(df, by, order, [a, z], Recurrence((None,), on, "", "x double, v double"))
 
 
 def corrected_pose(gap: Column, far: Column, dead: Column, other: Column, matched: Column, reach: float = 3.0, near: float = 50.0) -> Column:
