@@ -7,13 +7,15 @@ line number), `part` holds materials and `supplier` beacons.
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import custom, fields, geometry, noise, profiles, vehicle
 from tidewater.operators import attitude, boosting, comms, control, gaussian, guidance, learning, lidar, matching, navigation, ordering, rewards, runs, sampling, sonar, spatial, voxels
-from tidewater.sources import octree, readers
+from tidewater.sources import octree, readers, sinks
 from tidewater.storage import fresh_path
 
 FLAGSHIP = "sonar_argmax_depth"
@@ -371,10 +373,16 @@ def grid_mesh(spark, sf):
     return readers.mesh(spark, (lo[0], lo[1], 20), (lo[2], lo[3], 20)).select("i", "j", r6(F.col("x"), "x"), r6(F.col("y"), "y"))
 
 
-@query("SELECT round(-10 + i * 3.0::DOUBLE, 6) AS x, round(-10 + j * 3.0::DOUBLE, 6) AS y, round(-20 + k * 3.0::DOUBLE, 6) AS z FROM range(7) a(i), range(7) b(j), range(7) c(k)")
+_LATTICE = "e AS (SELECT floor(min(x)) AS x0, floor(min(y)) AS y0, floor(min(z)) AS z0, CAST(floor((max(x) - floor(min(x))) / 6) AS BIGINT) AS nx, CAST(floor((max(y) - floor(min(y))) / 6) AS BIGINT) AS ny, CAST(floor((max(z) - floor(min(z))) / 6) AS BIGINT) AS nz FROM c)"
+
+
+@query(f"WITH {CLOUD}, {_LATTICE} SELECT x0 + 6.0 * i AS x, y0 + 6.0 * j AS y, z0 + 6.0 * k AS z FROM e, range(0, 1000) a(i), range(0, 1000) b(j), range(0, 100) d(k) WHERE i <= nx AND j <= ny AND k <= nz")
 def grid_lattice(spark, sf):
-    """SRC-13: every third cell of a box."""
-    return readers.lattice(spark, [(-10.0, 8.0), (-10.0, 8.0), (-20.0, -2.0)], 1.0, 3).select(*(r6(F.col(c), c) for c in "xyz"))
+    """SRC-13: every third cell, two metres wide, of the box that the cloud fills."""
+    x, y, z = xyz()
+    ends = cloud(spark, sf).agg(*(f(c) for c in (x, y, z) for f in (F.min, F.max))).first()
+    box = [(float(floor(lo)), float(hi)) for lo, hi in zip(ends[::2], ends[1::2])]
+    return readers.lattice(spark, box, 2.0, 3)
 
 
 @query("SELECT l_orderkey, l_linenumber, round((l_suppkey % 256 + (l_partkey % 256) * 256 + (l_orderkey % 256) * 65536) / 16777215.0::DOUBLE * 1000, 6) AS depth FROM lineitem")
@@ -490,14 +498,14 @@ def drag_interp(spark, sf):
 
 @query(f"WITH {TICKS} SELECT event_id, agent, tick + CAST(round(abs(value) * 10 * 30 / 1500.0) AS BIGINT) AS arrival FROM t")
 def comms_delay(spark, sf):
-    """FN-27, STM-13, JN-9: the tick at which a message arrives."""
+    """FN-27: the tick at which a message arrives."""
     t = ticks(spark, sf)
     return t.select("event_id", "agent", (F.col("tick") + comms.delay_ticks(F.abs("value") * 10, 30)).alias("arrival"))
 
 
 @query("WITH m AS (SELECT event_id, user_id AS agent, epoch_us(ts) // 60000000 AS tick FROM events) SELECT event_id, agent, tick FROM m QUALIFY count(*) OVER (PARTITION BY tick) = 1")
 def comms_collision(spark, sf):
-    """FLT-21, JN-10: messages on ticks with one sender."""
+    """FLT-21: messages on ticks with one sender."""
     m = table(spark, sf, "events").select("event_id", F.col("user_id").alias("agent"), F.expr("unix_micros(cast(ts AS timestamp)) div 60000000").alias("tick"))
     return comms.heard(m, "tick")
 
@@ -517,7 +525,7 @@ def comms_fields(spark, sf):
 
 @query("WITH s AS (SELECT s_suppkey AS id, s_nationkey AS n, s_acctbal / 100 AS x, CAST(s_suppkey % 97 AS DOUBLE) AS y FROM supplier), p AS (SELECT a.id, b.id AS other, a.x AS ax, a.y AS ay, b.x - a.x AS dx, b.y - a.y AS dy FROM s a JOIN s b ON a.n = b.n AND a.id <> b.id) SELECT id, other, round(sqrt(dx*dx + dy*dy), 6) AS distance FROM p WHERE sqrt(dx*dx + dy*dy) <= 60 AND CASE WHEN sqrt(ax*ax + ay*ay) * sqrt(dx*dx + dy*dy) > 0 THEN (ax*dx + ay*dy) / (sqrt(ax*ax + ay*ay) * sqrt(dx*dx + dy*dy)) >= cos(radians(60.0)) ELSE false END")
 def comms_optical(spark, sf):
-    """FLT-14, FLT-15: pairs of modems of one region within range and within the beam."""
+    """Pairs of modems of one region within range and within the beam of the sender."""
     s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("n"), (F.col("s_acctbal") / 100).alias("x"), (F.col("s_suppkey") % 97).cast("double").alias("y"))
     b = s.select(F.col("id").alias("other"), F.col("n").alias("m"), F.col("x").alias("bx"), F.col("y").alias("by"))
     p = comms.in_reach(s, b, "n", "m", [("x", "bx"), ("y", "by")], 60.0).where("id <> other")
@@ -545,7 +553,7 @@ def reward_location(spark, sf):
 
 @query("SELECT event_id, round(CASE WHEN event_type <> 'error' AND abs(value) < 80 THEN 100.0 * (80.0 - abs(value)) / 80.0 ELSE 0.0 END, 6) AS reward FROM events")
 def reward_follow(spark, sf):
-    """STM-17, FLT-15: a ramp that grows as the distance shrinks."""
+    """STM-17: a ramp that grows as the distance shrinks."""
     return table(spark, sf, "events").select("event_id", r6(rewards.follow(F.abs("value"), 80.0, 100.0, F.col("event_type") != "error"), "reward"))
 
 
@@ -616,11 +624,11 @@ def lidar_counts(spark, sf):
     return table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("ring")).agg(F.count("*").alias("n"), F.countDistinct("l_returnflag").alias("tags"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS channel, round(10.0 - i * (40.0::DOUBLE / 31), 6) AS elevation, round((350.0::DOUBLE + i * 2.5::DOUBLE) % 120.0::DOUBLE - 60.0, 6) AS azimuth FROM range(32) r(i)")
+@query("SELECT s_suppkey, CAST(i AS INTEGER) AS channel, round(10.0 + s_suppkey % 5 - i * (40.0::DOUBLE / 31), 6) AS elevation, round((350.0::DOUBLE + s_suppkey % 7 + i * 2.5::DOUBLE) % 120.0::DOUBLE - 60.0, 6) AS azimuth FROM supplier, range(32) r(i)")
 def lidar_geometry(spark, sf):
-    """FN-13, FN-14: laser fan and sweep."""
-    fan = spark.range(1).select(F.posexplode(lidar.elevation_fan(10.0, -30.0, 32)).alias("channel", "e"))
-    return fan.select("channel", r6(F.col("e"), "elevation"), r6(lidar.sweep_angle(F.lit(350.0), F.col("channel"), 2.5, 120.0), "azimuth"))
+    """FN-13, FN-14: the laser fan and sweep of each lidar, mounted at a tilt and started at an angle of its own."""
+    s = table(spark, sf, "supplier").select("s_suppkey", F.posexplode(lidar.elevation_fan(10.0, -30.0, 32)).alias("channel", "e"))
+    return s.select("s_suppkey", "channel", r6(F.col("e") + F.col("s_suppkey") % 5, "elevation"), r6(lidar.sweep_angle(350.0 + F.col("s_suppkey") % 7, F.col("channel"), 2.5, 120.0), "azimuth"))
 
 
 @query("SELECT s_suppkey, n_name, r_name FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
@@ -654,7 +662,7 @@ def image_error(spark, sf):
 
 @query("WITH w AS (SELECT l_returnflag, l_tax + 0.01 AS w, l_quantity AS x, l_extendedprice / 1000 AS y FROM lineitem) SELECT l_returnflag, round(sum(w * x * x) / (sum(w) + 1e-6), 4) AS xx, round(sum(w * x * y) / (sum(w) + 1e-6), 4) AS xy, round(sum(w * y * y) / (sum(w) + 1e-6), 4) AS yy FROM w GROUP BY 1")
 def outer_products(spark, sf):
-    """AGG-16, AGG-17, ML-8: weighted second moments with normalised weights."""
+    """AGG-16, AGG-17: weighted second moments with normalised weights."""
     w = table(spark, sf, "lineitem").select("l_returnflag", (F.col("l_tax") + 0.01).alias("w"), F.col("l_quantity").alias("x"), (F.col("l_extendedprice") / 1000).alias("y"))
     m = lambda a, b, n: F.round(F.sum(F.col("w") * F.col(a) * F.col(b)) / (F.sum("w") + 1e-6), 4).alias(n)
     return w.groupBy("l_returnflag").agg(m("x", "x", "xx"), m("x", "y", "xy"), m("y", "y", "yy"))
@@ -741,7 +749,7 @@ def frames_round_trip(spark, sf):
 
 @query(f"WITH {CLOUD}, v AS (SELECT l_orderkey, l_linenumber, x / 10 AS a, y / 50 AS b, z / 5 AS d, CAST(l_linenumber AS DOUBLE) / 7 AS u FROM c), s AS (SELECT *, sqrt(a*a + b*b + d*d) AS sp, a * 300 - 700 AS n FROM v), t AS (SELECT *, greatest(-100, least(103, n)) AS m FROM s) SELECT l_orderkey, l_linenumber, round(-0.5 * 1000 * 0.8::DOUBLE * 0.1::DOUBLE * sp * a * u, 5) AS drag, round(0.03::DOUBLE * 9.81::DOUBLE * 997 * u, 6) AS lift, round(CASE WHEN m > 0 THEN 0.01::DOUBLE * m * abs(m) ELSE 0.006::DOUBLE * m * abs(m) END, 6) AS thrust, round(CASE WHEN sp < 0.2 THEN 0.0 ELSE least(1.0, sp) END, 6) AS trust FROM t")
 def vehicle_forces(spark, sf):
-    """FN-39, FN-40, FN-42, FN-44: drag, buoyancy, thrust and trust in the speed."""
+    """FN-39, FN-42, FN-44: drag, buoyancy, thrust and trust in the speed."""
     x, y, z = xyz()
     c = cloud(spark, sf).select(*KEY, (x / 10).alias("a"), (y / 50).alias("b"), (z / 5).alias("d"), (F.col("l_linenumber").cast("double") / 7).alias("u"))
     v, u = [F.col("a"), F.col("b"), F.col("d")], F.col("u")
@@ -803,11 +811,14 @@ def nav_corrections(spark, sf):
     return table(spark, sf, "events").select("event_id", r6(pose, "pose"), r6(depth, "depth"))
 
 
-@query()
+@query("""WITH m AS (SELECT user_id AS link, epoch_us(ts) AS moment, event_id, event_type AS kind FROM events WHERE event_type IN ('click', 'purchase', 'view', 'signup')),
+n AS (SELECT *, kind IN ('click', 'purchase') AS asks, coalesce(sum((kind IN ('view', 'signup'))::INTEGER) OVER (PARTITION BY link ORDER BY moment, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS n FROM m),
+s AS (SELECT link, n, first(moment ORDER BY moment, event_id) FILTER (asks) AS asked_at, first(kind ORDER BY moment, event_id) FILTER (asks) AS request, max(moment) FILTER (NOT asks) AS answered_at, max(kind) FILTER (NOT asks) AS reply FROM n GROUP BY 1, 2)
+SELECT link, asked_at, request, answered_at FROM s WHERE request IS NOT NULL AND reply = CASE request WHEN 'click' THEN 'view' ELSE 'signup' END""")
 def comms_requests(spark, sf):
     """STM-14: accepted requests and their replies."""
-    m = table(spark, sf, "events").select(F.col("user_id").alias("link"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), F.col("event_type").alias("kind"))
-    return comms.answered(m, "link", "at", "kind", {"click": "view", "purchase": "signup"})
+    m = table(spark, sf, "events").select(F.col("user_id").alias("link"), F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id", F.col("event_type").alias("kind"))
+    return comms.answered(m, "link", "at", "kind", {"click": "view", "purchase": "signup"}, tie="event_id")
 
 
 # --- poses, beams and links -----------------------------------------------------------------------------------------
@@ -1127,3 +1138,179 @@ def nav_bias_walk(spark, sf):
     t = ticks(spark, sf).withColumn("tick", F.col("tick").cast("long"))
     got = ordering.running_sums(t, "agent", ["tick"], {"bias": 0.01 * noise.normal(F.col("event_id"), 3)}, {"bias": "drift"})
     return got.select("agent", "tick", (F.round("bias", 6) + 0.0).alias("bias"), (F.round("drift", 5) + 0.0).alias("drift"))
+
+
+# --- links between two beams, names and everyone ------------------------------------------------------------------------
+
+MODEMS = "b AS (SELECT s_suppkey AS id, s_nationkey AS n, CAST(s_suppkey % 53 AS DOUBLE) AS x, s_acctbal / 100 AS y, -(s_suppkey % 13) - 0.5::DOUBLE AS z, cos(0.9::DOUBLE * s_suppkey) AS fx, sin(0.9::DOUBLE * s_suppkey) AS fy FROM supplier)"
+
+
+def modems(spark, sf):
+    k = F.col("s_suppkey")
+    return table(spark, sf, "supplier").select(k.alias("id"), F.col("s_nationkey").alias("n"), (k % 53).cast("double").alias("x"), (F.col("s_acctbal") / 100).alias("y"), (-(k % 13).cast("double") - 0.5).alias("z"), F.cos(0.9 * k).alias("fx"), F.sin(0.9 * k).alias("fy"), F.lit(0.0).alias("fz"))
+
+
+def _within_sql(axis: str, way: str, half: float) -> str:
+    (p, q), d = axis.split(), way.split()
+    return f"(sqrt({p} * {p} + {q} * {q}) > 0 AND ({p} * ({d[0]}) + {q} * ({d[1]})) > cos(radians({half})) * sqrt({p} * {p} + {q} * {q}) * d)"
+
+
+@query(f"WITH {MODEMS}, j AS (SELECT a.id, b.id AS other, a.fx AS ax, a.fy AS ay, b.fx AS ox, b.fy AS oy, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) AS d, ({_wall_sql(0)} OR {_wall_sql(1)}) AS hidden FROM b AS a JOIN b ON a.id <> b.id AND a.n = b.n) SELECT id, other, round(d, 6) AS distance FROM j WHERE d <= 60 AND d > 0 AND NOT hidden AND {_within_sql('ax ay', 'dx dy', 75.0)} AND {_within_sql('ox oy', '-dx -dy', 75.0)}")
+def comms_beams(spark, sf):
+    """FLT-14, FLT-15: pairs of modems of one net that face each other within range, with nothing between them."""
+    s = modems(spark, sf)
+    b = s.select(*(F.col(c).alias(f"o{c}") for c in s.columns))
+    p = comms.in_reach(s, b, "n", "on", [("x", "ox"), ("y", "oy"), ("z", "oz")], 60.0).where("id <> oid")
+    cols = lambda *names: [F.col(n) for n in names]
+    seen = comms.between_beams(cols("x", "y", "z"), cols("ox", "oy", "oz"), cols("fx", "fy", "fz"), cols("ofx", "ofy", "ofz"), 75.0, WALLS)
+    return p.where(seen).select("id", F.col("oid").alias("other"), r6(F.col("distance"), "distance"))
+
+
+@query("WITH m AS (SELECT c_custkey AS message, c_nationkey AS net, c_custkey % 100 + 1 AS sender, CASE WHEN c_custkey % 4 = 0 THEN -1 ELSE c_custkey * 7 % 130 END AS goal FROM customer) SELECT message, sender, s_suppkey AS receiver FROM m JOIN supplier ON s_nationkey = net AND s_suppkey <> sender AND (goal = -1 OR goal = s_suppkey)")
+def comms_fan_out(spark, sf):
+    """JN-9, JN-10: messages to the sensors of their net that they name, or to all but the sender."""
+    k = F.col("c_custkey")
+    m = table(spark, sf, "customer").select(k.alias("message"), F.col("c_nationkey").alias("net"), (k % 100 + 1).alias("sender"), F.when(k % 4 == 0, -1).otherwise(k * 7 % 130).alias("goal"))
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("s_net"), F.col("s_suppkey").alias("id"))
+    return comms.sent_to(m, s.withColumnRenamed("s_net", "net"), "net", "sender", "goal", "id").select("message", "sender", "receiver")
+
+
+@query("SELECT n_name, s_suppkey, s_name FROM nation LEFT JOIN (SELECT s_nationkey, min(s_suppkey) AS s_suppkey, arg_min(s_name, s_suppkey) AS s_name FROM supplier GROUP BY 1) ON s_nationkey = n_nationkey")
+def first_by_tag(spark, sf):
+    """JN-11: the first actor that carries each tag; tags that no one carries give nulls."""
+    first = table(spark, sf, "supplier").groupBy("s_nationkey").agg(F.min(F.struct("s_suppkey", "s_name")).alias("a"))
+    return table(spark, sf, "nation").join(first, F.col("s_nationkey") == F.col("n_nationkey"), "left").select("n_name", "a.s_suppkey", "a.s_name")
+
+
+# --- control, noise, vectors and settings ------------------------------------------------------------------------------
+
+
+@query(f"WITH {TICKS}, g AS (SELECT agent, tick, value, CASE WHEN 170 - value * 4 >= 180 THEN 170 - value * 4 - 360 WHEN 170 - value * 4 <= -180 THEN 170 - value * 4 + 360 ELSE 170 - value * 4 END AS e FROM t), a AS (SELECT *, sum(0.05::DOUBLE * (e + p)) OVER (PARTITION BY agent ORDER BY tick) AS area FROM (SELECT *, coalesce(lag(e) OVER (PARTITION BY agent ORDER BY tick), 0) AS p FROM g)) SELECT agent, tick, round(2.0 * e + 0.1::DOUBLE * area - 0.5 * value / 10, 6) AS command FROM a")
+def control_pid_angle(spark, sf):
+    """STM-7: a PID controller of an angle, given its rate."""
+    t = ticks(spark, sf).select("agent", F.col("tick").cast("long").alias("tick"), (F.col("value") * 4).alias("angle"), (F.col("value") / 10).alias("rate"))
+    got = control.pid_direct(t, "agent", ["tick"], "angle", "rate", 170.0, 0.1, (2.0, 0.1, 0.5), turn=360.0)
+    return got.select("agent", "tick", r6(F.col("command"), "command"))
+
+
+_SIDES = "p AS (SELECT l_orderkey, l_linenumber, (x - 25) * 4 AS surge, (y - 50) / 10 AS yaw FROM c), f AS (SELECT *, (surge + yaw / 0.395::DOUBLE) / 2 AS a, (surge - yaw / 0.395::DOUBLE) / 2 AS b FROM p)"
+
+
+@query(f"WITH {CLOUD}, {_SIDES} SELECT l_orderkey, l_linenumber, round(sign(a) * sqrt(abs(a) / CASE WHEN a > 0 THEN 0.0221::DOUBLE ELSE 0.0129::DOUBLE END), 6) + 0.0 AS left_turns, round(sign(b) * sqrt(abs(b) / CASE WHEN b > 0 THEN 0.0221::DOUBLE ELSE 0.0129::DOUBLE END), 6) + 0.0 AS right_turns FROM f")
+def control_allocation(spark, sf):
+    """FN-40: turns of two propellers for a surge force and a yaw moment."""
+    x, y, _ = xyz()
+    left, right = control.allocated((x - 25) * 4, (y - 50) / 10, 0.395, 0.0221, 0.0129)
+    return cloud(spark, sf).select(*KEY, (F.round(left, 6) + 0.0).alias("left_turns"), (F.round(right, 6) + 0.0).alias("right_turns"))
+
+
+_N = [f"sqrt(-2 * ln(1 - {u_sql(KEYED, 41 + 2 * k)})) * cos(2 * pi() * {u_sql(KEYED, 42 + 2 * k)})" for k in range(2)]
+
+
+@query(f"WITH n AS (SELECT l_returnflag, 2.0 * {_N[0]} AS a, 0.5 * {_N[0]} + sqrt(0.75::DOUBLE) * {_N[1]} AS b, 1.5 * sqrt({_N[0]} * {_N[0]} + {_N[1]} * {_N[1]}) AS r FROM lineitem) SELECT l_returnflag, round(var_pop(a), 5) AS aa, round(covar_pop(a, b), 5) AS ab, round(var_pop(b), 5) AS bb, round(avg(r), 5) AS rayleigh FROM n GROUP BY 1")
+def noise_covariance(spark, sf):
+    """FN-20, FN-21: noise of a given covariance, and Rayleigh noise, by their moments."""
+    key = F.concat_ws("-", *KEY)
+    a, b = noise.correlated(key, 41, noise.factor_of([[4.0, 1.0], [1.0, 1.0]], 2))
+    n = table(spark, sf, "lineitem").select("l_returnflag", a.alias("a"), b.alias("b"), noise.rayleigh(key, 41, 1.5).alias("r"))
+    m = lambda c, name: F.round(c, 5).alias(name)
+    return n.groupBy("l_returnflag").agg(m(F.var_pop("a"), "aa"), m(F.covar_pop("a", "b"), "ab"), m(F.var_pop("b"), "bb"), m(F.avg("r"), "rayleigh"))
+
+
+@query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber, round(y * 3 - z * 2, 6) AS cross_x, round(z - x * 3, 6) AS cross_y, round(x * 2 - y, 6) AS cross_z, round((0.3 * x + 0.2 * y) / 0.5, 6) AS rate FROM c")
+def vector_ops(spark, sf):
+    """FN-33, FN-43: a cross product by the skew matrix, and two gyros blended."""
+    x, y, z = xyz()
+    c = vehicle.applied(vehicle.skew([x, y, z]), [F.lit(1.0), F.lit(2.0), F.lit(3.0)])
+    return cloud(spark, sf).select(*KEY, *(r6(v, f"cross_{n}") for v, n in zip(c, "xyz")), r6(vehicle.blended_rate(x, y), "rate"))
+
+
+@query("SELECT o_orderkey, CASE WHEN b = 0 THEN '0B' ELSE CAST(round(b / pow(1024.0, p), 2) AS VARCHAR) || ' ' || ['B', 'KB', 'MB', 'GB'][p + 1] END AS size FROM (SELECT *, CAST(CASE WHEN b >= 1073741824 THEN 3 WHEN b >= 1048576 THEN 2 WHEN b >= 1024 THEN 1 ELSE 0 END AS INTEGER) AS p FROM (SELECT o_orderkey, o_orderkey % 7 * CAST(floor(o_totalprice) AS BIGINT) * CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 37 ELSE 1009 END AS b FROM orders))")
+def readable_sizes(spark, sf):
+    """FN-49: sizes in bytes, in words."""
+    k = F.col("o_orderkey")
+    size = k % 7 * F.floor("o_totalprice") * F.when(k % 3 == 0, 1).when(k % 3 == 1, 37).otherwise(1009)
+    return table(spark, sf, "orders").select("o_orderkey", vehicle.readable_size(size).alias("size"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 AND c_custkey % 3 = 0 THEN 'AccelSigma, AccelCov' WHEN c_custkey % 5 = 0 AND c_custkey % 7 = 0 THEN 'AngVelSigma, AngVelCov' END AS twice, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE '0.01' END AS accel, CASE WHEN c_custkey % 5 = 0 THEN 'a' ELSE '0.02' END AS angular, 'true' AS bias FROM customer")
+def settings_merge(spark, sf):
+    """JN-15, FLT-20: given settings over defaults, and which noise is set both by deviation and by covariance."""
+    k = F.col("c_custkey")
+    entries = [(k % 2 == 0, "AccelSigma", k.cast("string")), (k % 3 == 0, "AccelCov", F.lit("c")), (k % 5 == 0, "AngVelSigma", F.lit("a")), (k % 7 == 0, "AngVelCov", F.lit("d"))]
+    given = F.map_from_entries(F.filter(F.array(*(F.when(on, F.struct(F.lit(n).alias("k"), v.alias("v"))) for on, n, v in entries)), F.isnotnull))
+    defaults = F.create_map(*(F.lit(v) for v in ("AccelSigma", "0.01", "AngVelSigma", "0.02", "ReturnBias", "true")))
+    c = table(spark, sf, "customer").select("c_custkey", given.alias("given"))
+    c = c.select("c_custkey", noise.exclusive(F.col("given"), [("AccelSigma", "AccelCov"), ("AngVelSigma", "AngVelCov")]).alias("twice"), readers.merged(defaults, F.col("given")).alias("m"))
+    return c.select("c_custkey", "twice", F.col("m")["AccelSigma"].alias("accel"), F.col("m")["AngVelSigma"].alias("angular"), F.col("m")["ReturnBias"].alias("bias"))
+
+
+@query("SELECT n_nationkey, n_name AS name, r_name AS region FROM nation JOIN region ON n_regionkey = r_regionkey")
+def text_decode(spark, sf):
+    """FN-46: text out of bytes, in arrays and maps too."""
+    n = table(spark, sf, "nation").join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    raw = n.select("n_nationkey", F.create_map(F.lit("names"), F.array(F.encode("n_name", "UTF-8"), F.encode("r_name", "UTF-8"))).alias("m"))
+    got = raw.select("n_nationkey", vehicle.decoded(F.col("m"), raw.schema["m"].dataType.simpleString())["names"].alias("t"))
+    return got.select("n_nationkey", F.col("t")[0].alias("name"), F.col("t")[1].alias("region"))
+
+
+@query("SELECT event_id, value FROM events ORDER BY value DESC, event_id LIMIT 20")
+def head_rows(spark, sf):
+    """SRT-3: the first rows in an order; a top-k, the limit is the feature."""
+    return table(spark, sf, "events").select("event_id", "value").orderBy(F.desc("value"), "event_id").limit(20)
+
+
+@query("SELECT event_id, CAST((row_number() OVER (ORDER BY md5(event_id || ':42'), event_id) - 1) // 512 AS BIGINT) AS batch FROM events")
+def mini_batches(spark, sf):
+    """SRT-5, SRT-4: rows shuffled by hash into batches of 512."""
+    return learning.batched(table(spark, sf, "events").select("event_id"), "event_id", 512)
+
+
+_TILT = "t AS (SELECT l_returnflag, l_quantity AS x, l_extendedprice / 1000 AS y, l_discount * -100 AS z, CASE l_returnflag WHEN 'A' THEN 0.3::DOUBLE WHEN 'N' THEN -0.8::DOUBLE ELSE 1.2::DOUBLE END AS w, 0.25::DOUBLE AS p FROM lineitem)"
+
+
+@query(f"WITH {_TILT}, g AS (SELECT DISTINCT l_returnflag, w, p FROM t) SELECT l_returnflag, round(cos(w) * cos(p), 6) AS m0, round(-sin(w), 6) AS m1, round(cos(w) * sin(p), 6) AS m2, round(sin(w) * cos(p), 6) AS m3, round(cos(w), 6) AS m4, round(sin(w) * sin(p), 6) AS m5, round(-sin(p), 6) AS m6, 0.0::DOUBLE AS m7, round(cos(p), 6) AS m8 FROM g")
+def attitude_from_vectors(spark, sf):
+    """ML-8, AGG-16: the rotation of each group from its vectors seen from the body and from the world."""
+    x, y, z = xyz()
+    f = F.col("l_returnflag")
+    w = F.when(f == "A", 0.3).when(f == "N", -0.8).otherwise(1.2)
+    turned = vehicle.applied(vehicle.rotation_matrix(F.lit(0.0), F.lit(0.25), w), [x, y, z])
+    c = cloud(spark, sf).select(f, x, y, z, *(v.alias(f"w{n}") for v, n in zip(turned, "xyz")), "l_tax")
+    got = attitude.aligned(c, "l_returnflag", ["x", "y", "z"], ["wx", "wy", "wz"], F.col("l_tax") + 0.01)
+    return got.select("l_returnflag", *((F.round(F.col("m")[k], 6) + 0.0).alias(f"m{k}") for k in range(9)))
+
+
+# --- files written and read again ---------------------------------------------------------------------------------------
+
+
+@query(f"WITH {CLOUD} SELECT x, y, -z AS sonar_depth FROM c WHERE l_linenumber <= 2")
+def log_round_trip(spark, sf):
+    """SNK-1, SRC-1, SRC-3: a log written in two appends, and all its files read again."""
+    path = fresh_path(spark)
+    x, y, z = xyz()
+    for k in (1, 2):
+        sinks.csv_log(cloud(spark, sf).where(F.col("l_linenumber") == k).select(x, y, (-z).alias("sonar_depth")), path)
+    return readers.csv_log(spark, f"{path}/part-*", readers.MAP_LOG)
+
+
+@query(f"WITH {CLOUD} SELECT CAST(l_linenumber AS INTEGER) AS ping, count(*) AS n, round(sum(y), 2) AS total FROM c WHERE x < 10 GROUP BY 1")
+def ping_round_trip(spark, sf):
+    """SNK-2: points in one folder a ping, read again by folder."""
+    path = fresh_path(spark)
+    sinks.by_ping(cloud(spark, sf).where("x < 10").select(F.col("l_linenumber").alias("ping"), *xyz()), path, "ping")
+    back = spark.read.option("recursiveFileLookup", "false").schema("x double, y double, z double, ping int").csv(path, header=True)
+    return back.groupBy("ping").agg(F.count("*").alias("n"), F.round(F.sum("y"), 2).alias("total"))
+
+
+@query(f"WITH {SIDES} SELECT c_custkey, nid AS nearest_id, dist AS distance FROM n WHERE dist < 1.5")
+def prediction_round_trip(spark, sf):
+    """SNK-3: close matches under a name with the prefix, read again."""
+    where = sinks.predictions(matched(spark, sf).select("c_custkey", "nearest_id", "distance"), fresh_path(spark), "map.csv", "distance", 1.5)
+    return spark.read.schema("c_custkey long, nearest_id long, distance double").csv(where, header=True)
+
+
+@query(f"""WITH {TICKS} SELECT 'depth' AS channel, CAST(floor(1000 * tick / 30) AS BIGINT) AS timestamp, '{{"agent":' || agent || ',"sensor":"' || sensor || '"}}' AS payload FROM t""")
+def message_payloads(spark, sf):
+    """SNK-4: readings as typed messages with a time and a payload in JSON."""
+    return sinks.messages(ticks(spark, sf).select("agent", "tick", "sensor"), "depth", "tick", 30)
