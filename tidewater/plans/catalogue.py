@@ -61,6 +61,13 @@ def xyz():
     return F.col("x"), F.col("y"), F.col("z")
 
 
+KEYED = "l_orderkey || '-' || l_linenumber"
+
+
+def u_sql(key: str, seed: int) -> str:
+    return f"(('0x' || substr(md5({key} || ':{seed}'), 1, 8))::BIGINT / 4294967296.0)"
+
+
 KEY = ["l_orderkey", "l_linenumber"]
 CLUSTERS = [(10.0, 10.0, -10.0, 2.0, 10.0), (30.0, 40.0, -5.0, 1.5, 20.0), (0.0, 0.0, 0.0, 9.0, 0.0)]
 NEAR = " + ".join(f"{s} * exp(-sqrt((x - {a}) * (x - {a}) + (y - {b}) * (y - {b}) + (z - {c}) * (z - {c})) / {f})" for a, b, c, s, f in CLUSTERS if f > 0)
@@ -587,10 +594,13 @@ def reward_shock(spark, sf):
     return t.select("agent", "tick", rewards.shock(F.col("a"), 60.0, F.col("sensor") == "error").alias("abused"))
 
 
-@query(f"WITH {TICKS}, d AS (SELECT agent, min(tick) FILTER (value > 90) AS tick FROM t GROUP BY agent) SELECT agent, tick FROM d WHERE tick IS NOT NULL")
+@query(f"""WITH {TICKS}, c AS (SELECT agent, tick, value > 97 AND NOT value < 2 AS ball, sensor = 'view' AND value > 60 AND value <= 97 AS hit, value < 2 AS wrong FROM t)
+SELECT agent, tick, CASE WHEN ball THEN 2 WHEN hit AND sum(hit::INTEGER) OVER w = 1 THEN 1 WHEN wrong THEN -1 ELSE 0 END AS reward, bool_or(ball OR wrong) OVER w AS terminal FROM c WINDOW w AS (PARTITION BY agent ORDER BY tick)""")
 def reward_once(spark, sf):
-    """STM-18: the tick of a one-time reward."""
-    return ticks(spark, sf).where("value > 90").groupBy("agent").agg(F.min("tick").alias("tick"))
+    """STM-18: rewards of which one is given once a run, and the end of the run."""
+    v = F.col("value")
+    t = ticks(spark, sf).withColumn("tick", F.col("tick").cast("long"))
+    return rewards.cup_game(t, "agent", ["tick"], v > 97, (F.col("sensor") == "view") & (v > 60), v < 2)
 
 
 @query("SELECT user_id AS agent, bool_or(event_type = 'error') AS hit, max_by(value, (ts, event_id)) AS last_value FROM events GROUP BY 1")
@@ -602,13 +612,6 @@ def event_latch(spark, sf):
 
 # --- lidar and noise ------------------------------------------------------------------------------------------------
 
-KEYED = "l_orderkey || '-' || l_linenumber"
-
-
-def u_sql(key: str, seed: int) -> str:
-    return f"(('0x' || substr(md5({key} || ':{seed}'), 1, 8))::BIGINT / 4294967296.0)"
-
-
 @query(f"WITH {CLOUD}, i AS (SELECT *, exp(-0.02 * sqrt(x*x + y*y + z*z)) AS level FROM c) SELECT l_orderkey, l_linenumber, round(level, 6) AS intensity FROM i WHERE {u_sql(KEYED, 1)} >= 0.2 AND (level > 0.6 OR {u_sql(KEYED, 2)} < (1 - 0.3) / 0.6 * level + 0.3)")
 def lidar_dropoff(spark, sf):
     """FLT-11, FLT-12, FN-12: returns that survive both drop-offs, with draws from the key."""
@@ -718,20 +721,46 @@ def model_round_trip(spark, sf):
     return d.select("vec_id", r6(gaussian.load(spark, path).mean(d), "mean"))
 
 
-@query()
+_GYROS = "g AS (SELECT agent, tick, sin(value) / 10 AS g1, sin(value * 2) / 10 AS g2, sin(value * 3) / 10 AS g3, cos(value) / 10 AS a1, 0.1::DOUBLE AS a2, 9.8::DOUBLE AS a3 FROM t)"
+
+
+def _product_sql(p: list[str], q: list[str], names: str = "n0 n1 n2 n3") -> str:
+    """The product of two quaternions, named n0 to n3."""
+    w, x, y, z = p
+    a, b, c, d = q
+    terms = (f"{w} * {a} - {x} * {b} - {y} * {c} - {z} * {d}", f"{w} * {b} + {x} * {a} + {y} * {d} - {z} * {c}", f"{w} * {c} - {x} * {d} + {y} * {a} + {z} * {b}", f"{w} * {d} + {x} * {c} - {y} * {b} + {z} * {a}")
+    return ", ".join(f"{t} AS {n}" for t, n in zip(terms, names.split()))
+
+
+_TURNED = f"""(SELECT *, {_product_sql(["w", "x", "y", "z"], ["c", "g1 * s", "g2 * s", "g3 * s"])} FROM
+(SELECT *, cos(rate * 0.1 / 2) AS c, CASE WHEN rate > 1e-12 THEN sin(rate * 0.1 / 2) / rate ELSE 0.05 END AS s FROM (SELECT k.* EXCLUDE (tick), g.* EXCLUDE (agent), sqrt(g1 * g1 + g2 * g2 + g3 * g3) AS rate FROM k JOIN g ON g.agent = k.agent AND g.tick = k.tick + 1)))"""
+_START = "agent, 0::BIGINT AS tick, 1.0::DOUBLE AS w, 0.0::DOUBLE AS x, 0.0::DOUBLE AS y, 0.0::DOUBLE AS z"
+
+
+def gyros(spark, sf):
+    return ticks(spark, sf).select("agent", F.col("tick").cast("long").alias("tick"), *((F.sin(F.col("value") * k) / 10).alias(f"g{k}") for k in (1, 2, 3)), (F.cos("value") / 10).alias("a1"), F.lit(0.1).alias("a2"), F.lit(9.8).alias("a3"))
+
+
+@query(f"""WITH RECURSIVE {TICKS}, {_GYROS}, k AS (SELECT {_START} FROM (SELECT DISTINCT agent FROM t)
+UNION ALL SELECT agent, tick, m0, m1, m2, m3 FROM (SELECT agent, tick, {_product_sql(["cc", "ax * ss", "ay * ss", "0.0"], ["n0", "n1", "n2", "n3"], "m0 m1 m2 m3")} FROM
+(SELECT *, cos(0.1 * sqrt(ax * ax + ay * ay) / 2) AS cc, CASE WHEN sqrt(ax * ax + ay * ay) > 1e-11 THEN sin(0.1 * sqrt(ax * ax + ay * ay) / 2) / sqrt(ax * ax + ay * ay) ELSE 0.05 END AS ss FROM
+(SELECT *, (2 * (n1 * n2 + n0 * n3) * a1 + (n0 * n0 - n1 * n1 + n2 * n2 - n3 * n3) * a2 + 2 * (n2 * n3 - n0 * n1) * a3) / size AS ax, -((n0 * n0 + n1 * n1 - n2 * n2 - n3 * n3) * a1 + 2 * (n1 * n2 - n0 * n3) * a2 + 2 * (n1 * n3 + n0 * n2) * a3) / size AS ay FROM
+(SELECT *, sqrt(a1 * a1 + a2 * a2 + a3 * a3) AS size FROM {_TURNED})))))
+SELECT agent, tick, round(2 * (x * z - w * y), 6) + 0.0 AS ux, round(2 * (y * z + w * x), 6) + 0.0 AS uy, round(w * w - x * x - y * y + z * z, 6) + 0.0 AS uz FROM k WHERE tick > 0""")
 def attitude_fusion(spark, sf):
-    """STM-4, ML-8: the up vector of each agent from rates and accelerations."""
-    t = ticks(spark, sf).select("agent", "tick", *((F.sin(F.col("value") * k) / 10).alias(f"g{k}") for k in (1, 2, 3)), (F.cos("value") / 10).alias("a1"), F.lit(0.1).alias("a2"), F.lit(9.8).alias("a3"))
-    return attitude.fused(t, "agent", "tick", ["g1", "g2", "g3"], ["a1", "a2", "a3"], 0.1)
+    """STM-4: the up vector of each agent from rates and accelerations."""
+    got = attitude.fused(gyros(spark, sf), "agent", "tick", ["g1", "g2", "g3"], ["a1", "a2", "a3"], 0.1)
+    return got.select("agent", "tick", *((F.round(c, 6) + 0.0).alias(c) for c in ("ux", "uy", "uz")))
 
 
-@query()
+@query(f"""WITH RECURSIVE {TICKS}, {_GYROS}, k AS (SELECT {_START}, 0.0::DOUBLE AS v1, 0.0::DOUBLE AS v2, 0.0::DOUBLE AS v3, 0.0::DOUBLE AS p1, 0.0::DOUBLE AS p2, 0.0::DOUBLE AS p3 FROM (SELECT DISTINCT agent FROM t)
+UNION ALL SELECT agent, tick, n0, n1, n2, n3, s1, s2, s3, p1 + 0.1 * s1, p2 + 0.1 * s2, p3 + 0.1 * s3 FROM
+(SELECT *, v1 + 0.1 * ((n0 * n0 + n1 * n1 - n2 * n2 - n3 * n3) * a1 + 2 * (n1 * n2 - n0 * n3) * a2 + 2 * (n1 * n3 + n0 * n2) * a3) AS s1, v2 + 0.1 * (2 * (n1 * n2 + n0 * n3) * a1 + (n0 * n0 - n1 * n1 + n2 * n2 - n3 * n3) * a2 + 2 * (n2 * n3 - n0 * n1) * a3) AS s2, v3 + 0.1 * (2 * (n1 * n3 - n0 * n2) * a1 + 2 * (n2 * n3 + n0 * n1) * a2 + (n0 * n0 - n1 * n1 - n2 * n2 + n3 * n3) * a3 - 9.81::DOUBLE) AS s3 FROM {_TURNED}))
+SELECT agent, tick, round(p1, 6) + 0.0 AS x, round(p2, 6) + 0.0 AS y, round(p3, 6) + 0.0 AS z FROM k WHERE tick > 0""")
 def nav_strapdown(spark, sf):
     """STM-3: dead reckoning with rotation."""
-    t = ticks(spark, sf).select("agent", "tick", *((F.sin(F.col("value") * k) / 10).alias(f"g{k}") for k in (1, 2, 3)), (F.cos("value") / 10).alias("a1"), F.lit(0.1).alias("a2"), F.lit(9.8).alias("a3"))
-    return attitude.strapdown(t, "agent", "tick", ["g1", "g2", "g3"], ["a1", "a2", "a3"], 0.1)
-
-
+    got = attitude.strapdown(gyros(spark, sf), "agent", "tick", ["g1", "g2", "g3"], ["a1", "a2", "a3"], 0.1)
+    return got.select("agent", "tick", *((F.round(c, 6) + 0.0).alias(c) for c in "xyz"))
 
 
 # --- frames, forces and voxels ----------------------------------------------------------------------------------------
@@ -863,11 +892,12 @@ def predictor_columns(spark, sf):
     return cloud(spark, sf).select(*KEY, x.cast("float").alias("x"), y.cast("float").alias("y"), (-z).alias("depth"), r6(y - (-(z / 2.5)), "delta"))
 
 
-@query(f"WITH {CLOUD} SELECT l_orderkey, l_linenumber, CASE WHEN -z + l_tax * 10 < 5 THEN x END AS gps_x, CASE WHEN -z + l_tax * 10 < 5 THEN y END AS gps_y FROM c")
+@query(f"WITH {CLOUD}, h AS (SELECT *, -z + 0.5 * sqrt(-2 * ln(1 - {u_sql(KEYED, 51)})) * cos(2 * pi() * {u_sql(KEYED, 52)}) + 2.0 * sin(2 * pi() / 600 * (l_orderkey % 600)) AS deep FROM c) SELECT l_orderkey, l_linenumber, CASE WHEN deep < 5 THEN x END AS gps_x, CASE WHEN deep < 5 THEN y END AS gps_y FROM h")
 def gps_fix(spark, sf):
-    """FLT-7: positions near enough to the surface, with noise on the depth; null elsewhere."""
+    """FLT-7: positions near enough to a surface that the tide moves, with noise on the depth; null elsewhere."""
     x, y, z = xyz()
-    heard = -z + F.col("l_tax") * 10 < 5
+    surface = fields.tide_height(F.col("l_orderkey") % 600, 2.0, 600.0)
+    heard = -z + 0.5 * noise.normal(F.concat_ws("-", *KEY), 51) + surface < 5
     return cloud(spark, sf).select(*KEY, F.when(heard, x).alias("gps_x"), F.when(heard, y).alias("gps_y"))
 
 
@@ -1314,3 +1344,28 @@ def prediction_round_trip(spark, sf):
 def message_payloads(spark, sf):
     """SNK-4: readings as typed messages with a time and a payload in JSON."""
     return sinks.messages(ticks(spark, sf).select("agent", "tick", "sensor"), "depth", "tick", 30)
+
+
+@query("""WITH s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 3 > 0 THEN 30 * (s_suppkey % 3) END AS rate FROM supplier)
+SELECT 's' || k AS name, CAST(coalesce(rate, 30) AS INTEGER) AS ticks_per_sec, 'imu' AS sensor_name, 15.0::DOUBLE AS hz, CAST(coalesce(rate, 30) / 15 AS INTEGER) AS tick_every FROM s
+UNION ALL SELECT 's' || k, CAST(coalesce(rate, 30) AS INTEGER), 'DVLSensor', CASE WHEN k % 2 = 0 THEN 45.0 ELSE coalesce(rate, 30) END, CAST(CASE WHEN k % 2 = 0 THEN CASE WHEN coalesce(rate, 30) >= 45 THEN floor(coalesce(rate, 30) / 45.0) END ELSE 1 END AS INTEGER) FROM s""")
+def scenario_round_trip(spark, sf):
+    """SRC-7: scenarios in JSON, read with their defaults, and how often each sensor reads."""
+    k = F.col("s_suppkey")
+    imu = F.struct(F.lit("IMUSensor").alias("sensor_type"), F.lit("imu").alias("sensor_name"), F.lit(15.0).alias("Hz"))
+    dvl = F.struct(F.lit("DVLSensor").alias("sensor_type"), F.lit(None).cast("string").alias("sensor_name"), F.when(k % 2 == 0, 45.0).alias("Hz"))
+    agent = F.struct(F.lit("auv0").alias("agent_name"), F.array(imu, dvl).alias("sensors"))
+    body = F.struct(F.concat(F.lit("s"), k).alias("name"), F.when(k % 3 > 0, 30 * (k % 3)).alias("ticks_per_sec"), F.array(agent).alias("agents"))
+    path = fresh_path(spark)
+    table(spark, sf, "supplier").select(F.to_json(body)).write.text(path)
+    return readers.sensors_of(readers.scenarios(spark, path, lines=True)).select("name", "ticks_per_sec", "sensor_name", "hz", "tick_every")
+
+
+@query("WITH m AS (SELECT p_brand AS material, floor(avg(p_retailprice)) * 3 AS density, 1480.0::DOUBLE AS speed FROM part WHERE p_brand < 'Brand#4' GROUP BY 1) SELECT material, density * speed AS impedance FROM m UNION ALL SELECT DISTINCT p_brand, 1e8 FROM part WHERE p_brand IS NOT NULL AND p_brand NOT IN (SELECT material FROM m)")
+def material_write_back(spark, sf):
+    """SNK-8: materials that the files lack are appended with a default, and all of them read again."""
+    part, path = table(spark, sf, "part"), fresh_path(spark)
+    known = part.where("p_brand < 'Brand#4'").groupBy(F.col("p_brand").alias("material")).agg((F.floor(F.avg("p_retailprice")) * 3).cast("double").alias("density"), F.lit(1480.0).alias("sound_speed"))
+    known.write.csv(path, header=True)
+    sinks.add_missing_materials(part, path, "p_brand", 1e5, 1e3)
+    return readers.materials(spark, path).select("material", "impedance")

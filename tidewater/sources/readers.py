@@ -28,9 +28,9 @@ AGENT = T.StructType([T.StructField("agent_name", T.StringType()), T.StructField
 SCENARIO = T.StructType([T.StructField(c, T.StringType()) for c in ("name", "world", "package_name", "main_agent")] + [T.StructField("ticks_per_sec", T.IntegerType()), T.StructField("agents", T.ArrayType(AGENT))])
 
 
-def scenarios(spark: SparkSession, path: str) -> DataFrame:
-    """Scenario files, one row each."""
-    return spark.read.schema(SCENARIO).json(path, multiLine=True)
+def scenarios(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Scenario files, one row each; with `lines`, files with one scenario in each line."""
+    return spark.read.schema(SCENARIO).json(path, multiLine=not lines)
 
 
 def sensors_of(scenarios_: DataFrame) -> DataFrame:

@@ -31,3 +31,11 @@ def messages(df: DataFrame, channel: str, tick: str, ticks_per_second: int) -> D
 def missing_materials(rows: DataFrame, materials: DataFrame, name: str) -> DataFrame:
     """Names that the material table lacks, to be added to it."""
     return rows.select(F.col(name).alias("material")).where("material IS NOT NULL").distinct().join(materials.select("material"), "material", "left_anti")
+
+
+def add_missing_materials(rows: DataFrame, materials_path: str, name: str, density: float, sound_speed: float) -> None:
+    """Appends a default row to the material files for every name that they lack, so that each is looked up once in vain."""
+    from tidewater.sources.readers import materials
+
+    new = missing_materials(rows, materials(rows.sparkSession, materials_path), name)
+    new.select("material", F.lit(density).alias("density"), F.lit(sound_speed).alias("sound_speed")).write.mode("append").csv(materials_path, header=True)
