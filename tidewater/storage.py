@@ -35,3 +35,12 @@ def settle(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_all_settled(spark: SparkSession) -> None:
+    """Removes all tables that settle() wrote in this application: for callers whose results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in files.listStatus(path):
+        if f.getPath().getName().startswith(f"tidewater-{spark.sparkContext.applicationId}-"):
+            files.delete(f.getPath(), True)
