@@ -8,14 +8,16 @@ from pyspark.sql import functions as F
 from tidewater.llm import line_dups, mixing, ngram_join, queries, spm_codec, toxicity
 from tidewater.llm.common import settle, without_keys
 
-# No stage but the last could be said in SQL alone: the classifiers are trained here.  Tested against brute force.
+# No stage but the last could be said in SQL alone: the classifiers are trained here.  Every stage is tested
+# against brute force in tests/llm/test_pipeline_stages.py.
 ORACLE_SQL = None
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.7 or more go.  Learns from the labels that op2 learns from.
 
-    Rows with a null id, a repeated id or an empty text are scored like all others; a null text counts as empty.
+    Rows with a null id, a repeated id or an empty text are scored like all others; a null text counts as empty; very long
+    texts are scored whole.  A score of just 0.7 rejects.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.reject(docs, toxicity.fit(docs, labels, toxicity.crc_rest("doc_id", 3) != 1), 0.7)
@@ -31,7 +33,11 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles stays."""
+    """One document of each group linked by a Jaccard similarity of 0.8 or more over five-word shingles stays: the smallest id.
+
+    Rows without an id, and texts without a word, stay as they are; rows of one id stay or go together.  Texts are compared
+    whole, however long.
+    """
     return ngram_join.keep_first(docs, width=5, num=80, den=100)
 
 
