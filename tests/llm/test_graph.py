@@ -36,6 +36,11 @@ def test_shapes(spark):
     check(spark, [])
 
 
+def test_hot_node(spark):
+    """A star of more edges than go unsalted, with tails on some of its leaves."""
+    check(spark, [(7, k) for k in range(10, 2600)] + [(k, k + 10000) for k in range(10, 60)] + [(3, 2599), (20000, 20001)])
+
+
 @settings(max_examples=4, deadline=None, suppress_health_check=list(HealthCheck))
 @given(pairs=st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
 def test_random(spark, pairs):

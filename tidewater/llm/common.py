@@ -171,3 +171,19 @@ def with_least(rows: DataFrame, keys: list[str], value: str, name: str, several:
     salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))
     spread = least.join(hot, keys, "left").select(*keys, name, *([F.col("__n").alias(size)] if size else []), F.explode_outer(salts).alias("__salt"))
     return rows.join(hot, keys, "left").withColumn("__salt", salt).join(spread, [*keys, "__salt"]).drop("__hot", "__salt")
+
+
+def spread_join(rows: DataFrame, other: DataFrame, on: str, by: str, total: int) -> DataFrame:
+    """rows joined with `other`, which has one row or a few for each value of the column `on`.
+
+    Values that more than a 256th of all rows hold (so 256 at most, which are broadcast) are dealt over 64 salts by a hash of
+    the column `by`, so no task gets the rows of a hot value whole.  total: how many rows there are, about.
+    """
+    from pyspark.sql import functions as F
+
+    counts = rows.groupBy(on).agg(F.count("*").alias("__n"))
+    hot = F.broadcast(counts.where(F.col("__n") > max(1000, total // 256)).select(on, F.lit(True).alias("__hot")))
+    dealt = rows.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(by, F.lit(9)), F.lit(64))).otherwise(0).cast("int"))
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(63))).otherwise(F.array(F.lit(0)))
+    spread = other.join(hot, on, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    return dealt.join(spread, [on, "__salt"]).drop("__hot", "__salt")

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .buckets import cell_links, in_cells, open_keys
-from .common import distinct, drop_settled, mixed, near_keys, settle, told_apart, with_least, without_keys
+from .common import distinct, drop_settled, mixed, near_keys, settle, spread_join, told_apart, with_least, without_keys
 from .graph import components, spanning
 
 WIDTH, BANDS, BOTTOM, SIMILARITY = 5, 18, 6, 0.8
@@ -271,7 +271,8 @@ def verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of lines whose 5-gram sets reach SIMILARITY."""
     ends = settle(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     near = near_keys(lines, "node", ends)
-    a = pairs.join(near.select(F.col("node").alias("a"), F.col("line").alias("la")), "a")
+    # a line that leads very many others is dealt over salts
+    a = spread_join(pairs, near.select(F.col("node").alias("a"), F.col("line").alias("la")), "a", "b", pairs.count())
     both = a.join(near.select(F.col("node").alias("b"), F.col("line").alias("lb")), "b").select("a", "b", "la", "lb")
     node = both.schema["a"].dataType.simpleString()
 
