@@ -83,6 +83,40 @@ def test_linked_sets_share_a_key(num):
                     assert set(ratio.keys(np.unique(base), counts).tolist()) & set(ratio.keys(np.unique(other), counts).tolist())
 
 
+@pytest.mark.parametrize("num", [90, 80])
+def test_keys_rule_out_no_linked_pair(num):
+    """Any two sets, linked ones above all: the keys of one only are no more than the members of one only."""
+    deal = np.random.default_rng(8)
+    ratio, counts = N.Ratio(num, 100), deal.integers(0, 4, 1 << 10).astype(np.uint16)
+    ruled_out = 0
+    for _ in range(400):
+        n = int(deal.integers(2, 300))
+        base = deal.integers(0, 2**63, n).astype(np.uint64)
+        gone, more = (int(deal.integers(0, max(2, n // int(deal.choice([1, 2, 12]))))) for _ in range(2))
+        a, b = np.unique(base), np.unique(np.append(base[gone:], deal.integers(0, 2**63, more).astype(np.uint64)))
+        x, y = ratio.keys(a, counts), ratio.keys(b, counts)
+        found = int(N.apart(x, y, np.array([0]), y[-1:], np.array([len(np.intersect1d(x, y))]))[0])
+        both = len(np.intersect1d(a, b))
+        assert 0 <= found <= len(a) + len(b) - 2 * both
+        far = found > ratio.most_apart(len(a) + len(b))
+        assert not (far and 100 * both >= num * len(np.union1d(a, b)))
+        ruled_out += far
+    assert ruled_out > 50
+
+
+def test_form_letters(spark, monkeypatch):
+    """Texts of one form that differ by too much to link, pairs of them that do, and a passage that all hold."""
+    monkeypatch.setattr(N, "BLOCK", 8)
+    monkeypatch.setattr(N, "WIDE", 16)
+    deal = np.random.default_rng(9)
+    form, passage, out = deal.choice(WORDS, 150).tolist(), " ".join(deal.choice(WORDS, 60)), []
+    for k in range(50):
+        own = [w if deal.random() > 0.06 else f"v{deal.integers(0, 10**6)}" for w in form]
+        out += [" ".join(own), " ".join([*own[:75], f"z{k}", *own[76:]]), " ".join(deal.choice(WORDS, 40)) + " " + passage]
+    docs = spark.createDataFrame(list(enumerate(out)), "doc_id long, text string")
+    assert sorted(map(tuple, N.ngram_join(docs).collect())) == brute(out, 90, 100)
+
+
 def test_odd_rows(spark):
     rows = [(1, "a b c d"), (1, "a b c d"), (1, "p q r s t"), (None, "a b c d"), (2, "A B C D"), (3, "p q r s t")]
     got = N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +41,33 @@ def in_cells(rows: DataFrame, block: int) -> DataFrame:
     return dealt.select("key", "node", "root", "block", F.explode(cells).alias("cell")).select("key", F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "node", "root", "block")
 
 
+def recounted(rows: DataFrame, left: DataFrame) -> DataFrame:
+    """The rows of open_keys() that stand in `left` (distinct key, node), with main, most and other as they are among these."""
+    kept = settle(rows.select("key", "node", "root").join(left, ["key", "node"], "left_semi"))
+    per_root = kept.groupBy("key", "root").agg(F.count("*").alias("k"))
+    per_key = per_root.groupBy("key").agg(F.max_by("root", F.struct("k", "root")).alias("main"), F.max("k").alias("most"), F.sum("k").alias("n")).where("n > most")
+    return kept.join(per_key.select("key", "main", "most", (F.col("n") - F.col("most")).alias("other")), "key")
+
+
+def cells_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each cell (key, i, j) of batches that are sorted by cell; one cell is held at a time."""
+    here, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        spots = np.stack([batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("key", "i", "j")])
+        edges = [0, *(np.flatnonzero((spots[:, 1:] != spots[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            cell = tuple(spots[:, a].tolist())
+            if cell != here and held:
+                yield pa.Table.from_batches(held)
+                held = []
+            here = cell
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def cell_links(rows: DataFrame, compare: Callable[[list[dict]], list[tuple]], node: str) -> DataFrame:
     """a, b: what compare() gives for the rows of each cell (key, i, j); a task holds one cell at a time."""
 

@@ -7,8 +7,11 @@
 3. The sets at a key are compared with the first one of it, that of the smallest id: in blocks, a prefix tree over a block's
    sets in one global order is descended by the first set, with a running overlap that all sets below a node share, and left
    where the overlap and what remains on either side cannot reach the threshold.
-4. Where this leaves the sets of a key in several components, those of different components meet in blocks, by
-   prefix trees likewise.  Only verified links join sets; nothing is compared because strangers chain.
+4. Where this leaves the sets of a key in several components, those of different components meet in blocks.  First only
+   their keys meet, in large blocks: up to the smaller of two sets' last keys all members of both are known, so more
+   members there of one set alone than linked sets of these sizes can have apart rule a pair out.  Sets with a pair left
+   meet with their texts, by prefix trees likewise.  Only verified links join sets; nothing is compared because strangers
+   chain.
 5. Distributed union-find over the links gives the components.
 """
 
@@ -21,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buckets import cell_links, in_cells, open_keys
-from .common import WordHash, distinct, mixed, near_keys, settle, shingle_hashes, slices, with_least, without_keys
+from .buckets import cell_links, cells_of, in_cells, open_keys, recounted
+from .common import WordHash, distinct, mixed, near_keys, settle, shingle_hashes, slices, spread_join, with_least, without_keys
 from .graph import components, spanning
 
 # Counters of member_counts(): 32 MB whatever the input, moved in so many chunks.
 COUNTERS, CHUNKS = 1 << 24, 256
-# Sets in a block of a key; a task holds two blocks.
-BLOCK = 96
+# Sets in a block of a key, with their texts, and with their keys alone; a task holds two blocks.
+BLOCK, WIDE = 96, 1024
 
 
 class Ratio:
@@ -47,11 +50,18 @@ class Ratio:
         """SQL: whether sets of sizes a and b can reach the similarity."""
         return f"{self.den} * least({a}, {b}) >= {self.num} * greatest({a}, {b})"
 
+    def most_apart(self, total):
+        """The most members that only one of two linked sets with `total` members together holds."""
+        return total - 2 * self.least_overlap(total)
+
     def keys(self, members: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The first members of a set, rare ones first: linked sets have one in common.  counts: see member_counts()."""
+        """Places of the first members of a set in the common order, ascending: linked sets have one in common.
+
+        A place is the member's count (see member_counts()), so that rare ones come first, then 48 bits of its hash.
+        """
         n = len(members)
-        order = np.lexsort((mixed(members, 14), counts[members % np.uint64(len(counts))]))
-        return members[order[: n - -(-self.num * n // self.den) + 1]] if n else members
+        places = (counts[members % np.uint64(len(counts))].astype(np.uint64) << np.uint64(48)) | (mixed(members, 14) >> np.uint64(16))
+        return distinct(np.sort(places)[: n - -(-self.num * n // self.den) + 1]) if n else members
 
 
 def members_of(text: str, width: int, table: WordHash) -> np.ndarray:
@@ -195,22 +205,77 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
     # (1) one representative for each distinct set
     copies = settle(with_least(sized.select("id", "n", "m1", "m2"), ["m1", "m2", "n"], "id", "rep", several=True).where("id <> rep").select("id", "rep", F.xxhash64("id", "m1").alias("set")).distinct())
     # (2) the sets at each key, and the first of them
-    distinct_sets = without_keys(sized.withColumn("set", F.xxhash64("id", "m1")), "set", copies.select(F.col("set").alias("gone")).distinct())
+    distinct_sets = settle(without_keys(sized.select("id", "n", "keys", F.xxhash64("id", "m1").alias("set")), "set", copies.select(F.col("set").alias("gone")).distinct()).drop("set"))
     shared = settle(with_least(distinct_sets.select(F.struct(F.col("id").alias("node"), "n").alias("at"), F.explode("keys").alias("key")), ["key"], "at", "lead", several=True))
     # (3) stars, dealt in blocks that hold their first set each
     stars = settle(shared.where("at.node <> lead.node").where(ratio.reach("at.n", "lead.n")).select(F.col("lead.node").alias("key"), F.col("at.node").alias("node")).distinct())
     blocks = settle(stars.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    dealt = stars.join(blocks, "key").select("key", F.expr("cast(pmod(xxhash64(node, 7), blocks) AS int)").alias("i"), F.lit(-1).alias("j"), "node", F.lit(None).cast("long").alias("root"), F.expr("cast(pmod(xxhash64(node, 7), blocks) AS int)").alias("block"))
+    dealt = spread_join(stars, blocks, "key", "node", stars.count()).select("key", F.expr("cast(pmod(xxhash64(node, 7), blocks) AS int)").alias("i"), F.lit(-1).alias("j"), "node", F.lit(None).cast("long").alias("root"), F.expr("cast(pmod(xxhash64(node, 7), blocks) AS int)").alias("block"))
     firsts = blocks.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.lit(-1).alias("j"), F.col("key").alias("node"), F.lit(None).cast("long").alias("root"), F.lit(-1).alias("block"))
     near = settle(_met(dealt.union(firsts), texts, ratio, width))
     # (4) sets of different components at a key
-    more = settle(_met(in_cells(open_keys(shared, settle(components(near))), BLOCK), texts, ratio, width))
+    opened = open_keys(shared, settle(components(near)))
+    perhaps = settle(_perhaps(in_cells(opened, WIDE), distinct_sets, ratio))
+    more = settle(_met(in_cells(settle(recounted(opened, perhaps)), BLOCK), texts, ratio, width))
     # (5)
     found = components(near.union(more).union(copies.select("id", "rep")))
     out = table.select("id", "n").join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
     return out
 
 
+def apart(mine: np.ndarray, held: np.ndarray, starts: np.ndarray, lasts: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """How many keys only one of two sets has, up to the smaller of their last keys: `mine` against the runs of `held` that
+    begin at `starts` and end with `lasts`; common: how many keys each run shares with `mine`.  Keys ascend and none is empty.
+
+    No more than the members that only one of the sets holds: up to its last key, a set's keys are all of its places.
+    """
+    return np.add.reduceat((held <= mine[-1]).astype(np.int64), starts) + np.searchsorted(mine, lasts, side="right") - 2 * common
+
+
+def _perhaps(cells: DataFrame, sets: DataFrame, ratio: Ratio) -> DataFrame:
+    """key, node of the rows of cells that may link with a row of another root in a cell of theirs, by sizes and keys alone.
+
+    sets: id, n and keys of all sets.
+    """
+    cells = settle(cells)
+    held = near_keys(sets, "id", settle(cells.select("node").distinct())).join(cells, F.col("id") == F.col("node")).select("key", "i", "j", "block", "root", "node", "n", "keys")
+
+    def compare(cell: pa.Table) -> np.ndarray:
+        """Which rows of a cell have a partner."""
+        i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
+        block, root, n = (cell[c].to_numpy() for c in ("block", "root", "n"))
+        keys = cell["keys"].combine_chunks()
+        keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys
+        flat, ends = keys.flatten().to_numpy().view(np.uint64), np.cumsum(keys.value_lengths().to_numpy())
+        runs = np.split(flat, ends[:-1])
+        index, found = np.flatnonzero(block == i), np.zeros(len(n), dtype=bool)
+        if not len(index):
+            return found
+        held = np.concatenate([runs[k] for k in index])
+        known, coded = np.unique(held, return_inverse=True)
+        sizes = np.array([len(runs[k]) for k in index])
+        starts = np.cumsum(sizes) - sizes
+        lasts = held[starts + sizes - 1]
+        for k in np.flatnonzero(block == j):
+            mine = runs[k]
+            mark = np.zeros(len(known), dtype=np.int64)
+            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
+            mark[at[known[at] == mine]] = 1
+            common = np.add.reduceat(mark[coded], starts)
+            small, large = np.minimum(n[index], n[k]), np.maximum(n[index], n[k])
+            good = (root[index] != root[k]) & (common > 0) & (ratio.den * small >= ratio.num * large) & (apart(mine, held, starts, lasts, common) <= ratio.most_apart(n[index] + n[k]))
+            found[index[good]] = True
+            found[k] |= good.any()
+        return found
+
+    def run(batches):
+        for cell in cells_of(batches):
+            yield from cell.filter(pa.array(compare(cell))).select(["key", "node"]).combine_chunks().to_batches()
+
+    dealt = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    return dealt.mapInArrow(run, "key long, node long").distinct()
+
+
 def _met(cells: DataFrame, texts: DataFrame, ratio: Ratio, width: int) -> DataFrame:
     """Links (a, b), as forests, within the cells (key, i, j) of rows key, i, j, node, root, block.
 
