@@ -128,3 +128,16 @@ def test_octree_store_round_trip_and_counts(spark, tmp_path):
     codes = {r.code for r in coded.collect()}
     want = {c: (sum(len({x >> 3 * k for x in codes if x >> 9 == c}) for k in range(4)), len({x for x in codes if x >> 9 == c})) for c in {x >> 9 for x in codes}}
     assert {r.cell: (r.nodes, r.leaves) for r in octree.node_counts(coded, "code", 4, 1).collect()} == want
+
+
+def test_points_are_ordered_only_at_the_least_distance(spark, monkeypatch):
+    """The bound that lets points through to the last, sorting step is the nearest distance itself, also for far probes."""
+    draw = random.Random(11)
+    places = [(i, 1, x, x * draw.uniform(0.9, 2.0)) for i, x in enumerate(draw.uniform(1, 50) for _ in range(3000))]
+    probes = [(k, 1, draw.uniform(0, 50), draw.uniform(0, 100)) for k in range(60)]
+    frames, settle = [], spatial.settle
+    monkeypatch.setattr(spatial, "settle", lambda df: frames.append(settle(df)) or frames[-1])
+    got = matching.nearest_in_class(spark.createDataFrame(probes, "p long, label int, x double, y double"), spark.createDataFrame(places, "id long, label int, x double, y double"), "label", ["x", "y"], "p", "id")
+    want = {k: min(math.sqrt((x - a) * (x - a) + (y - b) * (y - b)) for _, _, a, b in places) for k, _, x, y in probes}
+    assert {r.p: r.distance for r in got.collect()} == want
+    assert {r.p: r["__bound"] for r in [f for f in frames if "__bound" in f.columns][-1].collect()} == want
