@@ -141,3 +141,17 @@ def test_points_are_ordered_only_at_the_least_distance(spark, monkeypatch):
     want = {k: min(math.sqrt((x - a) * (x - a) + (y - b) * (y - b)) for _, _, a, b in places) for k, _, x, y in probes}
     assert {r.p: r.distance for r in got.collect()} == want
     assert {r.p: r["__bound"] for r in [f for f in frames if "__bound" in f.columns][-1].collect()} == want
+
+
+def test_points_at_one_spot_are_seen_once_and_given_back_whole(spark):
+    points = spark.range(3000).select("id", F.when(F.col("id") < 1000, 3.0).when(F.col("id") < 1010, None).otherwise(F.col("id") % 10).cast("double").alias("x"), F.lit(0.5).alias("y"), F.lit(0.0).alias("z"), F.lit(1).alias("w"))
+    spots = spatial.folded(points, "w", ["x", "y", "z"], 256)
+    rows = spots.collect()
+    assert sorted(c.id for r in rows for c in r["__copies"]) == list(range(3000))
+    # the crowded spot (1,199 points) lies in several lists, all others in one
+    assert 11 < len(rows) <= 10 + 1 + 4 and max(len(r["__copies"]) for r in rows) < 400
+    s = spark.createDataFrame([(0.0, 0.0, 0.0, 0.1, 20.0)], "sx double, sy double, sz double, low double, high double")
+    pose = vehicle.rotation_matrix(F.lit(0.0), F.lit(0.0), F.lit(0.0))
+    got = spatial.in_view(s, spatial.packed(spots, "w", ["x", "y", "z"]), F.lit(1), ["sx", "sy", "sz"], pose, ("low", "high"), lambda s, off: off < 12, F.lit(12.0), [F.lit(v) for v in (1.0, 0.0, 0.0)])
+    assert {r.x for r in got.collect()} == {float(k) for k in range(3, 10)}
+    assert sorted(r.id for r in got.select(F.inline("__copies")).collect()) == sorted(r.id for r in points.where("x > 2").collect())
