@@ -178,3 +178,25 @@ def test_requests_and_replies(spark):
     rows = [(1, 1, "REQ"), (1, 2, "REQ"), (1, 3, "RESP"), (1, 4, "RESP"), (1, 5, "REQU"), (1, 6, "RESP"), (2, 1, "REQ"), (2, 2, "noise")]
     got = comms.answered(spark.createDataFrame(rows, "link int, at int, kind string"), "link", "at", "kind", {"REQ": "RESP", "REQU": "RESPU"}).collect()
     assert [tuple(r) for r in got] == [(1, 1, "REQ", 3)]
+
+
+def test_attitudes_equal_rotation_matrices_and_pass_over_nulls(spark):
+    """Up vectors and places by quaternions against matrices made orthogonal in every row."""
+    deal = np.random.default_rng(4)
+    rows = [(1, t, *(float(v) for v in deal.normal(size=3)), *(float(v) for v in deal.normal(size=3) * 5)) for t in range(150)]
+    df = spark.createDataFrame(rows, "run int, t int, gx double, gy double, gz double, ax double, ay double, az double")
+    up = attitude.fused(df, "run", "t", ["gx", "gy", "gz"], ["ax", "ay", "az"], 0.1).orderBy("t").collect()
+    at = attitude.strapdown(df, "run", "t", ["gx", "gy", "gz"], ["ax", "ay", "az"], 0.1).orderBy("t").collect()
+    tilt, pose, v, p = np.eye(3), np.eye(3), np.zeros(3), np.zeros(3)
+    for row, u, a in zip(rows, up, at):
+        rate, acc = np.array(row[2:5]), np.array(row[5:])
+        tilt = tilt @ attitude.turn(rate, 0.1)
+        tilt = attitude.nearest_rotation(attitude.turn(0.1 * np.cross(tilt @ (acc / np.linalg.norm(acc)), [0, 0, 1.0]), 1.0) @ tilt)
+        pose = attitude.nearest_rotation(pose @ attitude.turn(rate, 0.1))
+        v = v + (pose @ acc - np.array([0, 0, 9.81])) * 0.1
+        p = p + v * 0.1
+        assert (u.ux, u.uy, u.uz) == pytest.approx(tilt[2], abs=1e-9) and (a.x, a.y, a.z) == pytest.approx(p, abs=1e-7)
+    # a row with nulls turns by nothing and measures nothing
+    holes = spark.createDataFrame([(1, 0, None, 0.0, 0.0, 1.0, None, 2.0), (1, 1, 0.0, 0.0, 0.0, 0.0, 0.0, 9.81)], df.schema)
+    for f in (attitude.fused, attitude.strapdown):
+        assert [r[2:] for r in f(holes, "run", "t", ["gx", "gy", "gz"], ["ax", "ay", "az"], 0.1).collect()] == [(0.0, 0.0, 1.0 if f is attitude.fused else 0.0)] * 2

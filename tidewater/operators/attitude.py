@@ -34,34 +34,40 @@ def wahba(body: np.ndarray, world: np.ndarray, weights: np.ndarray) -> np.ndarra
 def fused(df: DataFrame, by: str, order: str, gyro: list[str], accel: list[str], dt: float, gain: float = 0.1) -> DataFrame:
     """World-frame up vector of each row: gyro prediction, pulled towards measured gravity.
 
-    Parallel gravity references leave the heading open, so only the tilt is given back.
+    Parallel gravity references leave the heading open, so only the tilt is given back.  The attitude is a quaternion of plain
+    numbers.  Null rates count as 0, an acceleration with a null for nothing.
     """
 
-    def on(held: tuple, *row: float):
-        r = np.eye(3) if held[0] is None else held[0]
-        row = np.array(row, dtype=float)
-        r = r @ turn(row[:3], dt)
-        size = np.linalg.norm(row[3:])
+    def on(q: tuple, *row: float):
+        q = turned(q, row[:3], dt)
+        a = row[3:]
+        size = 0.0 if None in a else math.sqrt(a[0] * a[0] + a[1] * a[1] + a[2] * a[2])
         if size > 1e-9:
-            r = turn(gain * np.cross(r @ (row[3:] / size), [0, 0, 1.0]), 1.0) @ r
-        r = nearest_rotation(r)
-        return (r,), tuple(r[2].tolist())
+            up = rotated(q, a)
+            # the small turn that brings what is measured towards straight up
+            x, y = gain * up[1] / size, -gain * up[0] / size
+            c, s = half_turn(math.sqrt(x * x + y * y), 1.0)
+            q = normal(product((c, x * s, y * s, 0.0), q))
+        w, x, y, z = q
+        return q, (2 * (x * z - w * y), 2 * (y * z + w * x), w * w - x * x - y * y + z * z)
 
-    return walk(df, by, [order], [*gyro, *accel], Recurrence((None,), on, "", "ux double, uy double, uz double"))
+    return walk(df, by, [order], [*gyro, *accel], Recurrence(LEVEL, on, "", "ux double, uy double, uz double"))
 
 
 def strapdown(df: DataFrame, by: str, order: str, gyro: list[str], accel: list[str], dt: float, gravity: float = 9.81) -> DataFrame:
-    """Dead reckoning with rotation: attitude, then acceleration in the world frame without gravity, integrated twice."""
+    """Dead reckoning with rotation: attitude, then acceleration in the world frame without gravity, integrated twice.  A row
+    whose acceleration is not whole measures none."""
 
     def on(held: tuple, *row: float):
-        r, v, p = held if held[0] is not None else (np.eye(3), np.zeros(3), np.zeros(3))
-        row = np.array(row, dtype=float)
-        r = nearest_rotation(r @ turn(row[:3], dt))
-        v = v + (r @ row[3:] - np.array([0, 0, gravity])) * dt
-        p = p + v * dt
-        return (r, v, p), tuple(p.tolist())
+        q, v, p = held
+        q = turned(q, row[:3], dt)
+        a = (0.0, 0.0, gravity) if None in row[3:] else rotated(q, row[3:])
+        v = (v[0] + a[0] * dt, v[1] + a[1] * dt, v[2] + (a[2] - gravity) * dt)
+        p = (p[0] + v[0] * dt, p[1] + v[1] * dt, p[2] + v[2] * dt)
+        return (q, v, p), p
 
-    return walk(df, by, [order], [*gyro, *accel], Recurrence((None, None, None), on, "", "x double, y double, z double"))
+    still = (0.0, 0.0, 0.0)
+    return walk(df, by, [order], [*gyro, *accel], Recurrence((LEVEL, still, still), on, "", "x double, y double, z double"))
 
 
 def aligned(df: DataFrame, by: str, body: list[str], world: list[str], weight: Column) -> DataFrame:
@@ -137,3 +143,29 @@ def product(p, q):
 def normal(q):
     size = math.sqrt(q[0] * q[0] + q[1] * q[1] + q[2] * q[2] + q[3] * q[3])
     return (q[0] / size, q[1] / size, q[2] / size, q[3] / size)
+
+
+LEVEL = (1.0, 0.0, 0.0, 0.0)
+
+
+def half_turn(rate: float, dt: float) -> tuple[float, float]:
+    """The cosine of half the angle, and what a vector of this length is multiplied with for the quaternion's other part."""
+    return math.cos(rate * dt / 2), (math.sin(rate * dt / 2) / rate if rate > 1e-12 else dt / 2)
+
+
+def turned(q, rates, dt: float):
+    """q after body rates held over dt."""
+    gx, gy, gz = (v or 0.0 for v in rates)
+    c, s = half_turn(math.sqrt(gx * gx + gy * gy + gz * gz), dt)
+    return normal(product(q, (c, gx * s, gy * s, gz * s)))
+
+
+def rotated(q, v):
+    """v, a body vector, in the world frame."""
+    w, x, y, z = q
+    a, b, c = v
+    return (
+        (w * w + x * x - y * y - z * z) * a + 2 * (x * y - w * z) * b + 2 * (x * z + w * y) * c,
+        2 * (x * y + w * z) * a + (w * w - x * x + y * y - z * z) * b + 2 * (y * z - w * x) * c,
+        2 * (x * z - w * y) * a + 2 * (y * z + w * x) * b + (w * w - x * x - y * y + z * z) * c,
+    )
