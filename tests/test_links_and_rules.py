@@ -113,3 +113,30 @@ def test_missing_materials_are_written_back_once(spark, tmp_path):
     for _ in range(2):
         sinks.add_missing_materials(rows, path, "name", 1e5, 1e3)
         assert sorted((r.material, r.impedance) for r in readers.materials(spark, path).collect()) == [("mud", 1e8), ("sand", 3.4e6)]
+
+
+def tasks_with_rows(df):
+    # few rows are many tasks' work only while Spark does not put small partitions together
+    df.sparkSession.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        return df.select(F.spark_partition_id().alias("p")).distinct().count()
+    finally:
+        df.sparkSession.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_messages_of_one_net_are_many_tasks_work(spark):
+    m = spark.range(400).coalesce(1).select(F.col("id").cast("int").alias("message"), F.lit(1).alias("net"), F.lit(5).alias("sender"), F.lit(-1).alias("goal"))
+    s = spark.range(7).coalesce(1).select(F.lit(1).alias("net"), F.col("id").cast("int").alias("id"))
+    got = comms.sent_to(m, s, "net", "sender", "goal", "id")
+    assert sorted((r.message, r.receiver) for r in got.collect()) == [(k, j) for k in range(400) for j in range(7) if j != 5]
+    assert got.columns == ["message", "net", "sender", "goal", "receiver"] and tasks_with_rows(got) == 4
+
+
+def test_modems_of_one_crowded_cell_are_many_tasks_work(spark):
+    a = spark.range(200).coalesce(1).select("id", F.lit(1).alias("net"), (F.col("id") % 9 * 1.0).alias("x"), (F.col("id") % 7 * 1.0).alias("y"))
+    b = a.select(F.col("id").alias("oid"), F.col("net").alias("onet"), F.col("x").alias("ox"), F.col("y").alias("oy"))
+    got = comms.in_reach(a, b, "net", "onet", [("x", "ox"), ("y", "oy")], 5.0)
+    near = {(i, j) for i in range(200) for j in range(200) if math.hypot(i % 9 - j % 9, i % 7 - j % 7) <= 5}
+    rows = [(r.id, r.oid) for r in got.collect()]
+    assert len(rows) == len(near) and set(rows) == near
+    assert got.columns == ["id", "net", "x", "y", "oid", "onet", "ox", "oy", "distance"] and tasks_with_rows(got) == 4

@@ -11,6 +11,8 @@ SOUND_SPEED = 1500.0
 ANGLES = ["OWAYU", "MSG_REQU", "MSG_RESPU", "MSG_REQX", "MSG_RESPX"]
 RANGES = ["MSG_RESPU", "MSG_RESPX"]
 DEPTHS = ["MSG_REQX", "MSG_RESPX"]
+# Shares of one net's rows that meet the other side in tasks of their own.
+SALTS = 32
 
 
 def delay_ticks(distance: Column, ticks_per_second: int, speed: float = SOUND_SPEED) -> Column:
@@ -54,23 +56,37 @@ def between_beams(start: list[Column], end: list[Column], ahead: list[Column], o
     return seen
 
 
+def dealt(left: DataFrame, right: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Both sides with `__salt` for a join by it and by keys: each row of the left has one, the right is there under all.
+
+    The left is dealt by keys and salt to a fixed number of partitions before it grows, so that few keys, or a file of one
+    split, are not the work of few tasks; by a merge join, since a broadcast would leave the other side as it lies.
+    """
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    salted = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)).cast("int"))
+    return salted.repartition(n, *keys, "__salt"), right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+
+
 def sent_to(messages: DataFrame, sensors: DataFrame, net: str, sender: str, to: str, sensor: str, everyone: int = -1) -> DataFrame:
     """One row for each message and receiver: the sensor of the message's net that it names, or, for `everyone`, every other
     sensor of the net.  Messages to unknown names and to their own sender reach no one.
 
-    Two equi joins; the second is as large as what it gives out, and starts from messages to everyone only.
+    Two equi joins; the second is as large as what it gives out, and starts from messages to everyone only, dealt so that a
+    net is many tasks' work.
     """
     there = sensors.select(F.col(net).alias("__net"), F.col(sensor).alias("receiver")).distinct()
     same, other = F.col(net) == F.col("__net"), F.col(sender) != F.col("receiver")
     named = messages.where(F.col(to) != everyone).join(there, same & (F.col(to) == F.col("receiver")) & other)
-    fanned = messages.where(F.col(to) == everyone).join(there, same & other)
-    return named.union(fanned).drop("__net")
+    calls, there = dealt(messages.where(F.col(to) == everyone), there.withColumnRenamed("__net", net), [net])
+    fanned = calls.join(there, [net, "__salt"]).where(other)
+    return named.drop("__net").unionByName(fanned.drop("__salt"))
 
 
 def in_reach(senders: DataFrame, others: DataFrame, by: str, other_by: str, axes: list[tuple[str, str]], reach: float) -> DataFrame:
     """Pairs of the same `by` within `reach` of each other, with `distance`; axes: a sender's column and the other's for each axis.
 
-    An equi join on cells of that size: a sender looks into its own cell and the ones around it.
+    An equi join on cells of that size: a sender looks into its own cell and the ones around it.  Senders are dealt, so that
+    a crowded cell is many tasks' work.
     """
     cells = [F.floor(F.col(a) / reach) for a, _ in axes]
     around = senders
@@ -80,8 +96,11 @@ def in_reach(senders: DataFrame, others: DataFrame, by: str, other_by: str, axes
     on = F.col(by) == F.col(other_by)
     for k in range(len(axes)):
         on = on & (F.col(f"__c{k}") == F.col(f"__o{k}"))
+    around, there = dealt(around, there, [by, *(f"__c{k}" for k in range(len(axes)))])
+    there = there.withColumnRenamed("__salt", "__other").hint("merge")
+    on = on & (F.col("__salt") == F.col("__other"))
     gap = F.sqrt(sum(((F.col(b) - F.col(a)) * (F.col(b) - F.col(a)) for a, b in axes[1:]), (F.col(axes[0][1]) - F.col(axes[0][0])) * (F.col(axes[0][1]) - F.col(axes[0][0]))))
-    drop = [f"__{side}{k}" for side in "co" for k in range(len(axes))]
+    drop = [f"__{side}{k}" for side in "co" for k in range(len(axes))] + ["__salt", "__other"]
     return around.join(there, on).withColumn("distance", gap).where(F.col("distance") <= reach).drop(*drop)
 
 
