@@ -1195,8 +1195,14 @@ def comms_beams(spark, sf):
     b = s.select(*(F.col(c).alias(f"o{c}") for c in s.columns))
     p = comms.in_reach(s, b, "n", "on", [("x", "ox"), ("y", "oy"), ("z", "oz")], 60.0).where("id <> oid")
     cols = lambda *names: [F.col(n) for n in names]
-    seen = comms.between_beams(cols("x", "y", "z"), cols("ox", "oy", "oz"), cols("fx", "fy", "fz"), cols("ofx", "ofy", "ofz"), 75.0, WALLS)
-    return p.where(seen).select("id", F.col("oid").alias("other"), r6(F.col("distance"), "distance"))
+    ends = cols("x", "y", "z"), cols("ox", "oy", "oz")
+    facing = p.where(comms.between_beams(*ends, cols("fx", "fy", "fz"), cols("ofx", "ofy", "ofz"), 75.0, []))
+    # by a generator, so that walls are looked at after the join, for the few pairs that face each other
+    way = facing.select("id", "oid", "distance", F.explode(F.array(F.struct(*ends[0], *ends[1]))).alias("w"))
+    start, end = ([F.col(f"w.{c}") for c in names] for names in (("x", "y", "z"), ("ox", "oy", "oz")))
+    for low, high in WALLS:
+        way = way.where(~geometry.segment_meets_box(start, end, low, high))
+    return way.select("id", F.col("oid").alias("other"), r6(F.col("distance"), "distance"))
 
 
 @query("WITH m AS (SELECT c_custkey AS message, c_nationkey AS net, c_custkey % 100 + 1 AS sender, CASE WHEN c_custkey % 4 = 0 THEN -1 ELSE c_custkey * 7 % 130 END AS goal FROM customer) SELECT message, sender, s_suppkey AS receiver FROM m JOIN supplier ON s_nationkey = net AND s_suppkey <> sender AND (goal = -1 OR goal = s_suppkey)")
