@@ -148,3 +148,14 @@ def test_followers_are_discounted_counts_that_sum_to_one(monkeypatch, bits):
                 total = sum(three[a, b, c] for c in range(size))
                 f3 = [(three[a, b, c] - A.DISCOUNT) / total if three[a, b, c] > 1 and b < size else 0.0 for c in range(size)]  # at the start there is one context only
                 assert got == pytest.approx([f + (1 - sum(f3)) * p2[c] for c, f in enumerate(f3)], abs=1e-5)
+
+
+@pytest.mark.parametrize("bound, bits", [(1 << 20, 6), (30, 21), (3, 2), (0, 21)])
+def test_counts_that_are_not_broadcast_count_too(spark, docs, monkeypatch, bound, bits):
+    df = spark.createDataFrame(docs, "doc_id long, text string, row string, n_tokens int").where("doc_id IS NOT NULL AND doc_id <> 7").coalesce(2)
+    learn = crc_rest("doc_id", 5) != 1
+    want = {r.doc_id: r.score for r in A.lm_scores(df, PATH, learn).collect()}
+    monkeypatch.setattr(A, "FOLLOWERS", bound)
+    monkeypatch.setattr(A.Table, "BITS", bits)
+    got = {r.doc_id: r.score for r in A.lm_scores(df, PATH, learn).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], rel=1e-4) for k in want)

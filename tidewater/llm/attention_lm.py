@@ -4,7 +4,8 @@ A text is its lower-cased words and an end.  Words become subword ids of a given
 the next id from the ids before it, and the id within its class by its share in training texts.  Training runs where the
 data are: in each round every partition takes steps from the same weights on its share of spans and the weights are averaged.
 Scoring lays overlapping windows over a text; each id is scored once, by the window in which it has most context.
-The attention model's probability is the lower order of discounted counts of the ids that follow one and two ids.
+The attention model's probability is the lower order of discounted counts of the ids that follow one and two ids: frequent counts
+are broadcast, all others are joined to the ids that ask for them.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ import struct
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,7 +27,8 @@ from .common import settle, slices
 LENGTH, STRIDE, WIDTH, CLASSES, OWN = 16, 8, 16, 192, 1024
 # Passes over all training texts, each made in SPANS rounds at least; in each round another share of the runs of SPAN_WORDS words is read.
 ROUNDS, SPANS, SPAN_WORDS, BATCH, RATE = 1, 2, 24, 128, 0.01
-# Followers of one and of two ids whose counts are broadcast: at most so many of each, the most frequent ones; taken off each count.
+# Followers of one and of two ids whose counts are broadcast: at most so many of each, the most frequent ones (the others come by joins);
+# taken off each count.
 FOLLOWERS, DISCOUNT = 1 << 20, 0.75
 # Words whose counts are broadcast: at most so many, the most frequent ones.
 COMMON = 1 << 17
@@ -222,27 +226,39 @@ def windows(ids: list[np.ndarray], coding: Coding, stride: int = STRIDE) -> tupl
 
 
 class Table:
-    """Rows of numbers by key, in slots; where keys meet in a slot the more frequent one has it."""
+    """Rows of numbers by key, in slots: a key has one of PROBES slots, and where they are taken the more frequent keys have them."""
 
-    BITS = 21
+    BITS, PROBES = 21, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63)
 
     def __init__(self, keys: np.ndarray, n: np.ndarray):
-        self.keys = np.full(1 << self.BITS, -1, dtype=np.int64)
-        order = np.lexsort((-keys, n))
-        self.keys[self.slot(keys)[order]] = keys[order]
-        self.held = self.keys[self.slot(keys)] == keys
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        self.bits = self.BITS
+        self.keys = np.full(1 << self.bits, -1, dtype=np.int64)
+        left = keys[np.lexsort((-keys, n))]
+        for probe in self.PROBES:
+            at = self.slot(left, probe)
+            free = self.keys[at] < 0
+            self.keys[at[free]] = left[free]
+            left = left[self.keys[at] != left]
+        self.held = self.place(keys)[1]
+
+    def slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(probe) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def column(self, keys: np.ndarray, x: np.ndarray, other: float) -> np.ndarray:
-        out = np.full(1 << self.BITS, other, dtype=np.float32)
-        out[self.slot(keys[self.held])] = x[self.held]
+        out = np.full(1 << self.bits, other, dtype=np.float32)
+        out[self.place(keys[self.held])[0]] = x[self.held]
         return out
 
     def place(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        at = self.slot(keys)
-        return at, self.keys[at] == keys
+        at = self.slot(keys, self.PROBES[0])
+        there = self.keys[at] == keys
+        for probe in self.PROBES[1:]:
+            miss = np.flatnonzero(~there)
+            if not len(miss):
+                break
+            at[miss] = self.slot(keys[miss], probe)
+            there[miss] = self.keys[at[miss]] == keys[miss]
+        return at, there
 
 
 def triples(ids: list[np.ndarray], size: int) -> np.ndarray:
@@ -255,37 +271,63 @@ def triples(ids: list[np.ndarray], size: int) -> np.ndarray:
 
 class Followers:
     """Discounted shares of the ids that follow one id and two ids; what they leave goes to the next lower order, so that the
-    probabilities of all ids after a context sum to 1 whichever counts are at hand."""
+    probabilities of all ids after a context sum to 1.
+
+    The counts given are all there are, unless `left` tells what all followers of each id, and of each given pair, leave, and
+    `kinds` how many pairs and triples there are: then places whose counts are not at hand are open, see looked_up().
+    """
 
-    def __init__(self, counts: np.ndarray, texts: int, pairs: tuple[np.ndarray, np.ndarray], threes: tuple[np.ndarray, np.ndarray]):
+    def __init__(self, counts: np.ndarray, texts: int, pairs: tuple[np.ndarray, np.ndarray], threes: tuple[np.ndarray, np.ndarray], left: tuple[np.ndarray, np.ndarray] | None = None, kinds: tuple[int, int] = (0, 0)):
         self.size = size = len(counts)
         keys, n = pairs
         self.two, total = Table(keys, n), np.append(counts, texts)
         share = np.where(self.two.held, (n - DISCOUNT) / np.maximum(total[keys // (size + 1)], 1), 0)
         self.share2 = self.two.column(keys, share, 0)
-        self.left1 = (1 - np.bincount(keys // (size + 1), share, size + 1)).astype(np.float32)
         # how often two ids stand before a third: as often as they follow each other, since only the end has no follower
+        self.times2 = self.two.column(keys, n, 1)
         order = np.argsort(keys)
         key3, n3 = threes
-        self.three, before = Table(key3, n3), key3 // (size + 1)
+        before = key3 // (size + 1)
         at = np.minimum(np.searchsorted(keys[order], before), max(0, len(keys) - 1))
         known = (keys[order][at] == before) & self.two.held[order][at] if len(keys) else np.zeros(len(key3), dtype=bool)
+        if left is not None:  # a triple counts as at hand only with the pair before it
+            key3, n3, at, known = key3[known], n3[known], at[known], known[known]
+        self.three = Table(key3, n3)
         share3 = np.where(self.three.held & known, (n3 - DISCOUNT) / np.maximum(n[order][at], 1) if len(keys) else 0.0, 0)
         self.share3 = self.three.column(key3, share3, 0)
-        self.left2 = self.two.column(keys, 1 - np.bincount(order[at[known]], share3[known], len(keys)), 1) if len(keys) else np.ones_like(self.share2)
+        if left is None:
+            self.left1 = (1 - np.bincount(keys // (size + 1), share, size + 1)).astype(np.float32)
+            self.left2 = self.two.column(keys, 1 - np.bincount(order[at[known]], share3[known], len(keys)), 1) if len(keys) else np.ones_like(self.share2)
+            self.whole2 = self.whole3 = True
+        else:
+            self.left1, self.left2 = left[0].astype(np.float32), self.two.column(keys, left[1], 1)
+            self.whole2, self.whole3 = (int(t.held.sum()) == k for t, k in zip((self.two, self.three), kinds))
 
-    def mixed(self, ids: list[np.ndarray], low: np.ndarray) -> np.ndarray:
-        """Probabilities of all ids of some sequences, from those of the lower order."""
+    def looked_up(self, ids: list[np.ndarray], low: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of all ids of some sequences, from their probabilities of the lower order: the probability by the counts at hand, the key
+        of triples(), whether the triple's count is open (not at hand, and not known to be none), and by how much a count less DISCOUNT is
+        to be divided to give what it adds to the probability, as a share of it; not a number where pairs are not at hand either."""
         base = self.size + 1
         key = triples(ids, self.size)
+        last = key // base % base
         at, there = self.two.place(key % (base * base))
-        out = self.left1[key // base % base] * low
+        out = self.left1[last] * low
         out += self.share2[at] * there
-        at, there = self.two.place(key // base)
-        out *= np.where(there, self.left2[at], 1)
-        at, there = self.three.place(key)
-        out += self.share3[at] * there
-        return out
+        at, before = self.two.place(key // base)
+        out *= np.where(before, self.left2[at], 1)
+        parts = out * self.times2[at]
+        at, there3 = self.three.place(key)
+        out += self.share3[at] * there3
+        # the first id of a sequence has no pair before it, and no triple
+        begins = last == self.size
+        lost = (~there | (~before & ~begins)) & (not self.whole2)
+        more = ~there3 & ~begins & (before | (not self.whole2)) & (not self.whole3)
+        parts[lost] = np.nan
+        return out, key, lost | more, parts
+
+    def mixed(self, ids: list[np.ndarray], low: np.ndarray) -> np.ndarray:
+        """Probabilities of all ids of some sequences, from those of the lower order and the counts at hand."""
+        return self.looked_up(ids, low)[0]
 
 
 def scored(ids: list[np.ndarray], w, coding: Coding, chunk: int = 256) -> list[np.ndarray]:
@@ -321,43 +363,125 @@ def frequent(counts: DataFrame, bound: int) -> pa.Table:
     return counts.where(F.lit(False) if least is None else F.col("n") >= least).toArrow()
 
 
+def turns(runs: int, words: int, turn: int, rounds: int) -> range:
+    """Which of the runs of words of a text are read in round `turn`; `rounds` rounds in a row give each run once."""
+    return range((turn + words) % rounds, runs, rounds)
+
+
 def spans(words: list[bytes], turn: int, rounds: int) -> list[tuple[int, int]]:
-    """Begin and end of the runs of SPAN_WORDS words that a text gives in round `turn`; `rounds` rounds in a row give each run once."""
+    """Begin and end of the runs of SPAN_WORDS words that a text gives in round `turn`."""
     runs = max(1, -(-len(words) // SPAN_WORDS))
-    return [(k * SPAN_WORDS, min((k + 1) * SPAN_WORDS, len(words))) for k in range((turn + len(words)) % rounds, runs, rounds)]
+    return [(k * SPAN_WORDS, min((k + 1) * SPAN_WORDS, len(words))) for k in turns(runs, len(words), turn, rounds)]
+
+
+def id_slices(batches, columns: list[str], most: int = 1 << 18):
+    """Batches of encode() cut so that each holds about `most` ids (or one long text), with the numbers in each binary column."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held = [batch.column(batch.schema.get_field_index(c)) for c in columns]
+        cut = np.cumsum(np.asarray(pc.binary_length(held[0]))) // (most * IDS.itemsize)
+        edges = [0, *(np.flatnonzero(np.diff(cut)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:]):
+            yield batch.slice(a, b - a), *([np.frombuffer(x, dtype=IDS).astype(np.int32) for x in h.slice(a, b - a).to_pylist()] for h in held)
+
+
+# How ids, and the numbers of ids in runs of words, are written.
+IDS = np.dtype("<u2")
+
+
+def encode(docs: DataFrame, model_path: str, logs: Broadcast) -> DataFrame:
+    """Each row of docs (id, row, learn, text) with its ids, the ids in each run of SPAN_WORDS words (a run of more than IDS holds is cut), and what its
+    words give by `logs`, log10 shares of the words at hand: n_tokens, n_known, base and the other words with their times.
+
+    Texts are encoded here alone; counts, training and scores read the ids.
+    """
+
+    def run(batches):
+        sub, logs_of = subwords(model_path), logs.value
+        if sub.size > 1 << 8 * IDS.itemsize:
+            raise ValueError("a vocabulary of more ids than two bytes tell apart")
+        for part, texts in slices(batches, "text"):
+            n_tokens, n_known, base, rest, ids, runs = [], [], [], [], [], []
+            split = [words_of(t) for t in texts]
+            sub.learn(split)
+            for words in split:
+                found = [x for x in map(logs_of.get, words) if x is not None]
+                seldom: dict[bytes, int] = {}
+                if len(found) < len(words):
+                    for x in words:
+                        if x not in logs_of:
+                            seldom[x] = seldom.get(x, 0) + 1
+                if b"" in logs_of:
+                    found.append(logs_of[b""])
+                else:
+                    seldom[b""] = 1
+                n_tokens.append(len(words) + 1)
+                n_known.append(len(found))
+                base.append(math.fsum(found))
+                rest.append(list(seldom.items()))
+                got = sub.ids(words)
+                sizes = np.fromiter(map(len, map(sub.__getitem__, words)), dtype=np.int64, count=len(words)) // got.itemsize
+                sizes = np.add.reduceat(sizes, np.arange(0, len(words), SPAN_WORDS)) if words else np.zeros(1, dtype=np.int64)
+                sizes[-1] += 1  # the end
+                most = np.iinfo(IDS).max
+                if sizes.max() > most:
+                    sizes = np.array([min(most, int(n) - k) for n in sizes for k in range(0, max(1, int(n)), most)])
+                ids.append(got.astype(IDS).tobytes())
+                runs.append(sizes.astype(IDS).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [*(part.column(part.schema.get_field_index(c)) for c in ("id", "row", "learn")), *(pa.array(x) for x in (n_tokens, n_known, base)), pa.array(rest, pa.map_(pa.binary(), pa.int64())), pa.array(ids, pa.binary()), pa.array(runs, pa.binary())],
+                names=["id", "row", "learn", "n_tokens", "n_known", "base", "rest", "ids", "runs"],
+            )
+
+    kind = docs.schema["id"].dataType.simpleString()
+    return settle(docs.mapInArrow(run, f"id {kind}, row long, learn boolean, n_tokens long, n_known long, base double, rest map<binary, bigint>, ids binary, runs binary"))
 
 
 def train(docs: DataFrame, model_path: str, text_col: str = "text") -> tuple[Coding, dict[str, np.ndarray], Followers]:
-    """Counts every subword id of the given texts with the two before it, then trains on spans of all of them."""
+    """Encodes the given texts and learns from all of them."""
+    rows = docs.select(F.lit(None).cast("long").alias("id"), F.lit(0).cast("long").alias("row"), F.lit(True).alias("learn"), F.col(text_col).alias("text"))
+    return fit(encode(rows, model_path, docs.sparkSession.sparkContext.broadcast({})), model_path)[:3]
+
+
+def fit(known: DataFrame, model_path: str) -> tuple[Coding, dict[str, np.ndarray], Followers, tuple[DataFrame, DataFrame, DataFrame]]:
+    """Counts every subword id of texts by encode() with the two before it, then trains on spans of all of them.  Comes with all counts:
+    of triples (key, n), of pairs (key, n, left) and by the first id of a pair (last, total, left)."""
+    sub = subwords(model_path)
+    size, base = sub.size, sub.size + 1
 
     def count(batches):
-        sub, held = subwords(model_path), False
-        for _, texts in slices(batches, "text"):
-            words = [words_of(t) for t in texts]
-            sub.learn(words)
-            keys, n = np.unique(triples([sub.ids(w) for w in words], sub.size), return_counts=True)
+        held = False
+        for _, ids in id_slices(batches, ["ids"], 1 << 20):
+            keys, n = np.unique(triples(ids, size), return_counts=True)
             held = True
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n, pa.int64())], names=["key", "n"])
         # key -1 counts the partitions that hold texts
         yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int64()), pa.array([int(held)], pa.int64())], names=["key", "n"])
 
-    texts = docs.select(F.col(text_col).alias("text"))
-    sub = subwords(model_path)
-    base = sub.size + 1
-    found = settle(texts.mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
-    counts, parts = np.zeros(sub.size), 0
+    found = settle(known.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    counts, parts = np.zeros(size), 0
     for r in found.groupBy(F.when(F.col("key") >= 0, F.col("key") % base).otherwise(-1).alias("id")).agg(F.sum("n").alias("n")).collect():  # at most one row for each id of the vocabulary
         if r["id"] < 0:
             parts = r["n"]
         else:
             counts[r["id"]] = r["n"]
     threes = found.where("key >= 0")
-    twos = settle(threes.groupBy((F.col("key") % (base * base)).alias("key")).agg(F.sum("n").alias("n")))
-    tables = [tuple(t[c].to_numpy() for c in ("key", "n")) for t in (frequent(twos, FOLLOWERS), frequent(threes, FOLLOWERS))]
-    followers = Followers(counts, int(counts[sub.sp.eos_id()]), *tables)
-    coding = Coding(counts, np.array([sub.sp.id_to_piece(i).startswith("▁") for i in range(sub.size)], dtype=np.int64))
+    after = threes.groupBy(F.expr(f"key DIV {base}").alias("key")).agg(F.count("*").alias("kinds"))
+    twos = threes.groupBy((F.col("key") % (base * base)).alias("key")).agg(F.sum("n").alias("n")).join(after, "key", "left")
+    twos = settle(twos.select("key", "n", F.coalesce(F.lit(DISCOUNT) * F.col("kinds") / F.col("n"), F.lit(1.0)).alias("left")))
+    ones = settle(twos.groupBy(F.expr(f"key DIV {base}").alias("last")).agg(F.sum("n").alias("total"), (F.lit(DISCOUNT) * F.count("*") / F.sum("n")).alias("left")))
+    left1 = np.ones(base)
+    for r in ones.collect():  # at most one row for each id of the vocabulary
+        left1[r["last"]] = r["left"]
+    pairs, triple = frequent(twos, FOLLOWERS), frequent(threes, FOLLOWERS)
+    at_hand = [tuple(t[c].to_numpy() for c in ("key", "n")) for t in (pairs, triple)]
+    # the first id of a text has no pair before it, and its triple is not asked for
+    kinds = (twos.count(), threes.where(f"key DIV {base} <> {size * base + size}").count())
+    followers = Followers(counts, int(counts[sub.sp.eos_id()]), *at_hand, left=(left1, pairs["left"].to_numpy()), kinds=kinds)
+    coding = Coding(counts, np.array([sub.sp.id_to_piece(i).startswith("▁") for i in range(size)], dtype=np.int64))
     weights = first_weights(coding)
-    context = docs.sparkSession.sparkContext
+    context = known.sparkSession.sparkContext
     # averaged more often the more partitions take steps apart from each other
     rounds = SPANS * max(1, math.ceil(math.log2(max(1, parts)) / 4))
     for turn in range(ROUNDS * rounds):
@@ -365,7 +489,7 @@ def train(docs: DataFrame, model_path: str, text_col: str = "text") -> tuple[Cod
 
         def learn(batches, sent=sent, turn=turn):
             coding, start = sent.value
-            sub, adam = subwords(model_path), Adam(shaped(start.copy()))
+            adam = Adam(shaped(start.copy()))
             queue, seen = [], 0
 
             def take(ids):
@@ -376,13 +500,12 @@ def train(docs: DataFrame, model_path: str, text_col: str = "text") -> tuple[Cod
                     adam.step(slopes)
                 seen += int(live.sum())
 
-            for _, texts in slices(batches, "text"):
-                for t in texts:
-                    words = words_of(t)
-                    for since, to in spans(words, turn, rounds):
-                        ids = sub.ids(words[since:to], to == len(words))
-                        if len(ids):
-                            queue.append(ids)
+            for part, texts, runs in id_slices(batches, ["ids", "runs"]):
+                for ids, sizes, words in zip(texts, runs, part.column(part.schema.get_field_index("n_tokens")).to_pylist()):
+                    ends = np.cumsum(sizes)
+                    for k in turns(len(sizes), words - 1, turn, rounds):
+                        if sizes[k]:
+                            queue.append(ids[ends[k] - sizes[k] : ends[k]])
                         if len(queue) >= 4 * BATCH:
                             take(queue)
                             queue = []
@@ -390,10 +513,10 @@ def train(docs: DataFrame, model_path: str, text_col: str = "text") -> tuple[Cod
                 take(queue)
             yield pa.RecordBatch.from_arrays([pa.array([float(seen)]), pa.array([flat(adam.w).tolist()], pa.list_(pa.float32()))], names=["n", "w"])
 
-        learned = texts.mapInArrow(learn, "n double, w array<float>").where("n > 0").select("n", F.posexplode("w").alias("at", "x")).groupBy("at").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x")).orderBy("at").toArrow()
+        learned = known.select("ids", "runs", "n_tokens").mapInArrow(learn, "n double, w array<float>").where("n > 0").select("n", F.posexplode("w").alias("at", "x")).groupBy("at").agg((F.sum(F.col("n") * F.col("x")) / F.sum("n")).alias("x")).orderBy("at").toArrow()
         if learned.num_rows:
             weights = shaped(learned["x"].to_numpy())
-    return coding, weights, followers
+    return coding, weights, followers, (threes, twos, ones)
 
 
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -422,49 +545,60 @@ def lm_scores(docs: DataFrame, model_path: str, learn: Column, id_col: str = "do
     to learn from: counts are 0.  An empty table gives an empty table.
     """
     context = docs.sparkSession.sparkContext
-    known = docs.where(learn)
-    counts = settle(word_counts(known, text_col))
+    counts = settle(word_counts(docs.where(learn), text_col))
     total, kinds = (x or 0 for x in counts.agg(F.sum("n"), F.count("*")).first())
     common = frequent(counts, COMMON)
-    coding, weights, followers = train(known, model_path, text_col)
-    sent = context.broadcast((dict(zip(common["word"].to_pylist(), common["n"].to_pylist())), coding, flat(weights), followers))
     down = total + 0.5 * (kinds + 1)
+    logs = context.broadcast({k: math.log10((n + 0.5) / down) for k, n in zip(common["word"].to_pylist(), common["n"].to_pylist())})
+    picked = docs.select(F.col(id_col).alias("id"), F.monotonically_increasing_id().alias("row"), F.coalesce(learn, F.lit(False)).alias("learn"), F.col(text_col).alias("text"))
+    first = encode(picked, model_path, logs)
+    coding, weights, followers, every = fit(first.where("learn"), model_path)
+    sent = context.broadcast((coding, flat(weights), followers))
 
     def run(batches):
-        often, coding, start, followers = sent.value
-        w, sub = shaped(start), subwords(model_path)
-        logs = {k: math.log10((n + 0.5) / down) for k, n in often.items()}
-        for part, texts in slices(batches, "text"):
-            n_tokens, n_known, base, rest, ids = [], [], [], [], []
-            split = [words_of(t) for t in texts]
-            sub.learn(split)
-            for words in split:
-                found = [x for x in map(logs.get, words) if x is not None]
-                seldom: dict[bytes, int] = {}
-                if len(found) < len(words):
-                    for x in words:
-                        if x not in logs:
-                            seldom[x] = seldom.get(x, 0) + 1
-                if b"" in logs:
-                    found.append(logs[b""])
-                else:
-                    seldom[b""] = 1
-                n_tokens.append(len(words) + 1)
-                n_known.append(len(found))
-                base.append(math.fsum(found))
-                rest.append(list(seldom.items()))
-                ids.append(sub.ids(words))
+        coding, start, followers = sent.value
+        w = shaped(start)
+        for part, ids in id_slices(batches, ["ids"]):
+            rows = part.column(part.schema.get_field_index("row")).to_numpy()
             ln = np.concatenate(scored(ids, w, coding)).astype(float)
             who = np.repeat(np.arange(len(ids)), [len(s) for s in ids])
-            both = np.log10(np.maximum(followers.mixed(ids, np.exp(ln)), 1e-300))
-            score, alone = np.bincount(who, both, len(ids)), np.bincount(who, ln, len(ids)) / math.log(10)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), *(pa.array(x) for x in (n_tokens, n_known, base)), pa.array(score), pa.array(alone), pa.array(rest, pa.map_(pa.binary(), pa.int64()))], names=["id", "row", "n_tokens", "n_known", "base", "score", "attention_score", "rest"])
-
-    picked = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("row"))
-    kind = picked.schema["id"].dataType.simpleString()
-    first = settle(picked.mapInArrow(run, f"id {kind}, row long, n_tokens long, n_known long, base double, score double, attention_score double, rest map<binary, bigint>"))
+            low = np.exp(ln)
+            p, key, later, parts = followers.looked_up(ids, low)
+            lost = later & np.isnan(parts)
+            score = np.bincount(who, np.where(lost, 0, np.log10(np.maximum(p, 1e-300))), len(ids))
+            alone, at = np.bincount(who, ln, len(ids)) / math.log(10), np.flatnonzero(later)
+            real = lambda x: pa.array(x[at].astype(np.float32), from_pandas=True)
+            names = ["row", "score", "attention_score", "key", "low", "parts"]
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(score), pa.array(alone), pa.array(-1 - rows), *(pa.nulls(len(ids), pa.float32()) for _ in range(2))], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[who[at]]), *(pa.nulls(len(at), pa.float64()) for _ in range(2)), pa.array(key[at]), real(np.where(lost, low, np.nan)), real(parts)], names=names)
+
+    # a row for each text, its key below 0, and one for each id whose counts are not at hand
+    scores = whole(first.select("row", "ids").mapInArrow(run, "row long, score double, attention_score double, key long, low float, parts float"), followers, every)
     seldom = first.select("row", F.explode("rest").alias("word", "times")).join(counts, "word", "left")
     more = seldom.groupBy("row").agg(F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("also"), F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(down)))).alias("rest_score"))
-    return first.drop("rest").join(more, "row", "left").select(
+    return first.drop("rest", "ids", "runs", "learn").join(scores, "row").join(more, "row", "left").select(
         F.col("id").alias(id_col), "n_tokens", (F.col("n_known") + F.coalesce("also", F.lit(0))).alias("n_known"), F.lit(int(total)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rest_score", F.lit(0.0))).alias("base_score"), "score", "attention_score"
     )
+
+
+def whole(scores: DataFrame, followers: Followers, every: tuple[DataFrame, DataFrame, DataFrame]) -> DataFrame:
+    """row, score and attention_score of each text, from rows with a text's scores by the counts at hand (key below 0) and rows of ids that
+    looked_up() leaves open, by all counts of fit()."""
+    threes, twos, ones = every
+    base = followers.size + 1
+    if followers.whole2 and followers.whole3:
+        return scores.select("row", "score", "attention_score")
+    rows = scores.select("row", "key", "parts", "score", "attention_score")
+    if not followers.whole2:
+        # ids that miss a pair: the lower orders come by joins too, and the score of their texts does not hold them yet
+        scores = settle(scores)
+        far = scores.where("low IS NOT NULL").select("row", "key", "low", F.expr(f"key DIV {base}").alias("before"), F.expr(f"key % {base * base}").alias("pair"), F.expr(f"key DIV {base} % {base}").alias("last"))
+        far = far.join(F.broadcast(ones.select("last", "total", F.col("left").alias("left1"))), "last", "left")
+        far = far.join(twos.select(F.col("key").alias("pair"), F.col("n").alias("n2")), "pair", "left").join(twos.select(F.col("key").alias("before"), F.col("n").alias("times"), "left"), "before", "left")
+        below = F.coalesce("left", F.lit(1.0)) * (F.coalesce("left1", F.lit(1.0)) * F.col("low") + F.coalesce((F.col("n2") - DISCOUNT) / F.col("total"), F.lit(0.0)))
+        far = far.select("row", "key", (below * F.col("times")).cast("float").alias("parts"), F.log10(F.greatest(below, F.lit(1e-300))).alias("score"), F.lit(0.0).alias("attention_score"))
+        rows = scores.where("low IS NULL").select(*far.columns).union(far)
+    # a pair that never stands before an id adds no triple (parts is null)
+    adds = F.log10(1 + (F.col("n") - DISCOUNT) / F.col("parts"))
+    score = F.coalesce("score", F.lit(0.0)) + F.coalesce(adds, F.lit(0.0))
+    return rows.join(threes, "key", "left").groupBy("row").agg(F.sum(score).alias("score"), F.sum(F.coalesce("attention_score", F.lit(0.0))).alias("attention_score"))
