@@ -113,6 +113,21 @@ def test_octree_is_read_in_one_scan(spark, tmp_path):
     assert sorted((r.id, r.level, r.leaf, r.x) for r in octree.opened(texts, "tree", 8.0).collect()) == [(2, 0, True, None), (3, 0, True, None)]
 
 
+def test_octrees_hold_nothing_in_memory_and_lose_no_level(spark):
+    tree = {"p": [0, 0, 0], "m": "deep"}
+    for k in range(1, 12):
+        tree = {"p": [k, 0, 0], "l": [tree, {"p": [k, 1, 0]}, None, 5]}
+    texts = spark.createDataFrame([(1, json.dumps(tree)), (2, '{"p": [1, 2, 3], "m": "flat"}')], "id long, tree string")
+    nodes = octree.opened(texts, "tree", 8.0)
+    plan = nodes._jdf.queryExecution().optimizedPlan().toString()
+    assert "UnionLoop" not in plan and "CTE" not in plan
+    rows = nodes.where("id = 1").collect()
+    assert len(rows) == 1 + 11 * 4 and [(r.level, r.size) for r in rows if r.material == "deep"] == [(11, 8.0 / 2**11)]
+    assert [(r.level, r.x, r.leaf) for r in nodes.where("id = 2").collect()] == [(0, 1.0, True)]
+    with pytest.raises(ValueError):
+        octree.opened(texts, "tree", 8.0, 5)
+
+
 def test_octree_store_round_trip_and_counts(spark, tmp_path):
     draw = random.Random(1)
     points = spark.createDataFrame([(draw.uniform(-1, 9), draw.uniform(0, 8), draw.uniform(0, 8)) for _ in range(500)] + [(None, 1.0, 1.0)], "x double, y double, z double")

@@ -6,33 +6,43 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from tidewater.operators.spatial import z_code
+from tidewater.storage import fresh_path
+
+# The column of levels in the shared folder.
+STEP = "tree_step"
 
 
 def opened(trees: DataFrame, text: str, size: float, depth: int = 64) -> DataFrame:
     """All nodes of trees in JSON (keys p: centre, l: children, n: normal, m: material) with the other columns of their row:
     level, size (halved by level), x, y, z, normal, material and leaf (it has no children).
 
-    One recursive query: each step opens the children of the step before as VARIANT values, so the text is read and parsed
-    once, and trees are as deep as they are, up to `depth`.  Null texts give no node; null fields stay null.
+    Trees are opened level by level, up to `depth` levels below their roots.  A node's fields are taken once; what is handed on, as VARIANT
+    values in the shared folder, is the children alone, so the text is read and parsed once, nothing is held in memory and a
+    level costs no more than its nodes.  Null texts give no node; null fields stay null.
     """
-    spark = trees.sparkSession
-    # as many rows as the trees have nodes
-    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
-    name = f"trees_{uuid.uuid4().hex}"
-    kept = [c for c in trees.columns if c != text]
-    trees.where(F.col(text).isNotNull()).createOrReplaceTempView(name)
-    own = "".join(f"`{c}`, " for c in kept)
-    nodes = spark.sql(f"""
-        WITH RECURSIVE nodes({own}node, size, level) MAX RECURSION LEVEL {depth} AS (
-            SELECT {own}parse_json(`{text}`), CAST({size!r} AS DOUBLE), 0 FROM {name}
-            UNION ALL
-            SELECT {own}child.value, size / 2, level + 1 FROM nodes, LATERAL explode(try_variant_get(node, '$.l', 'array<variant>')) AS child(value))
-        SELECT * FROM nodes""")
-    centre, children = F.try_variant_get("node", "$.p", "array<double>"), F.try_variant_get("node", "$.l", "array<variant>")
-    fields = [F.try_variant_get("node", "$.n", "array<double>").alias("normal"), F.try_variant_get("node", "$.m", "string").alias("material")]
-    return nodes.select(*kept, "level", "size", *(F.get(centre, F.lit(k)).alias(c) for k, c in enumerate("xyz")), *fields, (F.coalesce(F.size(children), F.lit(0)) <= 0).alias("leaf"))
+
+    spark, kept = trees.sparkSession, [c for c in trees.columns if c != text]
+    below, folder = f"children_{uuid.uuid4().hex}", fresh_path(trees.sparkSession)
+    centre = F.try_variant_get("node", "$.p", "array<double>")
+    fields = [*(F.get(centre, F.lit(k)).alias(c) for k, c in enumerate("xyz")), F.try_variant_get("node", "$.n", "array<double>").alias("normal"), F.try_variant_get("node", "$.m", "string").alias("material")]
+    # not a filter: it would be pushed below the expression that makes the text, which would run twice
+    given = trees.select(*kept, F.explode(F.filter(F.array(F.col(text)), lambda t: t.isNotNull())).alias("node"))
+    nodes = given.select(*kept, F.parse_json("node").alias("node"))
+    for level in range(depth + 1):
+        opens = F.try_variant_get("node", "$.l", "array<variant>")
+        now = nodes.select(*kept, *fields, F.when(F.size(opens) > 0, opens).alias(below))
+        now.write.parquet(f"{folder}/{STEP}={level}")
+        held = spark.read.schema(now.schema).parquet(f"{folder}/{STEP}={level}").where(F.col(below).isNotNull())
+        if held.isEmpty():
+            break
+        nodes = held.select(*kept, F.explode(below).alias("node"))
+    else:
+        raise ValueError(f"a tree goes on below {depth} levels")
+    every = spark.read.schema(now.schema.add(STEP, IntegerType())).parquet(folder)
+    return every.select(*kept, F.col(STEP).alias("level"), (F.lit(float(size)) / F.pow(F.lit(2.0), STEP)).alias("size"), *"xyz", "normal", "material", F.col(below).isNull().alias("leaf"))
 
 
 def leaves_of(spark: SparkSession, path: str, size: float, depth: int = 64) -> DataFrame:
