@@ -127,3 +127,34 @@ def test_odd_rows(spark):
     assert by == {1: {1}, 2: {1}, 3: {1}, None: {None}}
     assert N.ngram_join(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert len(N.members_of("x y", 3, WordHash())) == 1
+
+
+@pytest.mark.parametrize("num", [80, 90])
+def test_tallies_keep_linked_sets_and_rule_strangers_out(num):
+    """Two sets have no fewer members apart than their tallies differ by, whatever their sizes; strangers that share half differ by more."""
+    deal, ratio, ruled, strangers = np.random.default_rng(8), N.Ratio(num, 100), 0, 0
+    for n in [1, 3, 40, 63, 65, 129, 500, 520, 4000, 9000] * 6:
+        a = np.unique(deal.integers(0, 1 << 62, n).astype(np.uint64))
+        for share in (0.5, 0.97):
+            b = np.unique(np.concatenate([a[deal.random(len(a)) < share], deal.integers(0, 1 << 62, int(n * (1.05 - share))).astype(np.uint64)]))
+            tallies = [np.frombuffer(N.tally(x), dtype=np.uint8) for x in (a, b)]
+            x, y = N.folded(tallies[:1], min(map(len, tallies))), N.folded(tallies[1:], min(map(len, tallies)))
+            differ = int(np.abs(x - y).sum())
+            assert differ <= len(np.setxor1d(a, b))
+            if share == 0.5 and n >= 40:
+                strangers += 1
+                ruled += differ > ratio.most_apart(len(a) + len(b))
+    assert ruled >= 0.95 * strangers
+
+
+def test_texts_move_only_for_stars_that_may_link(spark, monkeypatch):
+    """Strangers that share rare shingles: their texts were sent to be compared with the first one of their key."""
+    words = [f"v{k}" for k in range(9000)]
+    deal, moved = np.random.default_rng(9), []
+    rows = [(k, " ".join(deal.choice(words, 150)) + f" rare{k // 10} passage{k // 10} here{k // 10} " + " ".join(deal.choice(words, 150))) for k in range(200)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(20)]
+    met = N._met
+    monkeypatch.setattr(N, "_met", lambda cells, *rest: (moved.append(cells.count()), met(cells, *rest))[1])
+    got = N.ngram_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == {k: k % 1000 if k < 1020 and k >= 1000 else k for k, _ in rows}
+    assert moved[0] <= 60

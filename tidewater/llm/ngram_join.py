@@ -7,12 +7,12 @@
 3. The sets at a key are compared with the first one of it, that of the smallest id: in blocks, a prefix tree over a block's
    sets in one global order is descended by the first set, with a running overlap that all sets below a node share, and left
    where the overlap and what remains on either side cannot reach the threshold.
-4. Where this leaves the sets of a key in several components, those of different components meet in blocks.  First only
-   their keys meet, in large blocks: up to the smaller of two sets' last keys all members of both are known, so more
-   members there of one set alone than linked sets of these sizes can have apart rule a pair out.  Sets with a pair left
-   meet with their texts, by prefix trees likewise.  Only verified links join sets; nothing is compared because strangers
-   chain.
-5. Distributed union-find over the links gives the components.
+4. Where this leaves the sets of a key in several components, those of different components meet in blocks.
+5. Before sets meet with their texts, in (3) and (4), only their tallies meet, in large blocks: how many members each of some
+   quarter as many buckets holds.  Two sets have at least as many members apart as their tallies differ by, so tallies that
+   differ by more than linked sets of these sizes can have apart rule a pair out.  Sets with a pair left meet with their texts.
+   Only verified links join sets; nothing is compared because strangers chain.
+6. Distributed union-find over the links gives the components.
 """
 
 from __future__ import annotations
@@ -30,8 +30,10 @@ from .graph import components, spanning
 
 # Counters of member_counts(): 32 MB whatever the input, moved in so many chunks.
 COUNTERS, CHUNKS = 1 << 24, 256
-# Sets in a block of a key, with their texts, and with their keys alone; a task holds two blocks.
+# Sets in a block of a key, with their texts, and with their tallies alone; a task holds two blocks.
 BLOCK, WIDE = 96, 1024
+# Members for each bucket of a tally: from LOAD to 2 * LOAD.
+LOAD = 4
 
 
 class Ratio:
@@ -69,6 +71,18 @@ def members_of(text: str, width: int, table: WordHash) -> np.ndarray:
     return distinct(shingle_hashes(table.of(text.encode().lower().split()), width))
 
 
+def tally(members: np.ndarray) -> bytes:
+    """How many members of a set fall into each of a power of two of buckets, 255 at most; the set's size gives their number."""
+    buckets = 1 << max(4, (len(members) // LOAD).bit_length() - 1)
+    places = mixed(members, 21) & np.uint64(buckets - 1)
+    return np.minimum(np.bincount(places.astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def folded(tallies: list[np.ndarray], buckets: int) -> np.ndarray:
+    """Tallies as rows of so many buckets, which is no more than any of them has."""
+    return np.stack([t.reshape(-1, buckets).sum(0, dtype=np.int32) for t in tallies])
+
+
 def member_counts(texts: DataFrame, width: int) -> np.ndarray:
     """How many rows hold members of each of COUNTERS slots (a member's hash modulo COUNTERS), over all of `texts`.
 
@@ -198,31 +212,44 @@ def ngram_join(docs: DataFrame, width: int = 3, num: int = 90, den: int = 100, i
             found = [members_of(t, width, table) for t in texts]
             marks = [[int(mixed(s, k).sum(dtype=np.uint64).astype(np.int64)) for s in found] for k in (1, 2)]
             keys = [ratio.keys(s, counts).view(np.int64) for s in found]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array(m, pa.int64()) for m in marks), pa.array(keys, pa.list_(pa.int64()))], names=["id", "n", "m1", "m2", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(s) for s in found], pa.int64()), *(pa.array(m, pa.int64()) for m in marks), pa.array(keys, pa.list_(pa.int64())), pa.array([tally(s) for s in found], pa.binary())], names=["id", "n", "m1", "m2", "keys", "tally"])
 
-    table = settle(texts.mapInArrow(sets, "id long, n long, m1 long, m2 long, keys array<long>"))
+    table = settle(texts.mapInArrow(sets, "id long, n long, m1 long, m2 long, keys array<long>, tally binary"))
     sized = table.where("n > 0 AND id IS NOT NULL")
     # (1) one representative for each distinct set
     copies = settle(with_least(sized.select("id", "n", "m1", "m2"), ["m1", "m2", "n"], "id", "rep", several=True).where("id <> rep").select("id", "rep", F.xxhash64("id", "m1").alias("set")).distinct())
     # (2) the sets at each key, and the first of them
-    distinct_sets = settle(without_keys(sized.select("id", "n", "keys", F.xxhash64("id", "m1").alias("set")), "set", copies.select(F.col("set").alias("gone")).distinct()).drop("set"))
+    distinct_sets = settle(without_keys(sized.select("id", "n", "keys", "tally", F.xxhash64("id", "m1").alias("set")), "set", copies.select(F.col("set").alias("gone")).distinct()).drop("set"))
     shared = settle(with_least(distinct_sets.select(F.struct(F.col("id").alias("node"), "n").alias("at"), F.explode("keys").alias("key")), ["key"], "at", "lead", several=True))
     # (3) stars, dealt in blocks that hold their first set each
     stars = settle(shared.where("at.node <> lead.node").where(ratio.reach("at.n", "lead.n")).select(F.col("lead.node").alias("key"), F.col("at.node").alias("node")).distinct())
-    blocks = settle(stars.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")))
-    dealt = spread_join(stars, blocks, "key", "node", stars.count()).select("key", F.expr("cast(pmod(xxhash64(node, 7), blocks) AS int)").alias("i"), F.lit(-1).alias("j"), "node", F.lit(None).cast("long").alias("root"), F.expr("cast(pmod(xxhash64(node, 7), blocks) AS int)").alias("block"))
-    firsts = blocks.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.lit(-1).alias("j"), F.col("key").alias("node"), F.lit(None).cast("long").alias("root"), F.lit(-1).alias("block"))
-    near = settle(_met(dealt.union(firsts), texts, ratio, width))
+    stars = settle(_left(stars, _perhaps(_in_stars(stars, WIDE), distinct_sets, ratio)))
+    near = settle(_met(_in_stars(stars, BLOCK), texts, ratio, width))
     # (4) sets of different components at a key
     opened = open_keys(shared, settle(components(near)))
     perhaps = settle(_perhaps(in_cells(opened, WIDE), distinct_sets, ratio))
     more = settle(_met(in_cells(settle(recounted(opened, perhaps)), BLOCK), texts, ratio, width))
-    # (5)
+    # (6)
     found = components(near.union(more).union(copies.select("id", "rep")))
     out = table.select("id", "n").join(found, F.col("id") == F.col("node"), "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("root", "id").alias("component_id"))
     return out
 
 
+def _left(stars: DataFrame, left: DataFrame) -> DataFrame:
+    """The rows (key, node) of `stars` that stand in `left` too."""
+    return stars.join(left, ["key", "node"], "left_semi")
+
+
+def _in_stars(stars: DataFrame, block: int) -> DataFrame:
+    """key, i, j, node, root and block: the nodes of each star dealt in blocks of about `block` rows, and its first set, the key, in each
+    of them; all are roots of their own."""
+    blocks = settle(stars.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    spot = F.expr("cast(pmod(xxhash64(node, 7), blocks) AS int)")
+    dealt = spread_join(stars, blocks, "key", "node", stars.count()).select("key", spot.alias("i"), F.lit(-1).alias("j"), "node", F.col("node").alias("root"), spot.alias("block"))
+    firsts = blocks.select("key", F.explode(F.expr("sequence(0, blocks - 1)")).alias("i"), F.lit(-1).alias("j"), F.col("key").alias("node"), F.col("key").alias("root"), F.lit(-1).alias("block"))
+    return dealt.union(firsts)
+
+
 def apart(mine: np.ndarray, held: np.ndarray, starts: np.ndarray, lasts: np.ndarray, common: np.ndarray) -> np.ndarray:
     """How many keys only one of two sets has, up to the smaller of their last keys: `mine` against the runs of `held` that
     begin at `starts` and end with `lasts`; common: how many keys each run shares with `mine`.  Keys ascend and none is empty.
@@ -233,39 +260,34 @@ def apart(mine: np.ndarray, held: np.ndarray, starts: np.ndarray, lasts: np.ndar
 
 
 def _perhaps(cells: DataFrame, sets: DataFrame, ratio: Ratio) -> DataFrame:
-    """key, node of the rows of cells that may link with a row of another root in a cell of theirs, by sizes and keys alone.
+    """key, node of the rows of cells that may link with a row of another root in a cell of theirs, by sizes and tallies alone.
 
-    sets: id, n and keys of all sets.
+    sets: id, n and tally of all sets.
     """
     cells = settle(cells)
-    held = near_keys(sets, "id", settle(cells.select("node").distinct())).join(cells, F.col("id") == F.col("node")).select("key", "i", "j", "block", "root", "node", "n", "keys")
+    held = near_keys(sets.select("id", "n", "tally"), "id", settle(cells.select("node").distinct())).join(cells, F.col("id") == F.col("node")).select("key", "i", "j", "block", "root", "node", "n", "tally")
 
     def compare(cell: pa.Table) -> np.ndarray:
         """Which rows of a cell have a partner."""
         i, j = cell["i"][0].as_py(), cell["j"][0].as_py()
         block, root, n = (cell[c].to_numpy() for c in ("block", "root", "n"))
-        keys = cell["keys"].combine_chunks()
-        keys = keys.chunk(0) if isinstance(keys, pa.ChunkedArray) else keys
-        flat, ends = keys.flatten().to_numpy().view(np.uint64), np.cumsum(keys.value_lengths().to_numpy())
-        runs = np.split(flat, ends[:-1])
-        index, found = np.flatnonzero(block == i), np.zeros(len(n), dtype=bool)
-        if not len(index):
-            return found
-        held = np.concatenate([runs[k] for k in index])
-        known, coded = np.unique(held, return_inverse=True)
-        sizes = np.array([len(runs[k]) for k in index])
-        starts = np.cumsum(sizes) - sizes
-        lasts = held[starts + sizes - 1]
-        for k in np.flatnonzero(block == j):
-            mine = runs[k]
-            mark = np.zeros(len(known), dtype=np.int64)
-            at = np.minimum(np.searchsorted(known, mine), len(known) - 1)
-            mark[at[known[at] == mine]] = 1
-            common = np.add.reduceat(mark[coded], starts)
-            small, large = np.minimum(n[index], n[k]), np.maximum(n[index], n[k])
-            good = (root[index] != root[k]) & (common > 0) & (ratio.den * small >= ratio.num * large) & (apart(mine, held, starts, lasts, common) <= ratio.most_apart(n[index] + n[k]))
-            found[index[good]] = True
-            found[k] |= good.any()
+        tallies = [np.frombuffer(x, dtype=np.uint8) for x in cell["tally"].to_pylist()]
+        buckets = np.array([len(x) for x in tallies])
+        index, probes, found = np.flatnonzero(block == i), np.flatnonzero(block == j), np.zeros(len(n), dtype=bool)
+        # two tallies are compared in as many buckets as the smaller one has
+        for size in distinct(buckets).tolist():
+            here, there = index[buckets[index] >= size], probes[buckets[probes] >= size]
+            if not len(here) or not len(there):
+                continue
+            rows = folded([tallies[k] for k in here], size)
+            for k in there:
+                small, large = np.minimum(n[here], n[k]), np.maximum(n[here], n[k])
+                some = np.flatnonzero((np.minimum(buckets[here], buckets[k]) == size) & (root[here] != root[k]) & (ratio.den * small >= ratio.num * large))
+                if len(some):
+                    differ = np.abs(rows[some] - folded([tallies[k]], size)).sum(1)
+                    good = differ <= ratio.most_apart(n[here[some]] + n[k])
+                    found[here[some[good]]] = True
+                    found[k] |= good.any()
         return found
 
     def run(batches):
