@@ -21,3 +21,12 @@ def test_near_and_without_keys(spark):
     rest = [r.id for r in common.without_keys(rows, "id", keys).collect()]
     assert sorted(rest, key=str) == sorted([None, *(i for i in range(1000) if i % 10)], key=str)
     assert common.without_keys(rows, "id", keys.where("false")).count() == 1001
+
+
+def test_few_rows_are_joined_without_salts(spark):
+    from tidewater.llm.common import spread_join
+
+    rows, other = spark.range(40).selectExpr("id % 4 AS k", "id AS v"), spark.range(4).selectExpr("id AS k", "id * 2 AS w")
+    few, many = (spread_join(rows, other, "k", "v", n) for n in (40, 2000))
+    assert sorted(few.collect()) == sorted(many.collect()) and few.columns == many.columns
+    assert "__salt" not in few._jdf.queryExecution().toString() and "__salt" in many._jdf.queryExecution().toString()

@@ -70,3 +70,15 @@ def test_ftrl_equals_a_plain_loop():
         model.learn(at, y)
     assert model.z == pytest.approx(z) and model.n == pytest.approx(n)
     assert model.weights(np.arange(41)) == pytest.approx([weight(i) for i in range(41)])
+
+
+def test_rows_to_learn_from_stay_in_their_buffer():
+    """The trainer makes no object of a row's slots: a worker keeps such memory while later stages run."""
+    import pyarrow as pa
+
+    rows = [np.arange(k, dtype="<i4") for k in (3, 0, 70_000, 1)]
+    column = pa.array([r.tobytes() for r in rows], pa.binary())
+    got = T.packed_rows(column)
+    assert all(np.array_equal(a, b) for a, b in zip(got, rows, strict=True))
+    assert np.shares_memory(got[2], np.frombuffer(column.buffers()[2], dtype="<i4"))
+    assert [len(x) for x in T.packed_rows(column.slice(2, 2))] == [70_000, 1] and T.packed_rows(column.slice(0, 0)) == []

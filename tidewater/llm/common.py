@@ -177,10 +177,12 @@ def spread_join(rows: DataFrame, other: DataFrame, on: str, by: str, total: int)
     """rows joined with `other`, which has one row or a few for each value of the column `on`.
 
     Values that more than a 256th of all rows hold (so 256 at most, which are broadcast) are dealt over 64 salts by a hash of
-    the column `by`, so no task gets the rows of a hot value whole.  total: how many rows there are, about.
+    the column `by`, so no task gets the rows of a hot value whole.  total: how many rows there are.
     """
     from pyspark.sql import functions as F
 
+    if total <= 1000:  # no value can be hot
+        return rows.join(other, on)
     counts = rows.groupBy(on).agg(F.count("*").alias("__n"))
     hot = F.broadcast(counts.where(F.col("__n") > max(1000, total // 256)).select(on, F.lit(True).alias("__hot")))
     dealt = rows.join(hot, on, "left").withColumn("__salt", F.when(F.col("__hot"), F.pmod(F.xxhash64(by, F.lit(9)), F.lit(64))).otherwise(0).cast("int"))

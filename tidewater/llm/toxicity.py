@@ -8,6 +8,7 @@ sample of labelled rows.  What is left is a sparse vector of at most 2**BITS wei
 from __future__ import annotations
 
 import math
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,16 @@ def features(text: str, table: WordHash) -> np.ndarray:
     return (np.concatenate(parts) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
+def packed_rows(column: pa.Array) -> list[np.ndarray]:
+    """The numbers in each row of a binary column, as views of its buffer."""
+    if not len(column):
+        return []
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[column.offset : column.offset + len(column) + 1] // 4
+    flat = np.frombuffer(data, dtype="<i4", count=int(ends[-1])) if data is not None else np.zeros(0, dtype="<i4")
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
 class Ftrl:
     """The last slot is the constant term; it has no L1 penalty."""
 
@@ -76,13 +87,25 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.string()), pa.array(slots, pa.binary()), part.column(2)], names=["id", "slots", "y"])
 
     def train(batches):
-        seen = sorted((i, at, y) for b in batches for i, at, y in zip(*(c.to_pylist() for c in b.columns)))
-        seen = [(np.frombuffer(at, "<i4"), y) for _, at, y in seen]
+        # slots stay in the Arrow buffers they came in, then in one array: a Python object for each row would stay with the worker
+        ids, labels, held = [], [], []
         shared = np.zeros((1 << BITS) + 1, dtype=np.int64)
-        for at, _ in seen:
+        for b in batches:
+            ids += b.column(0).to_pylist()
+            labels += b.column(2).to_pylist()
+            held += packed_rows(b.column(1))
+        for at in held:
             shared[at] += 1
+        order = sorted(range(len(ids)), key=lambda k: (ids[k], held[k].tobytes() if twice[ids[k]] > 1 else b"", labels[k])) if (twice := Counter(ids)) else []
         often = shared >= MIN_ROWS
-        seen = [(at[often[at]], y) for at, y in seen]
+        ends = np.cumsum([0, *(int(np.count_nonzero(often[held[k]])) for k in order)])
+        flat = np.empty(ends[-1], dtype=np.int32)
+        seen = []
+        for k, a, b in zip(order, ends, ends[1:]):
+            flat[a:b] = held[k][often[held[k]]]
+            seen.append((flat[a:b], labels[k]))
+        del held
+        pa.default_memory_pool().release_unused()
         share = len(seen) / TRAIN_ROWS
         model, deal = Ftrl(L1 * math.sqrt(share)), np.random.default_rng(0)
         for _ in range(math.ceil(EPOCHS / math.sqrt(share)) if seen else 0):
