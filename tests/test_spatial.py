@@ -170,3 +170,35 @@ def test_points_at_one_spot_are_seen_once_and_given_back_whole(spark):
     got = spatial.in_view(s, spatial.packed(spots, "w", ["x", "y", "z"]), F.lit(1), ["sx", "sy", "sz"], pose, ("low", "high"), lambda s, off: off < 12, F.lit(12.0), [F.lit(v) for v in (1.0, 0.0, 0.0)])
     assert {r.x for r in got.collect()} == {float(k) for k in range(3, 10)}
     assert sorted(r.id for r in got.select(F.inline("__copies")).collect()) == sorted(r.id for r in points.where("x > 2").collect())
+
+
+def test_views_move_sensors_only_to_their_leaves(spark, monkeypatch):
+    """Whatever Spark broadcasts of itself: levels of few boxes need no shuffle, and no rotation is shuffled with a leaf."""
+    draw = random.Random(5)
+    points = spark.createDataFrame([(i, 1, *(draw.uniform(-20, 20) for _ in range(3))) for i in range(3000)], "id long, w int, x double, y double, z double")
+    s = spark.createDataFrame([(k, draw.uniform(-20, 20), 1.0, 2.0, draw.uniform(-1, 1), draw.uniform(-3, 3), 0.1, 9.0) for k in range(30)], "k long, sx double, sy double, sz double, pitch double, yaw double, low double, high double")
+    pose = vehicle.rotation_matrix(F.lit(0.0), F.col("pitch"), F.col("yaw"))
+    look = lambda by: spatial.in_view(s, spatial.packed(points, "w", ["x", "y", "z"]), by, ["sx", "sy", "sz"], pose, ("low", "high"), lambda s, off: off < 25, F.lit(25.0), [F.lit(v) for v in (1.0, 0.0, 0.0)])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = {}
+        for name, by, few in (("one", None, 1 << 12), ("many", F.lit(1), 1 << 12), ("moved", F.lit(1), 0)):
+            monkeypatch.setattr(spatial, "FEW", few)
+            got = look(by)
+            plan = got._jdf.queryExecution().executedPlan().toString()
+            seen[name] = {(r.k, r.id) for r in got.collect()}
+            if few:  # the points, and the offsets of their places
+                assert plan.count("SortMergeJoin") == 2
+        assert seen["one"] == seen["many"] == seen["moved"] and len(seen["one"]) > 20
+        assert spatial.folded(points, "w", ["x", "y", "z"])._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_spots_of_full_cells_are_dealt_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(spatial, "HEAP", 100)
+    monkeypatch.setattr(spatial, "CELLS", 4)
+    points = spark.range(2000).select("id", F.lit(1).alias("w"), F.when(F.col("id") < 1500, 1.0).when(F.col("id") < 1520, None).otherwise(F.col("id") % 7).cast("double").alias("x"))
+    rows = spatial.folded(points, "w", ["x"], 64).collect()
+    assert sorted(c.id for r in rows for c in r["__copies"]) == list(range(2000)) and max(len(r["__copies"]) for r in rows) <= 64
+    assert all(c.id < 1500 or c.id % 7 == 1 for r in rows if r.x == 1.0 for c in r["__copies"])
