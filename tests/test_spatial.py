@@ -202,3 +202,18 @@ def test_spots_of_full_cells_are_dealt_and_lose_nothing(spark, monkeypatch):
     rows = spatial.folded(points, "w", ["x"], 64).collect()
     assert sorted(c.id for r in rows for c in r["__copies"]) == list(range(2000)) and max(len(r["__copies"]) for r in rows) <= 64
     assert all(c.id < 1500 or c.id % 7 == 1 for r in rows if r.x == 1.0 for c in r["__copies"])
+
+
+def test_few_leaves_are_opened_for_probes_beside_the_points(spark, monkeypatch):
+    """Far from all points a first guess at the nearest one reaches over many leaves; only few of them are to be moved."""
+    draw = random.Random(2)
+    places = [(i, 1, x, x * draw.uniform(0.9, 2.0), float(-draw.randrange(11))) for i, x in enumerate(draw.uniform(1, 50) for _ in range(20000))]
+    probes = [(k, 1, float(draw.randrange(50)), draw.uniform(0, 100), draw.uniform(-10, 0)) for k in range(60)]
+    opened, descend = [], spatial.descend
+    monkeypatch.setattr(spatial, "descend", lambda *a, **k: opened.append(descend(*a, **k)) or opened[-1])
+    axes = "x double, y double, z double"
+    got = matching.nearest_in_class(spark.createDataFrame(probes, f"p long, label int, {axes}"), spark.createDataFrame(places, f"id long, label int, {axes}"), "label", ["x", "y", "z"], "p", "id")
+    want = {k: min((math.sqrt(sum((a - b) ** 2 for a, b in zip(at, p))), i) for i, _, *p in places) for k, _, *at in probes}
+    assert {r.p: r.nearest_id for r in got.collect()} == {k: i for k, (_, i) in want.items()}
+    moved = [d.count() for d in opened if "__near" not in d.columns]
+    assert max(moved) < 15 * len(probes), moved
