@@ -112,6 +112,21 @@ def test_scored_ids_have_context():
     assert (A.WIDTH, A.CLASSES) >= (16, 192)
 
 
+def test_scoring_works_out_only_the_places_that_it_scores(monkeypatch):
+    code = coding()
+    w = A.first_weights(code)
+    ids = [np.arange(k, k + n, dtype=np.int32) for k, n in ((3, 1), (50, 1001), (7, A.LENGTH), (9, 530))]
+    x, y, live, _ = A.windows(ids, code)
+    g, _ = A.hidden(w, x)
+    z = A.times(g, w["C"]) + w["c"]
+    plain = np.take_along_axis(z - np.log(np.exp(z).sum(-1, keepdims=True)), code.of[y][..., None], 2)[..., 0] + code.share[y]
+    states, hidden = [], A.hidden
+    monkeypatch.setattr(A, "hidden", lambda *a: states.append(hidden(*a)) or states[-1])
+    got = A.scored(ids, w, code, 64)
+    assert [len(s) for s in got] == [len(s) for s in ids] and np.allclose(np.concatenate(got), plain[live], atol=1e-5)
+    assert sum(s[0].shape[0] * s[0].shape[1] for s in states) <= sum(map(len, ids)) + len(ids) * A.LENGTH
+
+
 @pytest.mark.parametrize("bits", [21, 4])
 def test_followers_are_discounted_counts_that_sum_to_one(monkeypatch, bits):
     monkeypatch.setattr(A.Table, "BITS", bits)

@@ -131,20 +131,22 @@ def times(a: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (a.reshape(-1, a.shape[-1]) @ m).reshape(*a.shape[:-1], m.shape[1])
 
 
-def hidden(w, x: np.ndarray) -> tuple:
-    """States of windows of symbols (n x LENGTH), with what the backward pass needs."""
+def hidden(w, x: np.ndarray, since: int = 0) -> tuple:
+    """States of windows of symbols (n x LENGTH) from place `since` on, with what the backward pass needs."""
     e = w["E"][x]
     e += w["P"]
-    q, k, v = (times(e, w[n]) for n in "QKV")
+    k, v = (times(e, w[n]) for n in "KV")
+    own = np.ascontiguousarray(e[:, since:]) if since else e
+    q = times(own, w["Q"])
     s = q @ k.transpose(0, 2, 1)
     s *= 1 / math.sqrt(WIDTH)
-    s += MASK
+    s += MASK[since:]
     s -= s.max(2, keepdims=True)
     np.exp(s, out=s)
     s /= s.sum(2, keepdims=True)
     c = s @ v
     h = times(c, w["O"])
-    h += e
+    h += own
     u = times(h, w["A"])
     u += w["a"]
     np.maximum(u, 0, out=u)
@@ -153,24 +155,33 @@ def hidden(w, x: np.ndarray) -> tuple:
     return g, (e, q, k, v, s, c, h, u)
 
 
+@functools.lru_cache(maxsize=4)
+def room(rows: int, columns: int, kind: str) -> np.ndarray:
+    """Memory that is used again: new memory costs as much as the numbers in it."""
+    return np.empty((rows, columns), dtype=kind)
+
+
 def gradients(w, x: np.ndarray, y: np.ndarray, live: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
     """Mean loss over live places, and its slopes.  y: classes to predict."""
     g, (e, q, k, v, s, c, h, u) = hidden(w, x)
-    d = times(g, w["C"])
-    d += w["c"]
-    d -= d.max(-1, keepdims=True)
-    want = (np.arange(y.size), y.ravel())
-    got = d.reshape(y.size, -1)[want]
+    # classes are worked out at live places alone; a last column of ones carries the bias along
+    here, n = np.flatnonzero(live.ravel()), max(1, int(live.sum()))
+    state = np.ones((len(here), WIDTH + 1), dtype=g.dtype)
+    state[:, :WIDTH] = g.reshape(-1, WIDTH)[here]
+    d = np.matmul(state, np.vstack([w["C"], w["c"]]), out=room(live.size, CLASSES, state.dtype.char)[: len(here)])
+    d -= d.max(1, keepdims=True)
+    want = (np.arange(len(here)), y.ravel()[here])
+    got = d[want]
     np.exp(d, out=d)
-    total = d.sum(-1, keepdims=True)
-    n = max(1, int(live.sum()))
-    weight = (live / n).astype(d.dtype)
-    loss = -float(((got - np.log(total.ravel())) * weight.ravel()).sum())
-    d *= weight[..., None] / total
-    d.reshape(y.size, -1)[want] -= weight.ravel()
+    total = d.sum(1)
+    loss = -float((got - np.log(total)).sum()) / n
+    d *= (1 / (n * total))[:, None].astype(d.dtype)
+    d[want] -= d.dtype.type(1 / n)
     flat2 = lambda a: a.reshape(-1, a.shape[-1])
-    out = {"C": flat2(g).T @ flat2(d), "c": flat2(d).sum(0)}
-    dg = times(d, w["C"].T)
+    slopes = state.T @ d
+    out = {"C": slopes[:WIDTH], "c": slopes[WIDTH]}
+    dg = np.zeros_like(g)
+    flat2(dg)[here] = d @ w["C"].T
     out["B"] = flat2(u).T @ flat2(dg)
     du = times(dg, w["B"].T)
     du *= u > 0
@@ -209,20 +220,24 @@ class Adam:
 
 def windows(ids: list[np.ndarray], coding: Coding, stride: int = STRIDE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Symbols (n x LENGTH), ids to predict, which places count, and the text of each window; every id counts once."""
-    inputs, targets, who, since = [], [], [], []
-    for k, s in enumerate(ids):
-        rows = 1 + max(0, -(-(len(s) - LENGTH) // stride))
-        pad = np.full((rows - 1) * stride + LENGTH - len(s), -1, dtype=np.int32)
-        x = np.concatenate([[coding.start], coding.symbol[s[:-1]], np.zeros(len(pad), dtype=np.int32)])
-        y = np.concatenate([s, pad])
-        at = (np.arange(rows) * stride)[:, None] + np.arange(LENGTH)
-        inputs.append(x[at])
-        targets.append(y[at])
-        who.append(np.full(rows, k))
-        since.append(np.where(np.arange(rows) > 0, LENGTH - stride, 0))
-    y = np.concatenate(targets)
-    live = (y >= 0) & (np.arange(LENGTH) >= np.concatenate(since)[:, None])
-    return np.concatenate(inputs), np.maximum(y, 0), live, np.concatenate(who)
+    sizes = np.array([len(s) for s in ids], dtype=np.int64)
+    rows = 1 + np.maximum(0, -(-(sizes - LENGTH) // stride))
+    ends, room = np.cumsum(rows), (rows - 1) * stride + LENGTH  # of each text, with places to fill its last window
+    starts = np.cumsum(room) - room
+    flat_ids = np.concatenate(ids)
+    at = np.arange(len(flat_ids)) + np.repeat(starts - (np.cumsum(sizes) - sizes), sizes)
+    targets = np.full(int(room.sum()), -1, dtype=np.int32)
+    targets[at] = flat_ids
+    inputs = np.zeros(len(targets) + 1, dtype=np.int32)
+    inputs[at + 1] = coding.symbol[flat_ids]
+    inputs[(starts + sizes)[sizes > 0]] = 0  # a last id stands before none
+    inputs[starts] = coding.start
+    who = np.repeat(np.arange(len(ids)), rows)
+    turn = np.arange(len(who)) - (ends - rows)[who]
+    places = (starts[who] + turn * stride)[:, None] + np.arange(LENGTH)
+    y = targets[places]
+    live = (y >= 0) & (np.arange(LENGTH) >= np.where(turn > 0, LENGTH - stride, 0)[:, None])
+    return inputs[places], np.maximum(y, 0), live, who
 
 
 class Table:
@@ -332,23 +347,29 @@ class Followers:
 
 def scored(ids: list[np.ndarray], w, coding: Coding, chunk: int = 256) -> list[np.ndarray]:
     """Natural log probability of each id of each sequence by the attention model."""
-    x, y, live, _ = windows(ids, coding)
-    out = []
-    lead = LENGTH - STRIDE
-    for k in range(0, len(x), chunk):
-        here = slice(k, k + chunk)
-        g, _ = hidden(w, x[here])
-        mark, want = live[here], y[here]
-        skip = 0 if mark[:, :lead].any() else lead  # only first windows score their first places
-        z = times(g[:, skip:], w["C"])
-        z += w["c"]
-        if not np.abs(g).max() < 1e3:  # far from anything that training gives
-            np.clip(z, -60, 60, out=z)
-        got = np.take_along_axis(z, coding.of[want[:, skip:]][..., None], 2)[..., 0]
-        got -= np.log(np.exp(z, out=z).sum(-1))
-        got += coding.share[want[:, skip:]]
-        out.append(got[mark[:, skip:]])  # windows stand in order and score each id once: the order of the ids
-    return np.split(np.concatenate(out), np.cumsum([len(s) for s in ids])[:-1])
+    x, y, live, who = windows(ids, coding)
+    rank = np.cumsum(live.ravel()).reshape(live.shape) - 1  # windows stand in order and score each id once: the order of the ids
+    out = np.empty(sum(map(len, ids)), dtype=np.float32)
+    head = np.diff(who, prepend=-1) > 0
+    # a last column of ones carries the bias along
+    out_of, ones = np.vstack([w["C"], w["c"]]), np.ones(CLASSES, dtype=np.float32)
+    state, held = np.ones((chunk * LENGTH, WIDTH + 1), dtype=np.float32), room(chunk * LENGTH, CLASSES, "f")
+    # only a text's first window scores its first places
+    for skip, rows in ((0, np.flatnonzero(head)), (LENGTH - STRIDE, np.flatnonzero(~head))):
+        for k in range(0, len(rows), chunk):
+            here = rows[k : k + chunk]
+            mark, want = live[here, skip:], y[here, skip:]
+            g, _ = hidden(w, x[here], skip)
+            g, want = g[mark], want[mark]  # texts end within windows
+            state[: len(g), :WIDTH] = g
+            z = np.matmul(state[: len(g)], out_of, out=held[: len(g)])
+            if not np.abs(g).max(initial=0) < 1e3:  # far from anything that training gives
+                np.clip(z, -60, 60, out=z)
+            got = z[np.arange(len(want)), coding.of[want]]
+            got -= np.log(np.exp(z, out=z) @ ones)
+            got += coding.share[want]
+            out[rank[here, skip:][mark]] = got
+    return np.split(out, np.cumsum([len(s) for s in ids])[:-1])
 
 
 def frequent(counts: DataFrame, bound: int) -> pa.Table:
